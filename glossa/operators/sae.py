@@ -91,8 +91,9 @@ def load_model(atoms: DataFrame, sparsity: int,
         m = hi - lo
         enc = part.column("enc").combine_chunks().flatten().to_numpy().reshape(m, dim)
         dec = part.column("dec").combine_chunks().flatten().to_numpy().reshape(m, dim)
+        # (lo, enc rows, dec rows): both (features_in_block, input_dim)
         blocks.append(sc.broadcast((lo, np.ascontiguousarray(enc),
-                                    np.ascontiguousarray(dec.T))))
+                                    np.ascontiguousarray(dec))))
     return SaeModel(input_dim=dim, dict_size=n, sparsity=int(sparsity), blocks=blocks)
 
 
@@ -416,7 +417,7 @@ def decode(df: DataFrame, model: SaeModel, out_col: str = RECON,
         first = b_i == 0
 
         def run(batches, bc=bc, first=first):
-            lo, _, dec_t = bc.value          # dec_t: (d_block, dim)
+            lo, _, dec_t = bc.value          # dec rows: (d_block, dim)
             d = dec_t.shape[0]
             for rb in batches:
                 n = rb.num_rows
@@ -445,123 +446,130 @@ def decode(df: DataFrame, model: SaeModel, out_col: str = RECON,
 
 
 # ---------------------------------------------------------------------------
-# Evaluation metrics in one pass of sufficient statistics
+# Evaluation metrics from sufficient statistics
 # ---------------------------------------------------------------------------
 
-def _usage_and_raw_stats(df: DataFrame, model: SaeModel, vec_col: str,
-                         work_bytes: int) -> DataFrame:
-    """Per task and block: sums of sigmoid((raw - kth) * T) per feature, and
-    the max |feature| after top-k per feature (dead-feature test).  Output is
-    long form ``(stat, idx, value)`` so Spark can sum partial vectors."""
+GROUP = "_grp"
+_PARTIAL_SCHEMA = T.StructType([
+    T.StructField(GROUP, T.LongType()),
+    T.StructField("stat", T.StringType()),
+    T.StructField("idx", T.IntegerType()),
+    T.StructField("value", T.DoubleType()),
+])
+
+
+def _group_codes(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    g = rb.column(GROUP)
+    codes = pc.fill_null(g, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return codes, np.unique(codes)
+
+
+def _feature_stats(df: DataFrame, model: SaeModel, vec_col: str,
+                   work_bytes: int) -> DataFrame:
+    """Per task, group and block: the sum over rows of
+    ``sigmoid((raw - kth) * T)`` per feature (usage) and the max |feature|
+    after top-k per feature (zero = dead).  Long form
+    ``(group, stat, idx, value)``: fixed size per task and group."""
     dim = model.input_dim
-    schema = T.StructType([
-        T.StructField("stat", T.StringType()),
-        T.StructField("idx", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-    ])
-    src = df.select(vec_col, FEAT_IDX, FEAT_VAL, KTH)
+    src = df.select(GROUP, vec_col, FEAT_IDX, FEAT_VAL, KTH)
     parts = []
     for bc in model.blocks:
         def run(batches, bc=bc):
             lo, enc, _ = bc.value
             d = enc.shape[0]
-            usage = np.zeros(d)
-            alive = np.zeros(d)
+            usage: dict = {}
+            alive: dict = {}
             for rb in batches:
                 n = rb.num_rows
+                codes, groups = _group_codes(rb)
                 x, valid = _matrix(rb.column(vec_col), dim)
                 kth = rb.column(KTH).to_numpy(zero_copy_only=False)
                 idx, _ = _ragged(rb.column(FEAT_IDX), -1, np.int64)
                 val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
-                inb = (idx >= lo) & (idx < lo + d) & (val != 0)
-                if inb.any():
-                    np.maximum.at(alive, idx[inb] - lo, np.abs(val[inb]))
+                for g in groups:
+                    usage.setdefault(g, np.zeros(d))
+                    alive.setdefault(g, np.zeros(d))
+                    rows = codes == g
+                    inb = (idx >= lo) & (idx < lo + d) & (val != 0) & rows[:, None]
+                    if inb.any():
+                        np.maximum.at(alive[g], idx[inb] - lo, np.abs(val[inb]))
                 for s, e in _sub_batches(n, d, work_bytes):
                     raw = np.maximum(x[s:e] @ enc.T, 0.0)
                     z = (raw - kth[s:e, None]) * USAGE_TEMPERATURE
-                    # overflow-safe logistic
-                    sig = np.where(z >= 0, 1.0 / (1.0 + np.exp(-np.abs(z))),
-                                   np.exp(-np.abs(z)) / (1.0 + np.exp(-np.abs(z))))
+                    ez = np.exp(-np.abs(z))          # overflow-safe logistic
+                    sig = np.where(z >= 0, 1.0 / (1.0 + ez), ez / (1.0 + ez))
                     sig[~valid[s:e]] = 0.0
-                    usage += sig.sum(axis=0)
-            ids = (np.arange(d) + lo).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["usage"] * d), pa.array(ids), pa.array(usage)],
-                names=["stat", "idx", "value"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["alive"] * d), pa.array(ids), pa.array(alive)],
-                names=["stat", "idx", "value"])
-        parts.append(src.mapInArrow(run, schema))
+                    cs = codes[s:e]
+                    for g in np.unique(cs):
+                        usage[g] += sig[cs == g].sum(axis=0)
+            ids = pa.array((np.arange(d) + lo).astype(np.int32))
+            for g in usage:
+                for name, vec in (("usage", usage[g]), ("alive", alive[g])):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(d, g, np.int64)), pa.array([name] * d), ids,
+                         pa.array(vec)], names=[f.name for f in _PARTIAL_SCHEMA.fields])
+        parts.append(src.mapInArrow(run, _PARTIAL_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _row_stats(df: DataFrame, vec_col: str) -> DataFrame:
-    """Per task: n rows, sum of squared residuals, sum |features|, L0 sum,
-    sum x^2, and the per-dimension sums of x, as long-form partials."""
-    dim_schema = T.StructType([
-        T.StructField("stat", T.StringType()),
-        T.StructField("idx", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-    ])
-    src = df.select(vec_col, FEAT_VAL, RECON)
+def _row_stats(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
+    """Per task and group: n rows, sum of squared residuals, sum |features|,
+    L0 sum, sum x^2 and the per-dimension sums of x (long form)."""
+    src = df.select(GROUP, vec_col, FEAT_VAL, RECON)
+    scal = ["n", "sq", "res", "l1", "l0"]
 
     def run(batches):
-        dim = None
-        n = 0
-        sums = None
-        sq = res = l1 = l0 = 0.0
+        acc: dict = {}
         for rb in batches:
-            col = rb.column(vec_col)
-            if dim is None:
-                lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                if len(lens) == 0:
-                    continue
-                dim = int(lens.max())
-                sums = np.zeros(dim)
-            x, valid = _matrix(col, dim)
+            codes, groups = _group_codes(rb)
+            x, valid = _matrix(rb.column(vec_col), dim)
             r, _ = _matrix(rb.column(RECON), dim)
             val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
-            x, r, val = x[valid], r[valid], val[valid]
-            n += x.shape[0]
-            sums += x.sum(axis=0)
-            sq += float((x * x).sum())
-            res += float(((r - x) ** 2).sum())
-            l1 += float(np.abs(val).sum())
-            l0 += float((val > 0).sum())
-        if dim is None:
-            return
-        scal = ["n", "sq", "res", "l1", "l0"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(scal + ["xsum"] * dim),
-             pa.array([0] * len(scal) + list(range(dim)), pa.int32()),
-             pa.array([float(n), sq, res, l1, l0] + list(sums))],
-            names=["stat", "idx", "value"])
-
-    return src.mapInArrow(run, dim_schema)
+            for g in groups:
+                m = (codes == g) & valid
+                xs, rs, vs = x[m], r[m], val[m]
+                a = acc.setdefault(g, [np.zeros(5), np.zeros(dim)])
+                a[0] += [xs.shape[0], float((xs * xs).sum()), float(((rs - xs) ** 2).sum()),
+                         float(np.abs(vs).sum()), float((vs > 0).sum())]
+                a[1] += xs.sum(axis=0)
+        for g, (sc, xsum) in acc.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(scal) + dim, g, np.int64)),
+                 pa.array(scal + ["xsum"] * dim),
+                 pa.array([0] * len(scal) + list(range(dim)), pa.int32()),
+                 pa.array(np.concatenate([sc, xsum]))],
+                names=[f.name for f in _PARTIAL_SCHEMA.fields])
+
+    return src.mapInArrow(run, _PARTIAL_SCHEMA)
 
 
 def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
-             l1_coeff: float = 0.0, aux_coeff: float = 0.0, aux_target: float = 0.01,
+             group_col: str | None = None, l1_coeff: float = 0.0,
+             aux_coeff: float = 0.0, aux_target: float = 0.01,
              work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
-    """One-row DataFrame of the SAE metrics over the whole table (global
-    form): mse_loss, fvu, l0, dead_features, l1_loss, aux_loss, loss.
-
-    Every task reduces its rows to fixed-size partial sums (scalars, one
-    vector of the input dimension, two of the dictionary size); Spark sums
-    the partials by key, so nothing grows with the row count after the map.
+    """SAE metrics per group (one row per ``group_col`` value, or one row for
+    the whole table): n_rows, mse_loss, fvu, l0, dead_features, l1_mean,
+    l1_loss, aux_loss, loss.
+
+    Every task reduces its rows to fixed-size partial sums per group
+    (scalars, a vector of the input dimension, two of the dictionary size);
+    Spark sums the partials by key, so nothing after the map grows with the
+    row count.  The encoded rows feed two reductions, so they are persisted
+    (recomputed from lineage if an executor is lost).
     """
-    enc = decode(encode_topk(df.select(vec_col), model, vec_col=vec_col,
-                             work_bytes=work_bytes), model, work_bytes=work_bytes)
-    enc = enc.persist()
-    partials = (_row_stats(enc, vec_col)
-                .unionByName(_usage_and_raw_stats(enc, model, vec_col, work_bytes))
-                .groupBy("stat", "idx").agg(F.sum("value").alias("value")))
+    grp = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
+    base = df.select(grp.alias(GROUP), F.col(vec_col))
+    enc = decode(encode_topk(base, model, vec_col=vec_col, work_bytes=work_bytes),
+                 model, work_bytes=work_bytes).persist()
     dim, dsz = model.input_dim, model.dict_size
+    partials = (_row_stats(enc, vec_col, dim)
+                .unionByName(_feature_stats(enc, model, vec_col, work_bytes))
+                .groupBy(GROUP, "stat", "idx").agg(F.sum("value").alias("value")))
     stat = F.col("stat")
-    m = partials.groupBy().agg(
+    m = partials.groupBy(GROUP).agg(
         *[F.max(F.when(stat == s, F.col("value"))).alias(s)
           for s in ("n", "sq", "res", "l1", "l0")],
         F.sum(F.when(stat == "xsum", F.col("value") * F.col("value"))).alias("xsum_sq"),
@@ -576,12 +584,42 @@ def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
         F.col("_usage"), F.lit(0.0),
         lambda acc, u: acc + F.pow(F.greatest(F.lit(aux_target) - u / F.col("n"), F.lit(0.0)), 2),
     ) / dsz * aux_coeff
-    l1 = F.col("l1") / (F.col("n") * dsz) * l1_coeff
-    return m.select(
+    l1_mean = F.col("l1") / (F.col("n") * dsz)
+    out = m.select(
+        F.col(GROUP).alias(group_col or GROUP),
         F.col("n").cast("long").alias("n_rows"),
         mse.alias("mse_loss"), fvu.alias("fvu"),
         (F.col("l0") / F.col("n")).alias("l0"),
         (F.col("n_dead") / dsz).alias("dead_features"),
-        l1.alias("l1_loss"), aux.alias("aux_loss"),
-        (mse + l1 + aux).alias("loss"),
+        l1_mean.alias("l1_mean"), (l1_mean * l1_coeff).alias("l1_loss"),
+        aux.alias("aux_loss"),
+        (mse + l1_mean * l1_coeff + aux).alias("loss"),
     )
+    return out if group_col else out.drop(GROUP)
+
+
+def batch_weighted(per_batch: DataFrame,
+                   metrics=("mse_loss", "fvu", "dead_features", "l0", "loss")) -> DataFrame:
+    """Per-batch metrics weighted by batch size, summed, divided by the
+    total (the validation form; it depends on the batch split)."""
+    return per_batch.agg(
+        F.sum("n_rows").alias("n_rows"),
+        *[(F.sum(F.col(c) * F.col("n_rows")) / F.sum("n_rows")).alias(c) for c in metrics])
+
+
+def dimension_check(df: DataFrame, expected: int, vec_col: str = "embedding") -> DataFrame:
+    """One row: rows, smallest and largest vector size, and the rows
+    that are null or whose size differs from ``expected`` (must be 0)."""
+    size = F.size(vec_col)
+    ok = F.col(vec_col).isNotNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.min(F.when(ok, size)).alias("min_dim"),
+                  F.max(F.when(ok, size)).alias("max_dim"),
+                  F.count_if(~ok | (size != F.lit(expected))).alias("n_bad"))
+
+
+def assert_dimension(df: DataFrame, dim: int, vec_col: str = "embedding") -> None:
+    """Fail when any vector is null or of another size than ``dim``."""
+    bad = df.filter(F.col(vec_col).isNull() | (F.size(vec_col) != dim)).limit(1).count()
+    if bad:
+        raise ValueError(f"vectors of a size other than {dim} in {vec_col}")
