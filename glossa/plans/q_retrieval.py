@@ -1 +1,166 @@
-"""Queries (to be filled)."""
+"""Retrieval queries over F6: queries are vectors with vec_id % 50 = 0,
+documents are all vectors (self matches exist), judgments: rel 2 for a
+same-label document with an even id, 1 for another same-label document,
+the self pair unjudged.  P9, J4-J6, L4, L7, A28, D8, D9, K4, J8."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossa.functions.numeric import r6
+from glossa.operators import ranking, retrieval, sae
+from glossa.plans.fixtures import F4_SQL, F5_SQL, QUERY_MOD, f4_model, with_ctes
+from glossa.plans.q_sae import EXCL_SQL, exclusive_features
+from glossa.plans.registry import query
+from glossa.sources.tables import table
+
+TOP_K = 10
+RUN_K = 1000          # the SAE evaluation path keeps 1000 per query
+
+
+def f6(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    queries = emb.filter(F.col("vec_id") % QUERY_MOD == 0).select(
+        F.col("vec_id").alias("qid"), "label", "embedding")
+    docs = emb.select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    qrels = (queries.select("qid", "label").join(docs.select("doc_id", "label"), "label")
+             .filter(F.col("doc_id") != F.col("qid"))
+             .select("qid", "doc_id",
+                     F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel")))
+    return queries, docs, qrels
+
+
+F6_SQL = """
+q AS (SELECT vec_id AS qid, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE vec_id % 50 = 0),
+d AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+qrels AS (SELECT q.qid, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 2 ELSE 1 END AS rel
+          FROM q JOIN d USING (label) WHERE d.doc_id <> q.qid),
+qn AS (SELECT qid, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM q),
+dn AS (SELECT doc_id, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM d),
+scored AS (SELECT qn.qid, dn.doc_id, list_inner_product(qn.v, dn.v) AS score FROM qn, dn),
+ranked AS (SELECT qid, doc_id, score,
+                  row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk
+           FROM scored)"""
+
+
+@query("cosine_topk", with_ctes(F6_SQL, body="""
+SELECT qid, CAST(rnk AS BIGINT) AS rank, doc_id, round(score, 6) + 0.0 AS score
+FROM ranked WHERE rnk <= 10"""))
+def cosine_topk(spark, sf_dir):
+    q, d, _ = f6(spark, sf_dir)
+    run = retrieval.score_topk(q, d, TOP_K)
+    return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id",
+                      r6(F.col("score")).alias("score"))
+
+
+@query("self_excluded", with_ctes(F6_SQL, body="""
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY rnk) AS BIGINT) AS rank, doc_id
+FROM ranked WHERE rnk <= 10 AND doc_id <> qid"""))
+def self_excluded(spark, sf_dir):
+    q, d, _ = f6(spark, sf_dir)
+    run = retrieval.exclude_self(retrieval.score_topk(q, d, TOP_K))
+    return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id")
+
+
+METRIC_SQL = """
+run AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rnk) AS rank
+        FROM ranked WHERE rnk <= 1000 AND doc_id <> qid),
+judged AS (SELECT r.qid, r.doc_id, r.rank, coalesce(j.rel, 0) AS rel FROM run r
+           LEFT JOIN qrels j USING (qid, doc_id)),
+judged2 AS (SELECT *, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END)
+                        OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits
+            FROM judged),
+ks AS (SELECT unnest([1, 3, 5, 10, 20, 100, 1000]) AS k),
+perq AS (SELECT j.qid, ks.k,
+                sum(CASE WHEN j.rank <= ks.k THEN j.rel / log2(j.rank + 1.0) ELSE 0.0 END) AS dcg,
+                sum(CASE WHEN j.rank <= ks.k AND j.rel > 0 THEN 1 ELSE 0 END) AS hit,
+                sum(CASE WHEN j.rank <= ks.k AND j.rel > 0 THEN j.hits / j.rank ELSE 0.0 END) AS ap
+         FROM judged2 j, ks GROUP BY j.qid, ks.k),
+ideal0 AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS irank
+           FROM qrels WHERE rel > 0),
+ideal AS (SELECT i.qid, ks.k, count(*) AS n_rel_all,
+                 sum(CASE WHEN i.irank <= ks.k THEN i.rel / log2(i.irank + 1.0) ELSE 0.0 END) AS idcg
+          FROM ideal0 i, ks GROUP BY i.qid, ks.k),
+metrics AS (SELECT p.qid, p.k, p.dcg / i.idcg AS ndcg, p.ap / i.n_rel_all AS map,
+                   p.hit / i.n_rel_all AS recall, p.hit / p.k AS prec
+            FROM perq p JOIN ideal i USING (qid, k))"""
+
+
+@query("retrieval_metrics", with_ctes(F6_SQL, METRIC_SQL, body="""
+SELECT metric, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM (
+  SELECT 'NDCG' AS metric, k, avg(ndcg) AS value FROM metrics GROUP BY k
+  UNION ALL SELECT 'MAP', k, avg(map) FROM metrics GROUP BY k
+  UNION ALL SELECT 'Recall', k, avg(recall) FROM metrics GROUP BY k
+  UNION ALL SELECT 'P', k, avg(prec) FROM metrics GROUP BY k)"""))
+def retrieval_metrics(spark, sf_dir):
+    q, d, qrels = f6(spark, sf_dir)
+    run = retrieval.exclude_self(retrieval.score_topk(q, d, RUN_K))
+    m = retrieval.retrieval_metrics(run, qrels)
+    return m.select("metric", F.col("k").cast("int").alias("k"), r6(F.col("value")).alias("value"))
+
+
+# Canonical order of query and document ids (position in id order),
+# numbered with the range-partitioned row number (no single-task window).
+@query("canonical_ids", """
+SELECT 'query' AS kind, vec_id AS id,
+       CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) AS position
+FROM embeddings WHERE vec_id % 50 = 0
+UNION ALL
+SELECT 'doc', vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) FROM embeddings""")
+def canonical_ids(spark, sf_dir):
+    q, d, _ = f6(spark, sf_dir)
+    both = (q.select(F.lit("query").alias("kind"), F.col("qid").alias("id"))
+            .unionByName(d.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"))))
+    return ranking.row_number_scalable(both, ["kind"], ["id"], out_col="position")
+
+
+# Retrieval over language-agnostic vectors: D5 reconstruction with the
+# exclusive 55 % mask, then P9 + J4 + L4 (top 10) + J5.
+RETRIEVE_SQL = """
+rv AS (SELECT vec_id, list(r ORDER BY dim) AS v FROM (
+         SELECT x.vec_id, g.dim, coalesce(m.r, 0.0) AS r
+         FROM x CROSS JOIN (SELECT DISTINCT dim FROM atom_dims) g
+         LEFT JOIN recon_m m ON m.vec_id = x.vec_id AND m.dim = g.dim) GROUP BY vec_id),
+rn AS (SELECT vec_id, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM rv),
+sc AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
+       FROM rn a, rn b WHERE a.vec_id % 50 = 0),
+rk AS (SELECT qid, doc_id, score,
+              row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk FROM sc)"""
+
+
+@query("retrieve", with_ctes(F4_SQL, F5_SQL, EXCL_SQL, RETRIEVE_SQL, body="""
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY rnk) AS BIGINT) AS rank, doc_id
+FROM rk WHERE rnk <= 10 AND doc_id <> qid"""))
+def retrieve(spark, sf_dir):
+    model = f4_model(spark, sf_dir)
+    mask = exclusive_features(spark, sf_dir, model)
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    agn = sae.decode(sae.encode_topk(emb, model, mask_features=mask), model)
+    vecs = agn.select("vec_id", F.col(sae.RECON).alias("embedding"))
+    q = vecs.filter(F.col("vec_id") % QUERY_MOD == 0).withColumnRenamed("vec_id", "qid")
+    d = vecs.withColumnRenamed("vec_id", "doc_id")
+    run = retrieval.exclude_self(retrieval.score_topk(q, d, TOP_K))
+    return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id")
+
+
+# K4 + J8: results keyed by (dataset, threshold); a dataset is a label
+# group of queries.  Existing results are the even labels at 0.55; only
+# the rest is computed.
+@query("results_pending", """
+WITH req AS (SELECT DISTINCT 'label_' || CAST(label AS VARCHAR) AS dataset, t.threshold
+             FROM embeddings, (SELECT unnest([0.55, 0.60, 0.65]::DOUBLE[]) AS threshold) t
+             WHERE vec_id % 50 = 0),
+     have AS (SELECT DISTINCT 'label_' || CAST(label AS VARCHAR) AS dataset, 0.55::DOUBLE AS threshold
+              FROM embeddings WHERE vec_id % 50 = 0 AND label % 2 = 0)
+SELECT dataset, threshold FROM req
+WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.dataset = req.dataset
+                  AND h.threshold = req.threshold)""")
+def results_pending(spark, sf_dir):
+    q, _, _ = f6(spark, sf_dir)
+    ds = q.select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("dataset"),
+                  "label").distinct()
+    req = ds.select("dataset", F.explode(F.array(*[F.lit(t) for t in (0.55, 0.60, 0.65)]))
+                    .alias("threshold"))
+    have = ds.filter(F.col("label") % 2 == 0).select("dataset", F.lit(0.55).alias("threshold"))
+    return retrieval.pending(req, have, ["dataset", "threshold"])
