@@ -75,5 +75,6 @@ kth AS (SELECT vec_id, max(CASE WHEN rnk = 16 THEN value END) AS kth_value
         FROM topk_all GROUP BY vec_id)"""
 
 
-def with_ctes(*parts: str, body: str) -> str:
-    return "WITH " + ",".join(p.strip("\n") for p in parts) + "\n" + body
+def with_ctes(*parts: str, body: str, recursive: bool = False) -> str:
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",".join(p.strip("\n") for p in parts) + "\n" + body
