@@ -1 +1,53 @@
-"""Queries (to be filled)."""
+"""Streaming queries over F10 (the embeddings table rewritten as four
+Parquet files in the session's shared checkpoint folder, consumed with
+``trigger(availableNow=True)``); their rows must equal the batch queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from glossa.operators import sae
+from glossa.plans.fixtures import F4_SQL, F5_SQL, f4_model, f5_vectors, with_ctes
+from glossa.plans.q_sae import EXCL_SQL, _explode_feats, exclusive_features
+from glossa.plans.registry import query
+from glossa.session import ensure_checkpoint_dir
+from glossa.streaming import jobs
+
+
+def _stage(spark, sf_dir, name):
+    """Write F10: the vectors as four files under a fresh folder."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    vecs = f5_vectors(spark, sf_dir)
+    vecs.repartitionByRange(4, "vec_id").write.parquet(f"{base}/in")
+    return base, vecs.schema
+
+
+@query("stream_features", with_ctes(F4_SQL, F5_SQL, EXCL_SQL, body="""
+SELECT vec_id, CAST(rnk AS BIGINT) AS rank, feature, round(value, 6) + 0.0 AS value FROM topk_m"""))
+def stream_features(spark, sf_dir):
+    model = f4_model(spark, sf_dir)
+    mask = exclusive_features(spark, sf_dir, model)
+    base, schema = _stage(spark, sf_dir, "stream-features")
+    q = jobs.stream_agnostic(spark, f"{base}/in", schema, model, mask, f"{base}/out",
+                             f"{base}/ckpt")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    # the rank is the rank before masking, as in the batch query
+    plain = _explode_feats(sae.encode_topk(f5_vectors(spark, sf_dir).select("vec_id", "embedding"),
+                                           model)).select("vec_id", "feature", "rank")
+    return (_explode_feats(out).drop("rank").join(plain, ["vec_id", "feature"])
+            .select("vec_id", "rank", "feature", "value"))
+
+
+@query("stream_firing", with_ctes(F4_SQL, F5_SQL, body="""
+SELECT language, feature, CAST(n AS BIGINT) AS n FROM fired"""))
+def stream_firing(spark, sf_dir):
+    model = f4_model(spark, sf_dir)
+    base, schema = _stage(spark, sf_dir, "stream-firing")
+    q = jobs.stream_firing_counts(spark, f"{base}/in", schema, model, f"{base}/out",
+                                  f"{base}/ckpt", max_files=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "language", "feature", F.col("n").cast("long").alias("n"))
