@@ -220,3 +220,16 @@ def embedding_check(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     return sae.dimension_check(emb, 64).select(
         *[F.col(c).cast("long").alias(c) for c in ("n_rows", "min_dim", "max_dim", "n_bad")])
+
+
+# Fit a 128-atom dictionary (k = 16) to the vectors for a few Adam
+# steps; one row per step.  Rows only (an optimisation, not a SQL result).
+@query("fit_sae_loss")
+def fit_sae_loss(spark, sf_dir):
+    from glossa.operators.training import fit_sae
+    vecs = table(spark, sf_dir, "embeddings").select("embedding")
+    res = fit_sae(vecs, dict_size=128, sparsity=16, steps=6, lr=1e-2, aux_coeff=AUX_COEFF,
+                  aux_target=AUX_TARGET)
+    return spark.createDataFrame(res.history).select(
+        F.col("step").cast("long"), F.col("n_rows").cast("long"),
+        *[r6(F.col(c)).alias(c) for c in ("mse_loss", "aux_loss", "loss")])
