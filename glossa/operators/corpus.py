@@ -212,3 +212,19 @@ def languages_table(spark: SparkSession, codes: Sequence[str]) -> DataFrame:
     """The configured languages and their fixed order."""
     return spark.createDataFrame([(c, i) for i, c in enumerate(codes)],
                                  "language string, lang_ord int")
+
+
+def statistics(accounting: DataFrame) -> DataFrame:
+    """K2 body: one row per language with the nested statistics object
+    (available / used / unused / final_dataset / source_distribution) as a
+    JSON string; written by ``sinks.write_statistics``."""
+    doc = F.struct(
+        F.struct(F.col("available_a").alias("a"), F.col("available_b").alias("b"),
+                 F.col("available_total").alias("total")).alias("available"),
+        F.struct(F.col("used_a").alias("a"), F.col("used_b").alias("b"),
+                 F.col("used_total").alias("total")).alias("used"),
+        F.struct(F.col("unused_a").alias("a"), F.col("unused_b").alias("b"),
+                 (F.col("unused_a") + F.col("unused_b")).alias("total")).alias("unused"),
+        F.struct("train", "val", F.col("final_total").alias("total")).alias("final_dataset"),
+        F.struct("a_percent", "b_percent").alias("source_distribution"))
+    return accounting.select("language", F.to_json(doc).alias("statistics"))

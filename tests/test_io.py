@@ -93,3 +93,18 @@ def test_sinks_round_trip(spark, tmp):
     sinks.write_embeddings(df.select("set_id", F.array(F.lit(1.0)).alias("embedding")),
                            os.path.join(tmp, "emb"))
     assert readers.read_embeddings(spark, os.path.join(tmp, "emb"), dim=1).count() == 2
+
+
+def test_statistics_document(spark, tmp):
+    from glossa.operators import corpus
+    from glossa.plans.q_corpus import _sets
+    from conftest import SF_SMALL
+    sets, quotas, _ = _sets(spark, SF_SMALL)
+    acc = corpus.language_accounting(quotas, sets, "a", "b")
+    doc = corpus.statistics(acc)
+    sinks.write_statistics(doc, os.path.join(tmp, "stats"))
+    back = spark.read.json(os.path.join(tmp, "stats")).collect()
+    assert len(back) == 4
+    parsed = json.loads(back[0]["statistics"])
+    assert set(parsed) == {"available", "used", "unused", "final_dataset", "source_distribution"}
+    assert parsed["final_dataset"]["total"] == parsed["final_dataset"]["train"] + parsed["final_dataset"]["val"]
