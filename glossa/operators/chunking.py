@@ -36,7 +36,7 @@ PIECE_COLS = ["doc_id", "piece", "language", "source", "batch", "n_tokens", "tex
 def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_id",
                    batch_records: int = BATCH_RECORDS) -> DataFrame:
     """``batch`` = (position of the record in id order inside ``batch_keys``)
-    // ``batch_records``; numbered with the range-partitioned row number."""
+    // ``batch_records`` (``row_number_scalable``: no group in one task)."""
     rn = row_number_scalable(df, list(batch_keys), [id_col], out_col="_rn")
     return rn.withColumn("batch", ((F.col("_rn") - 1) / batch_records).cast("long")).drop("_rn")
 
@@ -137,11 +137,10 @@ def chunk_estimate(docs: DataFrame, sample_size: int = ESTIMATE_SAMPLE, seed: in
     ``int(total * chunks(sample) / sample)`` for a sample of ``sample_size``
     records (the first in a seeded hash order, sources chunked together);
     exact when the language has no more records than the sample."""
-    from glossa.operators.corpus import seeded_key
-    keyed = docs.withColumn("_k", seeded_key("doc_id", seed))
-    ranked = row_number_scalable(keyed, ["language"], ["_k", "doc_id"], out_col="_rn")
+    from glossa.operators.corpus import seeded_rank
+    ranked = seeded_rank(docs, ["language"], ["doc_id"], seed, out_col="_rn")
     totals = docs.groupBy("language").agg(F.count(F.lit(1)).alias("total_items"))
-    sample = ranked.filter(F.col("_rn") <= sample_size).drop("_rn", "_k")
+    sample = ranked.filter(F.col("_rn") <= sample_size).drop("_rn")
     chunks = smart_chunk(sample, ["language"], min_len, max_len)
     counts = chunks.groupBy("language").agg(F.count(F.lit(1)).alias("sample_chunks"))
     return (totals.join(counts, "language", "left").fillna(0, ["sample_chunks"])

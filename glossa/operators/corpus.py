@@ -33,8 +33,12 @@ def seeded_rank(df: DataFrame, group_cols: Sequence[str], id_cols: Sequence[str]
     """L2 + W4: 1-based position inside ``group_cols`` in seeded order
     (ties on the md5 key broken by the ids)."""
     key = seeded_key(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]), seed)
+    # the first 8 hex digits of the md5 key are uniform over [0, 2^32):
+    # equal-width buckets, no quantile pass
+    prefix = F.conv(F.substring(F.col("_sk"), 1, 8), 16, 10).cast("double")
     return row_number_scalable(df.withColumn("_sk", key), list(group_cols),
-                               ["_sk", *id_cols], out_col=out_col).drop("_sk")
+                               ["_sk", *id_cols], out_col=out_col, bucket_key=prefix,
+                               key_range=(0.0, float(2 ** 32))).drop("_sk")
 
 
 def language_counts(df: DataFrame, language_col: str = "language") -> DataFrame:
@@ -116,6 +120,9 @@ def build_language(chunks: DataFrame, max_items: int | None, first_source: str,
     """C4 for all languages at once: quotas (L6), per-source selection (W5),
     union (T1) and a seeded order of the union per language (``pos``).
     Returns (rows, quotas)."""
+    # the chunk table feeds the quota counts, the selection and later
+    # actions: write it once to the shared checkpoint folder
+    chunks = chunks.checkpoint(eager=True)
     quotas = source_quotas(chunks, max_items, first_source, second_source)
     chosen = quota_select(chunks, quotas, first_source, second_source, id_cols, seed)
     ordered = seeded_rank(chosen, ["language"], list(id_cols), seed + 1, out_col="pos")
@@ -147,10 +154,9 @@ def exact_split(df: DataFrame, id_col: str, fraction: float, seed: int = DEFAULT
     seeded hash rank (``randomSplit`` is only approximate)."""
     n = df.count()
     n_val = int(n * fraction)
-    ranked = row_number_scalable(df.withColumn("_sk", seeded_key(id_col, seed)), [],
-                                 ["_sk", id_col], out_col="_r")
+    ranked = seeded_rank(df, [], [id_col], seed, out_col="_r")
     return (ranked.withColumn("split", F.when(F.col("_r") <= n_val, F.lit("val"))
-                              .otherwise(F.lit("train"))).drop("_sk", "_r"))
+                              .otherwise(F.lit("train"))).drop("_r"))
 
 
 def sample_with_replacement(df: DataFrame, n: int, epoch: int, seed: int = DEFAULT_SEED) -> DataFrame:

@@ -2,11 +2,20 @@
 
 ``Window.partitionBy(g).orderBy(key)`` puts a whole group into one task,
 and a global order puts the whole table into one.  ``row_number_scalable``
-gives the same numbers with a range shuffle instead: rows are range
-partitioned on ``(group, key)``, numbered inside each task, and shifted by
-the counts of the earlier tasks of the same group (a table of tasks x
-groups rows).  A group may span many tasks, so a group holding a third of
-the rows is spread over a third of the tasks.
+gives the same numbers without that:
+
+1. the first ordering column is mapped to a monotone number and cut into
+   buckets at approximate quantiles (one scan of that column; the bounds
+   are a few numbers on the driver), so a bucket is a pure function of
+   the row;
+2. rows are numbered inside (group, bucket) with a window: a group that
+   holds a third of the rows is spread over all buckets;
+3. the counts per (group, bucket) (a small table) give prefix offsets,
+   broadcast back to the rows.
+
+Every step is deterministic, so a lost executor recomputes the same
+numbers and no checkpoint is needed.  Ordering columns must make the order
+total (end with an id).
 """
 
 from __future__ import annotations
@@ -15,38 +24,83 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+            T.DoubleType, T.DecimalType)
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _monotone(df: DataFrame, c) -> Column | None:
+    """A double that never decreases when ``c`` increases (Spark order)."""
+    col = _col(c)
+    typ = df.select(col.alias("_x")).schema["_x"].dataType
+    if isinstance(typ, _NUMERIC):
+        return col.cast("double")
+    if isinstance(typ, T.StringType):
+        # first 6 UTF-8 bytes as a number (byte order = Spark string order)
+        h = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 12), 12, "0")
+        return F.conv(h, 16, 10).cast("double")
+    if isinstance(typ, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    if isinstance(typ, T.DateType):
+        return F.unix_date(col).cast("double")
+    return None
+
 
-def _cols(cols) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+def _bucket(value: Column, bounds: list[float]) -> Column:
+    """Index of the bucket of ``value`` among sorted ``bounds`` (binary
+    search unrolled into a balanced CASE tree: depth log2(len(bounds)))."""
+    def build(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return build(0, len(bounds))
 
 
 def row_number_scalable(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                        out_col: str = "rn", num_partitions: int | None = None) -> DataFrame:
+                        out_col: str = "rn", num_buckets: int | None = None,
+                        bucket_key: Column | None = None,
+                        key_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based row number inside ``group_cols`` ordered by
-    ``order_cols`` (which must make the order total, e.g. end with an id).
+    ``order_cols`` (ascending, nulls first as in Spark).
 
-    The numbered table is checkpointed to the session's shared checkpoint
-    folder so that the counts and the rows see the same partitioning; the
-    lineage is cut there, and a lost executor does not renumber rows.
-    """
+    ``bucket_key`` with ``key_range`` (a monotone number of the first
+    ordering column, uniform over the range, e.g. a hash prefix) gives
+    equal-width buckets without the quantile scan."""
     spark = df.sparkSession
     group_cols = list(group_cols)
-    order = _cols(order_cols)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
-    pid = "_pid"
-    w_local = Window.partitionBy(pid, *group_cols).orderBy(*order)
-    local = (ranged.withColumn(pid, F.spark_partition_id())
-             .withColumn("_lrn", F.row_number().over(w_local)))
-    local = local.checkpoint(eager=True)
-    counts = local.groupBy(pid, *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    w_prefix = (Window.partitionBy(*group_cols).orderBy(pid)
+    order = [_col(c) for c in order_cols]
+    n = num_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    mono = bucket_key if bucket_key is not None else (_monotone(df, order[0]) if n > 1 else None)
+    bounds: list[float] = []
+    if mono is not None and key_range is not None:
+        lo, hi = key_range
+        bounds = [lo + (hi - lo) * i / n for i in range(1, n)]
+    elif mono is not None:
+        probs = [i / n for i in range(1, n)]
+        q = df.select(F.coalesce(mono, F.lit(float("-inf"))).alias("_q")) \
+            .approxQuantile("_q", probs, 1.0 / (4 * n))
+        bounds = sorted(set(v for v in q if v is not None))
+    keyed = df.withColumn("_bkt", _bucket(F.coalesce(mono, F.lit(float("-inf"))), bounds)
+                          if bounds else F.lit(0))
+    w_local = Window.partitionBy(*group_cols, "_bkt").orderBy(*order)
+    local = keyed.withColumn("_lrn", F.row_number().over(w_local))
+    counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    w_prefix = (Window.partitionBy(*group_cols).orderBy("_bkt")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prefix), F.lit(0)))
-    # offsets has one row per (task, group): small, broadcast it.
-    out = local.join(F.broadcast(offsets.select(pid, *group_cols, "_off")),
-                     [pid, *group_cols], "inner")
+    # offsets has one row per (group, bucket): small, broadcast it; the
+    # keys match null-safely (a null group is a group)
+    offs = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols],
+                          F.col("_bkt").alias("_o_bkt"), "_off")
+    cond = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in group_cols] + \
+        [F.col("_bkt") == F.col("_o_bkt")]
+    out = local.join(F.broadcast(offs), cond, "inner")
     return (out.withColumn(out_col, (F.col("_lrn") + F.col("_off")).cast("long"))
-            .drop(pid, "_lrn", "_off"))
+            .drop("_bkt", "_lrn", "_off", "_o_bkt", *[f"_o_{c}" for c in group_cols]))

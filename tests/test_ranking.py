@@ -11,7 +11,7 @@ def test_matches_window_with_a_hot_group(spark):
     rows = [("hot" if random.random() < 0.4 else f"g{random.randint(0, 9)}", i,
              random.randint(0, 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, id long, key int")
-    got = row_number_scalable(df, ["g"], ["key", "id"], num_partitions=7)
+    got = row_number_scalable(df, ["g"], ["key", "id"], num_buckets=7)
     w = Window.partitionBy("g").orderBy("key", "id")
     want = df.withColumn("rn", F.row_number().over(w).cast("long"))
     assert got.select("g", "id", "rn").exceptAll(want.select("g", "id", "rn")).count() == 0
@@ -20,5 +20,18 @@ def test_matches_window_with_a_hot_group(spark):
 
 def test_global_numbering(spark):
     df = spark.range(0, 1000).withColumnRenamed("id", "x")
-    got = row_number_scalable(df, [], ["x"], out_col="pos", num_partitions=5)
+    got = row_number_scalable(df, [], ["x"], out_col="pos", num_buckets=5)
     assert sorted(r["pos"] - r["x"] for r in got.collect()) == [1] * 1000
+
+
+def test_string_and_timestamp_keys_and_null_group(spark):
+    import datetime as dt
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", f"k{(i * 37) % 101:03d}", i,
+             dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(i * 13) % 500)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, key string, id long, ts timestamp")
+    for order in (["key", "id"], ["ts", "id"]):
+        got = row_number_scalable(df, ["g"], order, num_buckets=6)
+        w = Window.partitionBy("g").orderBy(*order)
+        want = df.withColumn("rn", F.row_number().over(w).cast("long"))
+        assert got.count() == 400
+        assert got.select("g", "id", "rn").exceptAll(want.select("g", "id", "rn")).count() == 0
