@@ -102,8 +102,10 @@ def with_passage_prefix(title, text, model, drop_title_when_prefixed: bool = Tru
 
 
 def tokens(text) -> Column:
-    """U2 default: whitespace tokens (empty strings removed)."""
-    return F.filter(F.split(F.coalesce(_c(text), F.lit("")), WS_SPLIT), lambda t: t != "")
+    """U2 default: whitespace tokens.  The text is stripped first, so the
+    split yields no empty token (no per-token lambda; stays in codegen)."""
+    t = strip(F.coalesce(_c(text), F.lit("")))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS_SPLIT))
 
 
 def token_count(text) -> Column:

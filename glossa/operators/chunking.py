@@ -16,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions.text import tokens
-from glossa.operators.ranking import row_number_scalable
 
 # Fixed values of the method.
 TARGET_MIN = 250           # shortest chunk aimed at
@@ -33,30 +32,51 @@ ESTIMATE_SAMPLE = 10000    # records sampled by the chunk-count estimate
 PIECE_COLS = ["doc_id", "piece", "language", "source", "batch", "n_tokens", "text"]
 
 
+def id_hash(id_col) -> Column:
+    """A uniform 32-bit number of an id: the first 8 hex digits of
+    ``md5(id)`` (the same in any engine that has md5)."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_id",
                    batch_records: int = BATCH_RECORDS) -> DataFrame:
-    """``batch`` = (position of the record in id order inside ``batch_keys``)
-    // ``batch_records`` (``row_number_scalable``: no group in one task)."""
-    rn = row_number_scalable(df, list(batch_keys), [id_col], out_col="_rn")
-    return rn.withColumn("batch", ((F.col("_rn") - 1) / batch_records).cast("long")).drop("_rn")
+    """``batch`` = ``id_hash(id) % n_batches`` with ``n_batches =
+    ceil(records / batch_records)`` per ``batch_keys`` group: about
+    ``batch_records`` records per batch, a pure function of the row, so no
+    text moves to number the batches; the counts table (groups rows) is
+    broadcast."""
+    keys = list(batch_keys)
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .select(*[F.col(k).alias(f"_c_{k}") for k in keys],
+                      F.greatest(F.lit(1), F.floor((F.col("_n") + batch_records - 1)
+                                                   / F.lit(batch_records))).cast("long").alias("_nb")))
+    cond = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
+    joined = df.join(F.broadcast(counts), cond, "inner")
+    return (joined.withColumn("batch", F.pmod(id_hash(id_col), F.col("_nb")))
+            .drop("_nb", "_all", *[f"_c_{k}" for k in keys]))
 
 
 def split_long(df: DataFrame, text_col: str = "text", max_len: int = TARGET_MAX) -> DataFrame:
     """One row per piece: ``piece`` (0-based), ``n_tokens``, ``text``
     (tokens joined by one space).  Texts of at most ``max_len`` tokens give
     one piece; an empty text gives one empty piece."""
-    toks = tokens(F.col(text_col))
-    n = F.size(toks)
+    # tokenise once; every later expression reads the materialised column
+    with_toks = df.withColumn("_toks", tokens(F.col(text_col)))
+    n = F.size("_toks")
     n_splits = F.ceil(n / F.lit(max_len))
     piece_len = F.when(n > max_len, F.ceil(n / n_splits)).otherwise(n).cast("int")
-    starts = F.when(n > max_len, F.sequence(F.lit(0), n - 1, piece_len)).otherwise(F.array(F.lit(0)))
-    out = (df.withColumn("_toks", toks).withColumn("_plen", piece_len)
-           .select("*", F.posexplode(starts).alias("piece", "_start")))
+    sized = with_toks.withColumn("_plen", piece_len).withColumn("_n", n)
+    starts = F.when(F.col("_n") > max_len, F.sequence(F.lit(0), F.col("_n") - 1, F.col("_plen"))) \
+        .otherwise(F.array(F.lit(0)))
+    out = sized.select("*", F.posexplode(starts).alias("piece", "_start"))
     piece = F.slice(F.col("_toks"), F.col("_start") + 1, F.col("_plen"))
     return (out.withColumn("_pt", piece)
             .withColumn(text_col, F.array_join("_pt", " "))
             .withColumn("n_tokens", F.size("_pt"))
-            .drop("_toks", "_plen", "_start", "_pt"))
+            .drop("_toks", "_plen", "_start", "_pt", "_n"))
 
 
 _MERGED_SCHEMA = T.StructType([

@@ -119,16 +119,22 @@ def build_language(chunks: DataFrame, max_items: int | None, first_source: str,
                    seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
     """C4 for all languages at once: quotas (L6), per-source selection (W5),
     union (T1) and a seeded order of the union per language (``pos``).
-    Returns (rows, quotas)."""
-    # the chunk table feeds the quota counts, the selection and later
-    # actions: write it once to the shared checkpoint folder
-    chunks = chunks.checkpoint(eager=True)
-    quotas = source_quotas(chunks, max_items, first_source, second_source)
-    chosen = quota_select(chunks, quotas, first_source, second_source, id_cols, seed)
+    Returns (rows, quotas); rows carry the keys only (``language``,
+    ``source``, ids, ``pos``): ranking never moves texts, which are joined
+    back once by ``with_text`` where the output needs them."""
+    keys = chunks.select("language", "source", *id_cols)
+    quotas = source_quotas(keys, max_items, first_source, second_source)
+    chosen = quota_select(keys, quotas, first_source, second_source, id_cols, seed)
     ordered = seeded_rank(chosen, ["language"], list(id_cols), seed + 1, out_col="pos")
     return ordered, quotas
 
 
+def with_text(rows: DataFrame, chunks: DataFrame,
+              id_cols: Sequence[str] = ("doc_id", "piece")) -> DataFrame:
+    """Attach the chunk columns to selected keys (one shuffle join on the ids)."""
+    return rows.join(chunks.drop("language", "source"), list(id_cols), "inner")
+
+
 def interleave(rows: DataFrame, languages: DataFrame, min_count: int,
                pos_col: str = "pos") -> DataFrame:
     """L3 + W4 (C5): keep the first ``min_count`` rows of every language and
@@ -139,6 +145,21 @@ def interleave(rows: DataFrame, languages: DataFrame, min_count: int,
             .withColumn("set_id", (F.col(pos_col) - 1).cast("long")))
 
 
+def balance_and_interleave(rows: DataFrame, languages: DataFrame,
+                           train_ratio: float = TRAIN_RATIO) -> tuple[DataFrame, int]:
+    """C5 + C6: the balance target (A2) needs one action on the ranked rows,
+    so the rows (keys only, no texts) are first written as a table in the
+    shared checkpoint folder; trimming, set numbering and the split then
+    read them again without recomputing the ranking.  Returns (sets,
+    n_sets)."""
+    from glossa.session import materialize
+    rows = materialize(rows, "ranked-rows")
+    langs = [r["language"] for r in languages.select("language").collect()]  # configured list
+    min_count = balance_target(language_counts(rows), langs)
+    sets = interleave(rows, languages, min_count)
+    return split_sets(sets, min_count, train_ratio), min_count
+
+
 def split_sets(sets: DataFrame, n_sets: int, train_ratio: float = TRAIN_RATIO) -> DataFrame:
     """Whole sets only; the first ``int(n_sets * ratio)`` sets train,
     the rest validation, and at least one validation set."""

@@ -10,6 +10,7 @@ from glossa.functions import text as tx
 from glossa.operators import chunking, corpus
 from glossa.plans.fixtures import with_ctes
 from glossa.plans.registry import query
+from glossa.session import materialize
 from glossa.sources.tables import table
 
 LANGS = ("de", "en", "es", "fr")      # F1 language order
@@ -19,7 +20,7 @@ VAL_FRACTION = 0.05
 
 
 def f1(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     num = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     return d.select("doc_id", "text", F.col("lang").alias("language"),
                     F.when(num % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("source"))
@@ -37,9 +38,10 @@ tok AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'),
 def _pieces_sql(keys: str, name: str) -> str:
     """Pieces of every document with its merge batch inside ``keys``."""
     return f"""
-{name}_b AS (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY doc_id) - 1) // 2000 AS batch,
-                    len(toks) AS n, (len(toks) + 509) // 510 AS ns
-             FROM tok),
+{name}_c AS (SELECT {keys}, greatest(1, (count(*) + 1999) // 2000) AS nb FROM tok GROUP BY {keys}),
+{name}_b AS (SELECT t.*, ('0x' || substr(md5(CAST(t.doc_id AS VARCHAR)), 1, 8))::BIGINT % c.nb AS batch,
+                    len(t.toks) AS n, (len(t.toks) + 509) // 510 AS ns
+             FROM tok t JOIN {name}_c c USING ({keys})),
 {name}_p AS (SELECT doc_id, language, source, batch, toks, n,
                     CASE WHEN n > 510 THEN (n + ns - 1) // ns ELSE n END AS plen FROM {name}_b),
 {name}_s AS (SELECT doc_id, language, source, batch, toks, plen,
@@ -242,17 +244,16 @@ splitted AS (SELECT s.*, CASE WHEN s.set_id < n.train_sets THEN 'train' ELSE 'va
 
 
 def _built(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    # the chunk table feeds several actions (counts, balance target, output):
+    # write it once as a table in the shared checkpoint folder
+    chunks = materialize(_chunks(spark, sf_dir), "chunks")
     return corpus.build_language(chunks, MAX_ITEMS, "a", "b", seed=SEED)
 
 
 def _sets(spark, sf_dir):
     rows, quotas = _built(spark, sf_dir)
-    counts = corpus.language_counts(rows)
-    min_count = corpus.balance_target(counts, LANGS)
-    langs = corpus.languages_table(spark, LANGS)
-    sets = corpus.interleave(rows, langs, min_count)
-    return corpus.split_sets(sets, min_count), quotas, min_count
+    sets, min_count = corpus.balance_and_interleave(rows, corpus.languages_table(spark, LANGS))
+    return sets, quotas, min_count
 
 
 @query("source_quota", with_ctes(F1_SQL, CHUNKS_SQL, QUOTA_SQL, recursive=True, body="""

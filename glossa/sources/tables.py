@@ -11,9 +11,21 @@ TABLES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One table as a lazily scanned Parquet DataFrame (filters and
-    projections reach the scan)."""
+    projections reach the scan).  ``spread``: see ``spread``."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_narrow(df) if spread else df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work (tokenising, chunking) all cores when the
+    scan yields fewer splits than the cluster has cores (a file with one row
+    group is read by one task).  A scan of many files already has enough
+    splits and is left alone, so at scale this adds no shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
