@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from glossa.operators.sae import _matrix
+from glossa.operators.sae import _matrix, limit_tasks
 
 NORM_EPS = 1e-12                       # torch-style norm clamp
 DEFAULT_QUERY_BLOCK_BYTES = 128 * 1024 * 1024
@@ -58,15 +58,65 @@ def _exact_topk_cols(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(part, order, 1), np.take_along_axis(val, order, 1)
 
 
+def _topk_kernel(bc, dim: int, k: int, work_bytes: int):
+    """Per task: the best ``k`` documents of every query of the block among
+    the task's rows (ties: lower doc id), keeping only scores at or above the
+    query's lower bound."""
+    def run(batches):
+        ids_q, qmat, bound = bc.value
+        nq = len(ids_q)
+        best_ids = np.zeros((nq, 0), np.int64)
+        best_val = np.zeros((nq, 0))
+        for rb in batches:
+            d_ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
+            order = np.argsort(d_ids, kind="stable")
+            d_ids = d_ids[order]
+            dm, _ = _matrix(rb.column("v"), dim)
+            dm = dm[order]
+            dm = dm / np.maximum(np.linalg.norm(dm, axis=1, keepdims=True), NORM_EPS)
+            step = max(1, int(work_bytes // max(1, nq * 8)))
+            for s in range(0, len(d_ids), step):
+                sc_ = qmat @ dm[s:s + step].T            # (nq, docs)
+                pos, val = _exact_topk_cols(sc_, k)
+                cand_ids = np.concatenate([best_ids, d_ids[s:s + step][pos]], axis=1)
+                cand_val = np.concatenate([best_val, val], axis=1)
+                o = np.lexsort((cand_ids, -cand_val), axis=-1)[:, :k]
+                best_ids = np.take_along_axis(cand_ids, o, 1)
+                best_val = np.take_along_axis(cand_val, o, 1)
+        if best_ids.shape[1]:
+            keep = best_val >= bound[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids_q, keep.sum(axis=1))), pa.array(best_ids[keep]),
+                 pa.array(best_val[keep])], names=["qid", "doc_id", "score"])
+    return run
+
+
+_CAND_SCHEMA = T.StructType([
+    T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()),
+    T.StructField("score", T.DoubleType())])
+
+
+def _global_cut(cand: DataFrame, k: int) -> DataFrame:
+    wq = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id"))
+    return cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
+
+
 def score_topk(queries: DataFrame, docs: DataFrame, k: int,
                qid_col: str = "qid", doc_col: str = "doc_id", vec_col: str = "embedding",
                query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES,
-               work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
+               work_bytes: int = DEFAULT_WORK_BYTES, bound_fraction: float = 0.05,
+               seed: int = 17) -> DataFrame:
     """J4 + L4: ``(qid, doc_id, score, rank)``: the ``min(k, n_docs)``
     documents of highest cosine per query; ties go to the lower doc id.
 
-    Vectors are L2-normalised in the tasks (zero vectors score 0).  Both id
-    columns must be BIGINT-compatible.
+    Without pruning every task would send k candidates per query, i.e.
+    tasks x queries x k rows.  So first a sample of the documents
+    (``bound_fraction``) gives each query a lower bound: the k-th best score
+    in the sample, which can only be below the true k-th best score.  The
+    full pass then sends only candidates scoring at least that bound - an
+    exact cut (ties at the bound are kept), with about k / bound_fraction
+    candidates per query whatever the number of tasks.  Vectors are
+    L2-normalised in the tasks (zero vectors score 0).
     """
     spark = queries.sparkSession
     sc = spark.sparkContext
@@ -74,59 +124,42 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int,
                         F.col(vec_col).alias("v"))
     stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    out_schema = T.StructType([
-        T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()),
-        T.StructField("score", T.DoubleType())])
     if n_q == 0:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
+        return spark.createDataFrame([], _CAND_SCHEMA.add("rank", T.IntegerType()))
     per_block = max(1, int(query_block_bytes // max(1, dim * 8)))
     n_blocks = (n_q + per_block - 1) // per_block
     # Queries go to blocks by a hash of their id (balanced in expectation).
     keyed = qv.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")) \
         if n_blocks > 1 else qv.withColumn("_blk", F.lit(0))
-    dv = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(vec_col).alias("v"))
+    dv = limit_tasks(docs.select(F.col(doc_col).cast("long").alias("doc_id"),
+                                 F.col(vec_col).alias("v")))
+    sample = None
+    if bound_fraction and bound_fraction < 1.0:
+        n_docs = dv.count()
+        if n_docs * bound_fraction >= 2 * k:
+            sample = dv.sample(False, bound_fraction, seed)
     parts = []
     for b in range(n_blocks):
         tbl = keyed.filter(F.col("_blk") == b).select("qid", "v").toArrow().sort_by("qid")
         q_ids = tbl.column("qid").to_numpy()
-        qm, qvalid = _matrix(tbl.column("v").combine_chunks(), dim)
+        qm, _ = _matrix(tbl.column("v").combine_chunks(), dim)
         qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), NORM_EPS)
-        bc = sc.broadcast((q_ids, qm))
-
-        def run(batches, bc=bc):
-            ids_q, qmat = bc.value
-            nq = len(ids_q)
-            best_ids = np.zeros((nq, 0), np.int64)
-            best_val = np.zeros((nq, 0))
-            for rb in batches:
-                d_ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
-                order = np.argsort(d_ids, kind="stable")
-                d_ids = d_ids[order]
-                dm, _ = _matrix(rb.column("v"), dim)
-                dm = dm[order]
-                dm = dm / np.maximum(np.linalg.norm(dm, axis=1, keepdims=True), NORM_EPS)
-                step = max(1, int(work_bytes // max(1, nq * 8)))
-                for s in range(0, len(d_ids), step):
-                    sc_ = qmat @ dm[s:s + step].T            # (nq, docs)
-                    pos, val = _exact_topk_cols(sc_, k)
-                    cand_ids = np.concatenate([best_ids, d_ids[s:s + step][pos]], axis=1)
-                    cand_val = np.concatenate([best_val, val], axis=1)
-                    o = np.lexsort((cand_ids, -cand_val), axis=-1)[:, :k]
-                    best_ids = np.take_along_axis(cand_ids, o, 1)
-                    best_val = np.take_along_axis(cand_val, o, 1)
-            if best_ids.shape[1]:
-                m = best_ids.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids_q, m)), pa.array(best_ids.reshape(-1)),
-                     pa.array(best_val.reshape(-1))], names=["qid", "doc_id", "score"])
-
-        parts.append(dv.mapInArrow(run, out_schema))
+        bound = np.full(len(q_ids), -np.inf)
+        if sample is not None:
+            bc0 = sc.broadcast((q_ids, qm, bound))
+            kth = (_global_cut(sample.mapInArrow(_topk_kernel(bc0, dim, k, work_bytes),
+                                                 _CAND_SCHEMA), k)
+                   .filter(F.col("rank") == k).select("qid", "score").collect())
+            pos = {int(q): i for i, q in enumerate(q_ids)}
+            for r in kth:                    # one row per query of the block
+                bound[pos[r["qid"]]] = r["score"]
+            bc0.unpersist()
+        bc = sc.broadcast((q_ids, qm, bound))
+        parts.append(dv.mapInArrow(_topk_kernel(bc, dim, k, work_bytes), _CAND_SCHEMA))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    wq = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (cand.withColumn("rank", F.row_number().over(wq))
-            .filter(F.col("rank") <= k))
+    return _global_cut(cand, k)
 
 
 def exclude_self(run: DataFrame, before_cut: bool = False, k: int | None = None) -> DataFrame:

@@ -194,6 +194,21 @@ def _sub_batches(n: int, width: int, work_bytes: int):
         yield s, min(n, s + step)
 
 
+def limit_tasks(df: DataFrame, max_tasks: int | None = None) -> DataFrame:
+    """Cap the number of tasks that emit fixed-size partial vectors.
+
+    A task's partial result (a count vector, a usage vector, a gradient)
+    has the size of the model, not of its rows, so the shuffle after it
+    grows with the number of tasks.  Above ``max_tasks`` (default: the
+    cluster's cores) input splits are coalesced - no shuffle, every core
+    still busy - so the shuffle is cores x model size, independent of the
+    data size."""
+    target = max_tasks or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > target:
+        return df.coalesce(target)
+    return df
+
+
 # ---------------------------------------------------------------------------
 # D1 / J3 + P8: raw activation statistics per row
 # ---------------------------------------------------------------------------
@@ -265,7 +280,8 @@ def firing_counts(df: DataFrame, model: SaeModel, language_col: str = "language"
         T.StructField("feature", T.IntegerType()),
         T.StructField("n", T.LongType()),
     ])
-    src = df.select(F.col(language_col).alias("language"), F.col(vec_col).alias("_v"))
+    src = limit_tasks(df.select(F.col(language_col).alias("language"),
+                                F.col(vec_col).alias("_v")))
     parts = []
     for bc in model.blocks:
         def run(batches, bc=bc):
@@ -546,6 +562,64 @@ def _row_stats(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
     return src.mapInArrow(run, _PARTIAL_SCHEMA)
 
 
+def _fused_stats(df: DataFrame, model: SaeModel, vec_col: str, k: int,
+                 work_bytes: int) -> DataFrame:
+    """Single-block dictionaries: every partial of ``evaluate`` in one pass
+    (encode, top-k, decode, residuals, usage, liveness) - nothing is
+    persisted and the rows are read once."""
+    dim = model.input_dim
+    bc = model.blocks[0]
+    scal = ["n", "sq", "res", "l1", "l0"]
+    names = [f.name for f in _PARTIAL_SCHEMA.fields]
+
+    def run(batches):
+        _, enc, dec = bc.value
+        d = enc.shape[0]
+        cut = 0 < k < d
+        acc: dict = {}
+        for rb in batches:
+            codes, _ = _group_codes(rb)
+            x_all, valid = _matrix(rb.column(vec_col), dim)
+            for s, e in _sub_batches(rb.num_rows, d, work_bytes):
+                keep = valid[s:e]
+                x = x_all[s:e][keep]
+                cs = codes[s:e][keep]
+                if x.shape[0] == 0:
+                    continue
+                raw = np.maximum(x @ enc.T, 0.0)
+                idx, val, kth = _topk(raw, k if cut else 0, 0)
+                f = np.zeros_like(raw)
+                pos = val > 0
+                rows = np.nonzero(pos)[0]
+                f[rows, idx[pos]] = val[pos]
+                recon = f @ dec
+                z = (raw - kth[:, None]) * USAGE_TEMPERATURE
+                ez = np.exp(-np.abs(z))                     # overflow-safe logistic
+                sig = np.where(z >= 0, 1.0 / (1.0 + ez), ez / (1.0 + ez))
+                for g in np.unique(cs):
+                    m = cs == g
+                    xs, rs, fs = x[m], recon[m], f[m]
+                    a = acc.setdefault(g, [np.zeros(5), np.zeros(dim), np.zeros(d), np.zeros(d)])
+                    a[0] += [xs.shape[0], float((xs * xs).sum()), float(((rs - xs) ** 2).sum()),
+                             float(np.abs(fs).sum()), float((fs > 0).sum())]
+                    a[1] += xs.sum(axis=0)
+                    a[2] += sig[m].sum(axis=0)
+                    np.maximum(a[3], np.abs(fs).max(axis=0), out=a[3])
+        ids = np.arange(d, dtype=np.int32)
+        for g, (sc, xsum, usage, alive) in acc.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(scal) + dim, g, np.int64)),
+                 pa.array(scal + ["xsum"] * dim),
+                 pa.array([0] * len(scal) + list(range(dim)), pa.int32()),
+                 pa.array(np.concatenate([sc, xsum]))], names=names)
+            for name, vec in (("usage", usage), ("alive", alive)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(d, g, np.int64)), pa.array([name] * d), pa.array(ids),
+                     pa.array(vec)], names=names)
+
+    return df.select(GROUP, vec_col).mapInArrow(run, _PARTIAL_SCHEMA)
+
+
 def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
              group_col: str | None = None, l1_coeff: float = 0.0,
              aux_coeff: float = 0.0, aux_target: float = 0.01,
@@ -557,17 +631,22 @@ def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
     Every task reduces its rows to fixed-size partial sums per group
     (scalars, a vector of the input dimension, two of the dictionary size);
     Spark sums the partials by key, so nothing after the map grows with the
-    row count.  The encoded rows feed two reductions, so they are persisted
-    (recomputed from lineage if an executor is lost).
+    row count.  A one-block dictionary is evaluated in a single fused pass;
+    a multi-block one first chains encode/decode over the blocks and feeds
+    two reductions from the persisted rows (recomputed from lineage if an
+    executor is lost).
     """
     grp = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
-    base = df.select(grp.alias(GROUP), F.col(vec_col))
-    enc = decode(encode_topk(base, model, vec_col=vec_col, work_bytes=work_bytes),
-                 model, work_bytes=work_bytes).persist()
+    base = limit_tasks(df.select(grp.alias(GROUP), F.col(vec_col)))
     dim, dsz = model.input_dim, model.dict_size
-    partials = (_row_stats(enc, vec_col, dim)
-                .unionByName(_feature_stats(enc, model, vec_col, work_bytes))
-                .groupBy(GROUP, "stat", "idx").agg(F.sum("value").alias("value")))
+    if len(model.blocks) == 1:
+        raw_partials = _fused_stats(base, model, vec_col, model.sparsity, work_bytes)
+    else:
+        enc = decode(encode_topk(base, model, vec_col=vec_col, work_bytes=work_bytes),
+                     model, work_bytes=work_bytes).persist()
+        raw_partials = (_row_stats(enc, vec_col, dim)
+                        .unionByName(_feature_stats(enc, model, vec_col, work_bytes)))
+    partials = raw_partials.groupBy(GROUP, "stat", "idx").agg(F.sum("value").alias("value"))
     stat = F.col("stat")
     m = partials.groupBy(GROUP).agg(
         *[F.max(F.when(stat == s, F.col("value"))).alias(s)

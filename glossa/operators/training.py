@@ -1,6 +1,7 @@
 """Dictionary fitting (D7) as a distributed optimisation.
 
-Each step is two Spark jobs over the (persisted) training rows: the first
+Each step is two Spark jobs over one mini-batch of the training rows (a
+partition of a table written once, read by partition pruning): the first
 sums the feature-usage estimate and counts the batch, the second sums the
 gradients of MSE + L1 + aux loss with respect to the encoder and decoder
 rows.  Tasks emit one partial gradient row per dictionary feature; Spark
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.operators.sae import USAGE_TEMPERATURE, _matrix, _sub_batches, _topk
+from glossa.operators.sae import USAGE_TEMPERATURE, _matrix, _sub_batches, _topk, limit_tasks
 
 _GRAD_SCHEMA = T.StructType([
     T.StructField("feature", T.IntegerType()),
@@ -115,9 +116,12 @@ def _grad_job(df, vec_col, bc, k, n_total, usage, l1_coeff, aux_coeff, aux_targe
                     g_r = g_r + d_aux_d_usage[None, :] * sig * (1.0 - sig) * USAGE_TEMPERATURE / n_total
                 g_z = g_r * (z > 0)
                 g_enc += g_z.T @ xb
-        feats = np.concatenate([[-1], np.arange(d)]).astype(np.int32)
-        ge = [np.array([sq_res, l1])] + list(g_enc)
-        gd = [np.zeros(2)] + list(g_dec)
+        # only features with a non-zero gradient in this task are emitted
+        # (top-k touches few features; the aux term only those near the cut)
+        live = np.nonzero(np.any(g_enc != 0, axis=1) | np.any(g_dec != 0, axis=1))[0]
+        feats = np.concatenate([[-1], live]).astype(np.int32)
+        ge = [np.array([sq_res, l1])] + list(g_enc[live])
+        gd = [np.zeros(2)] + list(g_dec[live])
         yield pa.RecordBatch.from_arrays(
             [pa.array(feats), pa.array(ge, pa.list_(pa.float64())),
              pa.array(gd, pa.list_(pa.float64()))], names=["feature", "g_enc", "g_dec"])
@@ -138,7 +142,8 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
             work_bytes: int = 64 * 1024 * 1024) -> FitResult:
     """Minimise MSE + L1 + aux by Adam (torch defaults: betas 0.9 /
     0.999, eps 1e-8); one optimiser step every ``grad_acc_steps`` batches;
-    each batch is a seeded sample (``batch_fraction``) of the rows."""
+    with ``batch_fraction`` < 1 the rows are split once into
+    ``1 / batch_fraction`` random batches, used in turn."""
     spark = df.sparkSession
     sc = spark.sparkContext
     dim = int(df.select(F.max(F.size(vec_col))).first()[0])
@@ -152,12 +157,18 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
     m_e, v_e = np.zeros_like(enc), np.zeros_like(enc)
     m_d, v_d = np.zeros_like(dec), np.zeros_like(dec)
     b1, b2, eps = 0.9, 0.999, 1e-8
-    data = df.select(vec_col).persist()
+    # Mini-batches: each row is given a batch number once and the table is
+    # written partitioned by it to the shared checkpoint folder, so a step
+    # reads only its batch (partition pruning) - no full scan per step.
+    n_batches = max(1, int(round(1.0 / batch_fraction))) if batch_fraction < 1.0 else 1
+    from glossa.session import materialize
+    data = materialize(df.select(vec_col).withColumn(
+        "_b", F.floor(F.rand(seed) * n_batches).cast("int")), "sae-batches", partition_by=("_b",))
     history = []
     t = 0
     acc_e, acc_d = np.zeros_like(enc), np.zeros_like(dec)
     for step in range(steps * grad_acc_steps):
-        batch = data if batch_fraction >= 1.0 else data.sample(False, batch_fraction, seed + step)
+        batch = limit_tasks(data.filter(F.col("_b") == step % n_batches).select(vec_col))
         bc = sc.broadcast((enc, dec))
         st = {r["feature"]: r["value"] for r in _stats_job(batch, vec_col, bc, sparsity, work_bytes)
               .groupBy("feature").agg(F.sum("value").alias("value")).collect()}
@@ -178,8 +189,10 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
         aux = float((np.maximum(aux_target - usage, 0.0) ** 2).mean() * aux_coeff)
         history.append({"step": len(history) + 1, "n_rows": int(n), "mse_loss": mse,
                         "l1_loss": l1, "aux_loss": aux, "loss": mse + l1 + aux})
-        acc_e += np.array([grads[i]["g_enc"] for i in range(dict_size)])
-        acc_d += np.array([grads[i]["g_dec"] for i in range(dict_size)])
+        for i, r in grads.items():
+            if i >= 0:
+                acc_e[i] += r["g_enc"]
+                acc_d[i] += r["g_dec"]
         if (step + 1) % grad_acc_steps:
             continue
         t += 1
@@ -192,5 +205,4 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
             w -= lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
         acc_e[:] = 0.0
         acc_d[:] = 0.0
-    data.unpersist()
     return FitResult(enc=enc, dec=dec, history=history)

@@ -65,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", partition_by=()):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: later actions start from the files (lineage cut, one columnar
     write, survives executor loss).  Used where a table feeds several
@@ -74,5 +74,6 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    w = df.write.partitionBy(*partition_by) if partition_by else df.write
+    w.parquet(path)
     return spark.read.parquet(path)

@@ -10,15 +10,16 @@ def _vec_df(spark, ids, mat, id_col):
                                  f"{id_col} long, embedding array<float>")
 
 
+@pytest.mark.parametrize("bound_fraction", [0.0, 0.5])
 @pytest.mark.parametrize("block_bytes", [retrieval.DEFAULT_QUERY_BLOCK_BYTES, 4 * 8 * 3])
-def test_topk_matches_brute_force(spark, block_bytes):
+def test_topk_matches_brute_force(spark, block_bytes, bound_fraction):
     rng = np.random.default_rng(0)
     d = rng.normal(size=(200, 4)).astype(np.float32)
     d[10] = d[11]                       # identical documents: tie by id
     q = d[:13]
     run = retrieval.score_topk(_vec_df(spark, range(13), q, "qid"),
                                _vec_df(spark, range(200), d, "doc_id"), 7,
-                               query_block_bytes=block_bytes)
+                               query_block_bytes=block_bytes, bound_fraction=bound_fraction)
     got = {}
     for r in run.collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
