@@ -60,8 +60,9 @@ def balance_target(counts: DataFrame, languages: Sequence[str] | None = None) ->
 def two_source_quota(avail_a: Column, avail_b: Column, max_items) -> tuple[Column, Column]:
     """Rows used from source a and source b for ``max_items`` per
     language: half each; a short source is used whole and the other fills
-    up; an odd remainder goes to the source with more left (ties: a).
-    Without source b, ``min(max_items, a)`` from a."""
+    up; a remainder is split (floor half to a, the rest to b, as far as each
+    has rows) and what is still missing comes from the source with more
+    left (ties: a).  Without source b, ``min(max_items, a)`` from a."""
     m = F.lit(max_items) if not isinstance(max_items, Column) else max_items
     t = F.floor(m / 2)
     a0, b0 = F.least(t, avail_a), F.least(t, avail_b)

@@ -108,3 +108,15 @@ def test_statistics_document(spark, tmp):
     parsed = json.loads(back[0]["statistics"])
     assert set(parsed) == {"available", "used", "unused", "final_dataset", "source_distribution"}
     assert parsed["final_dataset"]["total"] == parsed["final_dataset"]["train"] + parsed["final_dataset"]["val"]
+
+
+def test_json_array_and_single_object(spark, tmp):
+    p = os.path.join(tmp, "arr.json")
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump([{"text": "a"}, {"text": "b"}, {"other": 1}], f, indent=2)
+    got = sorted(r["text"] for r in readers.read_json_records(spark, p).collect())
+    assert got == ["", "a", "b"]
+    q = os.path.join(tmp, "one.json")
+    with open(q, "w", encoding="utf-8") as f:
+        json.dump({"text": "solo"}, f, indent=2)
+    assert [r["text"] for r in readers.read_json_records(spark, q).collect()] == ["solo"]
