@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from glossa.operators.sae import _matrix, limit_tasks
+from glossa.session import broadcast
 
 NORM_EPS = 1e-12                       # torch-style norm clamp
 DEFAULT_QUERY_BLOCK_BYTES = 128 * 1024 * 1024
@@ -119,7 +120,6 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int,
     L2-normalised in the tasks (zero vectors score 0).
     """
     spark = queries.sparkSession
-    sc = spark.sparkContext
     qv = queries.select(F.col(qid_col).cast("long").alias("qid"),
                         F.col(vec_col).alias("v"))
     stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
@@ -146,7 +146,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int,
         qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), NORM_EPS)
         bound = np.full(len(q_ids), -np.inf)
         if sample is not None:
-            bc0 = sc.broadcast((q_ids, qm, bound))
+            bc0 = broadcast(spark, (q_ids, qm, bound))
             kth = (_global_cut(sample.mapInArrow(_topk_kernel(bc0, dim, k, work_bytes),
                                                  _CAND_SCHEMA), k)
                    .filter(F.col("rank") == k).select("qid", "score").collect())
@@ -154,7 +154,7 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int,
             for r in kth:                    # one row per query of the block
                 bound[pos[r["qid"]]] = r["score"]
             bc0.unpersist()
-        bc = sc.broadcast((q_ids, qm, bound))
+        bc = broadcast(spark, (q_ids, qm, bound))
         parts.append(dv.mapInArrow(_topk_kernel(bc, dim, k, work_bytes), _CAND_SCHEMA))
     cand = parts[0]
     for p in parts[1:]:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from glossa.session import broadcast, cores, num_partitions
+
 # Fixed values of the method.
 FIRE_EPS = 1e-6            # a feature fires when |relu(x . enc)| > 1e-6
 USAGE_TEMPERATURE = 1e4    # sigmoid temperature of the feature-usage estimate
@@ -80,7 +82,6 @@ def load_model(atoms: DataFrame, sparsity: int,
         raise ValueError("every enc and dec vector must have the input dimension")
     per_feature = dim * 8 * 2
     per_block = max(1, int(max_block_bytes // per_feature))
-    sc = atoms.sparkSession.sparkContext
     blocks = []
     for lo in range(0, n, per_block):
         hi = min(n, lo + per_block)
@@ -92,8 +93,8 @@ def load_model(atoms: DataFrame, sparsity: int,
         enc = part.column("enc").combine_chunks().flatten().to_numpy().reshape(m, dim)
         dec = part.column("dec").combine_chunks().flatten().to_numpy().reshape(m, dim)
         # (lo, enc rows, dec rows): both (features_in_block, input_dim)
-        blocks.append(sc.broadcast((lo, np.ascontiguousarray(enc),
-                                    np.ascontiguousarray(dec))))
+        blocks.append(broadcast(atoms.sparkSession, (lo, np.ascontiguousarray(enc),
+                                                     np.ascontiguousarray(dec))))
     return SaeModel(input_dim=dim, dict_size=n, sparsity=int(sparsity), blocks=blocks)
 
 
@@ -203,8 +204,9 @@ def limit_tasks(df: DataFrame, max_tasks: int | None = None) -> DataFrame:
     cluster's cores) input splits are coalesced - no shuffle, every core
     still busy - so the shuffle is cores x model size, independent of the
     data size."""
-    target = max_tasks or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > target:
+    target = max_tasks or cores(df.sparkSession)
+    n = num_partitions(df)
+    if n is not None and n > target:
         return df.coalesce(target)
     return df
 
@@ -355,7 +357,7 @@ def encode_topk(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
     mask_bc = None
     mvec = _mask_vector(model, mask_features)
     if mvec is not None:
-        mask_bc = df.sparkSession.sparkContext.broadcast(mvec)
+        mask_bc = broadcast(df.sparkSession, mvec)
     base_fields = [f for f in df.schema.fields if f.name not in (FEAT_IDX, FEAT_VAL, KTH)]
     out_fields = base_fields + [
         T.StructField(FEAT_IDX, T.ArrayType(T.IntegerType())),

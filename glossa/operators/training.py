@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.session import broadcast
 from glossa.operators.sae import USAGE_TEMPERATURE, _matrix, _sub_batches, _topk, limit_tasks
 
 _GRAD_SCHEMA = T.StructType([
@@ -145,7 +146,6 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
     with ``batch_fraction`` < 1 the rows are split once into
     ``1 / batch_fraction`` random batches, used in turn."""
     spark = df.sparkSession
-    sc = spark.sparkContext
     dim = int(df.select(F.max(F.size(vec_col))).first()[0])
     rng = np.random.default_rng(seed)
     if init is None:
@@ -169,7 +169,7 @@ def fit_sae(df: DataFrame, dict_size: int, sparsity: int, steps: int, lr: float
     acc_e, acc_d = np.zeros_like(enc), np.zeros_like(dec)
     for step in range(steps * grad_acc_steps):
         batch = limit_tasks(data.filter(F.col("_b") == step % n_batches).select(vec_col))
-        bc = sc.broadcast((enc, dec))
+        bc = broadcast(spark, (enc, dec))
         st = {r["feature"]: r["value"] for r in _stats_job(batch, vec_col, bc, sparsity, work_bytes)
               .groupBy("feature").agg(F.sum("value").alias("value")).collect()}
         n = st.pop(-1, 0.0)

@@ -25,7 +25,9 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     scan yields fewer splits than the cluster has cores (a file with one row
     group is read by one task).  A scan of many files already has enough
     splits and is left alone, so at scale this adds no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    from glossa.session import cores, num_partitions
+    want = cores(df.sparkSession)
+    n = num_partitions(df)
+    if n is not None and n < want:
         return df.repartition(want)
     return df
