@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions.text import tokens
+from glossa.operators.joins import join_small
 
 # Fixed values of the method.
 TARGET_MIN = 250           # shortest chunk aimed at
@@ -44,8 +45,8 @@ def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_
     """``batch`` = ``id_hash(id) % n_batches`` with ``n_batches =
     ceil(records / batch_records)`` per ``batch_keys`` group: about
     ``batch_records`` records per batch, a pure function of the row, so no
-    text moves to number the batches; the counts table (groups rows) is
-    broadcast."""
+    text moves to number the batches; the counts table (one row per group)
+    is broadcast after a size check."""
     keys = list(batch_keys)
     if not keys:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
@@ -54,7 +55,7 @@ def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_
                       F.greatest(F.lit(1), F.floor((F.col("_n") + batch_records - 1)
                                                    / F.lit(batch_records))).cast("long").alias("_nb")))
     cond = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    joined = df.join(F.broadcast(counts), cond, "inner")
+    joined = join_small(df, counts, cond, "inner")
     return (joined.withColumn("batch", F.pmod(id_hash(id_col), F.col("_nb")))
             .drop("_nb", "_all", *[f"_c_{k}" for k in keys]))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.text import split_sources
+from glossa.operators.joins import join_small
 from glossa.operators.ranking import row_number_scalable
 
 DEFAULT_SEED = 42
@@ -111,7 +112,7 @@ def quota_select(chunks: DataFrame, quotas: DataFrame, first_source: str,
     q = quotas.select("language", "used_a", "used_b")
     quota = (F.when(F.col("source") == first_source, F.col("used_a"))
              .when(F.col("source") == second_source, F.col("used_b")).otherwise(F.lit(0)))
-    return (ranked.join(F.broadcast(q), "language")
+    return (join_small(ranked, q, "language")
             .filter(F.col("_src_pos") <= quota).drop("used_a", "used_b", "_src_pos"))
 
 

@@ -1,0 +1,29 @@
+"""Joins against small derived tables with a checked size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000     # rows of a derived table that may be broadcast
+
+
+def bounded_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS):
+    """The rows of ``small`` as a local relation when there are at most
+    ``max_rows`` (one action, at most ``max_rows + 1`` rows read), else
+    None.  A local relation has a known size, so it is broadcast without
+    recomputing the table that produced it."""
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return small.sparkSession.createDataFrame(rows, small.schema)
+
+
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` behind a size check; above ``max_rows`` it is an
+    ordinary join (sort-merge, AQE skew handling)."""
+    local = bounded_small(small, max_rows)
+    if local is not None:
+        return df.join(F.broadcast(local), on, how)
+    return df.join(small, on, how)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from glossa.operators.joins import join_small
+
 
 def language_totals(df: DataFrame, language_col: str = "language") -> DataFrame:
     """A1: ``(language, total)`` rows per language."""
@@ -24,7 +26,7 @@ def language_totals(df: DataFrame, language_col: str = "language") -> DataFrame:
 def firing_rates(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """A4: ``(language, feature, n, total, rate_pct)`` with
     ``rate_pct = n / total * 100``.  Both inputs are small (languages x dict)."""
-    return (counts.join(F.broadcast(totals), "language")
+    return (join_small(counts, totals, "language")
             .withColumn("rate_pct", F.col("n") / F.col("total") * F.lit(100.0)))
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from glossa.operators.joins import join_small
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 
@@ -95,12 +97,12 @@ def row_number_scalable(df: DataFrame, group_cols: Sequence[str], order_cols: Se
     w_prefix = (Window.partitionBy(*group_cols).orderBy("_bkt")
                 .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prefix), F.lit(0)))
-    # offsets has one row per (group, bucket): small, broadcast it; the
-    # keys match null-safely (a null group is a group)
+    # offsets has one row per (group, bucket): broadcast after a size
+    # check; the keys match null-safely (a null group is a group)
     offs = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols],
                           F.col("_bkt").alias("_o_bkt"), "_off")
     cond = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in group_cols] + \
         [F.col("_bkt") == F.col("_o_bkt")]
-    out = local.join(F.broadcast(offs), cond, "inner")
+    out = join_small(local, offs, cond, "inner")
     return (out.withColumn(out_col, (F.col("_lrn") + F.col("_off")).cast("long"))
             .drop("_bkt", "_lrn", "_off", "_o_bkt", *[f"_o_{c}" for c in group_cols]))

@@ -201,7 +201,7 @@ def language_analysis(spark, sf_dir):
     _, counts, totals = _counts(spark, sf_dir)
     m = masks.language_masks(masks.firing_rates(counts, totals), THRESHOLDS)
     idx = masks.combined_index(m)
-    return (m.join(idx, ["threshold", "feature"]).join(F.broadcast(totals), "language")
+    return (m.join(idx, ["threshold", "feature"]).join(totals, "language")
             .groupBy("threshold", "language").agg(
                 F.count(F.lit(1)).cast("long").alias("features_above_threshold"),
                 F.count_if(F.col("n_languages") == 1).cast("long").alias("exclusive_features"),

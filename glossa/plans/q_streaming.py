@@ -47,7 +47,7 @@ def stream_firing(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     base, schema = _stage(spark, sf_dir, "stream-firing")
     q = jobs.stream_firing_counts(spark, f"{base}/in", schema, model, f"{base}/out",
-                                  f"{base}/ckpt", max_files=1)
+                                  f"{base}/ckpt", max_files=2)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").select(
         "language", "feature", F.col("n").cast("long").alias("n"))
