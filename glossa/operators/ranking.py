@@ -89,8 +89,18 @@ def row_number_scalable(df: DataFrame, group_cols: Sequence[str], order_cols: Se
         q = df.select(F.coalesce(mono, F.lit(float("-inf"))).alias("_q")) \
             .approxQuantile("_q", probs, 1.0 / (4 * n))
         bounds = sorted(set(v for v in q if v is not None))
-    keyed = df.withColumn("_bkt", _bucket(F.coalesce(mono, F.lit(float("-inf"))), bounds)
-                          if bounds else F.lit(0))
+    if not bounds:
+        keyed = df.withColumn("_bkt", F.lit(0))
+    elif len(bounds) <= 64:
+        keyed = df.withColumn("_bkt", _bucket(F.coalesce(mono, F.lit(float("-inf"))), bounds))
+    else:
+        # many buckets: a JVM-side binary search instead of a deep CASE tree
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + [b for b in bounds if b != float("-inf")] + [float("inf")]
+        withkey = df.withColumn("_bkey", F.coalesce(mono, F.lit(float("-inf"))))
+        keyed = (Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bktd")
+                 .transform(withkey)
+                 .withColumn("_bkt", F.col("_bktd").cast("int")).drop("_bkey", "_bktd"))
     w_local = Window.partitionBy(*group_cols, "_bkt").orderBy(*order)
     local = keyed.withColumn("_lrn", F.row_number().over(w_local))
     counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -35,3 +35,10 @@ def test_string_and_timestamp_keys_and_null_group(spark):
         want = df.withColumn("rn", F.row_number().over(w).cast("long"))
         assert got.count() == 400
         assert got.select("g", "id", "rn").exceptAll(want.select("g", "id", "rn")).count() == 0
+
+
+def test_many_buckets_use_the_same_numbers(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 5000).alias("k"))
+    a = row_number_scalable(df, ["g"], ["k"], num_buckets=200)
+    b = row_number_scalable(df, ["g"], ["k"], num_buckets=8)
+    assert a.count() == 5000 and a.exceptAll(b).count() == 0
