@@ -2,28 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from glossa.operators.sae import _matrix
 
 POOL_EPS = 1e-9     # fixed: denominator clamp of the masked mean
 
 
+def _sum_arrays(col):
+    # elementwise sum of the partial vectors of one document
+    lst = F.collect_list(col)
+    return F.aggregate(F.slice(lst, 2, F.size(lst)), F.element_at(lst, 1),
+                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+
+
+def mean_pool(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
+              vec_col: str = "hidden", out_col: str = "embedding") -> DataFrame:
+    """One vector per document, ``sum(h * mask) / max(sum(mask), 1e-9)``.
+
+    Each Arrow batch is reduced in numpy to one partial (masked sum, mask
+    sum) per document it contains; token rows of a document usually sit
+    together, so about one partial per document reaches the shuffle, where
+    the partials are added.  Token rows never explode into per-dimension
+    rows.  Null or wrong-size vectors count as masked out."""
+    doc_type = tokens.schema[doc_col].dataType
+    schema = T.StructType([T.StructField("_doc", doc_type),
+                           T.StructField("_s", T.ArrayType(T.DoubleType())),
+                           T.StructField("_m", T.DoubleType())])
+    doc_arrow = to_arrow_type(doc_type)
+    dim = tokens.select(F.max(F.size(vec_col))).first()[0] or 0
+    src = tokens.select(F.col(doc_col).alias("_doc"), F.col(mask_col).cast("double").alias("_mask"),
+                        F.col(vec_col).alias("_h"))
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            docs = rb.column("_doc").to_numpy(zero_copy_only=False)
+            m = np.nan_to_num(rb.column("_mask").to_numpy(zero_copy_only=False).astype(np.float64))
+            x, valid = _matrix(rb.column("_h"), dim)
+            m = np.where(valid, m, 0.0)
+            uniq, inv = np.unique(docs, return_inverse=True)
+            order = np.argsort(inv, kind="stable")
+            starts = np.searchsorted(inv[order], np.arange(len(uniq)))
+            sums = np.add.reduceat(x[order] * m[order, None], starts, axis=0)
+            msum = np.bincount(inv, weights=m, minlength=len(uniq))
+            offsets = np.arange(0, (len(uniq) + 1) * dim, dim, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uniq, doc_arrow),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                          pa.array(sums.reshape(-1), pa.float64())),
+                 pa.array(msum)], names=["_doc", "_s", "_m"])
+
+    part = src.mapInArrow(run, schema)
+    pooled = part.groupBy("_doc").agg(_sum_arrays("_s").alias("_s"), F.sum("_m").alias("_m"))
+    return pooled.select(
+        F.col("_doc").alias(doc_col),
+        F.transform("_s", lambda v: v / F.greatest(F.col("_m"), F.lit(POOL_EPS))).alias(out_col))
+
+
 def mean_pool_long(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
                    vec_col: str = "hidden") -> DataFrame:
-    """``(doc, dim, value)`` = sum(h * mask) / max(sum(mask), 1e-9) per
-    dimension.  Token rows are exploded by dimension and summed with a
-    partial (map-side) aggregate, so no document is gathered in one place."""
+    """The same pooling in long form ``(doc, dim, value)`` with built-in
+    expressions only (explode + partial aggregate); for small inputs and as
+    a cross-check of ``mean_pool``."""
     x = tokens.select(F.col(doc_col).alias("doc"), F.col(mask_col).cast("double").alias("m"),
                       F.posexplode(vec_col).alias("dim", "h"))
     return (x.groupBy("doc", "dim")
             .agg((F.sum(F.col("h").cast("double") * F.col("m"))
                   / F.greatest(F.sum("m"), F.lit(POOL_EPS))).alias("value")))
-
-
-def mean_pool(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
-              vec_col: str = "hidden", out_col: str = "embedding") -> DataFrame:
-    """One pooled vector per document (``ARRAY<DOUBLE>`` in dim order)."""
-    long = mean_pool_long(tokens, doc_col, mask_col, vec_col)
-    return (long.groupBy("doc")
-            .agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("_v"))
-            .select(F.col("doc").alias(doc_col), F.col("_v.value").alias(out_col)))
