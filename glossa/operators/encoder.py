@@ -8,7 +8,6 @@ heavy model is loaded once per worker, not per row or per batch.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -21,24 +20,31 @@ _WORKER_CACHE: dict = {}
 
 
 class HashedBagOfWords:
-    """Default test encoder: whitespace tokens hashed (CRC-32) into ``dim``
-    buckets, counts L2-normalised.  Deterministic across processes."""
+    """Default test encoder: whitespace tokens (the Catalyst tokenizer's
+    ASCII whitespace class) hashed into ``dim`` buckets by the first 8 hex
+    digits of their md5, counts L2-normalised.  Deterministic across
+    processes and expressible in SQL, so its output can be checked."""
 
     def __init__(self, dim: int = 64):
         self.dim = int(dim)
 
     def __call__(self):
+        import hashlib
+        import re
         dim = self.dim
+        ws = re.compile(r"\s+", re.ASCII)
+
+        def bucket(tok: str) -> int:
+            return int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
 
         def encode(texts):
             out = np.zeros((len(texts), dim))
             for i, t in enumerate(texts):
+                t = (t or "").strip(" \t\n\r\f\v")
                 if not t:
                     continue
-                ids = [zlib.crc32(tok.encode("utf-8")) % dim for tok in t.split()]
-                if ids:
-                    out[i] = np.bincount(ids, minlength=dim)
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
+                out[i] = np.bincount([bucket(tok) for tok in ws.split(t)], minlength=dim)
+            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.maximum(norm, 1e-12)
         return encode
 

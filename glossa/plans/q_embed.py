@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.numeric import r6
 from glossa.operators import encoder, pooling, sae
-from glossa.plans.fixtures import f4_model
+from glossa.plans.fixtures import F4_SQL, F5_SQL, f4_model, with_ctes
 from glossa.plans.q_sae import exclusive_features
 from glossa.plans.registry import query
 from glossa.sources.tables import table
@@ -49,10 +49,32 @@ def embed_pending(spark, sf_dir):
     return out.select("doc_id", "language", F.size("embedding").cast("long").alias("dim"))
 
 
-# Text -> default encoder (64 hashed buckets) -> dictionary F4 ->
-# top-16 -> exclusive 55 % mask removed.  Rows only (the encoder is a
-# Python hook).
-@query("text_to_agnostic")
+TEXT_SQL = r"""
+dtok AS (SELECT doc_id, unnest(regexp_split_to_array(
+                  regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) AS tok
+         FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+bk AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim,
+              CAST(count(*) AS DOUBLE) AS c FROM dtok GROUP BY doc_id, dim),
+nrm AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM bk GROUP BY doc_id),
+tv AS (SELECT bk.doc_id, bk.dim, CAST(CAST(bk.c / nrm.n AS FLOAT) AS DOUBLE) AS v
+       FROM bk JOIN nrm USING (doc_id)),
+traw AS (SELECT tv.doc_id, d.feature, greatest(sum(tv.v * d.w), 0.0) AS value
+         FROM tv JOIN atom_dims d USING (dim) GROUP BY tv.doc_id, d.feature),
+tsel AS (SELECT doc_id, feature, value FROM (
+           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, feature) AS rnk
+           FROM traw) WHERE rnk <= 16 AND value > 0),
+texcl AS (SELECT feature FROM masks WHERE threshold = 0.55
+          GROUP BY feature HAVING count(DISTINCT language) = 1)"""
+
+
+# Text -> default encoder (64 md5 buckets) -> dictionary F4 -> top-16
+# -> exclusive 55 % mask removed.
+@query("text_to_agnostic", with_ctes(F4_SQL, F5_SQL, TEXT_SQL, body="""
+SELECT d.doc_id, CAST(count(s.feature) AS BIGINT) AS n_features,
+       round(coalesce(sum(s.value), 0.0), 6) + 0.0 AS total
+FROM documents d LEFT JOIN (SELECT * FROM tsel WHERE feature NOT IN (SELECT feature FROM texcl)) s
+  USING (doc_id)
+GROUP BY d.doc_id"""))
 def text_to_agnostic(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     mask = exclusive_features(spark, sf_dir, model)
