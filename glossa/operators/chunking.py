@@ -30,9 +30,6 @@ MODEL_MAX = 512
 BATCH_RECORDS = 2000       # records per merge batch
 ESTIMATE_SAMPLE = 10000    # records sampled by the chunk-count estimate
 
-PIECE_COLS = ["doc_id", "piece", "language", "source", "batch", "n_tokens", "text"]
-
-
 def id_hash(id_col) -> Column:
     """A uniform 32-bit number of an id: the first 8 hex digits of
     ``md5(id)`` (the same in any engine that has md5)."""

@@ -17,7 +17,6 @@ chain adds no shuffle.  Counts per block are disjoint and are unioned.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -53,10 +52,6 @@ class SaeModel:
     sparsity: int
     blocks: list = field(default_factory=list)   # Broadcast[(lo, enc, dec)]
 
-    @property
-    def topk_active(self) -> bool:
-        return 0 < self.sparsity < self.dict_size
-
 
 def load_model(atoms: DataFrame, sparsity: int,
                max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> SaeModel:

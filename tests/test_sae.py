@@ -126,3 +126,18 @@ def test_bad_dictionary_rejected(spark, data):
     atoms = _atoms(spark, enc).filter(F.col("feature") != 3)
     with pytest.raises(ValueError):
         sae.load_model(atoms, 4)
+
+
+def test_raw_stats_across_blocks(spark, data):
+    x, enc = data
+    df = _vecs(spark, x)
+    one = {r["id"]: (r["n_fired"], r["raw_sum"], r["raw_max"]) for r in
+           sae.raw_activation_stats(df, sae.load_model(_atoms(spark, enc), 5)).collect()}
+    many = {r["id"]: (r["n_fired"], r["raw_sum"], r["raw_max"]) for r in
+            sae.raw_activation_stats(df, sae.load_model(_atoms(spark, enc), 5,
+                                                        max_block_bytes=8 * 8 * 2 * 9)).collect()}
+    raw, _ = _brute_topk(x, enc, 5)
+    for i in range(len(x)):
+        assert one[i][0] == many[i][0] == int((raw[i] > 1e-6).sum())
+        assert one[i][1] == pytest.approx(raw[i].sum()) and many[i][1] == pytest.approx(raw[i].sum())
+        assert one[i][2] == pytest.approx(raw[i].max()) and many[i][2] == pytest.approx(raw[i].max())
