@@ -83,3 +83,54 @@ def text_to_agnostic(spark, sf_dir):
     feats = sae.encode_topk(vecs, model, mask_features=mask)
     return feats.select("doc_id", F.size(sae.FEAT_IDX).cast("long").alias("n_features"),
                         r6(F.aggregate(sae.FEAT_VAL, F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def _tvec_sql(name: str, src: str) -> str:
+    """SQL twin of the default encoder followed by the in-task L2
+    normalisation of the retrieval kernel: (id, dim, value)."""
+    return rf"""
+{name}_tok AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+')) AS tok
+               FROM {src} WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),
+{name}_bk AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim,
+                     CAST(count(*) AS DOUBLE) AS c FROM {name}_tok GROUP BY id, dim),
+{name}_f AS (SELECT b.id, b.dim, CAST(CAST(b.c / sqrt(sum(b.c * b.c) OVER (PARTITION BY b.id)) AS FLOAT) AS DOUBLE) AS v
+             FROM {name}_bk b),
+{name} AS (SELECT id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12) AS v FROM {name}_f)"""
+
+
+RETRIEVE_TEXT_SQL = """
+qt AS (SELECT conv_id * 100 + turn AS id, 'query: ' || text AS t FROM conversations WHERE role = 'user'),
+dt AS (SELECT conv_id * 100 + turn AS id, 'passage: ' || text AS t FROM conversations WHERE role = 'assistant'),""" \
+    + _tvec_sql("qv", "qt") + "," + _tvec_sql("dv", "dt") + """,
+pairs AS (SELECT q.id AS qid, d.id AS doc_id, sum(q.v * d.v) AS score
+          FROM qv q JOIN dv d USING (dim) GROUP BY q.id, d.id),
+allp AS (SELECT q.id AS qid, d.id AS doc_id, coalesce(p.score, 0.0) AS score
+         FROM (SELECT DISTINCT id FROM qt) q CROSS JOIN (SELECT DISTINCT id FROM dt) d
+         LEFT JOIN pairs p ON p.qid = q.id AND p.doc_id = d.id),
+rk AS (SELECT qid, doc_id, score,
+              row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk FROM allp)"""
+
+MODEL = "intfloat/multilingual-e5-large"
+
+
+# D8 on texts: P3/P4 prefixes for an e5 model -> default encoder (U1) ->
+# cosine top 10 (P9, J4, L4) -> self matches removed (J5).  Queries are
+# user turns, documents assistant turns.
+@query("retrieve_text", with_ctes(RETRIEVE_TEXT_SQL, body="""
+SELECT qid, CAST(rnk AS BIGINT) AS rank, doc_id, round(score, 6) + 0.0 AS score
+FROM rk WHERE rnk <= 10"""))
+def retrieve_text(spark, sf_dir):
+    from glossa.functions import text as tx
+    from glossa.operators import retrieval
+    c = table(spark, sf_dir, "conversations")
+    tid = (F.col("conv_id") * 100 + F.col("turn")).alias("id")
+    q = c.filter(F.col("role") == "user").select(
+        tid, tx.with_query_prefix("text", F.lit(MODEL)).alias("text"))
+    d = c.filter(F.col("role") == "assistant").select(
+        tid, tx.with_passage_prefix(F.lit(""), "text", F.lit(MODEL)).alias("text"))
+    enc = encoder.HashedBagOfWords(DIM)
+    qv = encoder.encode_texts(q, enc, keep=("id",)).withColumnRenamed("id", "qid")
+    dv = encoder.encode_texts(d, enc, keep=("id",)).withColumnRenamed("id", "doc_id")
+    run = retrieval.exclude_self(retrieval.score_topk(qv, dv, 10))
+    return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id",
+                      r6(F.col("score")).alias("score"))
