@@ -163,8 +163,9 @@ def score_topk(queries: DataFrame, docs: DataFrame, k: int,
 
 
 def exclude_self(run: DataFrame, before_cut: bool = False, k: int | None = None) -> DataFrame:
-    """Drop ``doc_id = qid``.  Default: after the cut (k-1 remain for a
-    query that found itself); ranks are renumbered."""
+    """Drop ``doc_id = qid`` and renumber the ranks.  Default: after the
+    cut (k-1 remain for a query that found itself).  ``before_cut`` with
+    ``k``: the run was retrieved with k+1 per query and k are kept."""
     out = run.filter(F.col("doc_id") != F.col("qid"))
     wq = Window.partitionBy("qid").orderBy(F.col("rank"))
     out = out.withColumn("rank", F.row_number().over(wq))

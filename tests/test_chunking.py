@@ -42,3 +42,13 @@ def test_split_pieces(spark):
     p = chunking.split_long(docs).orderBy("piece").collect()
     assert [r["n_tokens"] for r in p] == [341, 341, 339]
     assert " ".join(r["text"] for r in p) == docs.first()["text"]
+
+
+def test_estimate_from_a_sample(spark):
+    docs = _docs(spark)
+    exact = {r["language"]: r["estimated"] for r in chunking.chunk_estimate(docs).collect()}
+    est = {r["language"]: (r["estimated"], r["total_items"]) for r in
+           chunking.chunk_estimate(docs, sample_size=60).collect()}
+    for lang, (e, total) in est.items():
+        assert total > 60
+        assert abs(e - exact[lang]) <= 0.35 * exact[lang]
