@@ -174,22 +174,36 @@ def exclude_self(run: DataFrame, before_cut: bool = False, k: int | None = None)
     return out
 
 
-def retrieval_metrics(run: DataFrame, qrels: DataFrame,
-                      ks: Iterable[int] = K_VALUES, by: Iterable[str] = ()) -> DataFrame:
-    """``(*by, metric, k, value)`` with metric in NDCG, MAP, Recall,
-    P: per query, then the mean over queries that are both judged (at least
-    one rel > 0) and retrieved.
+def ideal_from_grades(grades: DataFrame, keys: Iterable[str], ks: Iterable[int]) -> DataFrame:
+    """Ideal DCG@k and the number of relevant documents per query from
+    ``(*keys, rel, n)``: ``n`` judged documents of grade ``rel`` > 0.
 
-    Definitions (linear gain, log2 discount): DCG@k = sum rel_i/log2(i+1)
-    over ranks i <= k; IDCG from the judgments sorted by rel; AP@k = sum of
-    precision at each relevant rank <= k over the number of relevant docs;
-    Recall@k = relevant in top k / relevant; P@k = relevant in top k / k.
-    """
+    The ideal list is the grades in descending order, so grade g fills the
+    positions after the counts of the higher grades; only positions <= k
+    are summed.  Works from counts - no window over the judgments of a
+    query, however many it has."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(F.col("rel").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    g = grades.filter(F.col("rel") > 0).withColumn(
+        "_start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    aggs = [F.sum("n").alias("n_rel")]
+    for k in ks:
+        last = F.least(F.col("_start") + F.col("n"), F.lit(k))
+        disc = F.aggregate(F.sequence(F.col("_start") + 1, last), F.lit(0.0),
+                           lambda acc, i: acc + F.lit(1.0) / F.log2(i + F.lit(1.0)))
+        aggs.append(F.sum(F.when(F.col("_start") < k, F.col("rel") * disc).otherwise(0.0))
+                    .alias(f"idcg_{k}"))
+    return g.groupBy(*keys).agg(*aggs)
+
+
+def metrics_from_judged(judged: DataFrame, ideal: DataFrame, ks: Iterable[int] = K_VALUES,
+                        by: Iterable[str] = ()) -> DataFrame:
+    """A28 from a run whose rows carry their grade (``rel``, 0 = not
+    relevant) and per-query ideal values (``ideal_from_grades``)."""
     by = list(by)
     ks = [int(k) for k in ks]
     keys = by + ["qid"]
-    judged = (run.join(qrels.select(*keys, "doc_id", "rel"), keys + ["doc_id"], "left")
-              .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))))
     wr = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     is_rel = (F.col("rel") > 0).cast("long")
     judged = judged.withColumn("hits_so_far", F.sum(is_rel).over(wr))
@@ -202,13 +216,6 @@ def retrieval_metrics(run: DataFrame, qrels: DataFrame,
                  F.sum(F.when(inside & (F.col("rel") > 0), 1).otherwise(0)).alias(f"hit_{k}"),
                  F.sum(F.when(inside & (F.col("rel") > 0), prec).otherwise(0.0)).alias(f"ap_{k}")]
     per_q = judged.groupBy(*keys).agg(*aggs)
-    wi = Window.partitionBy(*keys).orderBy(F.col("rel").desc(), F.col("doc_id"))
-    ideal = (qrels.filter(F.col("rel") > 0).withColumn("irank", F.row_number().over(wi))
-             .groupBy(*keys).agg(
-                 F.count(F.lit(1)).alias("n_rel"),
-                 *[F.sum(F.when(F.col("irank") <= k,
-                                F.col("rel") / F.log2(F.col("irank") + F.lit(1.0)))
-                         .otherwise(0.0)).alias(f"idcg_{k}") for k in ks]))
     q = per_q.join(ideal, keys)
     cols = []
     for k in ks:
@@ -224,6 +231,27 @@ def retrieval_metrics(run: DataFrame, qrels: DataFrame,
     return long.groupBy(*by, "metric", "k").agg(F.avg("value").alias("value"))
 
 
+def retrieval_metrics(run: DataFrame, qrels: DataFrame,
+                      ks: Iterable[int] = K_VALUES, by: Iterable[str] = ()) -> DataFrame:
+    """``(*by, metric, k, value)`` with metric in NDCG, MAP, Recall,
+    P: per query, then the mean over queries that are both judged (at least
+    one rel > 0) and retrieved.  ``qrels`` is an explicit judgment table.
+
+    Definitions (linear gain, log2 discount): DCG@k = sum rel_i/log2(i+1)
+    over ranks i <= k; IDCG from the judgments sorted by rel; AP@k = sum of
+    precision at each relevant rank <= k over the number of relevant docs;
+    Recall@k = relevant in top k / relevant; P@k = relevant in top k / k.
+    """
+    by = list(by)
+    ks = [int(k) for k in ks]
+    keys = by + ["qid"]
+    judged = (run.join(qrels.select(*keys, "doc_id", "rel"), keys + ["doc_id"], "left")
+              .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))))
+    grades = (qrels.filter(F.col("rel") > 0).groupBy(*keys, "rel")
+              .agg(F.count(F.lit(1)).alias("n")))
+    return metrics_from_judged(judged, ideal_from_grades(grades, keys, ks), ks, by)
+
+
 def pending(requested: DataFrame, existing: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Requested keys without a result yet (``left_anti``), to be
     computed before any scoring; ``overwrite`` callers skip this."""

@@ -23,11 +23,28 @@ def f6(spark, sf_dir):
     queries = emb.filter(F.col("vec_id") % QUERY_MOD == 0).select(
         F.col("vec_id").alias("qid"), "label", "embedding")
     docs = emb.select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    qrels = (queries.select("qid", "label").join(docs.select("doc_id", "label"), "label")
-             .filter(F.col("doc_id") != F.col("qid"))
-             .select("qid", "doc_id",
-                     F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel")))
-    return queries, docs, qrels
+    return queries, docs
+
+
+def f6_judged(run, queries, docs):
+    """F6 judgments are a rule, so they are evaluated on the retrieved rows
+    only (no table of all same-label pairs): rel = 2 for a same-label
+    document with an even id, 1 for another same-label document, 0 else;
+    the self pair is not judged.  The ideal lists come from counts of
+    (label, parity) minus the query itself."""
+    d = docs.select("doc_id", F.col("label").alias("d_label"))
+    q = queries.select("qid", F.col("label").alias("q_label"))
+    same = (F.col("d_label") == F.col("q_label")) & (F.col("doc_id") != F.col("qid"))
+    judged = (run.join(q, "qid").join(d, "doc_id")
+              .withColumn("rel", F.when(same, F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1))
+                          .otherwise(0)))
+    par = docs.groupBy(F.col("label").alias("q_label"),
+                       (F.col("doc_id") % 2 == 0).alias("even")).agg(F.count(F.lit(1)).alias("cnt"))
+    grades = (q.join(par, "q_label")
+              .select("qid", F.when(F.col("even"), 2).otherwise(1).alias("rel"),
+                      (F.col("cnt") - F.when((F.col("qid") % 2 == 0) == F.col("even"), 1)
+                       .otherwise(0)).alias("n")))
+    return judged, grades
 
 
 F6_SQL = """
@@ -48,7 +65,7 @@ ranked AS (SELECT qid, doc_id, score,
 SELECT qid, CAST(rnk AS BIGINT) AS rank, doc_id, round(score, 6) + 0.0 AS score
 FROM ranked WHERE rnk <= 10"""))
 def cosine_topk(spark, sf_dir):
-    q, d, _ = f6(spark, sf_dir)
+    q, d = f6(spark, sf_dir)
     run = retrieval.score_topk(q, d, TOP_K)
     return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id",
                       r6(F.col("score")).alias("score"))
@@ -58,7 +75,7 @@ def cosine_topk(spark, sf_dir):
 SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY rnk) AS BIGINT) AS rank, doc_id
 FROM ranked WHERE rnk <= 10 AND doc_id <> qid"""))
 def self_excluded(spark, sf_dir):
-    q, d, _ = f6(spark, sf_dir)
+    q, d = f6(spark, sf_dir)
     run = retrieval.exclude_self(retrieval.score_topk(q, d, TOP_K))
     return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id")
 
@@ -94,9 +111,11 @@ SELECT metric, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM (
   UNION ALL SELECT 'Recall', k, avg(recall) FROM metrics GROUP BY k
   UNION ALL SELECT 'P', k, avg(prec) FROM metrics GROUP BY k)"""))
 def retrieval_metrics(spark, sf_dir):
-    q, d, qrels = f6(spark, sf_dir)
+    q, d = f6(spark, sf_dir)
     run = retrieval.exclude_self(retrieval.score_topk(q, d, RUN_K))
-    m = retrieval.retrieval_metrics(run, qrels)
+    judged, grades = f6_judged(run, q, d)
+    ks = retrieval.K_VALUES
+    m = retrieval.metrics_from_judged(judged, retrieval.ideal_from_grades(grades, ["qid"], ks), ks)
     return m.select("metric", F.col("k").cast("int").alias("k"), r6(F.col("value")).alias("value"))
 
 
@@ -109,7 +128,7 @@ FROM embeddings WHERE vec_id % 50 = 0
 UNION ALL
 SELECT 'doc', vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) FROM embeddings""")
 def canonical_ids(spark, sf_dir):
-    q, d, _ = f6(spark, sf_dir)
+    q, d = f6(spark, sf_dir)
     both = (q.select(F.lit("query").alias("kind"), F.col("qid").alias("id"))
             .unionByName(d.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"))))
     return ranking.row_number_scalable(both, ["kind"], ["id"], out_col="position")
@@ -157,7 +176,7 @@ SELECT dataset, threshold FROM req
 WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.dataset = req.dataset
                   AND h.threshold = req.threshold)""")
 def results_pending(spark, sf_dir):
-    q, _, _ = f6(spark, sf_dir)
+    q, _ = f6(spark, sf_dir)
     ds = q.select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("dataset"),
                   "label").distinct()
     req = ds.select("dataset", F.explode(F.array(*[F.lit(t) for t in (0.55, 0.60, 0.65)]))

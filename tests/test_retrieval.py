@@ -65,3 +65,23 @@ def test_l2_normalize_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
     got = [r[0] for r in df.select(retrieval.l2_normalize("v")).collect()]
     assert got[0] == [0.0, 0.0] and got[1] == pytest.approx([0.6, 0.8])
+
+
+def test_rule_judgments_equal_explicit_qrels(spark):
+    from glossa.plans.q_retrieval import f6, f6_judged
+    from conftest import SF_SMALL
+    q, d = f6(spark, SF_SMALL)
+    run = retrieval.exclude_self(retrieval.score_topk(q, d, 50))
+    judged, grades = f6_judged(run, q, d)
+    ks = [1, 5, 20, 1000]
+    a = retrieval.metrics_from_judged(judged, retrieval.ideal_from_grades(grades, ["qid"], ks), ks)
+    # the same judgments as an explicit table (fine at this size)
+    qrels = (q.select("qid", "label").join(d.select("doc_id", "label"), "label")
+             .filter(F.col("doc_id") != F.col("qid"))
+             .select("qid", "doc_id", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("rel")))
+    b = retrieval.retrieval_metrics(run, qrels, ks)
+    got = {(r["metric"], r["k"]): r["value"] for r in a.collect()}
+    want = {(r["metric"], r["k"]): r["value"] for r in b.collect()}
+    assert got.keys() == want.keys()
+    for key in got:
+        assert got[key] == pytest.approx(want[key], rel=1e-12), key
