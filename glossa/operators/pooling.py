@@ -14,13 +14,6 @@ from glossa.operators.sae import _matrix
 POOL_EPS = 1e-9     # fixed: denominator clamp of the masked mean
 
 
-def _sum_arrays(col):
-    # elementwise sum of the partial vectors of one document
-    lst = F.collect_list(col)
-    return F.aggregate(F.slice(lst, 2, F.size(lst)), F.element_at(lst, 1),
-                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-
-
 def mean_pool(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
               vec_col: str = "hidden", out_col: str = "embedding") -> DataFrame:
     """One vector per document, ``sum(h * mask) / max(sum(mask), 1e-9)``.
@@ -60,10 +53,12 @@ def mean_pool(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
                  pa.array(msum)], names=["_doc", "_s", "_m"])
 
     part = src.mapInArrow(run, schema)
-    pooled = part.groupBy("_doc").agg(_sum_arrays("_s").alias("_s"), F.sum("_m").alias("_m"))
-    return pooled.select(
-        F.col("_doc").alias(doc_col),
-        F.transform("_s", lambda v: v / F.greatest(F.col("_m"), F.lit(POOL_EPS))).alias(out_col))
+    sums = (part.select("_doc", "_m", F.posexplode("_s").alias("_dim", "_v"))
+            .groupBy("_doc", "_dim").agg(F.sum("_v").alias("_v"), F.sum("_m").alias("_m")))
+    pooled = sums.groupBy("_doc").agg(
+        F.sort_array(F.collect_list(F.struct("_dim", (F.col("_v") / F.greatest(
+            F.col("_m"), F.lit(POOL_EPS))).alias("_x")))).alias("_p"))   # dim entries
+    return pooled.select(F.col("_doc").alias(doc_col), F.col("_p._x").alias(out_col))
 
 
 def mean_pool_long(tokens: DataFrame, doc_col: str = "doc", mask_col: str = "mask",
