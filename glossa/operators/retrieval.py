@@ -24,6 +24,10 @@ from glossa.operators.sae import _matrix, limit_tasks
 from glossa.session import broadcast
 
 NORM_EPS = 1e-12                       # torch-style norm clamp
+# Scores are rounded to 12 decimals before ranking: the same cosine computed
+# for two identical documents at different positions of a matrix product
+# can differ in the last bits, and such ties must go to the lower doc id.
+SCORE_DECIMALS = 12
 DEFAULT_QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 DEFAULT_WORK_BYTES = 64 * 1024 * 1024
 # Fixed cut-offs of the evaluation.
@@ -77,7 +81,7 @@ def _topk_kernel(bc, dim: int, k: int, work_bytes: int):
             dm = dm / np.maximum(np.linalg.norm(dm, axis=1, keepdims=True), NORM_EPS)
             step = max(1, int(work_bytes // max(1, nq * 8)))
             for s in range(0, len(d_ids), step):
-                sc_ = qmat @ dm[s:s + step].T            # (nq, docs)
+                sc_ = np.round(qmat @ dm[s:s + step].T, SCORE_DECIMALS)   # (nq, docs)
                 pos, val = _exact_topk_cols(sc_, k)
                 cand_ids = np.concatenate([best_ids, d_ids[s:s + step][pos]], axis=1)
                 cand_val = np.concatenate([best_val, val], axis=1)

@@ -108,7 +108,7 @@ allp AS (SELECT q.id AS qid, d.id AS doc_id, coalesce(p.score, 0.0) AS score
          FROM (SELECT DISTINCT id FROM qt) q CROSS JOIN (SELECT DISTINCT id FROM dt) d
          LEFT JOIN pairs p ON p.qid = q.id AND p.doc_id = d.id),
 rk AS (SELECT qid, doc_id, score,
-              row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk FROM allp)"""
+              row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rnk FROM allp)"""
 
 MODEL = "intfloat/multilingual-e5-large"
 

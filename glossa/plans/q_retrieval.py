@@ -57,7 +57,7 @@ qn AS (SELECT qid, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_t
 dn AS (SELECT doc_id, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM d),
 scored AS (SELECT qn.qid, dn.doc_id, list_inner_product(qn.v, dn.v) AS score FROM qn, dn),
 ranked AS (SELECT qid, doc_id, score,
-                  row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk
+                  row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rnk
            FROM scored)"""
 
 
@@ -145,7 +145,7 @@ rn AS (SELECT vec_id, list_transform(v, lambda e: e / greatest(sqrt(list_sum(lis
 sc AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
        FROM rn a, rn b WHERE a.vec_id % 50 = 0),
 rk AS (SELECT qid, doc_id, score,
-              row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rnk FROM sc)"""
+              row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rnk FROM sc)"""
 
 
 @query("retrieve", with_ctes(F4_SQL, F5_SQL, EXCL_SQL, RETRIEVE_SQL, body="""
