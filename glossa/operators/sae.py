@@ -150,9 +150,16 @@ def _list(values: np.ndarray, keep: np.ndarray, typ: pa.DataType) -> pa.Array:
                                     pa.array(values[keep], typ))
 
 
+# Activations are ranked by their value rounded to 12 decimals: two equal
+# atoms can give values that differ in the last bits depending on their
+# position in the matrix product, and such ties must go to the lower id.
+RANK_DECIMALS = 12
+
+
 def _rowwise_sorted(idx: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort each row by value descending, then feature ascending."""
-    order = np.lexsort((idx, -val), axis=-1)
+    """Sort each row by value descending (at the rank precision), then
+    feature ascending."""
+    order = np.lexsort((idx, -np.round(val, RANK_DECIMALS)), axis=-1)
     return np.take_along_axis(idx, order, 1), np.take_along_axis(val, order, 1)
 
 
@@ -167,21 +174,20 @@ def _topk(raw: np.ndarray, k: int, lo: int) -> tuple[np.ndarray, np.ndarray, np.
         idx = np.broadcast_to(np.arange(d), (n, d)).copy()
         idx, val = _rowwise_sorted(idx, raw)
         return idx + lo, val, np.zeros(n)
-    part = np.argpartition(-raw, k - 1, axis=1)[:, :k]
-    val = np.take_along_axis(raw, part, 1)
-    kth = val.min(axis=1)
+    key = np.round(raw, RANK_DECIMALS)
+    part = np.argpartition(-key, k - 1, axis=1)[:, :k]
+    kkey = np.take_along_axis(key, part, 1).min(axis=1)
     # argpartition breaks ties at the boundary arbitrarily; redo those rows
     # so that equal values go to the lower feature id.
-    ties = np.nonzero((kth > 0) & ((raw >= kth[:, None]).sum(axis=1) > k))[0]
+    ties = np.nonzero((kkey > 0) & ((key >= kkey[:, None]).sum(axis=1) > k))[0]
     for r in ties:
-        row = raw[r]
-        above = np.nonzero(row > kth[r])[0]
-        equal = np.nonzero(row == kth[r])[0][: k - above.size]
-        sel = np.concatenate([above, equal])
-        part[r] = sel
-        val[r] = row[sel]
+        row = key[r]
+        above = np.nonzero(row > kkey[r])[0]
+        equal = np.nonzero(row == kkey[r])[0][: k - above.size]
+        part[r] = np.concatenate([above, equal])
+    val = np.take_along_axis(raw, part, 1)
     idx, val = _rowwise_sorted(part, val)
-    return idx + lo, val, kth
+    return idx + lo, val, val[:, k - 1].copy()
 
 
 def _sub_batches(n: int, width: int, work_bytes: int):

@@ -68,7 +68,7 @@ ths AS (SELECT unnest([0.55, 0.60, 0.65]::DOUBLE[]) AS threshold),
 masks AS (SELECT th.threshold, r.language, r.feature FROM rates r, ths th
           WHERE r.n / r.total * 100.0 >= th.threshold * 100.0),
 topk_all AS (SELECT vec_id, language, feature, value,
-                    row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, feature) AS rnk
+                    row_number() OVER (PARTITION BY vec_id ORDER BY round(value, 12) DESC, feature) AS rnk
              FROM raw),
 topk AS (SELECT * FROM topk_all WHERE rnk <= 16 AND value > 0),
 kth AS (SELECT vec_id, max(CASE WHEN rnk = 16 THEN value END) AS kth_value

@@ -61,7 +61,7 @@ tv AS (SELECT bk.doc_id, bk.dim, CAST(CAST(bk.c / nrm.n AS FLOAT) AS DOUBLE) AS
 traw AS (SELECT tv.doc_id, d.feature, greatest(sum(tv.v * d.w), 0.0) AS value
          FROM tv JOIN atom_dims d USING (dim) GROUP BY tv.doc_id, d.feature),
 tsel AS (SELECT doc_id, feature, value FROM (
-           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, feature) AS rnk
+           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(value, 12) DESC, feature) AS rnk
            FROM traw) WHERE rnk <= 16 AND value > 0),
 texcl AS (SELECT feature FROM masks WHERE threshold = 0.55
           GROUP BY feature HAVING count(DISTINCT language) = 1)"""

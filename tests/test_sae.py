@@ -22,7 +22,7 @@ def _brute_topk(x, enc, k):
     raw = np.maximum(x.astype(np.float32).astype(np.float64) @ enc.T, 0)
     out = []
     for r in raw:
-        order = sorted(range(len(r)), key=lambda j: (-r[j], j))
+        order = sorted(range(len(r)), key=lambda j: (-round(r[j], 12), j))
         sel = order[:k] if 0 < k < len(r) else order
         out.append([(j, r[j]) for j in sel if r[j] > 0])
     return raw, out
