@@ -120,3 +120,19 @@ def test_json_array_and_single_object(spark, tmp):
     with open(q, "w", encoding="utf-8") as f:
         json.dump({"text": "solo"}, f, indent=2)
     assert [r["text"] for r in readers.read_json_records(spark, q).collect()] == ["solo"]
+
+
+def test_last_wins_follows_line_order_across_splits(spark, tmp):
+    p = os.path.join(tmp, "big.tsv")
+    lines = [f"{i % 50}\tv{i}" for i in range(20000)]
+    _write(p, lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        src = readers.read_lines(spark, p)
+        assert src.rdd.getNumPartitions() > 4
+        got = {r["id"]: r["text"] for r in readers.parse_lookup(src).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {str(i % 50): f"v{i}" for i in range(20000)}
+    assert got == want
