@@ -19,7 +19,6 @@ MASK_THRESHOLD = 0.55     # masks at 55 % (0.8 gives an empty mask on this data)
 THRESHOLDS = (0.55, 0.60, 0.65)
 AUX_COEFF = 1.0
 AUX_TARGET = 0.02
-QUERY_MOD = 50            # F6: queries are vec_id % 50 = 0
 
 
 # dictionary model -------------------------------------------------------

@@ -1,5 +1,5 @@
-"""Retrieval queries over F6: queries are vectors with vec_id % 50 = 0,
-documents are all vectors (self matches exist), judgments: rel 2 for a
+"""Retrieval queries over F6: every vector is a query and every vector a
+document (so self matches exist), judgments: rel 2 for a
 same-label document with an even id, 1 for another same-label document,
 the self pair unjudged.  P9, J4-J6, L4, L7, A28, D8, D9, K4, J8."""
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.numeric import r6
 from glossa.operators import ranking, retrieval, sae
-from glossa.plans.fixtures import F4_SQL, F5_SQL, QUERY_MOD, f4_model, with_ctes
+from glossa.plans.fixtures import F4_SQL, F5_SQL, f4_model, with_ctes
 from glossa.plans.q_sae import EXCL_SQL, exclusive_features
 from glossa.plans.registry import query
 from glossa.sources.tables import table
@@ -20,7 +20,7 @@ RUN_K = 1000          # the SAE evaluation path keeps 1000 per query
 
 def f6(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    queries = emb.filter(F.col("vec_id") % QUERY_MOD == 0).select(
+    queries = emb.select(
         F.col("vec_id").alias("qid"), "label", "embedding")
     docs = emb.select(F.col("vec_id").alias("doc_id"), "label", "embedding")
     return queries, docs
@@ -48,8 +48,7 @@ def f6_judged(run, queries, docs):
 
 
 F6_SQL = """
-q AS (SELECT vec_id AS qid, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-      WHERE vec_id % 50 = 0),
+q AS (SELECT vec_id AS qid, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 qrels AS (SELECT q.qid, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 2 ELSE 1 END AS rel
           FROM q JOIN d USING (label) WHERE d.doc_id <> q.qid),
@@ -124,7 +123,7 @@ def retrieval_metrics(spark, sf_dir):
 @query("canonical_ids", """
 SELECT 'query' AS kind, vec_id AS id,
        CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) AS position
-FROM embeddings WHERE vec_id % 50 = 0
+FROM embeddings
 UNION ALL
 SELECT 'doc', vec_id, CAST(row_number() OVER (ORDER BY vec_id) AS BIGINT) FROM embeddings""")
 def canonical_ids(spark, sf_dir):
@@ -143,7 +142,7 @@ rv AS (SELECT vec_id, list(r ORDER BY dim) AS v FROM (
          LEFT JOIN recon_m m ON m.vec_id = x.vec_id AND m.dim = g.dim) GROUP BY vec_id),
 rn AS (SELECT vec_id, list_transform(v, lambda e: e / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12)) AS v FROM rv),
 sc AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score
-       FROM rn a, rn b WHERE a.vec_id % 50 = 0),
+       FROM rn a, rn b),
 rk AS (SELECT qid, doc_id, score,
               row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rnk FROM sc)"""
 
@@ -157,7 +156,7 @@ def retrieve(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     agn = sae.decode(sae.encode_topk(emb, model, mask_features=mask), model)
     vecs = agn.select("vec_id", F.col(sae.RECON).alias("embedding"))
-    q = vecs.filter(F.col("vec_id") % QUERY_MOD == 0).withColumnRenamed("vec_id", "qid")
+    q = vecs.withColumnRenamed("vec_id", "qid")
     d = vecs.withColumnRenamed("vec_id", "doc_id")
     run = retrieval.exclude_self(retrieval.score_topk(q, d, TOP_K))
     return run.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id")
@@ -168,10 +167,9 @@ def retrieve(spark, sf_dir):
 # the rest is computed.
 @query("results_pending", """
 WITH req AS (SELECT DISTINCT 'label_' || CAST(label AS VARCHAR) AS dataset, t.threshold
-             FROM embeddings, (SELECT unnest([0.55, 0.60, 0.65]::DOUBLE[]) AS threshold) t
-             WHERE vec_id % 50 = 0),
+             FROM embeddings, (SELECT unnest([0.55, 0.60, 0.65]::DOUBLE[]) AS threshold) t),
      have AS (SELECT DISTINCT 'label_' || CAST(label AS VARCHAR) AS dataset, 0.55::DOUBLE AS threshold
-              FROM embeddings WHERE vec_id % 50 = 0 AND label % 2 = 0)
+              FROM embeddings WHERE label % 2 = 0)
 SELECT dataset, threshold FROM req
 WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.dataset = req.dataset
                   AND h.threshold = req.threshold)""")
