@@ -196,16 +196,26 @@ def _sub_batches(n: int, width: int, work_bytes: int):
         yield s, min(n, s + step)
 
 
+MAX_TASKS_CONF = "spark.glossa.maxPartialTasks"
+
+
 def limit_tasks(df: DataFrame, max_tasks: int | None = None) -> DataFrame:
     """Cap the number of tasks that emit fixed-size partial vectors.
 
     A task's partial result (a count vector, a usage vector, a gradient)
     has the size of the model, not of its rows, so the shuffle after it
-    grows with the number of tasks.  Above ``max_tasks`` (default: the
-    cluster's cores) input splits are coalesced - no shuffle, every core
-    still busy - so the shuffle is cores x model size, independent of the
-    data size."""
-    target = max_tasks or cores(df.sparkSession)
+    grows with the number of tasks.  Above ``max_tasks`` input splits are
+    coalesced (no shuffle), so the shuffle is bounded by max_tasks x model
+    size, independent of the data size.  Default: the session setting
+    ``spark.glossa.maxPartialTasks``, else the larger of the cluster's
+    current cores and ``spark.sql.shuffle.partitions`` (so an autoscaling
+    cluster that has not scaled up yet is not pinned to a few tasks)."""
+    spark = df.sparkSession
+    target = max_tasks
+    if target is None:
+        conf = spark.conf.get(MAX_TASKS_CONF, None)
+        target = int(conf) if conf else max(
+            cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = num_partitions(df)
     if n is not None and n > target:
         return df.coalesce(target)
