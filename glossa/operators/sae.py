@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_type
 
 from glossa.session import broadcast, cores, num_partitions
@@ -661,21 +662,22 @@ def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
                         .unionByName(_feature_stats(enc, model, vec_col, work_bytes)))
     partials = raw_partials.groupBy(GROUP, "stat", "idx").agg(F.sum("value").alias("value"))
     stat = F.col("stat")
-    m = partials.groupBy(GROUP).agg(
+    # the row count of each group sits on one partial row; a window over the
+    # group's partials (dictionary + dimension rows) brings it to the usage
+    # rows, so the aux deficit is summed in the same aggregation
+    n_grp = F.max(F.when(stat == "n", F.col("value"))).over(Window.partitionBy(GROUP))
+    deficit = F.greatest(F.lit(aux_target) - F.col("value") / F.col("_n"), F.lit(0.0))
+    m = partials.withColumn("_n", n_grp).groupBy(GROUP).agg(
         *[F.max(F.when(stat == s, F.col("value"))).alias(s)
           for s in ("n", "sq", "res", "l1", "l0")],
         F.sum(F.when(stat == "xsum", F.col("value") * F.col("value"))).alias("xsum_sq"),
         F.sum(F.when(stat == "alive", (F.col("value") == 0).cast("double"))).alias("n_dead"),
-        # one usage sum per dictionary feature: bounded by the model size
-        F.collect_list(F.when(stat == "usage", F.col("value"))).alias("_usage"),
+        F.sum(F.when(stat == "usage", deficit * deficit)).alias("_aux_sum"),
     )
     mse = F.col("res") / (F.col("n") * dim)
     var = (F.col("sq") - F.col("xsum_sq") / F.col("n")) / (F.col("n") * dim)
     fvu = F.lit(1.0) - ((var - mse) / (var + FVU_EPS))
-    aux = F.aggregate(
-        F.col("_usage"), F.lit(0.0),
-        lambda acc, u: acc + F.pow(F.greatest(F.lit(aux_target) - u / F.col("n"), F.lit(0.0)), 2),
-    ) / dsz * aux_coeff
+    aux = F.coalesce(F.col("_aux_sum"), F.lit(0.0)) / dsz * aux_coeff
     l1_mean = F.col("l1") / (F.col("n") * dsz)
     out = m.select(
         F.col(GROUP).alias(group_col or GROUP),
