@@ -50,6 +50,8 @@ def language_counts(df: DataFrame, language_col: str = "language") -> DataFrame:
 def balance_target(counts: DataFrame, languages: Sequence[str] | None = None) -> int:
     """A2: the smallest language count; a configured language without rows
     counts as 0 and is an error."""
+    if languages is not None:       # only the configured languages reach the driver
+        counts = counts.filter(F.col("language").isin(list(languages)))
     rows = {r["language"]: r["n"] for r in counts.collect()}   # one row per language
     langs = list(languages) if languages is not None else sorted(rows)
     missing = [lang for lang in langs if rows.get(lang, 0) == 0]
