@@ -141,3 +141,19 @@ def test_raw_stats_across_blocks(spark, data):
         assert one[i][0] == many[i][0] == int((raw[i] > 1e-6).sum())
         assert one[i][1] == pytest.approx(raw[i].sum()) and many[i][1] == pytest.approx(raw[i].sum())
         assert one[i][2] == pytest.approx(raw[i].max()) and many[i][2] == pytest.approx(raw[i].max())
+
+
+def test_partial_emitters_are_capped(spark, data):
+    x, enc = data
+    df = _vecs(spark, x).repartition(12)
+    assert sae.limit_tasks(df, 3).rdd.getNumPartitions() == 3
+    assert sae.limit_tasks(df, 50).rdd.getNumPartitions() == 12
+    spark.conf.set(sae.MAX_TASKS_CONF, "5")
+    try:
+        assert sae.limit_tasks(df).rdd.getNumPartitions() == 5
+        model = sae.load_model(_atoms(spark, enc), 5)
+        a = sae.firing_counts(df, model)
+    finally:
+        spark.conf.unset(sae.MAX_TASKS_CONF)
+    b = sae.firing_counts(_vecs(spark, x), model)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
