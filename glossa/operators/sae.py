@@ -53,6 +53,12 @@ class SaeModel:
     sparsity: int
     blocks: list = field(default_factory=list)   # Broadcast[(lo, enc, dec)]
 
+    def release(self) -> None:
+        """Drop the broadcast blocks from the executors once the jobs that
+        use this model have run."""
+        for b in self.blocks:
+            b.unpersist()
+
 
 def load_model(atoms: DataFrame, sparsity: int,
                max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> SaeModel:
