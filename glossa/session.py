@@ -10,6 +10,16 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+def _driver_memory() -> str:
+    """Local mode: half of the machine's memory, at most 8 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    mb = max(1024, min(8192, int(total * 0.5 / (1024 * 1024))))
+    return f"{mb}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "glossa") -> SparkSession:
     """A local session configured the way the cluster job expects.
@@ -28,7 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("GLOSSA_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("GLOSSA_DRIVER_MEMORY", _driver_memory()))
     )
     if not os.environ.get("GLOSSA_CHECKPOINT_DIR"):
         builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="glossa-ckpt-"))
