@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from glossa.llm.op2_tokens import op2_token_files
+from glossa.llm.op6_packing import op6_best_fit_packing
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
