@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from glossa.llm.op2_tokens import op2_token_files
+from glossa.llm.op5_lines import OP5_SQL, op5_site_lines
 from glossa.llm.op6_packing import op6_best_fit_packing
 from glossa.llm.op8_quality import op8_quality_rules
 from glossa.llm.op9_mixing import op9_mix_sources
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op5_site_lines": op5_site_lines,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_site_lines": OP5_SQL,
+}
