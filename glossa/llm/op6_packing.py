@@ -39,6 +39,7 @@ CAPACITY = 4096
 SMALL_PART = 8        # lengths above capacity / 8 are large
 GROUPS = 24
 MAX_COLUMNS = 400     # of column generation; it usually ends before
+ENCODE_ROWS = 256
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
@@ -55,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         enc = encoder(tokenizer, "word")
         end = np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, ENCODE_ROWS) for b in batches for at in range(0, b.num_rows, ENCODE_ROWS)):
             keys = batch.column(0).to_pylist()
             out = []
             for key, ids in zip(keys, enc.encode(batch.column(1).to_pylist())):
@@ -73,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return docs.select(F.col(id_col).cast("long").alias("_id"),
-                       F.col(text_col).cast("string").cast("binary").alias("_text")).mapInArrow(encode, PIECES)
+                       F.col(text_col).cast("string").alias("_text")).mapInArrow(encode, PIECES)
 
 
 # --- the plan: lengths with counts -> segments -------------------------------

@@ -1,13 +1,18 @@
 """Token ids of whole texts by the public tokenizer files.
 
 Most words of a corpus repeat, so texts are cut where the tokenizer itself
-always cuts, and each distinct piece is encoded once per worker (a cache of
-at most ``CACHE_PIECES`` entries, emptied when full).  Cuts:
+always cuts, and a piece is encoded only when it is not among the recent
+ones of the worker (two generations of at most ``CACHE_PIECES`` entries:
+when the young one is full it becomes the old one, and pieces found in the
+old one move back).  Closing ASCII punctuation after a letter or digit is a
+token boundary too and is cached apart.  Cuts:
 
 * ``space``: before a single space between two non-space characters; the
   byte-level pattern always starts a new token there, and the space belongs
   to the token that follows;
-* ``word``: at ASCII white space, which the word tokenizer drops.
+* ``word``: at ASCII white space, which the word tokenizer drops; it folds
+  case, so A-Z is folded before the cache is asked (not in texts that hold
+  ``<|``, where a special token's own spelling counts).
 
 ``tests/llm/test_tokens.py`` holds both against whole-text encoding.
 """
@@ -16,11 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_CLOSING = ".,;:!?"
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,45 +45,79 @@ class PieceEncoder:
         if cut not in ("space", "word"):
             raise ValueError(cut)
         self.tok, self.cut = Tokenizer.from_file(path), cut
-        self.cache: dict = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.lead = " " if cut == "space" else ""
+        self.closers = _CLOSING if cut == "space" else _CLOSING.encode()
+        self.young: dict = {}       # keys: str for "space", bytes for "word"
+        self.old: dict = {}
+        self.closing: dict = {}
 
-    def _pieces(self, text: str) -> list[str]:
+    def _encode(self, texts: list) -> list[bytes]:
+        if self.cut == "word":
+            texts = [t.decode("utf-8") for t in texts]
+        return [array("I", e.ids).tobytes()
+                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _close(self, tail) -> bytes:
+        if tail not in self.closing:
+            if len(self.closing) > 10_000:
+                self.closing = {}
+            self.closing[tail] = self._encode([tail])[0]
+        return self.closing[tail]
+
+    def _learn(self, pieces: set) -> None:
+        """Bring ``pieces`` (none of them young) into the young cache."""
+        young, old = self.young, self.old
+        closed, todo = [], set()
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+                continue
+            core = p.rstrip(self.closers)
+            if len(core) < len(p) and core[-1:].isalnum():
+                closed.append((p, core))
+                if core in old:
+                    young[core] = old[core]
+                elif core not in young:
+                    todo.add(core)
+            else:
+                todo.add(p)
+        todo = list(todo)
+        lead = self.lead
+        young.update(zip(todo, self._encode([lead + p for p in todo] if lead else todo)))
+        for p, core in closed:
+            young[p] = young[core] + self._close(p[len(core):])
+
+    def _space_parts(self, text: str) -> tuple[list[str], set[str]]:
+        """First piece and the pieces after a single space; which are new."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        if not parts[0] or parts[0][-1].isspace():
-            return _SINGLE.split(text)
-        for p in set(parts).difference(self.cache):
-            if not p or p[0].isspace() or p[-1].isspace():
-                return _SINGLE.split(text)
-        return parts
+        head = parts.pop(0)
+        new = set(parts).difference(self.young)
+        if parts and (not head or head[-1].isspace()) or \
+                any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            head, *parts = _SINGLE.split(text)
+            new = set(parts).difference(self.young)
+        return [head, *parts], new
+
+    def _word_parts(self, text: str) -> tuple[list[bytes], set[bytes]]:
+        raw = text.encode("utf-8")
+        parts = (raw if b"<|" in raw else raw.lower()).split()
+        return parts, set(parts).difference(self.young)
 
     def encode(self, texts: list) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
-        ``texts``: str for ``space``, bytes for ``word``; None is empty."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
-        cache = self.cache
+        """Ids of each text as unsigned 32-bit integers; None is empty."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        cut = self._space_parts if self.cut == "space" else self._word_parts
+        split = [cut(t or "") for t in texts]
+        new: set = set()
+        for _, n in split:
+            new |= n
+        self._learn(new)
+        young = self.young
         if self.cut == "word":
-            split = [(t or b"").split() for t in texts]
-            new = set()
-            for parts in split:
-                new.update(set(parts).difference(cache))
-            keys = list(new)
-            cache.update(zip(keys, self._encode([k.decode("utf-8") for k in keys])))
-            return [b"".join([cache[p] for p in parts]) for parts in split]
-        split = [self._pieces(t or "") for t in texts]
-        new = set()
-        for parts in split:
-            new.update(set(parts[1:]).difference(cache))
-        keys = list(new)
-        cache.update(zip(keys, self._encode([" " + k for k in keys])))
-        heads = self._encode([parts[0] for parts in split])
-        return [h + b"".join([cache[p] for p in parts[1:]]) for h, parts in zip(heads, split)]
+            return [b"".join([young[p] for p in parts]) for parts, _ in split]
+        heads = self._encode([parts[0] for parts, _ in split])
+        return [h + b"".join([young[p] for p in parts[1:]]) for h, (parts, _) in zip(heads, split)]
 
 
 _ENCODERS: dict = {}
