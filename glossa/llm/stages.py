@@ -28,3 +28,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filesystem(path: str):
+    """(file system, path in it) of a folder as Spark names it."""
+    from pyarrow import fs
+    if "://" not in path:
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def read_table(path: str):
+    """Record batches of a stage table, from inside a task (for tables of a
+    proven size bound only)."""
+    import pyarrow.dataset as ds
+    fs, base = filesystem(path)
+    yield from ds.dataset(base, filesystem=fs, format="parquet").to_batches(batch_size=64)
