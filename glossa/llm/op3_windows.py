@@ -4,11 +4,8 @@ A window of 35 words is repeated if its word sequence starts anywhere else,
 in the same document or another.  Three passes over the texts, none of which
 shuffles a window that occurs once:
 
-1. *Count-min sketch.*  Every task counts its windows in two rows of cells
-   (counts stop at 2) and sends the sorted cell numbers as packed
-   differences, about a byte and a half a window.  The partition sketches
-   are merged by cell block, each block a stream into one small array, and
-   written as a bit per cell: estimated twice or more.  Merged cells only
+1. *Count-min sketch* of all windows, merged from partition sketches (see
+   ``sketches``): a bit per cell, estimated twice or more.  Merged cells only
    ever overestimate, so no repeated window is lost.
 2. *Exact grouping of the estimated ones.*  A task keeps its windows whose
    cells are set in both rows and sends each distinct one once per batch of
@@ -41,37 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels
-from glossa.llm.stages import read_table, stage_path, staged
+from glossa.llm.sketches import build_sketch, estimated_repeated, load_sketch, power_above
+from glossa.llm.stages import staged
 
 WINDOW = 35
 CELLS_PER_WINDOW = 3
 MAX_CELLS = 1 << 31
-BLOCK_CELLS = 1 << 22
-FLUSH_WINDOWS = 1 << 22
-BATCH_BYTES = 32 << 20
-BATCH_WINDOWS = 2 << 20
+BATCH_BYTES = 16 << 20
+BATCH_WINDOWS = 1 << 20
 SLICE_WINDOWS = 1 << 20
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_ROW_SALT = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted non-negative integers (below 2**32) as compressed differences."""
-    import zstandard
-    d = np.diff(values, prepend=values[:1] * 0).astype("<u4")
-    planes = d.view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    import zstandard
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-
-
-def _cells(h: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (kernels.mix64(h ^ _ROW_SALT[row]) if row else h) & np.uint64(cells - 1)
 
 
 def _text_windows(column, window: int):
@@ -83,107 +60,17 @@ def _text_windows(column, window: int):
         yield pack.first, w, lanes, np.flatnonzero(kernels.window_mask(w, window, len(h)))
 
 
-def _power(n: int) -> int:
-    return 1 << max(10, int(n - 1).bit_length())
-
-
-def sketch(docs: DataFrame, window: int, cells: int) -> str:
-    """Merged sketch of ``docs`` (column 0: text), written to the shared
-    folder; returns its path."""
-    block = min(BLOCK_CELLS, cells)
-
-    def count(batches):
-        held, size = [], 0
-
-        def flush():
-            h = np.concatenate(held)
-            rows = []
-            for row in (0, 1):
-                c = np.sort(_cells(h, row, cells)).astype(np.int64)
-                # at most two of each
-                keep = np.ones(len(c), dtype=bool)
-                keep[2:] = c[2:] != c[:-2]
-                c = c[keep]
-                at = np.searchsorted(c, np.arange(0, cells + 1, block))
-                rows += [(row, b, pack_sorted(c[at[b]:at[b + 1]] - b * block))
-                         for b in np.flatnonzero(np.diff(at)).tolist()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))],
-                names=["row", "block", "cells"])
-
-        for batch in batches:
-            for _, _, lanes, starts in _text_windows(batch.column(0), window):
-                held.append(lanes[0][starts])
-                size += len(starts)
-                if size >= FLUSH_WINDOWS:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def merge(batches):
-        key, counts = None, None
-
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-                 pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())],
-                names=["row", "block", "bits"])
-
-        for batch in batches:
-            for row, blk, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (row, blk) != key:
-                    if key is not None:
-                        yield done()
-                    key, counts = (row, blk), np.zeros(block, dtype=np.uint8)
-                u, n = np.unique(unpack_sorted(raw), return_counts=True)
-                counts[u] = np.minimum(2, counts[u] + n)
-        if key is not None:
-            yield done()
-
-    path = stage_path(docs.sparkSession, "sketch")
-    (docs.mapInArrow(count, "row int, block int, cells binary")
-     .repartition("row", "block").sortWithinPartitions("row", "block")
-     .mapInArrow(merge, "row int, block int, bits binary").write.parquet(path))
-    return path
-
-
-_LOADED: dict = {}
-
-
-def load_sketch(path: str, cells: int) -> list[np.ndarray]:
-    """Both rows of a merged sketch as bit arrays, once per worker."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        block = min(BLOCK_CELLS, cells)
-        rows = [np.zeros(cells // 8, dtype=np.uint8) for _ in (0, 1)]
-        for batch in read_table(path):
-            for row, blk, bits in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows[row][blk * block // 8:(blk + 1) * block // 8] = np.frombuffer(bits, np.uint8)
-        _LOADED[path] = rows
-    return _LOADED[path]
-
-
-def _estimated(h: np.ndarray, rows: list[np.ndarray], cells: int) -> np.ndarray:
-    ok = None
-    for row, bits in enumerate(rows):
-        c = _cells(h, row, cells)
-        hit = (bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1
-        ok = hit if ok is None else ok & hit
-    return ok.astype(bool)
-
-
 class _Batch:
     """Documents of a task until a flush: estimated windows with place."""
 
     def __init__(self):
-        self.docs, self.bytes, self.n = [], 0, 0
+        self.docs, self.rows, self.bytes, self.n = [], 0, 0, 0
         self.h0, self.h1, self.doc, self.at = [], [], [], []
 
     def add(self, column, ids, rows, cells, window) -> None:
-        base = len(self.docs)
+        base = self.rows
         for first, w, lanes, starts in _text_windows(column, window):
-            hit = starts[_estimated(lanes[0][starts], rows, cells)]
+            hit = starts[estimated_repeated(lanes[0][starts], rows, cells)]
             if len(hit):
                 d = np.searchsorted(w.first, hit, side="right") - 1
                 self.h0.append(lanes[0][hit])
@@ -191,7 +78,8 @@ class _Batch:
                 self.doc.append(base + first + d)
                 self.at.append(hit - w.first[d])
                 self.n += len(hit)
-        self.docs += list(zip(ids, column.to_pylist()))
+        self.docs.append((column, ids))
+        self.rows += len(column)
         self.bytes += column.nbytes
 
     def full(self) -> bool:
@@ -225,7 +113,7 @@ def _batches(batches, path, cells, window):
         part = batch.column(2)[0].as_py() if batch.num_rows else 0
         for at in range(0, batch.num_rows, 256):
             b = batch.slice(at, 256)
-            held.add(b.column(0), b.column(1).to_pylist(), rows, cells, window)
+            held.add(b.column(0), b.column(1), rows, cells, window)
             if held.full():
                 yield (part << 24) | seq, held
                 seq, held = seq + 1, _Batch()
@@ -303,8 +191,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                         F.spark_partition_id().cast("long").alias("_part"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     guess = size // 6 + 1                      # windows, roughly
-    cells = min(MAX_CELLS, _power(CELLS_PER_WINDOW * guess))
-    path = sketch(texts.select("_text"), window, cells)
+    cells = min(MAX_CELLS, power_above(CELLS_PER_WINDOW * guess))
+
+    def windows(batch):
+        for _, _, lanes, starts in _text_windows(batch.column(0), window):
+            yield lanes[0][starts]
+
+    path = build_sketch(texts.select("_text"), windows, cells)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slices = max(parts, guess // SLICE_WINDOWS)
     answers = staged(repeated_windows(texts, path, cells, window, slices), "answers")
@@ -314,16 +207,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             h0, _, _, doc, at, rank = held.keys()
             order = np.argsort(doc, kind="stable")
             doc, at, rank = doc[order], at[order].astype("<i4"), rank[order].astype("<i4")
-            cut = np.searchsorted(doc, np.arange(len(held.docs) + 1))
+            cut = np.searchsorted(doc, np.arange(held.rows + 1))
             check = int(h0.sum(dtype=np.uint64).astype(np.int64))
-            for lo in range(0, len(held.docs), 1024):
-                some = held.docs[lo:lo + 1024]
-                spans = list(zip(cut[lo:lo + len(some)], cut[lo + 1:lo + len(some) + 1]))
+            lo = 0
+            for texts_, ids in held.docs:
+                n = len(ids)
+                spans = list(zip(cut[lo:lo + n], cut[lo + 1:lo + n + 1]))
+                lo += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b] * len(some), pa.int64()), pa.array([1] * len(some), pa.int32()),
-                     pa.array([0] * len(some), pa.int32()), pa.array([len(h0)] * len(some), pa.int64()),
-                     pa.array([check] * len(some), pa.int64()), pa.array([d[0] for d in some], pa.int64()),
-                     pa.array([d[1] for d in some], pa.large_string()).cast(pa.string()),
+                    [pa.array([b] * n, pa.int64()), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int32()),
+                     pa.array([len(h0)] * n, pa.int64()), pa.array([check] * n, pa.int64()), ids, texts_,
                      pa.array([at[i:j].tobytes() for i, j in spans], pa.binary()),
                      pa.array([rank[i:j].tobytes() for i, j in spans], pa.binary())],
                     names=["b", "kind", "slice", "n", "sum", "id", "text", "at", "bits"])
