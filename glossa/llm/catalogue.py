@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.llm.op1_ngrams import op1_ngram_join
 from glossa.llm.op2_tokens import op2_token_files
 from glossa.llm.op3_windows import op3_repeated_windows
 from glossa.llm.op5_lines import OP5_SQL, op5_site_lines
@@ -10,6 +11,7 @@ from glossa.llm.op8_quality import op8_quality_rules
 from glossa.llm.op9_mixing import op9_mix_sources
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op3_repeated_windows": op3_repeated_windows,
     "op5_site_lines": op5_site_lines,
