@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.llm.op10_toxicity import op10_toxicity
 from glossa.llm.op1_ngrams import op1_ngram_join
 from glossa.llm.op2_tokens import op2_token_files
 from glossa.llm.op3_windows import op3_repeated_windows
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
