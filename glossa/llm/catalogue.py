@@ -6,6 +6,7 @@ from glossa.llm.op10_toxicity import op10_toxicity
 from glossa.llm.op1_ngrams import op1_ngram_join
 from glossa.llm.op2_tokens import op2_token_files
 from glossa.llm.op3_windows import op3_repeated_windows
+from glossa.llm.op4_substrings import op4_earlier_substrings
 from glossa.llm.op5_lines import OP5_SQL, op5_site_lines
 from glossa.llm.op6_packing import op6_best_fit_packing
 from glossa.llm.op8_quality import op8_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op3_repeated_windows": op3_repeated_windows,
+    "op4_earlier_substrings": op4_earlier_substrings,
     "op5_site_lines": op5_site_lines,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
