@@ -4,8 +4,9 @@ Most words of a corpus repeat, so texts are cut where the tokenizer itself
 always cuts, and a piece is encoded only when it is not among the recent
 ones of the worker (two generations of at most ``CACHE_PIECES`` entries:
 when the young one is full it becomes the old one, and pieces found in the
-old one move back).  Closing ASCII punctuation after a letter or digit is a
-token boundary too and is cached apart.  Cuts:
+old one move back).  Closing ASCII punctuation after a letter is a token
+boundary too and is cached apart; what remains of most pieces is one run of
+letters, which goes to the tokenizer's model directly.  Cuts:
 
 * ``space``: before a single space between two non-space characters; the
   byte-level pattern always starts a new token there, and the space belongs
@@ -23,7 +24,7 @@ import os
 import re
 from array import array
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _CLOSING = ".,;:!?"
 
@@ -38,6 +39,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that a byte-level vocabulary writes for each
+    byte: itself where printable, else the next free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {b: chr(b) for b in plain}
+    for i, b in enumerate(b for b in range(256) if b not in table):
+        table[b] = chr(256 + i)
+    return table
+
+
+class _Unclean(Exception):
+    """A piece that is empty or begins or ends with white space."""
+
+
+class _Pieces(dict):
+    """Ids of pieces; learns a missing one when it is asked for."""
+
+    def __init__(self, encoder: "PieceEncoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece) -> bytes:
+        ids = self[piece] = self.encoder.learn(piece)
+        return ids
+
+
 class PieceEncoder:
     def __init__(self, path: str, cut: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,79 +72,64 @@ class PieceEncoder:
         if cut not in ("space", "word"):
             raise ValueError(cut)
         self.tok, self.cut = Tokenizer.from_file(path), cut
-        self.lead = " " if cut == "space" else ""
-        self.closers = _CLOSING if cut == "space" else _CLOSING.encode()
-        self.young: dict = {}       # keys: str for "space", bytes for "word"
-        self.old: dict = {}
+        self.model = self.tok.model
+        self.letters = _byte_letters()
+        self.young, self.old = _Pieces(self), {}    # keys: str for "space", bytes for "word"
         self.closing: dict = {}
 
-    def _encode(self, texts: list) -> list[bytes]:
-        if self.cut == "word":
-            texts = [t.decode("utf-8") for t in texts]
-        return [array("I", e.ids).tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _close(self, tail) -> bytes:
+    def _close(self, tail: str) -> bytes:
         if tail not in self.closing:
             if len(self.closing) > 10_000:
                 self.closing = {}
-            self.closing[tail] = self._encode([tail])[0]
+            self.closing[tail] = self._encode(tail)
         return self.closing[tail]
 
-    def _learn(self, pieces: set) -> None:
-        """Bring ``pieces`` (none of them young) into the young cache."""
-        young, old = self.young, self.old
-        closed, todo = [], set()
-        for p in pieces:
-            if p in old:
-                young[p] = old[p]
-                continue
-            core = p.rstrip(self.closers)
-            if len(core) < len(p) and core[-1:].isalnum():
-                closed.append((p, core))
-                if core in old:
-                    young[core] = old[core]
-                elif core not in young:
-                    todo.add(core)
-            else:
-                todo.add(p)
-        todo = list(todo)
-        lead = self.lead
-        young.update(zip(todo, self._encode([lead + p for p in todo] if lead else todo)))
-        for p, core in closed:
-            young[p] = young[core] + self._close(p[len(core):])
-
-    def _space_parts(self, text: str) -> tuple[list[str], set[str]]:
-        """First piece and the pieces after a single space; which are new."""
-        parts = text.split(" ")
-        head = parts.pop(0)
-        new = set(parts).difference(self.young)
-        if parts and (not head or head[-1].isspace()) or \
-                any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-            head, *parts = _SINGLE.split(text)
-            new = set(parts).difference(self.young)
-        return [head, *parts], new
-
-    def _word_parts(self, text: str) -> tuple[list[bytes], set[bytes]]:
-        raw = text.encode("utf-8")
-        parts = (raw if b"<|" in raw else raw.lower()).split()
-        return parts, set(parts).difference(self.young)
+    def learn(self, piece) -> bytes:
+        ids = self.old.get(piece)
+        if ids is not None:
+            return ids
+        if self.cut == "space":
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise _Unclean
+            core = piece.rstrip(_CLOSING)
+            if not core.isalpha():
+                return self._encode(" " + piece)
+            word = "Ġ" + (core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters))
+        else:
+            piece = piece.decode("utf-8")
+            core = piece.rstrip(_CLOSING)
+            if not (core.isascii() and core.isalpha() and core.islower()):
+                return self._encode(piece)
+            word = core
+        ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return ids + self._close(piece[len(core):]) if len(core) < len(piece) else ids
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers; None is empty."""
         if len(self.young) > CACHE_PIECES:
-            self.young, self.old = {}, self.young
-        cut = self._space_parts if self.cut == "space" else self._word_parts
-        split = [cut(t or "") for t in texts]
-        new: set = set()
-        for _, n in split:
-            new |= n
-        self._learn(new)
-        young = self.young
-        if self.cut == "word":
-            return [b"".join([young[p] for p in parts]) for parts, _ in split]
-        heads = self._encode([parts[0] for parts, _ in split])
-        return [h + b"".join([young[p] for p in parts[1:]]) for h, (parts, _) in zip(heads, split)]
+            self.young, self.old = _Pieces(self), dict(self.young)
+        known = self.young.__getitem__
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self.cut == "word":
+                raw = text.encode("utf-8")
+                out.append(b"".join(map(known, (raw if b"<|" in raw else raw.lower()).split())))
+            else:
+                head, *parts = text.split(" ")
+                try:
+                    if parts and (not head or head[-1].isspace()):
+                        raise _Unclean
+                    rest = b"".join(map(known, parts))
+                except _Unclean:
+                    head, *parts = _SINGLE.split(text)
+                    rest = b"".join(map(known, parts))
+                out.append(self._encode(head) + rest)
+        return out
 
 
 _ENCODERS: dict = {}
