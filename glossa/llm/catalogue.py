@@ -9,6 +9,7 @@ from glossa.llm.op3_windows import op3_repeated_windows
 from glossa.llm.op4_substrings import op4_earlier_substrings
 from glossa.llm.op5_lines import OP5_SQL, op5_site_lines
 from glossa.llm.op6_packing import op6_best_fit_packing
+from glossa.llm.op7_search import OP7_SQL, op7_bm25_search
 from glossa.llm.op8_quality import op8_quality_rules
 from glossa.llm.op9_mixing import op9_mix_sources
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_earlier_substrings": op4_earlier_substrings,
     "op5_site_lines": op5_site_lines,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_bm25_search": op7_bm25_search,
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
@@ -26,4 +28,5 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op5_site_lines": OP5_SQL,
+    "op7_bm25_search": OP7_SQL,
 }
