@@ -451,9 +451,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component (all rows
-    of null ids stay; of rows that share the kept id all stay but exact
-    repeats of the text)."""
+    """Rows of ``docs`` whose id is the smallest of its component (rows of
+    null ids stay, and so do all rows that share the kept id)."""
     marks = jaccard_components(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id")
     out = marks.filter("_id <> component_id").select("_id").distinct()
     return docs.join(out, docs[id_col].cast("long") == out["_id"], "left_anti")
