@@ -1,8 +1,63 @@
-"""Corpus pipeline over ``documents`` (filled in with its stages)."""
+"""Corpus pipeline over ``documents``: quality rules, line dedup, n-gram
+Jaccard join, mixing to target weights, best-fit packing.
 
-STAGES: list = []
+Every stage works on all rows that its predecessor kept and is written as
+Parquet in the shared folder before the next one reads it, so a lost
+executor costs one stage at most.  All stages but the last return the
+columns of ``documents``; the last returns the place of every piece in the
+packed sequences.
+
+* quality: documents that fail the base rules or a certified cutoff go;
+* lines: boilerplate lines of a source leave the texts (a document whose
+  lines all go keeps its row with an empty text);
+* near_copies: of each group of linked documents the smallest id stays;
+* mixing: rows repeat, or hold part of their words, as the mix draws their
+  blocks; documents without a word are not drawn;
+* packing: token pieces of all rows are packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glossa.llm.op1_ngrams import one_per_group
+from glossa.llm.op5_lines import clean_documents
+from glossa.llm.op6_packing import pack_documents
+from glossa.llm.op8_quality import keep_good
+from glossa.llm.op9_mixing import mix_documents
+from glossa.llm.stages import staged, table
+from glossa.llm.tokens import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_per_group(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixing", mixing), ("packing", packing)]
+
+#: No SQL: near copies need a transitive closure and mixing its keyed hash;
+#: tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
