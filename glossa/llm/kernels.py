@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PACK_BYTES = 1 << 20
+PACK_BYTES = 1 << 18
 
 _M64 = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
