@@ -2,33 +2,33 @@
 
 * long texts (> max tokens) are cut into ``n = ceil(len / max)`` equal
   pieces of ``ceil(len / n)`` tokens (a generator, no shuffle);
-* pieces shorter than ``min`` tokens are merged greedily, in input order,
-  inside batches of ``batch_records`` input records (by id within the batch
-  keys), exactly like a buffer that is emitted once it reaches ``min``
-  tokens and flushed at the end of each batch.  A batch holds at most
-  ``batch_records`` records, so the fold (``applyInPandas``) works on
-  bounded groups whatever the skew of languages or sources; only the short
-  pieces are shuffled to it.
+* pieces shorter than ``min`` tokens are merged in input order, inside
+  batches of ``batch_records`` input records (by id within the batch keys):
+  a chunk grows until it has ``min`` tokens or the next piece would take it
+  over ``max``.  A batch holds about ``batch_records`` records, so its
+  array of short pieces is bounded whatever the skew of languages or
+  sources; chunk starts are a fold over the lengths (``aggregate``), and
+  chunks are slices of the array.  Only short pieces are shuffled, once.
+
+Tokens come from ``tokenizer``, an expression from a text column to an array
+of tokens (default: white space); ids keep the type they have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glossa.functions.text import tokens
-from glossa.operators.joins import join_small
 
 # Fixed values of the method.
 TARGET_MIN = 250           # shortest chunk aimed at
 TARGET_MAX = 510           # longest chunk (512 minus two special tokens)
 MODEL_MAX = 512
 BATCH_RECORDS = 2000       # records per merge batch
-ESTIMATE_SAMPLE = 10000    # records sampled by the chunk-count estimate
+SPECIAL_TOKENS = 2         # that the model adds to every text
 
 def id_hash(id_col) -> Column:
     """A uniform 32-bit number of an id: the first 8 hex digits of
@@ -42,8 +42,7 @@ def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_
     """``batch`` = ``id_hash(id) % n_batches`` with ``n_batches =
     ceil(records / batch_records)`` per ``batch_keys`` group: about
     ``batch_records`` records per batch, a pure function of the row, so no
-    text moves to number the batches; the counts table (one row per group)
-    is broadcast after a size check."""
+    text moves to number the batches (the counts have one row per group)."""
     keys = list(batch_keys)
     if not keys:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
@@ -52,17 +51,20 @@ def assign_batches(df: DataFrame, batch_keys: Sequence[str], id_col: str = "doc_
                       F.greatest(F.lit(1), F.floor((F.col("_n") + batch_records - 1)
                                                    / F.lit(batch_records))).cast("long").alias("_nb")))
     cond = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    joined = join_small(df, counts, cond, "inner")
+    joined = df.join(counts, cond)
     return (joined.withColumn("batch", F.pmod(id_hash(id_col), F.col("_nb")))
             .drop("_nb", "_all", *[f"_c_{k}" for k in keys]))
 
 
-def split_long(df: DataFrame, text_col: str = "text", max_len: int = TARGET_MAX) -> DataFrame:
+def split_long(df: DataFrame, text_col: str = "text", max_len: int = TARGET_MAX,
+               tokenizer: Callable = tokens, model_max: int | None = None) -> DataFrame:
     """One row per piece: ``piece`` (0-based), ``n_tokens``, ``text``
     (tokens joined by one space).  Texts of at most ``max_len`` tokens give
-    one piece; an empty text gives one empty piece."""
+    one piece; an empty text gives one empty piece.  With ``model_max`` every
+    piece is tokenised again and cut where it and the special tokens would
+    exceed it (P6): subwords can grow when a text is cut."""
     # tokenise once; every later expression reads the materialised column
-    with_toks = df.withColumn("_toks", tokens(F.col(text_col)))
+    with_toks = df.withColumn("_toks", tokenizer(F.col(text_col)))
     n = F.size("_toks")
     n_splits = F.ceil(n / F.lit(max_len))
     piece_len = F.when(n > max_len, F.ceil(n / n_splits)).otherwise(n).cast("int")
@@ -70,52 +72,24 @@ def split_long(df: DataFrame, text_col: str = "text", max_len: int = TARGET_MAX)
     starts = F.when(F.col("_n") > max_len, F.sequence(F.lit(0), F.col("_n") - 1, F.col("_plen"))) \
         .otherwise(F.array(F.lit(0)))
     out = sized.select("*", F.posexplode(starts).alias("piece", "_start"))
-    piece = F.slice(F.col("_toks"), F.col("_start") + 1, F.col("_plen"))
-    return (out.withColumn("_pt", piece)
-            .withColumn(text_col, F.array_join("_pt", " "))
+    out = out.withColumn("_pt", F.slice(F.col("_toks"), F.col("_start") + 1, F.col("_plen")))
+    if model_max is not None:
+        out = out.withColumn("_pt", F.slice(tokenizer(F.array_join("_pt", " ")), 1, model_max - SPECIAL_TOKENS))
+    return (out.withColumn(text_col, F.array_join("_pt", " "))
             .withColumn("n_tokens", F.size("_pt"))
             .drop("_toks", "_plen", "_start", "_pt", "_n"))
 
 
-_MERGED_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
-    T.StructField("language", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("batch", T.LongType()), T.StructField("n_tokens", T.IntegerType()),
-    T.StructField("n_fragments", T.IntegerType()), T.StructField("text", T.StringType()),
-])
-
-
-def _fold(min_len: int, max_len: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
-        out = []
-        buf_text, buf_len, buf_src, buf_first, buf_lang, buf_n = [], 0, set(), None, None, 0
-
-        def emit():
-            out.append((buf_first[0], buf_first[1], buf_lang, ",".join(sorted(buf_src)),
-                        batch, buf_len, buf_n, " ".join(t for t in buf_text if t)))
-
-        batch = int(pdf["batch"].iloc[0]) if len(pdf) else 0
-        for doc_id, piece, lang, src, n_tok, text in zip(
-                pdf["doc_id"], pdf["piece"], pdf["language"], pdf["source"],
-                pdf["n_tokens"], pdf["text"]):
-            if buf_len > 0 and buf_len + n_tok > max_len:
-                emit()
-                buf_text, buf_len, buf_src, buf_first, buf_n = [], 0, set(), None, 0
-            if buf_first is None:
-                buf_first = (int(doc_id), int(piece))
-            buf_text.append(text)
-            buf_len += int(n_tok)
-            buf_src.add(src)
-            buf_lang = lang
-            buf_n += 1
-            if buf_len >= min_len:
-                emit()
-                buf_text, buf_len, buf_src, buf_first, buf_n = [], 0, set(), None, 0
-        if buf_len > 0:
-            emit()
-        return pd.DataFrame(out, columns=[f.name for f in _MERGED_SCHEMA.fields])
-    return run
+def _chunk_starts(items: Column, min_len: int, max_len: int) -> Column:
+    """1-based positions at which a chunk starts, from the lengths ``n`` of
+    the pieces in order."""
+    def step(s: Column, p: Column) -> Column:
+        opens = (s["size"] >= min_len) | (s["size"] + p["n"] > max_len)
+        return F.struct(
+            F.when(opens, p["n"]).otherwise(s["size"] + p["n"]).alias("size"), (s["at"] + 1).alias("at"),
+            F.when(opens, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"))
+    zero = F.struct(F.lit(0).alias("size"), F.lit(1).alias("at"), F.array(F.lit(1)).alias("starts"))
+    return F.aggregate(items, zero, step, lambda s: s["starts"])
 
 
 def merge_short(pieces: DataFrame, batch_keys: Sequence[str],
@@ -123,47 +97,50 @@ def merge_short(pieces: DataFrame, batch_keys: Sequence[str],
     """Merge pieces of fewer than ``min_len`` tokens, per batch, in
     (doc_id, piece) order.  Output: first fragment's (doc_id, piece), the
     last fragment's language, sorted distinct sources joined by ',',
-    ``n_tokens``, ``n_fragments`` and the joined text."""
-    short = pieces.filter(F.col("n_tokens") < min_len).select(
-        F.col("doc_id").cast("long"), F.col("piece").cast("int"), F.col("language"),
-        F.col("source"), F.col("batch").cast("long"), F.col("n_tokens").cast("int"),
-        F.col("text"), *[F.col(k).alias(f"_k_{k}") for k in batch_keys])
-    keys = [f"_k_{k}" for k in batch_keys] + ["batch"]
-    return short.groupBy(*keys).applyInPandas(_fold(min_len, max_len), _MERGED_SCHEMA)
+    ``n_tokens``, ``n_fragments`` and the joined text; chunks without any
+    token are dropped."""
+    keys = [F.col(k).alias(f"_k_{k}") for k in batch_keys]
+    item = F.struct("doc_id", F.col("piece").cast("int").alias("piece"), F.col("n_tokens").cast("int").alias("n"),
+                    "language", "source", "text")
+    batches = (pieces.filter(F.col("n_tokens") < min_len)
+               .groupBy(*keys, F.col("batch").cast("long").alias("batch"))
+               .agg(F.array_sort(F.collect_list(item)).alias("_items")))
+    starts = batches.withColumn("_starts", _chunk_starts(F.col("_items"), min_len, max_len))
+    chunks = starts.select("batch", "_items", "_starts", F.posexplode("_starts").alias("_i", "_from"))
+    upto = F.coalesce(F.get("_starts", F.col("_i") + 1), F.size("_items") + 1)
+    frags = chunks.select("batch", F.slice("_items", F.col("_from"), upto - F.col("_from")).alias("f"))
+    total = F.aggregate("f", F.lit(0), lambda a, x: a + x["n"])
+    return frags.select(
+        F.col("f")[0]["doc_id"].alias("doc_id"), F.col("f")[0]["piece"].alias("piece"),
+        F.element_at("f", -1)["language"].alias("language"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("f.source"))), ",").alias("source"),
+        "batch", total.alias("n_tokens"), F.size("f").alias("n_fragments"),
+        F.array_join(F.filter(F.col("f.text"), lambda t: t != ""), " ").alias("text")).filter("n_tokens > 0")
 
 
 def smart_chunk(docs: DataFrame, batch_keys: Sequence[str] = ("language", "source"),
                 min_len: int = TARGET_MIN, max_len: int = TARGET_MAX,
-                batch_records: int = BATCH_RECORDS) -> DataFrame:
+                batch_records: int = BATCH_RECORDS, tokenizer: Callable = tokens,
+                model_max: int | None = None) -> DataFrame:
     """``(doc_id, piece, language, source, batch, n_tokens, n_fragments,
     text)``: pieces of ``min_len..max_len`` tokens pass through, long texts
-    are split (C1) and short pieces merged (C2).  ``docs`` has doc_id, text,
-    language, source."""
+    are split (C1) and short pieces merged (C2).  ``docs`` has doc_id (any
+    type), text, language, source."""
     batched = assign_batches(docs.select("doc_id", "text", "language", "source"),
                              list(batch_keys), "doc_id", batch_records)
-    pieces = split_long(batched, "text", max_len)
+    pieces = split_long(batched, "text", max_len, tokenizer, model_max)
     direct = (pieces.filter(F.col("n_tokens") >= min_len)
-              .select(F.col("doc_id").cast("long"), F.col("piece").cast("int"), "language",
-                      "source", F.col("batch").cast("long"), F.col("n_tokens").cast("int"),
-                      F.lit(1).alias("n_fragments"), "text"))
+              .select("doc_id", F.col("piece").cast("int").alias("piece"), "language",
+                      "source", F.col("batch").cast("long").alias("batch"),
+                      F.col("n_tokens").cast("int").alias("n_tokens"), F.lit(1).alias("n_fragments"), "text"))
     return direct.unionByName(merge_short(pieces, batch_keys, min_len, max_len))
 
 
-def chunk_estimate(docs: DataFrame, sample_size: int = ESTIMATE_SAMPLE, seed: int = 42,
-                   min_len: int = TARGET_MIN, max_len: int = TARGET_MAX) -> DataFrame:
-    """Per language ``total_items`` and ``estimated`` chunks =
-    ``int(total * chunks(sample) / sample)`` for a sample of ``sample_size``
-    records (the first in a seeded hash order, sources chunked together);
-    exact when the language has no more records than the sample."""
-    from glossa.operators.corpus import seeded_rank
-    ranked = seeded_rank(docs, ["language"], ["doc_id"], seed, out_col="_rn")
+def chunk_estimate(docs: DataFrame, min_len: int = TARGET_MIN, max_len: int = TARGET_MAX,
+                   tokenizer: Callable = tokens) -> DataFrame:
+    """Per language ``total_items`` and ``estimated``, the number of
+    chunks (sources chunked together), counted exactly at every size."""
     totals = docs.groupBy("language").agg(F.count(F.lit(1)).alias("total_items"))
-    sample = ranked.filter(F.col("_rn") <= sample_size).drop("_rn")
-    chunks = smart_chunk(sample, ["language"], min_len, max_len)
-    counts = chunks.groupBy("language").agg(F.count(F.lit(1)).alias("sample_chunks"))
-    return (totals.join(counts, "language", "left").fillna(0, ["sample_chunks"])
-            .withColumn("sample_items", F.least(F.col("total_items"), F.lit(sample_size)))
-            .withColumn("estimated", F.when(
-                F.col("total_items") > sample_size,
-                F.floor(F.col("total_items") * (F.col("sample_chunks") / F.col("sample_items"))))
-                .otherwise(F.col("sample_chunks")).cast("long")))
+    counts = (smart_chunk(docs, ["language"], min_len, max_len, tokenizer=tokenizer)
+              .groupBy("language").agg(F.count(F.lit(1)).alias("estimated")))
+    return totals.join(counts, "language", "left").fillna(0, ["estimated"])

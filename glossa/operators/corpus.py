@@ -13,9 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from glossa.functions.text import split_sources
-from glossa.operators.joins import join_small
 from glossa.operators.ranking import row_number_scalable
 
 DEFAULT_SEED = 42
@@ -62,47 +62,27 @@ def balance_target(counts: DataFrame, languages: Sequence[str] | None = None) ->
 
 def two_source_quota(avail_a: Column, avail_b: Column, max_items) -> tuple[Column, Column]:
     """Rows used from source a and source b for ``max_items`` per
-    language: half each; a short source is used whole and the other fills
-    up; a remainder is split (floor half to a, the rest to b, as far as each
-    has rows) and what is still missing comes from the source with more
-    left (ties: a).  Without source b, ``min(max_items, a)`` from a."""
-    m = F.lit(max_items) if not isinstance(max_items, Column) else max_items
-    t = F.floor(m / 2)
-    a0, b0 = F.least(t, avail_a), F.least(t, avail_b)
-    # both sources reach half: fill the remainder
-    rem = m - (a0 + b0)
-    add_a = F.least(F.floor(rem / 2), avail_a - a0)
-    add_b = F.least(rem - add_a, avail_b - b0)
-    a1, b1 = a0 + add_a, b0 + add_b
-    rem2 = m - a1 - b1
-    a_full = F.when((rem2 > 0) & ((avail_a - a1) >= (avail_b - b1)), F.least(a1 + rem2, avail_a)) \
-        .otherwise(a1)
-    b_full = F.when((rem2 > 0) & ((avail_a - a1) < (avail_b - b1)), F.least(b1 + rem2, avail_b)) \
-        .otherwise(b1)
-    a_full = F.when(rem > 0, a_full).otherwise(a0)
-    b_full = F.when(rem > 0, b_full).otherwise(b0)
-    used_a = (F.when(avail_b <= 0, F.least(m, avail_a))
-              .when(avail_b < t, F.least(m - avail_b, avail_a))
-              .when(avail_a < t, avail_a)
-              .otherwise(a_full))
-    used_b = (F.when(avail_b <= 0, F.lit(0))
-              .when(avail_b < t, avail_b)
-              .when(avail_a < t, F.least(m - avail_a, avail_b))
-              .otherwise(b_full))
-    return used_a.cast("long"), used_b.cast("long")
-
-
-def source_quotas(chunks: DataFrame, max_items: int | None, first_source: str,
-                  second_source: str) -> DataFrame:
-    """L6 per language: ``(language, available_a, available_b, used_a,
-    used_b)``; ``max_items=None`` uses everything."""
+    language: half from a (rounded down) and the rest from b, and what one
+    source lacks comes from the other."""
+    m = max_items if isinstance(max_items, Column) else F.lit(max_items)
+    used_b = F.least(avail_b, m - F.least(avail_a, F.floor(m / 2)))
+    return F.least(avail_a, m - used_b).cast("long"), used_b.cast("long")
+
+
+def source_quotas(chunks: DataFrame, first_source: str, second_source: str,
+                  max_items: int | None = None) -> DataFrame:
+    """A15 + A2 + L6 per language: ``(language, available_a, available_b,
+    used_a, used_b)``.  The quota of a language is the number of chunks of
+    the language that has fewest, or ``max_items`` if given and lower."""
     c = chunks.groupBy("language").agg(
         F.count_if(F.col("source") == first_source).alias("available_a"),
         F.count_if(F.col("source") == second_source).alias("available_b"))
-    if max_items is None:
-        return c.withColumn("used_a", F.col("available_a")).withColumn("used_b", F.col("available_b"))
-    ua, ub = two_source_quota(F.col("available_a"), F.col("available_b"), int(max_items))
-    return c.withColumn("used_a", ua).withColumn("used_b", ub)
+    quota = F.min(F.col("available_a") + F.col("available_b")).over(Window.partitionBy())   # a row per language
+    if max_items is not None:
+        quota = F.least(quota, F.lit(int(max_items)))
+    c = c.withColumn("_quota", quota)
+    ua, ub = two_source_quota(F.col("available_a"), F.col("available_b"), F.col("_quota"))
+    return c.withColumn("used_a", ua).withColumn("used_b", ub).drop("_quota")
 
 
 def quota_select(chunks: DataFrame, quotas: DataFrame, first_source: str,
@@ -114,12 +94,12 @@ def quota_select(chunks: DataFrame, quotas: DataFrame, first_source: str,
     q = quotas.select("language", "used_a", "used_b")
     quota = (F.when(F.col("source") == first_source, F.col("used_a"))
              .when(F.col("source") == second_source, F.col("used_b")).otherwise(F.lit(0)))
-    return (join_small(ranked, q, "language")
+    return (ranked.join(q, "language")
             .filter(F.col("_src_pos") <= quota).drop("used_a", "used_b", "_src_pos"))
 
 
-def build_language(chunks: DataFrame, max_items: int | None, first_source: str,
-                   second_source: str, id_cols: Sequence[str] = ("doc_id", "piece"),
+def build_language(chunks: DataFrame, first_source: str, second_source: str,
+                   max_items: int | None = None, id_cols: Sequence[str] = ("doc_id", "piece"),
                    seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
     """C4 for all languages at once: quotas (L6), per-source selection (W5),
     union (T1) and a seeded order of the union per language (``pos``).
@@ -127,7 +107,7 @@ def build_language(chunks: DataFrame, max_items: int | None, first_source: str,
     ``source``, ids, ``pos``): ranking never moves texts, which are joined
     back once by ``with_text`` where the output needs them."""
     keys = chunks.select("language", "source", *id_cols)
-    quotas = source_quotas(keys, max_items, first_source, second_source)
+    quotas = source_quotas(keys, first_source, second_source, max_items)
     chosen = quota_select(keys, quotas, first_source, second_source, id_cols, seed)
     ordered = seeded_rank(chosen, ["language"], list(id_cols), seed + 1, out_col="pos")
     return ordered, quotas
@@ -184,13 +164,19 @@ def exact_split(df: DataFrame, id_col: str, fraction: float, seed: int = DEFAULT
                               .otherwise(F.lit("train"))).drop("_r"))
 
 
-def sample_with_replacement(df: DataFrame, n: int, epoch: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """About ``n`` draws with replacement (Poisson per row), reseeded per
-    epoch; a per-partition pass, no shuffle."""
-    total = df.count()
-    if total == 0 or n <= 0:
-        return df.limit(0)
-    return df.sample(withReplacement=True, fraction=float(n) / total, seed=seed * 1000003 + epoch)
+def sample_with_replacement(df: DataFrame, order_col: str, epoch: int, n: int | None = None,
+                            seed: int = DEFAULT_SEED) -> DataFrame:
+    """Exactly ``n`` draws with replacement (default: one per row),
+    ``(draw, *columns)``.  Draw ``i`` of an epoch takes the row at position
+    ``md5(seed:epoch:i) mod rows`` in ``order_col`` order, so draws depend
+    neither on the partitioning nor on the run; an empty table gives none."""
+    rows = df.count()
+    draws = df.sparkSession.range((rows if n is None else n) if rows else 0)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("id").cast("string")))
+    at = F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % F.lit(max(rows, 1))
+    placed = row_number_scalable(df, [], [order_col], out_col="_at")
+    return (draws.select(F.col("id").alias("draw"), (at + 1).alias("_at"))
+            .join(placed, "_at").drop("_at"))
 
 
 def source_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

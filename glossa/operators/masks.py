@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glossa.operators.joins import join_small
-
 
 def language_totals(df: DataFrame, language_col: str = "language") -> DataFrame:
     """A1: ``(language, total)`` rows per language."""
@@ -26,7 +24,7 @@ def language_totals(df: DataFrame, language_col: str = "language") -> DataFrame:
 def firing_rates(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """A4: ``(language, feature, n, total, rate_pct)`` with
     ``rate_pct = n / total * 100``.  Both inputs are small (languages x dict)."""
-    return (join_small(counts, totals, "language")
+    return (counts.join(totals, "language")
             .withColumn("rate_pct", F.col("n") / F.col("total") * F.lit(100.0)))
 
 
@@ -79,13 +77,19 @@ def overlap_features(masks: DataFrame) -> DataFrame:
     return (combined_index(masks).filter(F.col("n_languages") > 1))
 
 
-def mask_summary(masks: DataFrame) -> DataFrame:
-    """Per threshold: union size, exclusive count and overlapping count."""
+def _thresholds(df: DataFrame, thresholds: Iterable[float]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+
+
+def mask_summary(masks: DataFrame, thresholds: Iterable[float]) -> DataFrame:
+    """Per threshold: union size, exclusive count and overlapping count; a
+    threshold that no feature reaches has zeros."""
     idx = combined_index(masks)
-    return (idx.groupBy("threshold").agg(
+    found = idx.groupBy("threshold").agg(
         F.count(F.lit(1)).alias("num_features"),
         F.count_if(F.col("n_languages") == 1).alias("unique_count"),
-        F.count_if(F.col("n_languages") > 1).alias("overlapping_count")))
+        F.count_if(F.col("n_languages") > 1).alias("overlapping_count"))
+    return _thresholds(masks, thresholds).join(found, "threshold", "left").fillna(0)
 
 
 def unknown_languages(masks: DataFrame, languages: Iterable[str]) -> DataFrame:
@@ -109,10 +113,11 @@ def mask_for_languages(masks: DataFrame, languages: Iterable[str],
             .select("threshold", "feature").distinct())
 
 
-def mask_coverage(mask: DataFrame, dict_size: int) -> DataFrame:
-    """Masked features and their share of the dictionary, per threshold."""
-    return (mask.groupBy("threshold")
-            .agg(F.count_distinct("feature").alias("n_masked"))
+def mask_coverage(mask: DataFrame, dict_size: int, thresholds: Iterable[float]) -> DataFrame:
+    """Masked features and their share of the dictionary, per threshold
+    (zero where nothing is masked)."""
+    found = mask.groupBy("threshold").agg(F.count_distinct("feature").alias("n_masked"))
+    return (_thresholds(mask, thresholds).join(found, "threshold", "left").fillna(0)
             .withColumn("coverage_pct", F.col("n_masked") / F.lit(float(dict_size)) * 100.0))
 
 
@@ -120,15 +125,32 @@ def feature_report(counts: DataFrame, totals: DataFrame, threshold: float) -> Da
     """A5 + W3: per language ``total_samples``, ``unique_features`` (fired at
     least once), ``features_above_threshold`` and ``threshold_percentage``;
     joined to the ranked features above the threshold (rank by count desc,
-    then feature id)."""
+    then feature id).  A language without any feature above the threshold,
+    or without any firing feature, has one row with a null rank."""
     rates = _with_thresholds(firing_rates(counts, totals), [threshold])
     w = Window.partitionBy("language").orderBy(F.col("n").desc(), F.col("feature"))
     ranked = rates.withColumn("above", _passes())
-    per_lang = ranked.groupBy("language").agg(
-        F.first("total").alias("total_samples"),
+    fired = ranked.groupBy("language").agg(
         F.count(F.lit(1)).alias("unique_features"),
         F.count_if("above").alias("features_above_threshold"))
+    per_lang = (totals.withColumnRenamed("total", "total_samples").join(fired, "language", "left")
+                .fillna(0, ["unique_features", "features_above_threshold"]))
     top = (ranked.filter("above").withColumn("rank", F.row_number().over(w))
            .select("language", "rank", "feature", "n", "rate_pct"))
-    return (top.join(per_lang, "language")
+    return (per_lang.join(top, "language", "left")
             .withColumn("threshold_percentage", F.lit(float(threshold)) * F.lit(100.0)))
+
+
+def language_analysis(counts: DataFrame, totals: DataFrame, thresholds: Iterable[float]) -> DataFrame:
+    """One row per (threshold, language of ``totals``): features at or
+    above the threshold, those masked in this language only, and the
+    language's rows; zeros where no feature reaches the threshold."""
+    m = language_masks(firing_rates(counts, totals), thresholds)
+    found = (m.join(combined_index(m), ["threshold", "feature"]).groupBy("threshold", "language").agg(
+        F.count(F.lit(1)).alias("features_above_threshold"),
+        F.count_if(F.col("n_languages") == 1).alias("exclusive_features")))
+    every = _with_thresholds(totals, thresholds).withColumnRenamed("total", "total_samples")
+    return (every.join(found, ["threshold", "language"], "left")
+            .fillna(0, ["features_above_threshold", "exclusive_features"])
+            .select("threshold", "language", "features_above_threshold", "exclusive_features",
+                    F.col("total_samples").cast("long").alias("total_samples")))

@@ -1,21 +1,21 @@
 """Row numbers at scale.
 
 ``Window.partitionBy(g).orderBy(key)`` puts a whole group into one task,
-and a global order puts the whole table into one.  ``row_number_scalable``
-gives the same numbers without that:
+and a global order puts the whole table into one.  For few, large groups
+``row_number_scalable`` gives the same numbers without that:
 
-1. the first ordering column is mapped to a monotone number and cut into
-   buckets at approximate quantiles (one scan of that column; the bounds
-   are a few numbers on the driver), so a bucket is a pure function of
-   the row;
+1. rows are dealt into buckets that follow the order: by ranges of
+   (group, order columns), sampled by Spark over full values of any type, or,
+   where the first order column is a uniform number of a known range (a hash
+   prefix), by equal widths of it;
 2. rows are numbered inside (group, bucket) with a window: a group that
-   holds a third of the rows is spread over all buckets;
-3. the counts per (group, bucket) (a small table) give prefix offsets,
-   broadcast back to the rows.
+   holds a third of the rows is spread over its buckets;
+3. the counts per (group, bucket) give prefix offsets, joined back.
 
-Every step is deterministic, so a lost executor recomputes the same
-numbers and no checkpoint is needed.  Ordering columns must make the order
-total (end with an id).
+Range buckets are written to the shared folder first, so every later step
+sees the same ones, also after an executor is lost.  Ordering columns must
+make the order total (end with an id).  Where groups are small and many, a
+plain window is the better plan.
 """
 
 from __future__ import annotations
@@ -24,47 +24,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from glossa.operators.joins import join_small
-
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-            T.DoubleType, T.DecimalType)
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _monotone(df: DataFrame, c) -> Column | None:
-    """A double that never decreases when ``c`` increases (Spark order)."""
-    col = _col(c)
-    typ = df.select(col.alias("_x")).schema["_x"].dataType
-    if isinstance(typ, _NUMERIC):
-        return col.cast("double")
-    if isinstance(typ, T.StringType):
-        # first 6 UTF-8 bytes as a number (byte order = Spark string order)
-        h = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 12), 12, "0")
-        return F.conv(h, 16, 10).cast("double")
-    if isinstance(typ, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(typ, T.DateType):
-        return F.unix_date(col).cast("double")
-    return None
-
-
-def _bucket(value: Column, bounds: list[float]) -> Column:
-    """Index of the bucket of ``value`` among sorted ``bounds`` (binary
-    search unrolled into a balanced CASE tree: depth log2(len(bounds)))."""
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
-
-
 def row_number_scalable(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                         out_col: str = "rn", num_buckets: int | None = None,
                         bucket_key: Column | None = None,
@@ -72,47 +38,31 @@ def row_number_scalable(df: DataFrame, group_cols: Sequence[str], order_cols: Se
     """Add ``out_col`` = 1-based row number inside ``group_cols`` ordered by
     ``order_cols`` (ascending, nulls first as in Spark).
 
-    ``bucket_key`` with ``key_range`` (a monotone number of the first
-    ordering column, uniform over the range, e.g. a hash prefix) gives
-    equal-width buckets without the quantile scan."""
-    spark = df.sparkSession
+    ``bucket_key`` with ``key_range``: a number that never decreases along
+    the order and is uniform over the range; buckets are equal widths of it
+    and nothing is sampled or written."""
     group_cols = list(group_cols)
     order = [_col(c) for c in order_cols]
-    n = num_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    mono = bucket_key if bucket_key is not None else (_monotone(df, order[0]) if n > 1 else None)
-    bounds: list[float] = []
-    if mono is not None and key_range is not None:
+    n = num_buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if bucket_key is not None and key_range is not None:
         lo, hi = key_range
-        bounds = [lo + (hi - lo) * i / n for i in range(1, n)]
-    elif mono is not None:
-        probs = [i / n for i in range(1, n)]
-        q = df.select(F.coalesce(mono, F.lit(float("-inf"))).alias("_q")) \
-            .approxQuantile("_q", probs, 1.0 / (4 * n))
-        bounds = sorted(set(v for v in q if v is not None))
-    if not bounds:
-        keyed = df.withColumn("_bkt", F.lit(0))
-    elif len(bounds) <= 64:
-        keyed = df.withColumn("_bkt", _bucket(F.coalesce(mono, F.lit(float("-inf"))), bounds))
+        part = F.floor((bucket_key - F.lit(lo)) * F.lit(n / (hi - lo)))
+        keyed = df.withColumn("_bkt", F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(n - 1)), F.lit(0)).cast("int"))
     else:
-        # many buckets: a JVM-side binary search instead of a deep CASE tree
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf")] + [b for b in bounds if b != float("-inf")] + [float("inf")]
-        withkey = df.withColumn("_bkey", F.coalesce(mono, F.lit(float("-inf"))))
-        keyed = (Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bktd")
-                 .transform(withkey)
-                 .withColumn("_bkt", F.col("_bktd").cast("int")).drop("_bkey", "_bktd"))
-    w_local = Window.partitionBy(*group_cols, "_bkt").orderBy(*order)
-    local = keyed.withColumn("_lrn", F.row_number().over(w_local))
+        from glossa.session import materialize
+        keyed = materialize(df.repartitionByRange(n, *[F.col(c) for c in group_cols], *order)
+                            .withColumn("_bkt", F.spark_partition_id()), "ranges")
+    local = keyed.withColumn("_lrn", F.row_number().over(
+        Window.partitionBy(*group_cols, "_bkt").orderBy(*order)))
     counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_prefix = (Window.partitionBy(*group_cols).orderBy("_bkt")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_prefix), F.lit(0)))
-    # offsets has one row per (group, bucket): broadcast after a size
-    # check; the keys match null-safely (a null group is a group)
-    offs = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols],
-                          F.col("_bkt").alias("_o_bkt"), "_off")
-    cond = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in group_cols] + \
-        [F.col("_bkt") == F.col("_o_bkt")]
-    out = join_small(local, offs, cond, "inner")
-    return (out.withColumn(out_col, (F.col("_lrn") + F.col("_off")).cast("long"))
+    before = (Window.partitionBy(*group_cols).orderBy("_bkt")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    # one row per (group, bucket); keys match null-safely (a null group is a group)
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in group_cols], F.col("_bkt").alias("_o_bkt"),
+                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_bkt") == F.col("_o_bkt")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return (local.join(offsets, same)
+            .withColumn(out_col, (F.col("_lrn") + F.col("_off")).cast("long"))
             .drop("_bkt", "_lrn", "_off", "_o_bkt", *[f"_o_{c}" for c in group_cols]))

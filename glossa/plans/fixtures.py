@@ -13,10 +13,11 @@ from glossa.operators import sae
 from glossa.sources.tables import table
 
 # Fixed parameters of the stand-ins.
-ATOM_LIMIT = 256          # F4: atoms are embeddings with vec_id < 256
+ATOM_LIMIT = 256          # F4: the stand-in model's atoms are embeddings with vec_id < 256
+                          # (a model of fixed size; the data side is always read whole)
 SPARSITY = 16             # F4: top-k
 MASK_THRESHOLD = 0.55     # masks at 55 % (0.8 gives an empty mask on this data)
-THRESHOLDS = (0.55, 0.60, 0.65)
+THRESHOLDS = (0.55, 0.60, 0.65, 0.99)      # no feature reaches the last
 AUX_COEFF = 1.0
 AUX_TARGET = 0.02
 
@@ -63,7 +64,7 @@ fired AS (SELECT language, feature, count(*) AS n FROM raw
 rates AS (SELECT f.language, f.feature, f.n, t.total,
                  f.n / t.total * 100.0 AS rate_pct
           FROM fired f JOIN totals t USING (language)),
-ths AS (SELECT unnest([0.55, 0.60, 0.65]::DOUBLE[]) AS threshold),
+ths AS (SELECT unnest([0.55, 0.60, 0.65, 0.99]::DOUBLE[]) AS threshold),
 masks AS (SELECT th.threshold, r.language, r.feature FROM rates r, ths th
           WHERE r.n / r.total * 100.0 >= th.threshold * 100.0),
 topk_all AS (SELECT vec_id, language, feature, value,

@@ -10,6 +10,7 @@ from glossa.plans.fixtures import (
     F4_SQL, F5_SQL, MASK_THRESHOLD, THRESHOLDS, f4_model, f5_vectors, with_ctes,
 )
 from glossa.plans.registry import query
+from glossa.sources.tables import table
 
 
 def _counts(spark, sf_dir):
@@ -20,6 +21,16 @@ def _counts(spark, sf_dir):
     return model, counts, totals
 
 
+def _with_quiet(spark, sf_dir, totals):
+    """The totals and a language in which no feature ever fires."""
+    quiet = table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("total")).select(F.lit("quiet").alias("language"), "total")
+    return totals.unionByName(quiet)
+
+
+QUIET_SQL = """
+totals_q AS (SELECT * FROM totals UNION ALL SELECT 'quiet', (SELECT count(*) FROM nation))"""
+
+
 def _masks(spark, sf_dir, thresholds=THRESHOLDS):
     model, counts, totals = _counts(spark, sf_dir)
     return model, masks.language_masks(masks.firing_rates(counts, totals), thresholds)
@@ -101,14 +112,14 @@ def mask_overlap(spark, sf_dir):
 
 
 @query("mask_summary", with_ctes(F4_SQL, F5_SQL, body="""
-SELECT threshold, CAST(count(*) AS BIGINT) AS num_features,
+SELECT threshold, CAST(count(feature) AS BIGINT) AS num_features,
        CAST(count(*) FILTER (WHERE nl = 1) AS BIGINT) AS unique_count,
        CAST(count(*) FILTER (WHERE nl > 1) AS BIGINT) AS overlapping_count
-FROM (SELECT threshold, feature, count(DISTINCT language) AS nl FROM masks
-      GROUP BY threshold, feature) GROUP BY threshold"""))
+FROM ths LEFT JOIN (SELECT threshold, feature, count(DISTINCT language) AS nl FROM masks
+                    GROUP BY threshold, feature) USING (threshold) GROUP BY threshold"""))
 def mask_summary(spark, sf_dir):
     _, m = _masks(spark, sf_dir)
-    return masks.mask_summary(m).select(
+    return masks.mask_summary(m, THRESHOLDS).select(
         "threshold", *[F.col(c).cast("long").alias(c)
                        for c in ("num_features", "unique_count", "overlapping_count")])
 
@@ -122,33 +133,33 @@ def mask_selected(spark, sf_dir):
 
 
 @query("mask_coverage", with_ctes(F4_SQL, F5_SQL, body="""
-SELECT threshold, CAST(count(*) AS BIGINT) AS n_masked,
-       round(count(*) / 256.0 * 100.0, 6) AS coverage_pct
-FROM (SELECT threshold, feature FROM masks GROUP BY threshold, feature
-      HAVING count(DISTINCT language) = 1) GROUP BY threshold"""))
+SELECT threshold, CAST(count(feature) AS BIGINT) AS n_masked,
+       round(count(feature) / 256.0 * 100.0, 6) AS coverage_pct
+FROM ths LEFT JOIN (SELECT threshold, feature FROM masks GROUP BY threshold, feature
+                    HAVING count(DISTINCT language) = 1) USING (threshold) GROUP BY threshold"""))
 def mask_coverage(spark, sf_dir):
     model, m = _masks(spark, sf_dir)
-    cov = masks.mask_coverage(masks.exclusive_mask(m), model.dict_size)
+    cov = masks.mask_coverage(masks.exclusive_mask(m), model.dict_size, THRESHOLDS)
     return cov.select("threshold", F.col("n_masked").cast("long").alias("n_masked"),
                       F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
-@query("feature_report", with_ctes(F4_SQL, F5_SQL, body="""
-SELECT r.language, CAST(r.rnk AS BIGINT) AS rank, r.feature, CAST(r.n AS BIGINT) AS n,
-       round(r.rate_pct, 6) AS rate_pct, CAST(p.total_samples AS BIGINT) AS total_samples,
-       CAST(p.unique_features AS BIGINT) AS unique_features,
-       CAST(p.features_above_threshold AS BIGINT) AS features_above_threshold,
+@query("feature_report", with_ctes(F4_SQL, F5_SQL, QUIET_SQL, body="""
+SELECT t.language, CAST(r.rnk AS BIGINT) AS rank, r.feature, CAST(r.n AS BIGINT) AS n,
+       round(r.rate_pct, 6) AS rate_pct, CAST(t.total AS BIGINT) AS total_samples,
+       CAST(coalesce(p.unique_features, 0) AS BIGINT) AS unique_features,
+       CAST(coalesce(p.features_above_threshold, 0) AS BIGINT) AS features_above_threshold,
        round(0.55::DOUBLE * 100.0, 6) AS threshold_percentage
-FROM (SELECT language, feature, n, rate_pct,
-             row_number() OVER (PARTITION BY language ORDER BY n DESC, feature) AS rnk
-      FROM rates WHERE n / total * 100.0 >= 0.55::DOUBLE * 100.0) r
-JOIN (SELECT language, max(total) AS total_samples, count(*) AS unique_features,
-             count(*) FILTER (WHERE n / total * 100.0 >= 0.55::DOUBLE * 100.0)
-               AS features_above_threshold
-      FROM rates GROUP BY language) p USING (language)"""))
+FROM totals_q t
+LEFT JOIN (SELECT language, count(*) AS unique_features,
+                  count(*) FILTER (WHERE n / total * 100.0 >= 0.55::DOUBLE * 100.0) AS features_above_threshold
+           FROM rates GROUP BY language) p USING (language)
+LEFT JOIN (SELECT language, feature, n, rate_pct,
+                  row_number() OVER (PARTITION BY language ORDER BY n DESC, feature) AS rnk
+           FROM rates WHERE n / total * 100.0 >= 0.55::DOUBLE * 100.0) r USING (language)"""))
 def feature_report(spark, sf_dir):
     _, counts, totals = _counts(spark, sf_dir)
-    rep = masks.feature_report(counts, totals, MASK_THRESHOLD)
+    rep = masks.feature_report(counts, _with_quiet(spark, sf_dir, totals), MASK_THRESHOLD)
     return rep.select(
         "language", F.col("rank").cast("long").alias("rank"), "feature",
         F.col("n").cast("long").alias("n"), F.round("rate_pct", 6).alias("rate_pct"),
@@ -177,7 +188,6 @@ SELECT l.language, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(sum(len(v.embedding)) AS BIGINT) AS n_values
 FROM v JOIN l USING (vec_id) GROUP BY l.language""")
 def label_join(spark, sf_dir):
-    from glossa.sources.tables import table
     emb = table(spark, sf_dir, "embeddings")
     v = emb.select("vec_id", "embedding")
     lab = emb.select("vec_id", F.col("label").cast("string").alias("language"))
@@ -187,22 +197,16 @@ def label_join(spark, sf_dir):
 
 
 # The whole analysis; one row per (threshold, language) with the report
-# numbers and the sizes of the combined masks.
-@query("language_analysis", with_ctes(F4_SQL, F5_SQL, body="""
-SELECT m.threshold, m.language, CAST(count(*) AS BIGINT) AS features_above_threshold,
+# numbers and the sizes of the combined masks, zeros where nothing fires.
+@query("language_analysis", with_ctes(F4_SQL, F5_SQL, QUIET_SQL, body="""
+SELECT th.threshold, t.language, CAST(count(m.feature) AS BIGINT) AS features_above_threshold,
        CAST(count(*) FILTER (WHERE c.nl = 1) AS BIGINT) AS exclusive_features,
        CAST(max(t.total) AS BIGINT) AS total_samples
-FROM masks m
-JOIN (SELECT threshold, feature, count(DISTINCT language) AS nl FROM masks
-      GROUP BY threshold, feature) c USING (threshold, feature)
-JOIN totals t USING (language)
-GROUP BY m.threshold, m.language"""))
+FROM ths th CROSS JOIN totals_q t
+LEFT JOIN masks m ON m.threshold = th.threshold AND m.language = t.language
+LEFT JOIN (SELECT threshold, feature, count(DISTINCT language) AS nl FROM masks
+           GROUP BY threshold, feature) c ON c.threshold = m.threshold AND c.feature = m.feature
+GROUP BY th.threshold, t.language"""))
 def language_analysis(spark, sf_dir):
     _, counts, totals = _counts(spark, sf_dir)
-    m = masks.language_masks(masks.firing_rates(counts, totals), THRESHOLDS)
-    idx = masks.combined_index(m)
-    return (m.join(idx, ["threshold", "feature"]).join(totals, "language")
-            .groupBy("threshold", "language").agg(
-                F.count(F.lit(1)).cast("long").alias("features_above_threshold"),
-                F.count_if(F.col("n_languages") == 1).cast("long").alias("exclusive_features"),
-                F.max("total").cast("long").alias("total_samples")))
+    return masks.language_analysis(counts, _with_quiet(spark, sf_dir, totals), THRESHOLDS)

@@ -14,7 +14,6 @@ from glossa.session import materialize
 from glossa.sources.tables import table
 
 LANGS = ("de", "en", "es", "fr")      # F1 language order
-MAX_ITEMS = 101                       # per-language quota of the build
 SEED = 42
 VAL_FRACTION = 0.05
 
@@ -83,7 +82,7 @@ def _fold_sql(keys: list[str], name: str, src: str) -> str:
                   CAST(count(*) AS INTEGER) AS n_fragments,
                   string_agg(s.ptext, ' ' ORDER BY s.i) AS text
            FROM {name}_sh s JOIN {name}_r f ON {eq} AND f.i = s.i
-           GROUP BY {sk}, s.batch, f.assigned)"""
+           GROUP BY {sk}, s.batch, f.assigned HAVING sum(s.n_tok) > 0)"""
 
 
 def _chunks_sql(keys: list[str], name: str) -> str:
@@ -170,16 +169,14 @@ def smart_chunk(spark, sf_dir):
     return _chunk_out(_chunks(spark, sf_dir))
 
 
-# Every language has fewer records than the 10,000-record sample at
-# the test scales, so the estimate is the exact chunk count (sources chunked
-# together, as the estimate does).
+# The chunk count of every language, sources chunked together.
 @query("chunk_estimate", with_ctes(F1_SQL, CHUNKS_LANG_SQL, recursive=True, body="""
 SELECT t.language, CAST(t.total_items AS BIGINT) AS total_items,
-       CAST(CASE WHEN t.total_items > 10000 THEN NULL ELSE c.n END AS BIGINT) AS estimated
+       CAST(coalesce(c.n, 0) AS BIGINT) AS estimated
 FROM (SELECT language, count(*) AS total_items FROM f1 GROUP BY language) t
-JOIN (SELECT language, count(*) AS n FROM chl GROUP BY language) c USING (language)"""))
+LEFT JOIN (SELECT language, count(*) AS n FROM chl GROUP BY language) c USING (language)"""))
 def chunk_estimate(spark, sf_dir):
-    e = chunking.chunk_estimate(f1(spark, sf_dir), seed=SEED)
+    e = chunking.chunk_estimate(f1(spark, sf_dir))
     return e.select("language", F.col("total_items").cast("long").alias("total_items"),
                     F.col("estimated").cast("long").alias("estimated"))
 
@@ -209,21 +206,11 @@ def split_sources(spark, sf_dir):
 
 
 QUOTA_SQL = f"""
-avail AS (SELECT language, count(*) FILTER (WHERE source = 'a') AS A,
-                 count(*) FILTER (WHERE source = 'b') AS B, {MAX_ITEMS} AS M,
-                 {MAX_ITEMS} // 2 AS t FROM ch GROUP BY language),
-q0 AS (SELECT *, least(t, A) AS a0, least(t, B) AS b0 FROM avail),
-q1 AS (SELECT *, M - (a0 + b0) AS rem, least((M - (a0 + b0)) // 2, A - a0) AS add_a FROM q0),
-q2 AS (SELECT *, a0 + add_a AS a1, b0 + least(rem - add_a, B - b0) AS b1 FROM q1),
-q3 AS (SELECT *, M - a1 - b1 AS rem2 FROM q2),
-quotas AS (SELECT language, A AS available_a, B AS available_b,
-  CASE WHEN B <= 0 THEN least(M, A) WHEN B < t THEN least(M - B, A) WHEN A < t THEN A
-       WHEN rem > 0 THEN (CASE WHEN rem2 > 0 AND (A - a1) >= (B - b1) THEN least(a1 + rem2, A) ELSE a1 END)
-       ELSE a0 END AS used_a,
-  CASE WHEN B <= 0 THEN 0 WHEN B < t THEN B WHEN A < t THEN least(M - A, B)
-       WHEN rem > 0 THEN (CASE WHEN rem2 > 0 AND (A - a1) < (B - b1) THEN least(b1 + rem2, B) ELSE b1 END)
-       ELSE b0 END AS used_b
-  FROM q3),
+avail AS (SELECT language, count(*) FILTER (WHERE source = 'a') AS available_a,
+                 count(*) FILTER (WHERE source = 'b') AS available_b FROM ch GROUP BY language),
+quota AS (SELECT min(available_a + available_b) AS m FROM avail),
+quota_b AS (SELECT *, least(available_b, m - least(available_a, m // 2)) AS used_b FROM avail, quota),
+quotas AS (SELECT language, available_a, available_b, least(available_a, m - used_b) AS used_a, used_b FROM quota_b),
 ranked_src AS (SELECT c.*, row_number() OVER (PARTITION BY language, source
                  ORDER BY md5(CAST(doc_id AS VARCHAR) || '|' || CAST(piece AS VARCHAR) || ':{SEED}'), doc_id, piece) AS sp
                FROM ch c),
@@ -247,7 +234,7 @@ def _built(spark, sf_dir):
     # the chunk table feeds several actions (counts, balance target, output):
     # write it once as a table in the shared checkpoint folder
     chunks = materialize(_chunks(spark, sf_dir), "chunks")
-    return corpus.build_language(chunks, MAX_ITEMS, "a", "b", seed=SEED)
+    return corpus.build_language(chunks, "a", "b", seed=SEED)
 
 
 def _sets(spark, sf_dir):
@@ -260,7 +247,7 @@ def _sets(spark, sf_dir):
 SELECT language, CAST(available_a AS BIGINT) AS available_a, CAST(available_b AS BIGINT) AS available_b,
        CAST(used_a AS BIGINT) AS used_a, CAST(used_b AS BIGINT) AS used_b FROM quotas"""))
 def source_quota(spark, sf_dir):
-    q = corpus.source_quotas(_chunks(spark, sf_dir), MAX_ITEMS, "a", "b")
+    q = corpus.source_quotas(_chunks(spark, sf_dir), "a", "b")
     return q.select("language", *[F.col(c).cast("long").alias(c) for c in
                                   ("available_a", "available_b", "used_a", "used_b")])
 
@@ -268,8 +255,8 @@ def source_quota(spark, sf_dir):
 @query("quota_select", with_ctes(F1_SQL, CHUNKS_SQL, QUOTA_SQL, recursive=True, body="""
 SELECT language, source, doc_id, CAST(piece AS BIGINT) AS piece FROM chosen"""))
 def quota_select(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    q = corpus.source_quotas(chunks, MAX_ITEMS, "a", "b")
+    chunks = materialize(_chunks(spark, sf_dir).select("language", "source", "doc_id", "piece"), "chunks")
+    q = corpus.source_quotas(chunks, "a", "b")
     sel = corpus.quota_select(chunks, q, "a", "b", seed=SEED)
     return sel.select("language", "source", "doc_id", F.col("piece").cast("long").alias("piece"))
 
@@ -358,10 +345,14 @@ def exact_split(spark, sf_dir):
     return s.select("doc_id", "split")
 
 
-@query("replacement_sample")
+@query("replacement_sample", with_ctes(F1_SQL, body=f"""
+SELECT CAST(d.i AS BIGINT) AS draw, f.doc_id, f.language
+FROM (SELECT i, ('0x' || substr(md5('{SEED}:1:' || i), 1, 15))::BIGINT % (SELECT count(*) FROM f1) AS place
+      FROM range((SELECT count(*) FROM f1)) t(i)) d
+JOIN (SELECT doc_id, language, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM f1) f USING (place)"""))
 def replacement_sample(spark, sf_dir):
-    docs = f1(spark, sf_dir)
-    return corpus.sample_with_replacement(docs.select("doc_id", "language"), 500, epoch=1, seed=SEED)
+    docs = f1(spark, sf_dir).select("doc_id", "language")
+    return corpus.sample_with_replacement(docs, "doc_id", epoch=1, seed=SEED).select("draw", "doc_id", "language")
 
 
 @query("seeded_order_first_n", with_ctes(F1_SQL, body=f"""

@@ -9,11 +9,11 @@ dead-feature share and 'view' for the FVU in the leaderboards."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from glossa.functions import runs as rf
 from glossa.functions.numeric import r6
 from glossa.operators import sweep
-from glossa.operators.ranking import row_number_scalable
 from glossa.plans.fixtures import with_ctes
 from glossa.plans.registry import query
 from glossa.sources.tables import table
@@ -214,8 +214,9 @@ FROM (SELECT user_id, event_type, value,
 QUALIFY step % {LOG_STEPS} = 0""")
 def trailing_mean(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    log = row_number_scalable(ev.select("user_id", "event_type", "ts", "event_id", "value"),
-                              ["user_id", "event_type"], ["ts", "event_id"], out_col="step")
+    # runs are many and small: a plain window numbers their steps
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    log = ev.select("user_id", "event_type", "value", F.row_number().over(order).alias("step"))
     log = log.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"),
                      "step", "value")
     t = sweep.trailing_mean(log, LOG_STEPS, EPOCH_STEPS)

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_FOLDER: dict[str, str] = {}      # of a local session that names none
 
 
 def _driver_memory() -> str:
@@ -70,12 +71,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point ``DataFrame.checkpoint()`` at the session's shared folder.
 
-    The setting is read from the session; only where it is unset (as in
-    tests) is a local folder made.
+    The setting is read from the session.  Only a local session without it
+    (as in tests) gets a local folder; on a cluster, whose executors would
+    not share that folder, a missing setting is an error.
     """
     path = checkpoint_dir(spark)
     if not path:
-        path = tempfile.mkdtemp(prefix="glossa-ckpt-")
+        path = _LOCAL_FOLDER.get("path")
+    if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master {master})")
+        path = _LOCAL_FOLDER["path"] = tempfile.mkdtemp(prefix="glossa-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(path)
     except Exception:  # pragma: no cover - no SparkContext (Connect)
@@ -83,18 +90,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_STAGED: list[tuple[str, str]] = []      # (application, path) of stage tables not yet removed
+
+
 def materialize(df, name: str = "stage", partition_by=()):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: later actions start from the files (lineage cut, one columnar
     write, survives executor loss).  Used where a table feeds several
-    actions."""
+    actions; ``drop_stages`` removes the tables when the results are out."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     w = df.write.partitionBy(*partition_by) if partition_by else df.write
     w.parquet(path)
-    return spark.read.parquet(path)
+    _STAGED.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove this application's stage tables; returns how many."""
+    app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
+    mine = [p for a, p in _STAGED if a == app]
+    for p in mine:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED[:] = [x for x in _STAGED if x[0] != app]
+    return len(mine)
 
 
 class _Shipped:

@@ -44,11 +44,25 @@ def test_split_pieces(spark):
     assert " ".join(r["text"] for r in p) == docs.first()["text"]
 
 
-def test_estimate_from_a_sample(spark):
+def test_estimate_is_the_chunk_count(spark):
     docs = _docs(spark)
-    exact = {r["language"]: r["estimated"] for r in chunking.chunk_estimate(docs).collect()}
-    est = {r["language"]: (r["estimated"], r["total_items"]) for r in
-           chunking.chunk_estimate(docs, sample_size=60).collect()}
-    for lang, (e, total) in est.items():
-        assert total > 60
-        assert abs(e - exact[lang]) <= 0.35 * exact[lang]
+    got = {r["language"]: r["estimated"] for r in chunking.chunk_estimate(docs).collect()}
+    want = {r[0]: r[1] for r in chunking.smart_chunk(docs, ["language"]).groupBy("language").count().collect()}
+    assert got == want
+
+
+def test_string_ids_and_another_tokenizer(spark):
+    rows = [(f"d{i}#x", "aa-bb-cc", "xx", "a") for i in range(3)] + [("long", "-".join(["t"] * 25), "xx", "b")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, language string, source string")
+    out = chunking.smart_chunk(docs, ["language"], min_len=6, max_len=10, tokenizer=lambda c: F.split(c, "-"))
+    got = sorted((r["doc_id"], r["piece"], r["n_tokens"], r["source"]) for r in out.collect())
+    assert got == [("d0#x", 0, 6, "a"), ("d2#x", 0, 3, "a"), ("long", 0, 9, "b"), ("long", 1, 9, "b"), ("long", 2, 7, "b")]
+
+
+def test_pieces_are_cut_again_for_the_model(spark):
+    # a tokenizer that sees twice as many tokens once a text was cut and joined by spaces
+    def grows(c):
+        return F.when(F.contains(c, F.lit(" ")), F.split(c, "")).otherwise(F.split(c, "-"))
+    docs = spark.createDataFrame([(1, "-".join(["t"] * 30))], "doc_id long, text string")
+    out = chunking.split_long(docs, max_len=10, tokenizer=grows, model_max=14).collect()
+    assert [r["n_tokens"] for r in out] == [12, 12, 12]

@@ -42,3 +42,29 @@ def test_many_buckets_use_the_same_numbers(spark):
     a = row_number_scalable(df, ["g"], ["k"], num_buckets=200)
     b = row_number_scalable(df, ["g"], ["k"], num_buckets=8)
     assert a.count() == 5000 and a.exceptAll(b).count() == 0
+
+
+def test_long_shared_prefixes_are_split(spark):
+    df = spark.range(0, 4000).select(F.concat(F.lit("https://example.org/a/very/long/path/"),
+                                              F.lpad(F.col("id").cast("string"), 8, "0")).alias("url"))
+    got = row_number_scalable(df, [], ["url"], num_buckets=16)
+    assert got.filter(F.col("rn") - 1 != F.substring("url", -8, 8).cast("long")).count() == 0
+    ranges = df.repartitionByRange(16, "url").groupBy(F.spark_partition_id().alias("p")).count()
+    assert ranges.count() > 8
+
+
+def test_nan_null_and_local_timestamps(spark):
+    import datetime as dt
+    rows = [(i, float("nan") if i % 5 == 0 else None if i % 7 == 0 else float(i % 11),
+             dt.datetime(2024, 3, 10) + dt.timedelta(minutes=7 * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, ts timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for order in (["x", "id"], ["ts", "id"]):
+            want = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("long"))
+            for n in (8, 200):
+                got = row_number_scalable(df, [], order, num_buckets=n)
+                assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
