@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace class of the default tokenizer and the
-# strip() of texts.
+# The whitespace class of the default tokenizer, and of the
+# strip() of texts (Unicode white space and the separator controls).
 WS_SPLIT = r"\s+"
-WS_TRIM = r"^\s+|\s+$"
+WS_STRIP = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+WS_TRIM = rf"^{WS_STRIP}+|{WS_STRIP}+$"
 
 # Model-name rules for query and passage prefixes, first match
 # wins.  ("contains", needles) tests the lower-cased name; ("equals", name)
@@ -40,7 +41,7 @@ def _c(x) -> Column:
 
 
 def strip(col) -> Column:
-    """Python-style ``str.strip()`` of whitespace."""
+    """``str.strip()``: Unicode white space at both ends."""
     return F.regexp_replace(_c(col), WS_TRIM, "")
 
 

@@ -40,7 +40,7 @@ class HashedBagOfWords:
         def encode(texts):
             out = np.zeros((len(texts), dim))
             for i, t in enumerate(texts):
-                t = (t or "").strip(" \t\n\r\f\v")
+                t = (t or "").strip()
                 if not t:
                     continue
                 out[i] = np.bincount([bucket(tok) for tok in ws.split(t)], minlength=dim)

@@ -1,12 +1,8 @@
 """Retrieval: cosine scoring, top-k per query, judgments and metrics.
 
-Scoring every query against every document is a dense product, so the
-document side is streamed partition by partition through ``mapInArrow``
-while the query vectors are broadcast in blocks of checked byte size.
-Each task keeps only its local top-k per query (a fixed number of rows per
-query and task); the global cut is a ``row_number`` over those candidates,
-which Spark runs as a window group limit.  Query blocks are disjoint, so
-their results are unioned.
+Scoring every query against every document is a dense product: both sides
+are cut into blocks, every pair of blocks meets in one task by a shuffle,
+and a task keeps only the best ``k`` per query (see ``score_topk``).
 """
 
 from __future__ import annotations
@@ -20,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from glossa.operators.sae import _matrix, limit_tasks
-from glossa.session import broadcast
+from glossa.operators.sae import _matrix
 
 NORM_EPS = 1e-12                       # torch-style norm clamp
 # Scores are rounded to 12 decimals before ranking: the same cosine computed
 # for two identical documents at different positions of a matrix product
 # can differ in the last bits, and such ties must go to the lower doc id.
 SCORE_DECIMALS = 12
-DEFAULT_QUERY_BLOCK_BYTES = 128 * 1024 * 1024
+DEFAULT_STATE_BYTES = 64 * 1024 * 1024      # query vectors and running best k of a task
 DEFAULT_WORK_BYTES = 64 * 1024 * 1024
 # Fixed cut-offs of the evaluation.
 K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
@@ -63,44 +58,71 @@ def _exact_topk_cols(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(part, order, 1), np.take_along_axis(val, order, 1)
 
 
-def _topk_kernel(bc, dim: int, k: int, work_bytes: int):
-    """Per task: the best ``k`` documents of every query of the block among
-    the task's rows (ties: lower doc id), keeping only scores at or above the
-    query's lower bound."""
+def _block_kernel(dim: int, k: int, work_bytes: int, names: list[str]):
+    """Per (query block, document block): the best ``k`` documents of every
+    query.  Rows come sorted by block, queries first, then documents in id
+    order, which are streamed; null vectors and vectors of another length
+    are skipped.  The running state is queries x k."""
+    class Run:
+        def __init__(self):
+            self.q_ids, self.q_mats, self.q = [], [], None
+            self.seen = 0
+
+        def queries(self, ids, mat):
+            self.q_ids.append(ids)
+            self.q_mats.append(mat)
+
+        def docs(self, ids, mat):
+            if self.q is None:
+                self.q = np.concatenate(self.q_mats) if self.q_mats else np.zeros((0, dim))
+                self.q = self.q / np.maximum(np.linalg.norm(self.q, axis=1, keepdims=True), NORM_EPS)
+                self.ids = np.zeros((len(self.q), 0), dtype=ids.dtype)
+                self.at = np.zeros((len(self.q), 0), dtype=np.int64)
+                self.val = np.zeros((len(self.q), 0))
+            mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_EPS)
+            step = max(1, int(work_bytes // max(1, len(self.q) * 8)))
+            for s in range(0, len(ids) if len(self.q) else 0, step):
+                score = np.round(self.q @ mat[s:s + step].T, SCORE_DECIMALS)
+                pos, val = _exact_topk_cols(score, k)
+                at = np.concatenate([self.at, self.seen + s + pos], axis=1)
+                val = np.concatenate([self.val, val], axis=1)
+                doc = np.concatenate([self.ids, ids[s:s + step][pos]], axis=1)
+                o = np.lexsort((at, -val), axis=-1)[:, :k]
+                self.at, self.val, self.ids = (np.take_along_axis(x, o, 1) for x in (at, val, doc))
+            self.seen += len(ids)
+
+        def best(self, types):
+            if self.q is None or not len(self.q) or not self.ids.shape[1]:
+                return None
+            q = np.concatenate(self.q_ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(q, self.ids.shape[1]), types[0]), pa.array(self.ids.ravel(), types[1]),
+                 pa.array(self.val.ravel())], names=names)
+
     def run(batches):
-        ids_q, qmat, bound = bc.value
-        nq = len(ids_q)
-        best_ids = np.zeros((nq, 0), np.int64)
-        best_val = np.zeros((nq, 0))
+        now, state, types = None, Run(), None
         for rb in batches:
-            d_ids = rb.column("doc_id").to_numpy(zero_copy_only=False)
-            order = np.argsort(d_ids, kind="stable")
-            d_ids = d_ids[order]
-            dm, _ = _matrix(rb.column("v"), dim)
-            dm = dm[order]
-            dm = dm / np.maximum(np.linalg.norm(dm, axis=1, keepdims=True), NORM_EPS)
-            step = max(1, int(work_bytes // max(1, nq * 8)))
-            for s in range(0, len(d_ids), step):
-                sc_ = np.round(qmat @ dm[s:s + step].T, SCORE_DECIMALS)   # (nq, docs)
-                pos, val = _exact_topk_cols(sc_, k)
-                cand_ids = np.concatenate([best_ids, d_ids[s:s + step][pos]], axis=1)
-                cand_val = np.concatenate([best_val, val], axis=1)
-                o = np.lexsort((cand_ids, -cand_val), axis=-1)[:, :k]
-                best_ids = np.take_along_axis(cand_ids, o, 1)
-                best_val = np.take_along_axis(cand_val, o, 1)
-        if best_ids.shape[1]:
-            keep = best_val >= bound[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids_q, keep.sum(axis=1))), pa.array(best_ids[keep]),
-                 pa.array(best_val[keep])], names=["qid", "doc_id", "score"])
+            types = types or (rb.schema.field(3).type, rb.schema.field(4).type)
+            block = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 32 \
+                | rb.column(1).to_numpy(zero_copy_only=False)
+            kind = rb.column(2).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])))
+            for i, j in zip(cut, np.append(cut[1:], len(block))):
+                if block[i] != now:
+                    out = state.best(types)
+                    if out is not None:
+                        yield out
+                    now, state = block[i], Run()
+                part = rb.slice(i, j - i)
+                mat, valid = _matrix(part.column(5), dim)
+                ids = part.column(4 if kind[i] else 3).to_numpy(zero_copy_only=False)[valid]
+                (state.docs if kind[i] else state.queries)(ids, mat[valid])
+        out = state.best(types)
+        if out is not None:
+            yield out
     return run
 
 
-_CAND_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("score", T.DoubleType())])
-
-
 def _global_cut(cand: DataFrame, k: int) -> DataFrame:
     wq = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id"))
     return cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
@@ -108,61 +130,42 @@ def _global_cut(cand: DataFrame, k: int) -> DataFrame:
 
 def score_topk(queries: DataFrame, docs: DataFrame, k: int,
                qid_col: str = "qid", doc_col: str = "doc_id", vec_col: str = "embedding",
-               query_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES,
-               work_bytes: int = DEFAULT_WORK_BYTES, bound_fraction: float = 0.05,
-               seed: int = 17) -> DataFrame:
+               state_bytes: int = DEFAULT_STATE_BYTES, work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
     """J4 + L4: ``(qid, doc_id, score, rank)``: the ``min(k, n_docs)``
     documents of highest cosine per query; ties go to the lower doc id.
+    Ids keep their types.
 
-    Without pruning every task would send k candidates per query, i.e.
-    tasks x queries x k rows.  So first a sample of the documents
-    (``bound_fraction``) gives each query a lower bound: the k-th best score
-    in the sample, which can only be below the true k-th best score.  The
-    full pass then sends only candidates scoring at least that bound - an
-    exact cut (ties at the bound are kept), with about k / bound_fraction
-    candidates per query whatever the number of tasks.  Vectors are
-    L2-normalised in the tasks (zero vectors score 0).
+    Both sides are cut into blocks by a hash of the id and every pair of
+    blocks meets in one task by a shuffle: a query block has so few queries
+    that its vectors and running best ``k`` fit ``state_bytes``, and the
+    documents of the other block stream past it.  Each task sends ``k`` rows
+    per query; the global cut is a ``row_number`` that Spark runs as a
+    window group limit.  Nothing passes through the driver but one count.
+    Vectors are L2-normalised in the tasks (zero vectors score 0); null
+    vectors and vectors of another length are neither queries nor documents.
     """
     spark = queries.sparkSession
-    qv = queries.select(F.col(qid_col).cast("long").alias("qid"),
-                        F.col(vec_col).alias("v"))
-    stats = qv.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    if n_q == 0:
-        return spark.createDataFrame([], _CAND_SCHEMA.add("rank", T.IntegerType()))
-    per_block = max(1, int(query_block_bytes // max(1, dim * 8)))
-    n_blocks = (n_q + per_block - 1) // per_block
-    # Queries go to blocks by a hash of their id (balanced in expectation).
-    keyed = qv.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")) \
-        if n_blocks > 1 else qv.withColumn("_blk", F.lit(0))
-    dv = limit_tasks(docs.select(F.col(doc_col).cast("long").alias("doc_id"),
-                                 F.col(vec_col).alias("v")))
-    sample = None
-    if bound_fraction and bound_fraction < 1.0:
-        n_docs = dv.count()
-        if n_docs * bound_fraction >= 2 * k:
-            sample = dv.sample(False, bound_fraction, seed)
-    parts = []
-    for b in range(n_blocks):
-        tbl = keyed.filter(F.col("_blk") == b).select("qid", "v").toArrow().sort_by("qid")
-        q_ids = tbl.column("qid").to_numpy()
-        qm, _ = _matrix(tbl.column("v").combine_chunks(), dim)
-        qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), NORM_EPS)
-        bound = np.full(len(q_ids), -np.inf)
-        if sample is not None:
-            bc0 = broadcast(spark, (q_ids, qm, bound))
-            kth = (_global_cut(sample.mapInArrow(_topk_kernel(bc0, dim, k, work_bytes),
-                                                 _CAND_SCHEMA), k)
-                   .filter(F.col("rank") == k).select("qid", "score").collect())
-            pos = {int(q): i for i, q in enumerate(q_ids)}
-            for r in kth:                    # one row per query of the block
-                bound[pos[r["qid"]]] = r["score"]
-            bc0.unpersist()
-        bc = broadcast(spark, (q_ids, qm, bound))
-        parts.append(dv.mapInArrow(_topk_kernel(bc, dim, k, work_bytes), _CAND_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    q_type, d_type = queries.schema[qid_col].dataType, docs.schema[doc_col].dataType
+    qv = queries.select(F.col(qid_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("v"))
+    dv = docs.select(F.col(doc_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    n_q, dim = qv.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    names = ["qid", "doc_id", "score"]
+    schema = T.StructType([T.StructField("qid", q_type), T.StructField("doc_id", d_type),
+                           T.StructField("score", T.DoubleType())])
+    if not n_q or dim <= 0:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q_blocks = max(1, -(-n_q * (dim + 4 * k) * 8 // state_bytes))
+    d_blocks = max(1, -(-parts // q_blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = (qv.select(block("qid", q_blocks).alias("qb"), every(d_blocks).alias("db"), F.lit(0).alias("kind"),
+                      "qid", F.lit(None).cast(d_type).alias("doc_id"), "v")
+            .unionByName(dv.select(every(q_blocks).alias("qb"), block("doc_id", d_blocks).alias("db"),
+                                   F.lit(1).alias("kind"), F.lit(None).cast(q_type).alias("qid"), "doc_id", "v")))
+    cand = (rows.repartitionById(q_blocks * d_blocks, F.col("qb") * d_blocks + F.col("db"))
+            .sortWithinPartitions("qb", "db", "kind", "doc_id")
+            .mapInArrow(_block_kernel(dim, k, work_bytes, names), schema))
     return _global_cut(cand, k)
 
 
@@ -260,3 +263,32 @@ def pending(requested: DataFrame, existing: DataFrame, keys: Iterable[str]) -> D
     """Requested keys without a result yet (``left_anti``), to be
     computed before any scoring; ``overwrite`` callers skip this."""
     return requested.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def evaluate_datasets(spark, datasets: dict, factory, model: str, ks: Iterable[int] = K_VALUES,
+                      existing: DataFrame | None = None, drop_title_when_prefixed: bool = True) -> DataFrame | None:
+    """D9 end to end: ``(dataset, metric, k, value)``.  ``datasets`` maps a
+    name to its line tables ``(queries, corpus, judgments)``; texts get the
+    prefixes of ``model`` (P3, P4), are encoded by ``factory`` (U1), ranked
+    (D8) and scored against the judgments (A28).  Datasets that ``existing``
+    has results for are skipped before anything is read (K4); None when
+    nothing is left to score."""
+    from glossa.functions import text as tx
+    from glossa.operators import encoder
+    from glossa.sources import readers
+    done = {r[0] for r in existing.select("dataset").distinct().collect()} if existing is not None else set()
+    ks, parts = [int(k) for k in ks], []
+    for name, (queries, corpus, judgments) in datasets.items():      # a configured list
+        if name in done:
+            continue
+        q = readers.parse_queries(queries).select("qid", tx.with_query_prefix("text", F.lit(model)).alias("text"))
+        d = readers.parse_corpus(corpus).select("doc_id", tx.with_passage_prefix(
+            "title", "body", F.lit(model), drop_title_when_prefixed).alias("text"))
+        run = score_topk(encoder.encode_texts(q, factory, keep=("qid",)),
+                         encoder.encode_texts(d, factory, keep=("doc_id",)), max(ks))
+        found = retrieval_metrics(run, readers.parse_qrels(judgments), ks)
+        parts.append(found.select(F.lit(name).alias("dataset"), "metric", "k", "value"))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out

@@ -38,15 +38,30 @@ def mean_pool(spark, sf_dir):
         "doc", F.col("dim").cast("long").alias("dim"), r6(F.col("value")).alias("value"))
 
 
+def _tvec_sql(name: str, src: str) -> str:
+    """SQL twin of the default encoder followed by the in-task L2
+    normalisation of the retrieval kernel: (id, dim, value)."""
+    return rf"""
+{name}_tok AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+')) AS tok
+               FROM {src} WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),
+{name}_bk AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim,
+                     CAST(count(*) AS DOUBLE) AS c FROM {name}_tok GROUP BY id, dim),
+{name}_f AS (SELECT b.id, b.dim, CAST(CAST(b.c / sqrt(sum(b.c * b.c) OVER (PARTITION BY b.id)) AS FLOAT) AS DOUBLE) AS v
+             FROM {name}_bk b),
+{name} AS (SELECT id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12) AS v FROM {name}_f)"""
+
+
 # J8 + R3: documents with doc_id % 3 = 0 already have vectors; only the
 # others are embedded.
-@query("embed_pending", """
-SELECT doc_id, lang AS language, CAST(64 AS BIGINT) AS dim FROM documents WHERE doc_id % 3 <> 0""")
+@query("embed_pending", with_ctes(_tvec_sql("pv", "pd"), body="""
+SELECT id AS doc_id, CAST(dim AS BIGINT) AS dim, round(v, 6) + 0.0 AS value FROM pv_f""")
+    .replace("WITH ", "WITH pd AS (SELECT doc_id AS id, text AS t FROM documents WHERE doc_id % 3 <> 0), ", 1))
 def embed_pending(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
     done = d.filter(F.col("doc_id") % 3 == 0).select("doc_id")
     out = encoder.embed_pending(d, done, encoder.HashedBagOfWords(DIM))
-    return out.select("doc_id", "language", F.size("embedding").cast("long").alias("dim"))
+    return out.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
 TEXT_SQL = r"""
@@ -85,19 +100,6 @@ def text_to_agnostic(spark, sf_dir):
                         r6(F.aggregate(sae.FEAT_VAL, F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-def _tvec_sql(name: str, src: str) -> str:
-    """SQL twin of the default encoder followed by the in-task L2
-    normalisation of the retrieval kernel: (id, dim, value)."""
-    return rf"""
-{name}_tok AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+')) AS tok
-               FROM {src} WHERE regexp_replace(t, '^\s+|\s+$', '', 'g') <> ''),
-{name}_bk AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim,
-                     CAST(count(*) AS DOUBLE) AS c FROM {name}_tok GROUP BY id, dim),
-{name}_f AS (SELECT b.id, b.dim, CAST(CAST(b.c / sqrt(sum(b.c * b.c) OVER (PARTITION BY b.id)) AS FLOAT) AS DOUBLE) AS v
-             FROM {name}_bk b),
-{name} AS (SELECT id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12) AS v FROM {name}_f)"""
-
-
 RETRIEVE_TEXT_SQL = """
 qt AS (SELECT conv_id * 100 + turn AS id, 'query: ' || text AS t FROM conversations WHERE role = 'user'),
 dt AS (SELECT conv_id * 100 + turn AS id, 'passage: ' || text AS t FROM conversations WHERE role = 'assistant'),""" \

@@ -181,3 +181,78 @@ def results_pending(spark, sf_dir):
                     .alias("threshold"))
     have = ds.filter(F.col("label") % 2 == 0).select("dataset", F.lit(0.55).alias("threshold"))
     return retrieval.pending(req, have, ["dataset", "threshold"])
+
+
+# D9 end to end from lines: two datasets of queries, corpus and judgments
+# with string ids such as "q1" and "12#3".  "turns": flat lines, a user turn
+# asks for the assistant's answer (grade 2) and its next answer (grade 1).
+# "items": nested lines, benchmark texts ask for themselves.
+EVAL_MODEL = "intfloat/multilingual-e5-large"
+EVAL_SQL = r"""
+eq AS (SELECT 'turns' AS ds, 'q' || (conv_id * 100 + turn) AS id, 'query: ' || text AS t FROM conversations WHERE role = 'user'
+       UNION ALL SELECT 'items', 'q' || item_id, 'query: ' || text FROM benchmark),
+ed AS (SELECT 'turns' AS ds, conv_id || '#' || turn AS id, 'passage: ' || text AS t FROM conversations WHERE role = 'assistant'
+       UNION ALL SELECT 'items', item_id || '#0', 'passage: ' || text FROM benchmark),
+qrels AS (SELECT 'turns' AS ds, 'q' || (u.conv_id * 100 + u.turn) AS qid, a.conv_id || '#' || a.turn AS doc_id,
+                 CASE WHEN a.turn = u.turn + 1 THEN 2 ELSE 1 END AS rel
+          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn IN (u.turn + 1, u.turn + 3)
+          WHERE u.role = 'user' AND a.role = 'assistant'
+          UNION ALL SELECT 'items', 'q' || item_id, item_id || '#0', 1 FROM benchmark),
+et AS (SELECT 'q' AS side, * FROM eq UNION ALL SELECT 'd', * FROM ed),
+tk AS (SELECT side, ds, id, unnest(regexp_split_to_array(regexp_replace(t, '^\s+|\s+$', '', 'g'), '\s+')) AS tok FROM et),
+bk AS (SELECT side, ds, id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS dim, CAST(count(*) AS DOUBLE) AS c
+       FROM tk GROUP BY ALL),
+f AS (SELECT side, ds, id, dim, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY side, ds, id)) AS FLOAT) AS DOUBLE) AS v FROM bk),
+n AS (SELECT side, ds, id, dim, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY side, ds, id)), 1e-12) AS v FROM f),
+score AS (SELECT q.ds, q.id AS qid, d.id AS doc_id, sum(q.v * d.v) AS score
+          FROM n q JOIN n d ON q.side = 'q' AND d.side = 'd' AND d.ds = q.ds AND d.dim = q.dim GROUP BY ALL),
+run AS (SELECT q.ds, q.id AS qid, d.id AS doc_id, row_number() OVER (
+            PARTITION BY q.ds, q.id ORDER BY round(coalesce(s.score, 0), 12) DESC, d.id) AS rank
+        FROM eq q JOIN ed d ON d.ds = q.ds LEFT JOIN score s ON s.ds = q.ds AND s.qid = q.id AND s.doc_id = d.id
+        QUALIFY rank <= 20),
+judged AS (SELECT r.ds, r.qid, r.rank, coalesce(j.rel, 0) AS rel FROM run r LEFT JOIN qrels j USING (ds, qid, doc_id)),
+judged2 AS (SELECT *, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (
+                PARTITION BY ds, qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits FROM judged),
+ks AS (SELECT unnest([1, 5, 20]) AS k),
+perq AS (SELECT j.ds, j.qid, ks.k, sum(CASE WHEN j.rank <= ks.k THEN j.rel / log2(j.rank + 1.0) ELSE 0.0 END) AS dcg,
+                sum(CASE WHEN j.rank <= ks.k AND j.rel > 0 THEN 1 ELSE 0 END) AS hit,
+                sum(CASE WHEN j.rank <= ks.k AND j.rel > 0 THEN j.hits / j.rank ELSE 0.0 END) AS ap
+         FROM judged2 j, ks GROUP BY ALL),
+ideal0 AS (SELECT ds, qid, rel, row_number() OVER (PARTITION BY ds, qid ORDER BY rel DESC, doc_id) AS irank FROM qrels),
+ideal AS (SELECT i.ds, i.qid, ks.k, count(*) AS n_rel, sum(CASE WHEN i.irank <= ks.k THEN i.rel / log2(i.irank + 1.0) ELSE 0.0 END) AS idcg
+          FROM ideal0 i, ks GROUP BY ALL),
+m AS (SELECT p.ds, p.k, p.dcg / i.idcg AS ndcg, p.ap / i.n_rel AS map, p.hit / i.n_rel AS recall, p.hit / p.k AS prec
+      FROM perq p JOIN ideal i USING (ds, qid, k))"""
+
+
+def _eval_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 100 + F.col("turn")
+    qid, did = F.concat(F.lit("q"), key.cast("string")), F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    users, answers = c.filter(F.col("role") == "user"), c.filter(F.col("role") == "assistant")
+    pairs = users.select("conv_id", F.col("turn").alias("asked"), qid.alias("qid")).join(
+        answers.select("conv_id", "turn", did.alias("doc_id")), "conv_id").filter(
+        (F.col("turn") == F.col("asked") + 1) | (F.col("turn") == F.col("asked") + 3))
+    line = lambda df, k, *cols: df.select(k.alias("line_key"), F.to_json(F.struct(*cols)).alias("value"))
+    turns = (line(users, key, qid.alias("_id"), "text"),
+             line(answers, key, did.alias("_id"), F.lit("").alias("title"), "text"),
+             line(pairs, F.col("turn"), F.col("qid").alias("query-id"), F.col("doc_id").alias("corpus-id"),
+                  F.when(F.col("turn") == F.col("asked") + 1, 2).otherwise(1).alias("score")))
+    b = table(spark, sf_dir, "benchmark")
+    bq, bd = F.concat(F.lit("q"), F.col("item_id").cast("string")), F.concat(F.col("item_id").cast("string"), F.lit("#0"))
+    nested = lambda *cols: b.select(F.col("item_id").alias("line_key"), F.to_json(F.create_map(*cols)).alias("value"))
+    items = (nested(bq, F.col("text")), nested(bd, F.struct(F.lit("").alias("title"), "text")),
+             nested(bq, F.create_map(bd, F.lit(1))))
+    return {"turns": turns, "items": items}
+
+
+@query("evaluate_datasets", with_ctes(EVAL_SQL, body="""
+SELECT ds AS dataset, metric, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM (
+  SELECT ds, 'NDCG' AS metric, k, avg(ndcg) AS value FROM m GROUP BY ds, k
+  UNION ALL SELECT ds, 'MAP', k, avg(map) FROM m GROUP BY ds, k
+  UNION ALL SELECT ds, 'Recall', k, avg(recall) FROM m GROUP BY ds, k
+  UNION ALL SELECT ds, 'P', k, avg(prec) FROM m GROUP BY ds, k)"""))
+def evaluate_datasets(spark, sf_dir):
+    from glossa.operators.encoder import HashedBagOfWords
+    out = retrieval.evaluate_datasets(spark, _eval_lines(spark, sf_dir), HashedBagOfWords(64), EVAL_MODEL, [1, 5, 20])
+    return out.select("dataset", "metric", F.col("k").cast("int").alias("k"), r6(F.col("value")).alias("value"))

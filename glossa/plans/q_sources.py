@@ -106,17 +106,20 @@ def triples_clean(spark, sf_dir):
 # S7 / S8 / S9 ----------------------------------------------------------------------
 
 @query("queries_shapes", """
-SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS qid, text FROM conversations WHERE role = 'user'""")
+SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS qid, CASE WHEN turn % 4 = 2 THEN '{x} ' ELSE '' END || text AS text
+FROM conversations WHERE role = 'user'""")
 def queries_shapes(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    # every second text begins like a JSON object; some lines are no JSON
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.concat(
+        F.when(F.col("turn") % 4 == 2, F.lit("{x} ")).otherwise(F.lit("")), "text"))
     tid = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
     shape = F.col("conv_id") % 3
-    line = (F.when(F.col("role") != "user", F.lit(""))
+    line = (F.when(F.col("role") != "user", F.when(F.col("turn") % 3 == 0, F.lit('{"q": bad')).otherwise(F.lit("")))
             .when(shape == 0, F.to_json(F.struct(tid.alias("_id"), F.col("text"))))
             .when(shape == 1, F.to_json(F.create_map(tid, F.col("text"))))
             .otherwise(F.to_json(F.create_map(tid, F.struct(F.col("text"))))))
     lines = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_key"), line.alias("value"))
-    return readers.parse_queries(lines)
+    return readers.parse_queries(lines, malformed="skip")
 
 
 @query("corpus_shapes", """
@@ -135,7 +138,7 @@ def corpus_shapes(spark, sf_dir):
                    F.to_json(F.struct(tid.alias("_id"), title.alias("title"), F.col("text"))))
             .otherwise(F.to_json(F.create_map(tid, doc))))
     lines = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line_key"), line.alias("value"))
-    return readers.parse_corpus(lines)
+    return readers.parse_corpus(lines).select("doc_id", "text")
 
 
 @query("qrels_shapes", with_ctes(F2_SQL, body="""
@@ -167,28 +170,43 @@ def qrels_shapes(spark, sf_dir):
 
 # S1 / S2 / S3 ------------------------------------------------------------------------
 
-@query("raw_text", """
-SELECT doc_id * 10 AS line_key, 0 AS item, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id * 10, 0, md5(text) FROM documents WHERE doc_id % 3 = 1
-UNION ALL SELECT doc_id * 10, 1, md5(lang) FROM documents WHERE doc_id % 3 = 1
-UNION ALL SELECT doc_id * 10, 0, md5('') FROM documents WHERE doc_id % 3 = 2""")
-def raw_text(spark, sf_dir):
+def _raw_lines(spark, sf_dir):
+    """Object lines, array lines of an object and scalars, objects without
+    text, blank lines and lines that are no JSON."""
     d = table(spark, sf_dir, "documents")
     k = d.doc_id % 3
+    array = F.concat(F.lit("["), F.to_json(F.struct("text")), F.lit(", \""), F.col("lang"), F.lit("\", \"{"),
+                     F.col("lang"), F.lit("} x\", null, true, 7]"))
     line = (F.when(k == 0, F.to_json(F.struct("text", F.col("lang").alias("language"))))
-            .when(k == 1, F.concat(F.lit("["), F.to_json(F.struct("text")), F.lit(", "),
-                                   F.to_json(F.array("lang")).substr(F.lit(2), F.length(
-                                       F.to_json(F.array("lang"))) - 2), F.lit("]")))
+            .when(k == 1, array)
             .otherwise(F.to_json(F.struct(F.col("lang").alias("language")))))
-    lines = (d.select((F.col("doc_id") * 10).alias("line_key"), line.alias("value"))
-             .unionByName(d.filter(F.col("doc_id") % 5 == 0)
-                          .select((F.col("doc_id") * 10 + 1).alias("line_key"),
-                                  F.lit("   ").alias("value"))))
-    recs = readers.parse_text_records(lines, "text")
+    lines = d.select((F.col("doc_id") * 10).alias("line_key"), line.alias("value"))
+    blank = d.filter(F.col("doc_id") % 5 == 0).select((F.col("doc_id") * 10 + 1).alias("line_key"), F.lit("  \u3000 ").alias("value"))
+    bad = d.filter(F.col("doc_id") % 7 == 0).select(
+        (F.col("doc_id") * 10 + 2).alias("line_key"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("not json")).otherwise(F.lit("[bad")).alias("value"))
+    return lines.unionByName(blank).unionByName(bad)
+
+
+@query("raw_text", """
+SELECT doc_id * 10 AS line_key, 0 AS item, md5(text) AS text_md5 FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id * 10, 0, md5('') FROM documents WHERE doc_id % 3 = 2
+UNION ALL
+SELECT doc_id * 10, i - 1, md5(list_extract([text, lang, '{' || lang || '} x', 'None', 'True', '7'], i))
+FROM documents, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i) WHERE doc_id % 3 = 1""")
+def raw_text(spark, sf_dir):
+    recs = readers.parse_text_records(_raw_lines(spark, sf_dir), "text", malformed="skip")
     return recs.select("line_key", F.col("item").cast("int").alias("item"),
                        F.md5("text").alias("text_md5"))
 
 
+@query("raw_text_rejects", """
+SELECT doc_id * 10 + 2 AS line_key, CASE WHEN doc_id % 2 = 0 THEN 'not json' ELSE '[bad' END AS value
+FROM documents WHERE doc_id % 7 = 0""")
+def raw_text_rejects(spark, sf_dir):
+    return readers.rejects(_raw_lines(spark, sf_dir))
+
+
 @query("labelled_text", """
 SELECT CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE lang END AS language,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars
@@ -207,12 +225,14 @@ def labelled_text(spark, sf_dir):
 @query("plain_lines", """
 SELECT doc_id, CAST(pos AS BIGINT) AS pos, md5(t) AS text_md5 FROM (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
-         regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS t
+         regexp_replace(unnest(string_split(text, chr(10))), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t
   FROM documents) WHERE t <> ''""")
 def plain_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
+    # ideographic and no-break spaces around the lines are stripped as well
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value")) \
-        .select(F.struct("doc_id", "pos").alias("line_key"), "value")
+        .select(F.struct("doc_id", "pos").alias("line_key"),
+                F.concat(F.lit("\u3000"), "value", F.lit(" \u00a0")).alias("value"))
     p = readers.parse_plain(lines)
     return p.select(F.col("line_key.doc_id").alias("doc_id"),
                     F.col("line_key.pos").cast("long").alias("pos"), F.md5("text").alias("text_md5"))

@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glossa.operators import sae
+from glossa.operators import encoder, sae
 from glossa.plans.fixtures import F4_SQL, F5_SQL, f4_model, f5_vectors, with_ctes
 from glossa.plans.q_sae import EXCL_SQL, _explode_feats, exclusive_features
+from glossa.plans.q_embed import DIM, _tvec_sql
 from glossa.plans.registry import query
 from glossa.session import ensure_checkpoint_dir
+from glossa.sources.tables import table
 from glossa.streaming import jobs
 
 
@@ -49,5 +51,22 @@ def stream_firing(spark, sf_dir):
     q = jobs.stream_firing_counts(spark, f"{base}/in", schema, model, f"{base}/out",
                                   f"{base}/ckpt", max_files=2)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
+    return jobs.latest_firing_counts(spark, f"{base}/out").select(
         "language", "feature", F.col("n").cast("long").alias("n"))
+
+
+# Texts arrive as files in two rounds; the second run of the stream only
+# embeds what the checkpoint has not seen.
+@query("stream_embed", with_ctes(_tvec_sql("ev", "ed"), body="""
+SELECT e.id AS doc_id, CAST(e.dim AS BIGINT) AS dim, round(e.v, 6) + 0.0 AS value FROM ev_f e
+""").replace("WITH ", "WITH ed AS (SELECT doc_id AS id, text AS t FROM documents), ", 1))
+def stream_embed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-embed-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).write.mode("append").parquet(f"{base}/in")
+        jobs.stream_embed(spark, f"{base}/in", docs.schema, encoder.HashedBagOfWords(DIM), f"{base}/out",
+                          f"{base}/ckpt").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))

@@ -42,5 +42,5 @@ def all_sql() -> dict[str, str]:
 def _load() -> None:
     # Importing the modules registers their queries.
     from glossa.plans import (  # noqa: F401
-        q_analysis, q_corpus, q_embed, q_retrieval, q_sae, q_sources, q_streaming, q_sweep,
+        q_analysis, q_corpus, q_embed, q_retrieval, q_sae, q_sinks, q_sources, q_streaming, q_sweep,
     )

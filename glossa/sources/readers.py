@@ -6,6 +6,11 @@ appear in the input (file path, block start and position inside the
 split).  Every parser below takes such a table, so the same code reads
 files and lines derived from other tables.  Where the input format says
 "the last one wins", the winner is ``max_by(..., line_key)``.
+
+JSON lines are read by the type of the parsed value, never by how a text
+begins.  A malformed line fails the job with the line in the message
+(``malformed="fail"``); with ``"skip"`` it is left out and ``rejects`` lists
+it.
 """
 
 from __future__ import annotations
@@ -22,7 +27,46 @@ PASSAGE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
-_MAP_SS = "map<string,string>"
+_OBJECT = "map<string,variant>"
+
+
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number type."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _object(v: Column) -> Column:
+    """Fields of an object, null for every other type."""
+    return F.when(_kind(v) == "OBJECT", v.cast(_OBJECT))
+
+
+def _scalar(v: Column) -> Column:
+    """Text of a value: a string as it is, null for null."""
+    return v.cast("string")
+
+
+def _printed(v: Column) -> Column:
+    """Text of an array item that is no object, as printed: None, True,
+    False, numbers and strings."""
+    return (F.when(F.is_variant_null(v) | v.isNull(), F.lit("None"))
+            .when(_kind(v) == "BOOLEAN", F.initcap(v.cast("string"))).otherwise(_scalar(v)))
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """The lines that are not blank and no JSON."""
+    return lines.filter(~_is_blank(F.col("value")) & F.try_parse_json(strip(F.col("value"))).isNull())
+
+
+def _parsed(lines: DataFrame, malformed: str) -> DataFrame:
+    """``line_key, v``: the parsed lines (blank ones are skipped)."""
+    if malformed not in ("fail", "skip"):
+        raise ValueError(f"malformed: {malformed}")
+    body = lines.filter(~_is_blank(F.col("value"))).select(
+        "line_key", "value", F.try_parse_json(strip(F.col("value"))).alias("v"))
+    if malformed == "skip":
+        return body.filter(F.col("v").isNotNull()).select("line_key", "v")
+    bad = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200)))
+    return body.select("line_key", F.coalesce("v", bad.cast("variant")).alias("v"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,22 +87,22 @@ def _is_blank(col: Column) -> Column:
 
 # S1 ------------------------------------------------------------------------
 
-def parse_text_records(lines: DataFrame, text_column: str = "text") -> DataFrame:
+def _records(values: DataFrame, text_column: str) -> DataFrame:
+    """``line_key, v`` -> ``line_key, item, text``: an object gives its
+    ``text_column`` (missing or null -> ''), an array one row per item."""
+    items = values.select("line_key", F.posexplode(
+        F.when(_kind(F.col("v")) == "ARRAY", F.col("v").cast("array<variant>")).otherwise(F.array("v"))).alias("item", "x"))
+    return items.select("line_key", "item", F.when(
+        _kind(F.col("x")) == "OBJECT", F.coalesce(_scalar(_object(F.col("x"))[text_column]), F.lit("")))
+        .otherwise(_printed(F.col("x"))).alias("text"))
+
+
+def parse_text_records(lines: DataFrame, text_column: str = "text", malformed: str = "fail") -> DataFrame:
     """S1 (JSONL): ``(line_key, item, text)``.  An object line gives its
     ``text_column`` (missing -> ''); an array line gives one row per item
-    (object -> its field, scalar -> its text); blank lines are skipped."""
-    body = lines.filter(~_is_blank(F.col("value"))).withColumn("_t", strip(F.col("value")))
-    is_arr = F.col("_t").startswith("[")
-    obj = (body.filter(~is_arr)
-           .select("line_key", F.lit(0).alias("item"),
-                   F.coalesce(F.from_json("_t", _MAP_SS)[text_column], F.lit("")).alias("text")))
-    arr = (body.filter(is_arr)
-           .select("line_key", F.posexplode(F.from_json("_t", "array<string>")).alias("item", "raw"))
-           .select("line_key", "item",
-                   F.when(F.ltrim(F.col("raw")).startswith("{"),
-                          F.coalesce(F.from_json("raw", _MAP_SS)[text_column], F.lit("")))
-                   .otherwise(F.coalesce(F.col("raw"), F.lit(""))).alias("text")))
-    return obj.unionByName(arr)
+    (object -> its field, anything else as printed); blank lines are
+    skipped."""
+    return _records(_parsed(lines, malformed), text_column)
 
 
 def first_n(records: DataFrame, n: int | None, order_cols=("line_key", "item")) -> DataFrame:
@@ -68,25 +112,26 @@ def first_n(records: DataFrame, n: int | None, order_cols=("line_key", "item"))
     return records.orderBy(*order_cols).limit(int(n))
 
 
-def read_json_records(spark: SparkSession, path: str, text_column: str = "text") -> DataFrame:
-    """S1 (JSON): a file holding an array of objects or one object."""
-    df = spark.read.option("multiLine", "true").json(path)
-    if text_column not in df.columns:
-        return df.select(F.lit("").alias("text"))
-    return df.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+def read_json_records(spark: SparkSession, path: str, text_column: str = "text",
+                      malformed: str = "fail") -> DataFrame:
+    """S1 (JSON): files that each hold one array (of objects or scalars) or
+    one object; ``(line_key, item, text)`` with the file as the line key."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("line_key"), "value")
+    return _records(_parsed(files, malformed), text_column)
 
 
 # S2 ------------------------------------------------------------------------
 
-def parse_labelled(lines: DataFrame, text_column: str = "text",
-                   language_column: str = "language", drop_empty: bool = True) -> DataFrame:
+def parse_labelled(lines: DataFrame, text_column: str = "text", language_column: str = "language",
+                   drop_empty: bool = True, malformed: str = "fail") -> DataFrame:
     """``(line_key, text, language)``; missing language -> 'unknown',
     missing text -> ''; empty texts dropped unless ``drop_empty`` is False."""
-    m = F.from_json(strip(F.col("value")), _MAP_SS)
-    out = (lines.filter(~_is_blank(F.col("value"))).select(
+    m = _object(F.col("v"))
+    out = _parsed(lines, malformed).select(
         "line_key",
-        F.coalesce(m[text_column], F.lit("")).alias("text"),
-        F.coalesce(m[language_column], F.lit("unknown")).alias("language")))
+        F.coalesce(_scalar(m[text_column]), F.lit("")).alias("text"),
+        F.coalesce(_scalar(m[language_column]), F.lit("unknown")).alias("language"))
     return out.filter(F.length("text") > 0) if drop_empty else out
 
 
@@ -137,57 +182,57 @@ def read_passages(spark: SparkSession, path_glob: str, num_partitions: int | Non
 
 # S7 / S8 / S9 ----------------------------------------------------------------
 
-def parse_queries(lines: DataFrame) -> DataFrame:
+def parse_queries(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     """``{_id, text}`` or ``{qid: text}`` or ``{qid: {text}}`` ->
     ``(qid, text)``; a repeated id keeps its last line."""
-    m = lines.filter(~_is_blank(F.col("value"))).select(
-        "line_key", F.from_json(strip(F.col("value")), _MAP_SS).alias("m"))
-    flat = (m.filter(F.col("m")["_id"].isNotNull() & F.col("m")["text"].isNotNull())
-            .select("line_key", F.col("m")["_id"].alias("qid"), F.col("m")["text"].alias("text")))
-    other = (m.filter(F.col("m")["_id"].isNull() | F.col("m")["text"].isNull())
-             .select("line_key", F.explode("m").alias("qid", "raw"))
-             .select("line_key", "qid",
-                     F.when(F.ltrim("raw").startswith("{"),
-                            F.from_json("raw", _MAP_SS)["text"])
-                     .otherwise(F.col("raw")).alias("text"))
+    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
+    is_flat = F.col("m")["_id"].isNotNull() & F.col("m")["text"].isNotNull()
+    flat = m.filter(is_flat).select("line_key", _scalar(F.col("m")["_id"]).alias("qid"),
+                                    _scalar(F.col("m")["text"]).alias("text"))
+    raw = F.col("raw")
+    other = (m.filter(~is_flat).select("line_key", F.explode("m").alias("qid", "raw"))
+             .select("line_key", "qid", F.when(_kind(raw) == "OBJECT", _scalar(_object(raw)["text"]))
+                     .when(_kind(raw) == "STRING", _scalar(raw)).alias("text"))
              .filter(F.col("text").isNotNull()))
     return (flat.unionByName(other).groupBy("qid")
             .agg(F.max_by("text", "line_key").alias("text")))
 
 
-def parse_corpus(lines: DataFrame) -> DataFrame:
+def parse_corpus(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     """``{_id, title, text}`` or ``{doc_id: {title, text}}`` (several ids
-    per line allowed) -> ``(doc_id, text)`` with text = P5(title, text)."""
-    m = lines.filter(~_is_blank(F.col("value"))).select(
-        "line_key", F.from_json(strip(F.col("value")), _MAP_SS).alias("m"))
-    flat = (m.filter(F.col("m")["_id"].isNotNull())
-            .select("line_key", F.col("m")["_id"].alias("doc_id"),
-                    doc_text(F.col("m")["title"], F.col("m")["text"]).alias("text")))
+    per line allowed) -> ``(doc_id, title, body, text)`` with text =
+    P5(title, body); a repeated id keeps its last line, values that are no
+    objects are skipped."""
+    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
+
+    def parts(d: Column):
+        return [F.coalesce(_scalar(d["title"]), F.lit("")).alias("title"),
+                F.coalesce(_scalar(d["text"]), F.lit("")).alias("body")]
+    flat = m.filter(F.col("m")["_id"].isNotNull()).select(
+        "line_key", _scalar(F.col("m")["_id"]).alias("doc_id"), *parts(F.col("m")))
     nested = (m.filter(F.col("m")["_id"].isNull())
               .select("line_key", F.explode("m").alias("doc_id", "raw"))
-              .filter(F.ltrim("raw").startswith("{"))
-              .select("line_key", "doc_id", F.from_json("raw", _MAP_SS).alias("d"))
-              .select("line_key", "doc_id", doc_text(F.col("d")["title"], F.col("d")["text"])
-                      .alias("text")))
+              .select("line_key", "doc_id", _object(F.col("raw")).alias("d")).filter(F.col("d").isNotNull())
+              .select("line_key", "doc_id", *parts(F.col("d"))))
     return (flat.unionByName(nested).groupBy("doc_id")
-            .agg(F.max_by("text", "line_key").alias("text")))
+            .agg(F.max_by(F.struct("title", "body"), "line_key").alias("d"))
+            .select("doc_id", "d.title", "d.body", doc_text(F.col("d.title"), F.col("d.body")).alias("text")))
 
 
-def parse_qrels(lines: DataFrame) -> DataFrame:
+def parse_qrels(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     """Flat ``{query-id, corpus-id, score}`` or nested
     ``{qid: {doc_id: rel}}`` -> ``(qid, doc_id, rel INT)``; entries merge per
     qid and a repeated (qid, doc_id) keeps its last line."""
-    m = lines.filter(~_is_blank(F.col("value"))).select(
-        "line_key", F.from_json(strip(F.col("value")), _MAP_SS).alias("m"))
+    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
     is_flat = F.col("m")["query-id"].isNotNull() & F.col("m")["corpus-id"].isNotNull()
+    whole = lambda v: _scalar(v).cast("double").cast("int")
     flat = m.filter(is_flat).select(
-        "line_key", F.col("m")["query-id"].alias("qid"), F.col("m")["corpus-id"].alias("doc_id"),
-        F.col("m")["score"].cast("double").cast("int").alias("rel"))
+        "line_key", _scalar(F.col("m")["query-id"]).alias("qid"), _scalar(F.col("m")["corpus-id"]).alias("doc_id"),
+        whole(F.col("m")["score"]).alias("rel"))
     nested = (m.filter(~is_flat)
               .select("line_key", F.explode("m").alias("qid", "raw"))
-              .select("line_key", "qid",
-                      F.explode(F.from_json("raw", "map<string,double>")).alias("doc_id", "s"))
-              .select("line_key", "qid", "doc_id", F.col("s").cast("int").alias("rel")))
+              .select("line_key", "qid", F.explode(_object(F.col("raw"))).alias("doc_id", "s"))
+              .select("line_key", "qid", "doc_id", whole(F.col("s")).alias("rel")))
     return (flat.unionByName(nested).groupBy("qid", "doc_id")
             .agg(F.max_by("rel", "line_key").alias("rel")))
 

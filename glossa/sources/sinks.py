@@ -27,33 +27,37 @@ def write_statistics(df: DataFrame, path: str) -> None:
 
 def write_embeddings(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """K3: vectors keyed by id as Parquet."""
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
+def existing_results(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """Keys that already have a result at ``path`` (None: nothing written),
+    to be passed to the scoring job, which skips them before it scores."""
+    try:
+        return spark.read.parquet(path).select(*keys).distinct()
+    except Exception as e:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) \
+                and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def write_results(spark: SparkSession, results: DataFrame, path: str,
                   keys: Sequence[str], overwrite: bool = False) -> DataFrame:
     """K4: append results partitioned by ``keys``; rows whose key already has
     a result are skipped unless ``overwrite`` (then only the touched
-    partitions are replaced: dynamic partition overwrite).  Returns what
-    was written."""
+    partitions are replaced: dynamic overwrite as an option of this write,
+    the session is left alone).  Returns what was written."""
     keys = list(keys)
-    todo = results
-    if not overwrite:
-        try:
-            existing = spark.read.parquet(path).select(*keys).distinct()
-            todo = pending(results, existing, keys)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) \
-                    and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
     if overwrite:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        todo.write.mode("overwrite").partitionBy(*keys).parquet(path)
-    else:
-        todo.write.mode("append").partitionBy(*keys).parquet(path)
+        results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        return results
+    existing = existing_results(spark, path, keys)
+    todo = results if existing is None else pending(results, existing, keys)
+    todo.write.mode("append").partitionBy(*keys).parquet(path)
     return todo
 
 

@@ -52,7 +52,7 @@ def stream_firing_counts(spark: SparkSession, input_dir: str, schema: T.StructTy
     counts = sae.firing_counts(src, model, language_col=language_col, vec_col=vec_col)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/version={epoch_id}")
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
         .foreachBatch(sink)
@@ -60,6 +60,14 @@ def stream_firing_counts(spark: SparkSession, input_dir: str, schema: T.StructTy
     return w.start()
 
 
+def latest_firing_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counts of the newest version that was written completely."""
+    from pyspark.sql import functions as F
+    versions = spark.read.parquet(out_dir)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def stream_embed(spark: SparkSession, input_dir: str, schema: T.StructType,
                  factory: Callable, out_dir: str, checkpoint: str, text_col: str = "text",
                  available_now: bool = True, max_files: int | None = None) -> StreamingQuery:

@@ -136,3 +136,25 @@ def test_last_wins_follows_line_order_across_splits(spark, tmp):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = {str(i % 50): f"v{i}" for i in range(20000)}
     assert got == want
+
+
+def test_malformed_lines_fail_or_are_listed(spark):
+    import pytest
+    rows = ['["{a} b", null, true, 1.5]', "not json", '{"text": null}', "[bad"]
+    lines = spark.createDataFrame(list(enumerate(rows)), "line_key long, value string")
+    with pytest.raises(Exception, match="malformed JSON line: not json|malformed JSON line: \\[bad"):
+        readers.parse_text_records(lines).collect()
+    got = [r["text"] for r in readers.parse_text_records(lines, malformed="skip").orderBy("line_key", "item").collect()]
+    assert got == ["{a} b", "None", "True", "1.5", ""]
+    assert [r["value"] for r in readers.rejects(lines).orderBy("line_key").collect()] == ["not json", "[bad"]
+
+
+def test_scalar_array_file_and_texts_like_objects(spark, tmp):
+    p = os.path.join(tmp, "scalars.json")
+    with open(p, "w", encoding="utf-8") as f:
+        json.dump(["a", "{b"], f)
+    assert [r["text"] for r in readers.read_json_records(spark, p).orderBy("item").collect()] == ["a", "{b"]
+    q = spark.createDataFrame([(0, '{"q1": "{x} what", "q2": {"text": "t"}, "q3": 4}')], "line_key long, value string")
+    assert {(r["qid"], r["text"]) for r in readers.parse_queries(q).collect()} == {("q1", "{x} what"), ("q2", "t")}
+    c = spark.createDataFrame([(0, '{"d1": {"title": "T", "text": "x"}, "d2": "{x} str"}')], "line_key long, value string")
+    assert [(r["doc_id"], r["title"], r["text"]) for r in readers.parse_corpus(c).collect()] == [("d1", "T", "T x")]

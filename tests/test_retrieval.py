@@ -10,26 +10,39 @@ def _vec_df(spark, ids, mat, id_col):
                                  f"{id_col} long, embedding array<float>")
 
 
-@pytest.mark.parametrize("bound_fraction", [0.0, 0.5])
-@pytest.mark.parametrize("block_bytes", [retrieval.DEFAULT_QUERY_BLOCK_BYTES, 4 * 8 * 3])
-def test_topk_matches_brute_force(spark, block_bytes, bound_fraction):
+@pytest.mark.parametrize("k,state_bytes", [(7, retrieval.DEFAULT_STATE_BYTES), (7, 4 * 8 * 40), (1000, 1 << 14)])
+def test_topk_matches_brute_force(spark, k, state_bytes):
     rng = np.random.default_rng(0)
     d = rng.normal(size=(200, 4)).astype(np.float32)
     d[10] = d[11]                       # identical documents: tie by id
     q = d[:13]
     run = retrieval.score_topk(_vec_df(spark, range(13), q, "qid"),
-                               _vec_df(spark, range(200), d, "doc_id"), 7,
-                               query_block_bytes=block_bytes, bound_fraction=bound_fraction)
+                               _vec_df(spark, range(200), d, "doc_id"), k, state_bytes=state_bytes, work_bytes=2048)
     got = {}
     for r in run.collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
-    dn = d / np.linalg.norm(d, axis=1, keepdims=True)
+    dn = d.astype(float) / np.linalg.norm(d.astype(float), axis=1, keepdims=True)
     for i in range(13):
-        s = dn @ dn[i]
-        want = sorted(range(200), key=lambda j: (-s[j], j))[:7]
+        s = np.round(dn @ dn[i], 12)
+        want = sorted(range(200), key=lambda j: (-s[j], j))[:k]
         assert [doc for _, doc in sorted(got[i])] == want
 
 
+def test_topk_string_ids_null_and_odd_vectors(spark):
+    q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", None)], "qid string, embedding array<double>")
+    d = spark.createDataFrame([("12#3", [-1.0, 0.0]), ("a", [0.0, 1.0]), ("b", None), ("c", [1.0]), ("A", [0.0, 2.0])],
+                              "doc_id string, embedding array<double>")
+    got = [(r["qid"], r["rank"], r["doc_id"], r["score"]) for r in
+           retrieval.score_topk(q, d, 10).orderBy("qid", "rank").collect()]
+    assert got == [("q1", 1, "A", 0.0), ("q1", 2, "a", 0.0), ("q1", 3, "12#3", -1.0)]
+
+
+def test_topk_without_queries(spark):
+    none = spark.createDataFrame([], "qid long, embedding array<double>")
+    d = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>")
+    assert retrieval.score_topk(none, d, 3).count() == 0
+
+
 def test_metrics_perfect_and_unjudged(spark):
     qrels = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (2, 20, 1)], "qid long, doc_id long, rel int")
     perfect = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (2, 20, 0.7, 1)],
@@ -85,3 +98,21 @@ def test_rule_judgments_equal_explicit_qrels(spark):
     assert got.keys() == want.keys()
     for key in got:
         assert got[key] == pytest.approx(want[key], rel=1e-12), key
+
+
+def test_scored_datasets_are_skipped(spark):
+    from glossa.operators.encoder import HashedBagOfWords
+
+    def lines(rows):
+        return spark.createDataFrame(list(enumerate(rows)), "line_key long, value string")
+    one = (lines(['{"_id": "q1", "text": "red fox"}']),
+           lines(['{"_id": "12#3", "title": "", "text": "red fox"}', '{"x": {"title": "t", "text": "blue"}}']),
+           lines(['{"query-id": "q1", "corpus-id": "12#3", "score": 1}']))
+
+    datasets = {"done": (None, None, None), "new": one}
+    have = spark.createDataFrame([("done",)], "dataset string")
+    out = retrieval.evaluate_datasets(spark, datasets, HashedBagOfWords(16), "none", [1], existing=have)
+    got = {(r["dataset"], r["metric"]): r["value"] for r in out.collect()}
+    assert got == {("new", m): 1.0 for m in ("NDCG", "MAP", "Recall", "P")}
+    all_done = spark.createDataFrame([("done",), ("new",)], "dataset string")
+    assert retrieval.evaluate_datasets(spark, datasets, HashedBagOfWords(16), "none", [1], existing=all_done) is None
