@@ -31,13 +31,13 @@ Large clusters are cut into units of ``UNIT`` members for step 5, and
 verification groups are hash blocks whose number grows with the classes, so
 no group is ever one task's whole work.
 
-Shingles are 64-bit hashes (compared inside one pair of sets only), equal
-sets are recognised by 128 bits.
+Shingles are 64-bit hashes (compared inside one pair of sets only); equal
+sets are recognised by 128 bits, of which 64 name the class.
 
 Defined cases: null, empty or white-space text has an empty set (0 shingles)
 and is linked with nothing; with one to four words the whole sequence is the
-one shingle; a null id is never linked and has a null component; repeated
-ids and rows count as documents of that id; an empty table gives no rows;
+one shingle; a null id is never linked and has a null component; rows of
+equal ids are documents of their own that share the id; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -63,7 +63,7 @@ UNIT = 2048
 GROUP_CLASSES = 2000
 SLICE_ENTRIES = 1 << 19
 
-ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4"), ("at", "<i4")])
+ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("r", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def _least_part(n):
@@ -144,7 +144,7 @@ def _slices(spark: SparkSession, entries: int) -> tuple[int, int]:
 
 
 def _index(classes: DataFrame, freq: str, cells: int, slices: int, read) -> DataFrame:
-    """Prefix entries of ``classes`` (``c, n, tokens``), a row per slice and
+    """Prefix entries of ``classes`` (``c, r, n, tokens``), a row per slice and
     task, brought to the task of the slice, where ``read`` turns the sorted
     entries of a slice into record batches."""
     spark = classes.sparkSession
@@ -165,7 +165,7 @@ def _index(classes: DataFrame, freq: str, cells: int, slices: int, read) -> Data
                 names=["slice", "entries"])
 
         for batch in batches:
-            for c, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for c, r, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 t = np.frombuffer(raw, np.uint64)
                 alone = n - len(t)                       # shingles that no other set has: the rarest
                 room = n - _least_part(n) + 1 - alone
@@ -173,7 +173,7 @@ def _index(classes: DataFrame, freq: str, cells: int, slices: int, read) -> Data
                     continue
                 order = np.lexsort((t, estimated_count(t, counts, cells)))[:room]
                 e = np.empty(len(order), dtype=ENTRY)
-                e["h"], e["c"], e["n"], e["at"] = t[order], c, n, alone + np.arange(len(order))
+                e["h"], e["c"], e["r"], e["n"], e["at"] = t[order], c, r, n, alone + np.arange(len(order))
                 held.append(e)
                 size += len(e)
             if size >= SLICE_ENTRIES:
@@ -209,9 +209,10 @@ def _size_fits(n, m):
 
 
 def leader_pairs(e: np.ndarray):
-    """(member, leader) candidates of a slice: every entry with the smallest
-    class of its list, where sizes and positions allow a link."""
-    e = e[np.lexsort((e["c"], e["h"]))]
+    """(member, leader) candidates of a slice: every entry with the class of
+    smallest document id in its list, where sizes and positions allow a
+    link."""
+    e = e[np.lexsort((e["c"], e["r"], e["h"]))]
     first = np.flatnonzero(np.append(True, e["h"][1:] != e["h"][:-1])) if len(e) else np.zeros(0, int)
     lead = np.repeat(first, np.diff(np.append(first, len(e))))
     n, m = e["n"], e["n"][lead]
@@ -419,9 +420,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = shingle_sets(docs, SHINGLE, id_col, text_col)
     named = sets.filter("f0 is not null")
     classes = staged(named.groupBy("f0", "f1").agg(
-        F.min("doc_id").alias("c"), F.first("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("copies"),
-        F.first("tokens", ignorenulls=True).alias("tokens")), "classes")
-    plain = classes.select("c", "n", "tokens")
+        F.min("doc_id").alias("r"), F.first("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("copies"),
+        F.first("tokens", ignorenulls=True).alias("tokens")).withColumn("c", F.col("f0")), "classes")
+    plain = classes.select("c", "r", "n", "tokens")
     many, total = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
     total //= 8
     cells = min(MAX_CELLS >> 3, power_above(2 * total + 1))
@@ -431,18 +432,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = max(parts, many // GROUP_CLASSES)
     stars = staged(_index(plain, freq, cells, slices, leader_pairs).distinct(), "stars")
     verified = staged(attached(plain, stars, groups), "verified")
-    # a class is attached to its smallest leader that is no member itself
-    roots = verified.join(verified.select(F.col("x").alias("y")).distinct(), "y", "left_anti")
-    members = staged(roots.groupBy("x").agg(F.min_by(F.struct("y", "n", "plus", "minus"), "y").alias("m"))
+    # a class is attached to its first leader that is no member itself
+    roots = (verified.join(verified.select(F.col("x").alias("y")).distinct(), "y", "left_anti")
+             .join(plain.select(F.col("c").alias("y"), "r"), "y"))
+    members = staged(roots.groupBy("x").agg(F.min_by(F.struct("y", "n", "plus", "minus"), F.struct("r", "y")).alias("m"))
                      .select("x", "m.*"), "members")
     clustered = (plain.join(members.select(F.col("x").alias("c"), F.col("y").alias("lead")), "c", "left")
-                 .select(F.coalesce("lead", "c").alias("c"), "n", "tokens"))
+                 .select(F.coalesce("lead", "c").alias("c"), "r", "n", "tokens"))
     candidates = staged(_index(clustered, freq, cells, slices, cluster_pairs).distinct(), "candidates")
     side = max(4, math.isqrt(2 * groups))
     found = cluster_links(plain, members, candidates, side)
-    smallest = components(verified.select("x", "y").unionByName(found))
-    comp = classes.select("f0", "f1", "c", "copies").join(smallest.withColumnRenamed("id", "c"), "c", "left") \
-        .select("f0", "f1", "copies", F.coalesce("component", "c").alias("component"))
+    joined = components(verified.select("x", "y").unionByName(found))
+    comp = (classes.select("f0", "f1", "c", "r", "copies").join(joined.withColumnRenamed("id", "c"), "c", "left")
+            .withColumn("label", F.coalesce("component", "c")))
+    least = comp.groupBy("label").agg(F.min("r").alias("smallest"))
+    comp = comp.join(least, "label").select("f0", "f1", "copies", F.col("smallest").alias("component"))
     linked = (named.select("doc_id", "n_shingles", "f0", "f1").join(comp, ["f0", "f1"])
               .select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("copies").alias("n_copies")))
     alone = sets.filter("f0 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
