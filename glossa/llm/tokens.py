@@ -127,7 +127,7 @@ class PieceEncoder:
                     rest = b"".join(map(known, parts))
                 except _Unclean:
                     head, *parts = _SINGLE.split(text)
-                    rest = b"".join(map(known, parts))
+                    rest = b"".join([self._encode(" " + p) if p[-1].isspace() else known(p) for p in parts])
                 out.append(self._encode(head) + rest)
         return out
 
