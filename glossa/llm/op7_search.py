@@ -11,9 +11,12 @@
    ``QUERY_BYTES`` of words), each broadcast to all shards.  In a shard the
    block maxima of a query's lists are added up per document block: a bound
    of what any document there can score.  Blocks are taken from the highest
-   bound on; once the k-th best score is known, blocks whose bound does not
-   reach it are never opened.
-4. The shards' top k are merged by score and id.
+   bound on; blocks whose bound does not reach the k-th best score known so
+   far are never opened.
+4. *Merge.*  Shards are searched in rounds (about 1/16, 3/16 and the rest of
+   them, by hash): the merged k-th best score of a round is where the next
+   one starts, so later shards open few blocks and send little.  The result
+   is the top k of all rounds by score and id.
 
 Scores add terms in the order of their hash in double precision, so they do
 not depend on the sharding; ranks compare scores at nine decimals, equal
@@ -22,7 +25,8 @@ b 0.75, each distinct query word once.
 
 Defined cases: null or empty text is a document of length 0 that no query
 finds, and a query without results; null ids are found (rank after other
-equal scores) but are no queries; repeated ids are separate documents;
+equal scores) but are no queries; rows of equal ids are documents, and
+queries, of their own;
 documents that share no word with a query are not listed, so a query may
 have fewer than k rows; other columns are ignored.
 """
@@ -44,6 +48,7 @@ BLOCK = 32
 QUERY_BLOCK = 4096
 QUERY_BYTES = 64 << 20
 FIRST_BLOCKS = 16
+ROUNDS = (1, 4, 16)   # sixteenths of the shards searched after each round
 NO_ID = (1 << 63) - 1
 
 SHARD = ("n_docs long, n_words long, ids binary, lengths binary, terms binary, first binary, docs binary, "
@@ -157,8 +162,9 @@ class Shard:
         self.cut_first = np.searchsorted(cuts, self.first)       # term -> its first cut
         self.blocks = -(-len(self.ids) // BLOCK)
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int):
-        """Top ``k`` (ids, scores) of a query of sorted ``terms``."""
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0):
+        """Top ``k`` (ids, scores) of a query of sorted ``terms``, of those
+        that score ``least`` or more."""
         i = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         has = self.terms[i] == terms if len(self.terms) else np.zeros(len(terms), bool)
         i, idf = i[has], idf[has]
@@ -173,7 +179,7 @@ class Shard:
         best_docs, best = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, FIRST_BLOCKS
         while at < len(ranked):
-            floor = best[k - 1] if len(best) >= k else 0.0
+            floor = max(least, best[k - 1] if len(best) >= k else 0.0)
             some = ranked[at:at + step]
             some = some[bound[some] > max(floor - 1e-6, 0.0)]
             if not len(some):
@@ -187,9 +193,11 @@ class Shard:
             p = np.arange(m.sum()) + np.repeat(self.cut_at[c] - (np.cumsum(m) - m), m)
             d = self.docs[p]
             scores = np.bincount(d, weights=np.repeat(w, m) * self.worth[p], minlength=len(self.ids))
-            got = np.flatnonzero(scores > 0)
+            got = np.flatnonzero(scores > max(0.0, least - 1e-6))
+            s = np.round(scores[got], 9)
+            got, s = got[s >= least], s[s >= least]
             docs = np.concatenate([best_docs, got])
-            s = np.concatenate([best, np.round(scores[got], 9)])
+            s = np.concatenate([best, s])
             if len(s) > k:
                 cut = np.partition(s, len(s) - k)[len(s) - k]
                 keep = s >= cut
@@ -200,10 +208,11 @@ class Shard:
 
 
 def _blocks(queries: DataFrame):
-    """Blocks of queries (ids, term arrays) of bounded size, in id order."""
+    """Blocks of queries (number and id, term array) of bounded size, in id
+    order."""
     ids, terms, size = [], [], 0
-    for r in queries.orderBy("query_id", "terms").toLocalIterator(prefetchPartitions=False):
-        ids.append(r[0])
+    for number, r in enumerate(queries.orderBy("query_id", "terms").toLocalIterator(prefetchPartitions=False)):
+        ids.append((number, r[0]))
         terms.append(np.frombuffer(bytes(r[1]), np.uint64))
         size += len(r[1])
         if len(ids) >= QUERY_BLOCK or size >= QUERY_BYTES:
@@ -213,6 +222,54 @@ def _blocks(queries: DataFrame):
         yield ids, terms
 
 
+def _frequencies(shards: DataFrame, words: np.ndarray) -> np.ndarray:
+    """Documents that hold each of ``words`` (sorted), over all shards."""
+    asked = shards.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches):
+        total = np.zeros(len(asked.value), dtype=np.int64)
+        for batch in batches:
+            for t, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t, df = _u(t, "<u8"), np.diff(_u(first, "<i8"))
+                i = np.minimum(np.searchsorted(t, asked.value), max(len(t) - 1, 0))
+                if len(t):
+                    total += np.where(t[i] == asked.value, df[i], 0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "df"])
+
+    counted = (shards.select("terms", "first").mapInArrow(count, "word long, df long")
+               .groupBy("word").agg(F.sum("df").alias("df")).toArrow())          # at most the block's words
+    df = np.zeros(len(words))
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return df
+
+
+def _search(shards: DataFrame, block, mean: float, k: int) -> DataFrame:
+    """The block's queries in every shard."""
+    def search(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                shard = Shard(row, mean)
+                ns, qs, ds, ss = [], [], [], []
+                for (number, q), t, w, least in block.value:
+                    d, s = shard.search(t, w, k, least)
+                    ns.append(np.full(len(d), number, np.int64))
+                    qs.append(np.full(len(d), q, np.int64))
+                    ds.append(d)
+                    ss.append(s)
+                d = np.concatenate(ds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(ns)), pa.array(np.concatenate(qs)), pa.array(d, mask=d == NO_ID),
+                     pa.array(np.concatenate(ss))], names=["number", "query_id", "doc_id", "score"])
+
+    return shards.mapInArrow(search, "number long, query_id long, doc_id long, score double")
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``query_id, rank, doc_id, score`` of the best ``k`` documents for
@@ -222,52 +279,29 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "
     n_docs, n_words = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     mean = n_words / n_docs if n_docs else 0.0
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = shards.repartition(parts)
+    spread = shards.withColumn("turn", F.pmod(F.xxhash64("ids"), F.lit(ROUNDS[-1])))
     found = None
     for ids, terms in _blocks(query_terms(queries, id_col, text_col)):
         words = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.uint64)
-        asked = spark.sparkContext.broadcast(words)
-
-        def frequencies(batches, asked=asked):
-            total = np.zeros(len(asked.value), dtype=np.int64)
-            for batch in batches:
-                for t, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    t, df = _u(t, "<u8"), np.diff(_u(first, "<i8"))
-                    i = np.minimum(np.searchsorted(t, asked.value), max(len(t) - 1, 0))
-                    if len(t):
-                        total += np.where(t[i] == asked.value, df[i], 0)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "df"])
-
-        counted = (shards.select("terms", "first").mapInArrow(frequencies, "word long, df long")
-                   .groupBy("word").agg(F.sum("df").alias("df")).toArrow())      # at most the block's words
-        df = np.zeros(len(words))
-        df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+        df = _frequencies(shards, words)
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        block = spark.sparkContext.broadcast([(q, t, idf[np.searchsorted(words, t)]) for q, t in zip(ids, terms)])
-
-        def search(batches, block=block):
-            for batch in batches:
-                for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                    shard = Shard(row, mean)
-                    qs, ds, ss = [], [], []
-                    for q, t, w in block.value:
-                        d, s = shard.search(t, w, k)
-                        qs.append(np.full(len(d), q, np.int64))
-                        ds.append(d)
-                        ss.append(s)
-                    d = np.concatenate(ds)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(qs)), pa.array(d, mask=d == NO_ID), pa.array(np.concatenate(ss))],
-                        names=["query_id", "doc_id", "score"])
-
-        hits = spread.mapInArrow(search, "query_id long, doc_id long, score double")
-        found = hits if found is None else found.unionByName(hits)
+        weights = [idf[np.searchsorted(words, t)] for t in terms]
+        least, start, top = np.zeros(len(ids)), 0, None
+        for end in ROUNDS:
+            block = spark.sparkContext.broadcast(list(zip(ids, terms, weights, least.tolist())))
+            some = spread.filter(F.col("turn").between(start, end - 1)).drop("turn").repartition(parts)
+            hits = _search(some, block, mean, k)
+            top = _best(hits if top is None else hits.unionByName(top), k)
+            if end < ROUNDS[-1]:
+                top = staged(top, "top")
+                for r in top.filter(F.col("rank") == k).select("number", "score").collect():   # at most the block
+                    least[r[0] - ids[0][0]] = r[1]
+                top = top.drop("rank")
+            start = end
+        found = top if found is None else found.unionByName(top)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "doc_id", F.round("score", 6).alias("score")))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
