@@ -171,7 +171,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Counts and verdict of every document."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("_text"))
     metrics = staged(with_metrics(picked, "_text").drop("_text"), "quality")
-    return judged(metrics, certified_cutoffs(metrics, labels))
+    return judged(metrics, staged(certified_cutoffs(metrics, labels), "cutoffs"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -183,7 +183,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                          F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"),
                          F.col(text_col).alias("_text"))
     measured = staged(with_metrics(picked, "_text").drop("_text"), "quality")
-    cutoffs = certified_cutoffs(measured.drop("_row"), labels)
+    # stored, so that its size is known and the rows are not shuffled for it
+    cutoffs = staged(certified_cutoffs(measured.drop("_row"), labels), "cutoffs")
     return judged(measured, cutoffs).filter("kept").select("_row.*")
 
 
