@@ -183,15 +183,21 @@ def mix_documents(docs: DataFrame, sources_col: str = "source", id_col: str = "d
     (joined by single spaces), one not drawn not at all."""
     placed, sources = place_documents(docs, sources_col, id_col, text_col, block_words, keep=True)
     per_doc = (taken_blocks(placed.drop("row"), sources, block_words)
-               .groupBy("sid", "at").agg(F.array_sort(F.collect_list(F.struct("first", "words", "rounds"))).alias("b")))
-    rows = (placed.filter("size > 0").select("sid", "at", "row").join(per_doc, ["sid", "at"])
-            .select("row", F.col("b"), F.explode(F.array(*[F.lit(e) for e in range(MOST)])).alias("e")))
-    drawn = F.expr("filter(b, x -> (shiftright(x.rounds, e) & 1) = 1)")
-    rows = rows.withColumn("d", drawn).filter(F.size("d") > 0)
-    words = word_array(F.col("row")[text_col])
-    part = F.array_join(F.flatten(F.transform("d", lambda x: F.slice(
-        words, (x["first"] + 1).cast("int"), x["words"].cast("int")))), " ")
-    rows = rows.withColumn("text_out", F.when(F.size("d") == F.size("b"), F.col("row")[text_col]).otherwise(part))
+               .groupBy("sid", "at").agg(F.array_sort(F.collect_list(F.struct("first", "rounds"))).alias("b"))
+               .select("sid", "at", F.col("b.rounds").alias("drawn")))
+    rows = placed.filter("size > 0").select("sid", "at", "row").join(per_doc, ["sid", "at"])
+    some = F.expr(f"filter(sequence(0, {MOST - 1}), e -> exists(drawn, r -> (shiftright(r, e) & 1) = 1))")
+    rows = rows.select("row", "at", "drawn", F.explode(some).alias("e"))
+    text = F.col("row")[text_col]
+    whole = F.expr("forall(drawn, r -> (shiftright(r, e) & 1) = 1)")
+
+    def is_drawn(word: Column, i: Column) -> Column:
+        # the i-th word lies in block (at + i) div block_words of the source
+        block = F.floor((F.col("at") + i) / block_words) - F.floor(F.col("at") / block_words)
+        return F.pmod(F.floor(F.get("drawn", block.cast("int")) / F.pow(F.lit(2), F.col("e"))), F.lit(2)) == 1
+
+    rows = rows.withColumn("text_out", F.when(whole, text).otherwise(
+        F.array_join(F.filter(word_array(text), is_drawn), " ")))
     values = {text_col: F.col("text_out")}
     if chars_col in docs.columns:
         values[chars_col] = F.length("text_out").cast(docs.schema[chars_col].dataType)
