@@ -139,6 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     offsets.append(place)
                     counts.append(len(raw) // 4)
                     place += len(frame)
+        enc.rest()
         if out is None:
             return
         index = (np.asarray(ids, "<i8").tobytes() + np.asarray(has, "u1").tobytes()

@@ -72,6 +72,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(),
                                                        pa.int64(), pa.int32(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("_id"),
                        F.col(text_col).cast("string").alias("_text")).mapInArrow(encode, PIECES)

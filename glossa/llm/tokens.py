@@ -24,7 +24,8 @@ import os
 import re
 from array import array
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
+REST_PIECES = 150_000       # kept by a worker between tasks
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _CLOSING = ".,;:!?"
 
@@ -107,6 +108,10 @@ class PieceEncoder:
         ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return ids + self._close(piece[len(core):]) if len(core) < len(piece) else ids
 
+    def rest(self) -> None:
+        """Keep only the recent pieces: an idle worker holds little."""
+        self.young, self.old = _Pieces(self), dict(self.young) if len(self.young) <= REST_PIECES else {}
+
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers; None is empty."""
         if len(self.young) > CACHE_PIECES:
