@@ -125,9 +125,10 @@ def draw_blocks(sources: DataFrame) -> DataFrame:
 
 
 def place_documents(docs: DataFrame, sources_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-                    block_words: int = BLOCK_WORDS, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents with their place ``at`` in their source's stream, sources).
-    ``keep``: carry each whole row as the struct ``row``."""
+                    block_words: int = BLOCK_WORDS, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their place ``at`` in their source's stream, sources,
+    stage table).  ``keep``: the stage table holds each whole row as the
+    struct ``row`` under a number ``uid``, which the placed keys carry."""
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text_hash = F.xxhash64(F.col(text_col))
@@ -135,7 +136,9 @@ def place_documents(docs: DataFrame, sources_col: str = "source", id_col: str =
         F.col(id_col).alias("doc_id"), F.col(sources_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"), text_hash.alias("th"),
         F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text_hash), F.lit(buckets)).alias("bucket"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else [])), "sized")
+        *([F.monotonically_increasing_id().alias("uid"),
+           F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else [])), "sized")
+    stage, sized = sized, sized.drop("row")
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sources = staged(source_targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), block_words),
                      "sources")
@@ -148,7 +151,7 @@ def place_documents(docs: DataFrame, sources_col: str = "source", id_col: str =
     placed = placed.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))) \
         .withColumn("at", F.col("at") + F.col("base")).drop("s", "b", "base", "bucket", "th")
     named = sources.select(F.col("source").alias("s"), "sid", "source_size", "target")
-    return placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s"), sources
+    return placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s"), sources, stage
 
 
 def taken_blocks(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -168,7 +171,7 @@ def taken_blocks(placed: DataFrame, sources: DataFrame, block_words: int = BLOCK
 def mix_sizes(docs: DataFrame, sources_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
               block_words: int = BLOCK_WORDS) -> DataFrame:
     """Words of every document that the mix takes."""
-    placed, sources = place_documents(docs, sources_col, id_col, text_col, block_words)
+    placed, sources, _ = place_documents(docs, sources_col, id_col, text_col, block_words)
     columns = ["doc_id", "size", "source_size", "target"]
     some = (taken_blocks(placed, sources, block_words)
             .groupBy("sid", "at", *columns).agg(F.sum(F.col("words") * F.bit_count("rounds")).alias("taken")))
@@ -181,11 +184,11 @@ def mix_documents(docs: DataFrame, sources_col: str = "source", id_col: str = "d
     """The mix as rows of ``docs``: for each round, a document whose blocks
     were all drawn as it is, one drawn in part with the drawn words only
     (joined by single spaces), one not drawn not at all."""
-    placed, sources = place_documents(docs, sources_col, id_col, text_col, block_words, keep=True)
-    per_doc = (taken_blocks(placed.drop("row"), sources, block_words)
-               .groupBy("sid", "at").agg(F.array_sort(F.collect_list(F.struct("first", "rounds"))).alias("b"))
-               .select("sid", "at", F.col("b.rounds").alias("drawn")))
-    rows = placed.filter("size > 0").select("sid", "at", "row").join(per_doc, ["sid", "at"])
+    placed, sources, stage = place_documents(docs, sources_col, id_col, text_col, block_words, keep=True)
+    per_doc = (taken_blocks(placed, sources, block_words)
+               .groupBy("uid", "at").agg(F.array_sort(F.collect_list(F.struct("first", "rounds"))).alias("b"))
+               .select("uid", "at", F.col("b.rounds").alias("drawn")))
+    rows = stage.select("uid", "row").join(per_doc, "uid")     # the one shuffle of texts
     some = F.expr(f"filter(sequence(0, {MOST - 1}), e -> exists(drawn, r -> (shiftright(r, e) & 1) = 1))")
     rows = rows.select("row", "at", "drawn", F.explode(some).alias("e"))
     text = F.col("row")[text_col]
