@@ -54,7 +54,7 @@ from glossa.llm import kernels
 from glossa.llm.components import components
 from glossa.llm.sketches import (
     build_sketch, estimated_count, estimated_repeated, load_sketch, power_above)
-from glossa.llm.stages import staged
+from glossa.llm.stages import small_batches, staged
 
 SHINGLE = 5
 PERCENT = 75
@@ -135,7 +135,8 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                     names=["doc_id", "n_shingles", "f0", "f1", "tokens"])
 
-    return staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, f0 long, f1 long, tokens binary"), "sets")
+    with small_batches(docs.sparkSession):
+        return staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, f0 long, f1 long, tokens binary"), "sets")
 
 
 def _slices(spark: SparkSession, entries: int) -> tuple[int, int]:

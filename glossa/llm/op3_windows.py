@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import kernels
 from glossa.llm.sketches import build_sketch, estimated_repeated, load_sketch, power_above
-from glossa.llm.stages import staged
+from glossa.llm.stages import small_batches, staged
 
 WINDOW = 35
 CELLS_PER_WINDOW = 3
@@ -200,7 +200,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     path = build_sketch(texts.select("_text"), windows, cells)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slices = max(parts, guess // SLICE_WINDOWS)
-    answers = staged(repeated_windows(texts, path, cells, window, slices), "answers")
+    with small_batches(spark):
+        answers = staged(repeated_windows(texts, path, cells, window, slices), "answers")
 
     def again(batches):
         for b, held in _batches(batches, path, cells, window):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glossa.llm import kernels
-from glossa.llm.stages import read_table, stage_path
+from glossa.llm.stages import read_table, small_batches, stage_path
 
 BLOCK_CELLS = 1 << 22
 FLUSH_ITEMS = 1 << 21
@@ -100,9 +100,10 @@ def build_sketch(df: DataFrame, items, cells: int, rows: int = 2, most: int = 2)
             yield done()
 
     path = stage_path(df.sparkSession, "sketch")
-    (df.mapInArrow(count, "row int, block int, cells binary")
-     .repartition("row", "block").sortWithinPartitions("row", "block")
-     .mapInArrow(merge, "row int, block int, counts binary").write.parquet(path))
+    with small_batches(df.sparkSession):
+        (df.mapInArrow(count, "row int, block int, cells binary")
+         .repartition("row", "block").sortWithinPartitions("row", "block")
+         .mapInArrow(merge, "row int, block int, counts binary").write.parquet(path))
     return path
 
 
