@@ -100,6 +100,27 @@ def packs(column, limit: int = PACK_BYTES):
         at = end
 
 
+def fixed_rows(batches, rows: int):
+    """Record batches of exactly ``rows`` rows (the last may have fewer),
+    however the input is cut: what is made of them depends on the rows alone."""
+    held, n = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            take = min(rows - n, b.num_rows - at)
+            held.append(b.slice(at, take))
+            n, at = n + take, at + take
+            if n == rows:
+                yield joined()
+                held, n = [], 0
+    if n:
+        yield joined()
+
+
 @dataclass
 class Words:
     """Words of a pack in order: byte spans and the text each belongs to."""

@@ -109,14 +109,13 @@ def _batches(batches, path, cells, window):
     the cut depends on the rows alone, so every pass makes the same ones."""
     seq, held = 0, _Batch()
     rows = load_sketch(path, cells)
-    for batch in batches:
-        part = batch.column(2)[0].as_py() if batch.num_rows else 0
-        for at in range(0, batch.num_rows, 256):
-            b = batch.slice(at, 256)
-            held.add(b.column(0), b.column(1), rows, cells, window)
-            if held.full():
-                yield (part << 24) | seq, held
-                seq, held = seq + 1, _Batch()
+    part = 0
+    for b in kernels.fixed_rows(batches, 250):
+        part = b.column(2)[0].as_py()
+        held.add(b.column(0), b.column(1), rows, cells, window)
+        if held.full():
+            yield (part << 24) | seq, held
+            seq, held = seq + 1, _Batch()
     if held.docs:
         yield (part << 24) | seq, held
 

@@ -72,3 +72,10 @@ def test_suffix_array_and_owners():
         for s, raw in enumerate(strings):
             want = [min(o for t, o in zip(strings, owners) if raw[i:i + 4] in t) for i in range(max(0, len(raw) - 3))]
             assert got[s] == want
+
+
+def test_rows_are_cut_alike_however_they_come():
+    rows = pa.table({"x": list(range(1003)), "t": [str(i) for i in range(1003)]})
+    cuts = [[b.column(0).to_pylist() for b in k.fixed_rows(rows.to_batches(max_chunksize=n), 250)] for n in (7, 250, 1000, 5000)]
+    assert cuts[0] == cuts[1] == cuts[2] == cuts[3] and [len(c) for c in cuts[0]] == [250, 250, 250, 250, 3]
+    assert list(k.fixed_rows([], 250)) == []
