@@ -77,3 +77,32 @@ def test_empty_tables(spark):
 def test_one_partition(spark):
     one = corpus(spark, 1)
     assert sorted_rows(op4_substrings.remove_earlier(one), COLUMNS4) == _earlier(texts())
+
+
+def test_windows_of_a_hot_anchor_are_spread(spark, tmp_path, monkeypatch):
+    """A passage of many documents between words of their own, some of which
+    two documents share: no slice gets more than a part of its strings."""
+    passage = "the same sixty bytes and more stand in all of these pages, always"
+    rows = [(i, f"head {i * 7919 % 1000:03d}{i % 500} {passage} tail {i % 700}") for i in range(3000)] + [(None, passage)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    seen = {}
+    keep = op4_substrings.staged
+
+    def staged(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(op4_substrings, "staged", staged)
+    monkeypatch.setattr(op4_substrings, "HOT_STRINGS", 200, raising=False)
+    monkeypatch.setattr(op4_substrings, "HOT_EVERY", 2, raising=False)
+    got = op4_substrings.remove_earlier(spark.read.parquet(path))
+    assert sorted_rows(got, COLUMNS4) == _earlier(rows)
+    per = [r[0] for r in seen["owners"].groupBy("slice").sum("n").select("sum(n)").collect()]
+    assert max(per) < 0.25 * sum(per)
+
+
+def test_every_anchor_hot(spark, stored, monkeypatch):
+    monkeypatch.setattr(op4_substrings, "HOT_STRINGS", 1, raising=False)
+    monkeypatch.setattr(op4_substrings, "HOT_EVERY", 1, raising=False)
+    assert sorted_rows(op4_substrings.remove_earlier(stored), COLUMNS4) == _earlier(texts())
