@@ -10,7 +10,8 @@ packed sequences.
 * quality: documents that fail the base rules or a certified cutoff go;
 * lines: boilerplate lines of a source leave the texts (a document whose
   lines all go keeps its row with an empty text);
-* near_copies: of each group of linked documents the smallest id stays;
+* near_copies: of each group of linked documents one row of the smallest id
+  stays;
 * mixing: rows repeat, or hold part of their words, as the mix draws their
   blocks; documents without a word are not drawn;
 * packing: token pieces of all rows are packed into sequences.

@@ -47,7 +47,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels
@@ -102,11 +102,18 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
             _signed(kernels.mix64(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) + np.uint64(len(s))))
 
 
+def _text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell the texts of an id apart."""
+    return F.xxhash64(text.cast("string")), F.xxhash64(F.lit(1), text.cast("string"))
+
+
 def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stage table: ``doc_id, n_shingles``; for documents that may link also
-    ``f0, f1`` (fingerprint of the set) and, once per task and set, the
-    shared shingles ``tokens``."""
-    texts = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"))
+    """Stage table: ``doc_id, t0, t1`` (``_text_key``), ``n_shingles``; for
+    documents that may link also ``f0, f1`` (fingerprint of the set) and,
+    once per task and set, the shared shingles ``tokens``."""
+    t0, t1 = _text_key(F.col(text_col))
+    texts = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"),
+                        t0.alias("_t0"), t1.alias("_t1"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cells = min(MAX_CELLS, power_above(3 * (size // 6 + 1)))
 
@@ -121,22 +128,23 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
         seen = set()
         for batch in batches:
             out = []
-            for key, s in zip(batch.column(1).to_pylist(), _sets(batch.column(0), k)):
+            for key, t0, t1, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), _sets(batch.column(0), k)):
                 n = len(s)
                 shared = s[estimated_repeated(s, sketch, cells)] if n else s
                 if key is None or not n or len(shared) < _least_part(n):
-                    out.append((key, n, None, None, None))
+                    out.append((key, t0, t1, n, None, None, None))
                     continue
                 f = _fingerprint(s)
-                out.append((key, n, *f, None if f in seen else shared.tobytes()))
+                out.append((key, t0, t1, n, *f, None if f in seen else shared.tobytes()))
                 seen.add(f)
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    names=["doc_id", "n_shingles", "f0", "f1", "tokens"])
+                    [pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 6, pa.binary()))],
+                    names=["doc_id", "t0", "t1", "n_shingles", "f0", "f1", "tokens"])
 
     with small_batches(docs.sparkSession):
-        return staged(texts.mapInArrow(measure, "doc_id long, n_shingles long, f0 long, f1 long, tokens binary"), "sets")
+        return staged(texts.mapInArrow(measure, "doc_id long, t0 long, t1 long, n_shingles long, f0 long, f1 long, "
+                                                "tokens binary"), "sets")
 
 
 def _slices(spark: SparkSession, entries: int) -> tuple[int, int]:
@@ -413,16 +421,15 @@ def cluster_links(classes: DataFrame, members: DataFrame, candidates: DataFrame,
             .mapInArrow(verify, "x long, y long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_copies``: the smallest id that
-    is reachable by links, and how many documents have the very same set
-    (itself included)."""
-    spark = docs.sparkSession
-    sets = shingle_sets(docs, SHINGLE, id_col, text_col)
+def _classes_of(sets: DataFrame) -> DataFrame:
+    """``f0, f1, copies, smallest``: per set that may link the number of its
+    documents and the smallest ``(doc_id, t0, t1)`` of its component."""
+    spark = sets.sparkSession
     named = sets.filter("f0 is not null")
     classes = staged(named.groupBy("f0", "f1").agg(
-        F.min("doc_id").alias("r"), F.first("n_shingles").cast("int").alias("n"), F.count(F.lit(1)).alias("copies"),
-        F.first("tokens", ignorenulls=True).alias("tokens")).withColumn("c", F.col("f0")), "classes")
+        F.min(F.struct("doc_id", "t0", "t1")).alias("least"), F.first("n_shingles").cast("int").alias("n"),
+        F.count(F.lit(1)).alias("copies"), F.first("tokens", ignorenulls=True).alias("tokens"))
+        .withColumn("c", F.col("f0")).withColumn("r", F.col("least.doc_id")), "classes")
     plain = classes.select("c", "r", "n", "tokens")
     many, total = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
     total //= 8
@@ -444,23 +451,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     side = max(4, math.isqrt(2 * groups))
     found = cluster_links(plain, members, candidates, side)
     joined = components(verified.select("x", "y").unionByName(found))
-    comp = (classes.select("f0", "f1", "c", "r", "copies").join(joined.withColumnRenamed("id", "c"), "c", "left")
+    comp = (classes.select("f0", "f1", "c", "least", "copies").join(joined.withColumnRenamed("id", "c"), "c", "left")
             .withColumn("label", F.coalesce("component", "c")))
-    least = comp.groupBy("label").agg(F.min("r").alias("smallest"))
-    comp = comp.join(least, "label").select("f0", "f1", "copies", F.col("smallest").alias("component"))
-    linked = (named.select("doc_id", "n_shingles", "f0", "f1").join(comp, ["f0", "f1"])
-              .select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("copies").alias("n_copies")))
+    smallest = comp.groupBy("label").agg(F.min("least").alias("smallest"))
+    return comp.join(smallest, "label").select("f0", "f1", "copies", "smallest")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_copies``: the smallest id that
+    is reachable by links, and how many documents have the very same set
+    (itself included)."""
+    sets = shingle_sets(docs, SHINGLE, id_col, text_col)
+    linked = (sets.filter("f0 is not null").select("doc_id", "n_shingles", "f0", "f1").join(_classes_of(sets), ["f0", "f1"])
+              .select("doc_id", "n_shingles", F.col("smallest.doc_id").alias("component_id"), F.col("copies").alias("n_copies")))
     alone = sets.filter("f0 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
                                              F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(alone)
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component (rows of
-    null ids stay, and so do all rows that share the kept id)."""
-    marks = jaccard_components(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id")
-    out = marks.filter("_id <> component_id").select("_id").distinct()
-    return docs.join(out, docs[id_col].cast("long") == out["_id"], "left_anti")
+    """One row of ``docs`` per component, of its smallest id.  Rows that link
+    with none, and rows of null ids, stay.  As an id may carry several
+    texts, rows are told apart by id and text; where the row that stays is
+    there more than once, one of its copies does."""
+    sets = shingle_sets(docs, SHINGLE, id_col, text_col)
+    key = ["doc_id", "t0", "t1"]
+    rows = (sets.filter("f0 is not null").select(*key, "f0", "f1").join(_classes_of(sets), ["f0", "f1"])
+            .groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.first("smallest").alias("smallest")))
+    stays = F.struct(*key) == F.col("smallest")
+    marks = staged(rows.filter(~stays | (F.col("rows") > 1)).select(*[F.col(c).alias(f"_{c}") for c in key], stays.alias("_stays")),
+                   "marks")
+    repeated = staged(marks.filter("_stays"), "repeated")          # small or empty as a rule: no shuffle of texts then
+
+    def on(of):
+        t0, t1 = _text_key(docs[text_col])
+        return (docs[id_col].cast("long") == of["_doc_id"]) & (t0 == of["_t0"]) & (t1 == of["_t1"])
+
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [c for (_, kind), c in zip(docs.dtypes, named) if "map<" not in kind]
+    one = (docs.join(repeated, on(repeated)).groupBy("_doc_id", "_t0", "_t1")
+           .agg(F.min_by(F.struct(*named), F.xxhash64(*plain)).alias("_one")).select("_one.*"))
+    return docs.join(marks, on(marks), "left_anti").unionByName(one)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_one_document_of_each_group_stays(spark, stored):
     assert sorted((r[0] for r in kept.select("doc_id").collect()), key=repr) == want
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    """Ids that carry texts of different groups, and rows that are there
+    more than once: a group keeps one row, never none."""
+    text = lambda c: [f"{c}{i}" for i in range(60)]
+    near = lambda c: " ".join(text(c)[:59] + ["other"])
+    full = lambda c: " ".join(text(c))
+    rows = [(5, full("a")), (9, near("a")), (3, full("b")), (5, near("b")),
+            (5, full("c")), (7, near("c")), (4, full("d")), (4, full("d")), (4, near("d")), (8, near("d")),
+            (6, full("e")), (6, full("f")), (None, full("a")), (None, full("a")), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in op.one_per_group(df).collect()]
+    group = lambda t: t and t[0]
+    assert sorted(((d, group(t)) for d, t in kept), key=repr) == sorted(
+        [(5, "a"), (3, "b"), (5, "c"), (4, "d"), (6, "e"), (6, "f"), (None, "a"), (None, "a"), (2, None), (2, None)], key=repr)
+
+
 def test_empty_table(spark):
     assert op.jaccard_components(empty(spark)).count() == 0
 
