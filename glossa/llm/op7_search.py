@@ -10,9 +10,10 @@
 3. *Search.*  Queries go in blocks of at most ``QUERY_BLOCK`` (and
    ``QUERY_BYTES`` of words), each broadcast to all shards.  In a shard the
    block maxima of a query's lists are added up per document block: a bound
-   of what any document there can score.  Blocks are taken from the highest
-   bound on; blocks whose bound does not reach the k-th best score known so
-   far are never opened.
+   of what any document there can score.  The ``FIRST_BLOCKS`` blocks of
+   highest bound are opened, then, in one step, all others whose bound
+   reaches the k-th best score of these (or of earlier rounds): a filter by
+   block bounds with one raise of the floor per shard, not a pivot.
 4. *Merge.*  Shards are searched in rounds (about 1/16, 3/16 and the rest of
    them, by hash): the merged k-th best score of a round is where the next
    one starts, so later shards open few blocks and send little.  The result
