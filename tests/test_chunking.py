@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from glossa.operators import chunking
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def _docs(spark):

@@ -98,7 +98,7 @@ def test_sinks_round_trip(spark, tmp):
 def test_statistics_document(spark, tmp):
     from glossa.operators import corpus
     from glossa.plans.q_corpus import _sets
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     sets, quotas, _ = _sets(spark, SF_SMALL)
     acc = corpus.language_accounting(quotas, sets, "a", "b")
     doc = corpus.statistics(acc)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import masks
 from glossa.plans.q_analysis import _counts
-from conftest import SF_MID
+from paths import SF_MID
 
 
 def test_mask_properties(spark):

@@ -5,7 +5,7 @@ operators have their own tests in ``tests/llm``."""
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from glossa.plans.registry import all_queries, all_sql
 from oracle import compare, connect
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import pooling
 from glossa.plans.q_embed import f8
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_vector_and_long_forms_agree_and_zero_mask(spark):

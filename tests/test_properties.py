@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import chunking, corpus, sae
 from glossa.plans.fixtures import f4_model, f5_vectors
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_firing_counts_do_not_depend_on_partitioning(spark):

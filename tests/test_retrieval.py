@@ -82,7 +82,7 @@ def test_l2_normalize_zero_vector(spark):
 
 def test_rule_judgments_equal_explicit_qrels(spark):
     from glossa.plans.q_retrieval import f6, f6_judged
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     q, d = f6(spark, SF_SMALL)
     run = retrieval.exclude_self(retrieval.score_topk(q, d, 50))
     judged, grades = f6_judged(run, q, d)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import encoder, sae
 from glossa.plans.fixtures import f4_model, f5_vectors
 from glossa.streaming import jobs
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_embed_only_new_files(spark):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from glossa.operators import training
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _loss(x, enc, dec, k, aux_coeff, target):
