@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from glossa.llm.op10_toxicity import op10_toxicity
+from glossa.llm.op11_whitening import op11_whitening
+from glossa.llm.op12_codes import op12_vector_codes
+from glossa.llm.op13_counts import op13_token_counts
 from glossa.llm.op1_ngrams import op1_ngram_join
 from glossa.llm.op2_tokens import op2_token_files
 from glossa.llm.op3_windows import op3_repeated_windows
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL: dict[str, str] = {

@@ -14,12 +14,15 @@ COLUMNS = {
     6: {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, 7: {"query_id", "doc_id"},
     8: {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     9: {"doc_id", "size", "source_size", "target", "taken"}, 10: {"doc_id", "held_out", "score", "predicted"},
+    11: {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    12: {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    13: {"doc_id", "n_bytes", "n_tokens", "over_limit"},
 }
 
 
 def test_one_query_per_operator():
     names = list(catalogue.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(entry.queries())
     assert set(catalogue.SQL) <= set(entry.oracle_sql())
 
