@@ -30,15 +30,13 @@ def merged(summaries: DataFrame, merge: Callable[[bytes, bytes], bytes], fan_in:
         if acc is not None:
             yield pa.RecordBatch.from_pydict({"blob": pa.array([acc], pa.binary())})
 
-    n, path = summaries.count(), None
-    level = summaries
+    path, level = store(summaries, "summaries")
+    n = level.count()
     with small_batches(spark, 16):
         while n > 1:
             n = -(-n // fan_in)
             before, (path, level) = path, store(level.repartition(n).mapInArrow(fold, BLOB), "merged")
-            if before:
-                remove(spark, before)
+            remove(spark, before)
         found = level.toArrow().column(0).to_pylist()
-    if path:
-        remove(spark, path)
+    remove(spark, path)
     return found[0] if found else None
