@@ -7,107 +7,40 @@ dec ARRAY<DOUBLE>)``: ``enc`` is row ``feature`` of the encoder weight and
 id first) and decoded as ``sum value_f * dec_f``.
 
 The product of every row with every atom is dense, so it is computed in
-Arrow batches inside ``mapInArrow`` with numpy, never as exploded rows.
-The model is broadcast in feature blocks whose byte size is checked
-(``max_block_bytes``).  A model bigger than one block is processed as a
-chain of narrow passes over the same partitions, one block per pass: the
-running top-k and the running reconstruction travel on the row, so the
-chain adds no shuffle.  Counts per block are disjoint and are unioned.
+Arrow batches inside ``mapInArrow`` with numpy, never as exploded rows.  The
+weights are files that executors map into memory (``weights``); whatever the
+number of blocks, an operator is one node and one scan: a kernel walks the
+blocks for each part of a batch with a running top-k.  Decoding gathers the
+``k`` decoder rows of a row's features.  A task holds a product of at most
+``work_bytes`` beside the mapped block.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glossa.session import broadcast, cores, num_partitions
+from glossa.operators.partials import HELD_BYTES, fold_sorted, gathered, many_tasks, ranges
+from glossa.operators.weights import DEFAULT_BLOCK_BYTES, SaeModel, load_model  # noqa: F401
 
 # Fixed values of the method.
 FIRE_EPS = 1e-6            # a feature fires when |relu(x . enc)| > 1e-6
 USAGE_TEMPERATURE = 1e4    # sigmoid temperature of the feature-usage estimate
 FVU_EPS = 1e-8             # denominator guard of the unexplained variance
 
-DEFAULT_BLOCK_BYTES = 256 * 1024 * 1024   # model bytes broadcast per pass
-DEFAULT_WORK_BYTES = 64 * 1024 * 1024     # rows x features buffer per sub-batch
+DEFAULT_WORK_BYTES = 64 * 1024 * 1024     # rows x features buffers per part of a batch
 
 FEAT_IDX = "feat_idx"
 FEAT_VAL = "feat_val"
 KTH = "kth_value"
 RECON = "recon"
-
-
-@dataclass
-class SaeModel:
-    """A dictionary loaded for scoring: dims plus broadcast feature blocks."""
-
-    input_dim: int
-    dict_size: int
-    sparsity: int
-    blocks: list = field(default_factory=list)   # Broadcast[(lo, enc, dec)]
-
-    def release(self) -> None:
-        """Drop the broadcast blocks from the executors once the jobs that
-        use this model have run."""
-        for b in self.blocks:
-            b.unpersist()
-
-
-def load_model(atoms: DataFrame, sparsity: int,
-               max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> SaeModel:
-    """Check the atoms table and broadcast it in blocks of bounded size.
-
-    The model is bounded by ``dict_size x input_dim`` (it does not grow with
-    the data); each block's size is checked before it is broadcast.
-    """
-    stats = atoms.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("feature").alias("lo"), F.max("feature").alias("hi"),
-        F.min(F.size("enc")).alias("d_lo"), F.max(F.size("enc")).alias("d_hi"),
-        F.min(F.size("dec")).alias("e_lo"), F.max(F.size("dec")).alias("e_hi"),
-        F.count_distinct("feature").alias("nd"),
-    ).first()
-    n = int(stats["n"] or 0)
-    if n == 0:
-        raise ValueError("empty dictionary")
-    if stats["lo"] != 0 or stats["hi"] != n - 1 or stats["nd"] != n:
-        raise ValueError("atom features must be the dense ids 0..dict_size-1")
-    dim = int(stats["d_lo"])
-    if not (stats["d_hi"] == dim == stats["e_lo"] == stats["e_hi"]):
-        raise ValueError("every enc and dec vector must have the input dimension")
-    per_feature = dim * 8 * 2
-    per_block = max(1, int(max_block_bytes // per_feature))
-    blocks = []
-    for lo in range(0, n, per_block):
-        hi = min(n, lo + per_block)
-        part = (atoms.filter((F.col("feature") >= lo) & (F.col("feature") < hi))
-                .select("feature", F.col("enc").cast("array<double>"),
-                        F.col("dec").cast("array<double>"))
-                .toArrow().sort_by("feature"))
-        m = hi - lo
-        enc = part.column("enc").combine_chunks().flatten().to_numpy().reshape(m, dim)
-        dec = part.column("dec").combine_chunks().flatten().to_numpy().reshape(m, dim)
-        # (lo, enc rows, dec rows): both (features_in_block, input_dim)
-        blocks.append(broadcast(atoms.sparkSession, (lo, np.ascontiguousarray(enc),
-                                                     np.ascontiguousarray(dec))))
-    return SaeModel(input_dim=dim, dict_size=n, sparsity=int(sparsity), blocks=blocks)
-
-
-def model_from_vectors(atoms_src: DataFrame, id_col: str, vec_col: str,
-                       sparsity: int, **kw) -> SaeModel:
-    """Tied dictionary whose atoms are vectors of a table (enc = dec)."""
-    atoms = atoms_src.select(
-        F.col(id_col).cast("int").alias("feature"),
-        F.col(vec_col).cast("array<double>").alias("enc"),
-        F.col(vec_col).cast("array<double>").alias("dec"))
-    return load_model(atoms, sparsity, **kw)
+RECON_MASKED = "recon_masked"
+FEAT_RANK = "feat_rank"
 
 
 # ---------------------------------------------------------------------------
@@ -170,31 +103,71 @@ def _rowwise_sorted(idx: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(idx, order, 1), np.take_along_axis(val, order, 1)
 
 
-def _topk(raw: np.ndarray, k: int, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact top-k of each row of ``raw`` (ReLU activations, block offset
-    ``lo``): feature ids and values sorted by (value desc, id asc), and the
-    k-th largest value (0 when fewer than k are positive)."""
+def _block_topk(raw: np.ndarray, k: int, lo: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest of each row of ``raw`` (ReLU activations of the block
+    that starts at ``lo``), unsorted; at the rank precision equal values go
+    to the lower feature id."""
     n, d = raw.shape
-    if d == 0 or n == 0:
-        return np.zeros((n, 0), np.int64), np.zeros((n, 0)), np.zeros(n)
-    if k <= 0 or k >= d:
-        idx = np.broadcast_to(np.arange(d), (n, d)).copy()
-        idx, val = _rowwise_sorted(idx, raw)
-        return idx + lo, val, np.zeros(n)
-    key = np.round(raw, RANK_DECIMALS)
-    part = np.argpartition(-key, k - 1, axis=1)[:, :k]
-    kkey = np.take_along_axis(key, part, 1).min(axis=1)
-    # argpartition breaks ties at the boundary arbitrarily; redo those rows
-    # so that equal values go to the lower feature id.
-    ties = np.nonzero((kkey > 0) & ((key >= kkey[:, None]).sum(axis=1) > k))[0]
-    for r in ties:
-        row = key[r]
-        above = np.nonzero(row > kkey[r])[0]
-        equal = np.nonzero(row == kkey[r])[0][: k - above.size]
-        part[r] = np.concatenate([above, equal])
+    if k >= d:
+        return np.broadcast_to(np.arange(lo, lo + d), (n, d)), raw
+    part = np.argpartition(-raw, k - 1, axis=1)[:, :k]
     val = np.take_along_axis(raw, part, 1)
-    idx, val = _rowwise_sorted(part, val)
-    return idx + lo, val, val[:, k - 1].copy()
+    kth = val.min(axis=1)
+    # argpartition breaks ties at the boundary arbitrarily; redo those rows
+    near = (raw >= (kth - 2 * 10.0 ** -RANK_DECIMALS)[:, None]).sum(axis=1)
+    for r in np.nonzero((kth > 0) & (near > k))[0]:
+        key = np.round(raw[r], RANK_DECIMALS)
+        cut = -np.partition(-key, k - 1)[k - 1]
+        above = np.nonzero(key > cut)[0]
+        part[r] = np.concatenate([above, np.nonzero(key == cut)[0][: k - above.size]])
+        val[r] = raw[r, part[r]]
+    return part + lo, val
+
+
+def topk_rows(model: SaeModel, x: np.ndarray, k: int,
+              work_bytes: int = DEFAULT_WORK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of ``x``: feature ids and ReLU values of the top ``k`` (all
+    features without a cut), by (value desc, id asc), and the k-th largest
+    value (0 without a cut or with fewer positive ones)."""
+    cut = 0 < k < model.dict_size
+    width = k if cut else model.dict_size
+    if not len(x):
+        return np.zeros((0, width), np.int64), np.zeros((0, width)), np.zeros(0)
+    ids, values = [], []
+    for s, e in _sub_batches(len(x), 3 * (model.widest() + (width if len(model.blocks) > 1 else 0)), work_bytes):
+        idx = val = None
+        for b in model.blocks:
+            raw = x[s:e] @ model.enc(b).T
+            np.maximum(raw, 0.0, out=raw)
+            i, v = _block_topk(raw, width, b.lo)
+            if idx is not None:
+                i, v = np.concatenate([idx, i], axis=1), np.concatenate([val, v], axis=1)
+                if cut and i.shape[1] > width:
+                    i, v = (m[:, :width] for m in _rowwise_sorted(i, v))
+            idx, val = i, v
+        idx, val = _rowwise_sorted(idx, val)
+        ids.append(idx)
+        values.append(val)
+    idx, val = np.concatenate(ids), np.concatenate(values)
+    return idx, val, val[:, k - 1].copy() if cut else np.zeros(len(x))
+
+
+def decoded_rows(model: SaeModel, idx: np.ndarray, val: np.ndarray,
+                 work_bytes: int = DEFAULT_WORK_BYTES) -> np.ndarray:
+    """``sum val * dec[idx]`` of each row; only the decoder rows named are
+    read (``val`` 0 marks unused places)."""
+    out = np.zeros((len(idx), model.input_dim))
+    if idx.shape[1]:
+        safe = np.where(val != 0, idx, 0)
+        for s, e in _sub_batches(len(idx), idx.shape[1] * model.input_dim, work_bytes):
+            out[s:e] = np.matmul(val[s:e, None, :], model.gather_dec(safe[s:e]))[:, 0, :]
+    return out
+
+
+def _vectors(rows: np.ndarray) -> pa.ListArray:
+    n, dim = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, max(dim, 1), dtype=np.int32)[:n + 1], pa.int32()),
+                                    pa.array(rows.reshape(-1), pa.float64()))
 
 
 def _sub_batches(n: int, width: int, work_bytes: int):
@@ -203,32 +176,6 @@ def _sub_batches(n: int, width: int, work_bytes: int):
         yield s, min(n, s + step)
 
 
-MAX_TASKS_CONF = "spark.glossa.maxPartialTasks"
-
-
-def limit_tasks(df: DataFrame, max_tasks: int | None = None) -> DataFrame:
-    """Cap the number of tasks that emit fixed-size partial vectors.
-
-    A task's partial result (a count vector, a usage vector, a gradient)
-    has the size of the model, not of its rows, so the shuffle after it
-    grows with the number of tasks.  Above ``max_tasks`` input splits are
-    coalesced (no shuffle), so the shuffle is bounded by max_tasks x model
-    size, independent of the data size.  Default: the session setting
-    ``spark.glossa.maxPartialTasks``, else the larger of the cluster's
-    current cores and ``spark.sql.shuffle.partitions`` (so an autoscaling
-    cluster that has not scaled up yet is not pinned to a few tasks)."""
-    spark = df.sparkSession
-    target = max_tasks
-    if target is None:
-        conf = spark.conf.get(MAX_TASKS_CONF, None)
-        target = int(conf) if conf else max(
-            cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n = num_partitions(df)
-    if n is not None and n > target:
-        return df.coalesce(target)
-    return df
-
-
 # ---------------------------------------------------------------------------
 # D1 / J3 + P8: raw activation statistics per row
 # ---------------------------------------------------------------------------
@@ -238,43 +185,30 @@ def raw_activation_stats(df: DataFrame, model: SaeModel, vec_col: str = "embeddi
                          work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
     """Per row: ``n_fired`` (features with |relu| > eps), ``raw_sum`` and
     ``raw_max`` of the ReLU activations over the whole dictionary."""
-    dim = model.input_dim
     in_names = list(df.columns)
     out_fields = list(df.schema.fields) + [
         T.StructField("n_fired", T.LongType()),
         T.StructField("raw_sum", T.DoubleType()),
         T.StructField("raw_max", T.DoubleType()),
     ]
-    result = None
-    for b_i, bc in enumerate(model.blocks):
-        first = b_i == 0
-
-        def run(batches, bc=bc, first=first):
-            lo, enc, _ = bc.value
-            for rb in batches:
-                x, valid = _matrix(rb.column(vec_col), dim)
-                n = rb.num_rows
-                if first:
-                    nf, sm, mx = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-                else:
-                    nf = rb.column("n_fired").to_numpy(zero_copy_only=False).copy()
-                    sm = rb.column("raw_sum").to_numpy(zero_copy_only=False).copy()
-                    mx = rb.column("raw_max").to_numpy(zero_copy_only=False).copy()
-                for s, e in _sub_batches(n, enc.shape[0], work_bytes):
-                    raw = np.maximum(x[s:e] @ enc.T, 0.0)
-                    nf[s:e] += (np.abs(raw) > eps).sum(axis=1)
+
+    def run(batches):
+        for rb in batches:
+            x, valid = _matrix(rb.column(vec_col), model.input_dim)
+            n = rb.num_rows
+            nf, sm, mx = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+            for s, e in _sub_batches(n, 2 * model.widest(), work_bytes):
+                for b in model.blocks:
+                    raw = np.maximum(x[s:e] @ model.enc(b).T, 0.0)
+                    nf[s:e] += (raw > eps).sum(axis=1)
                     sm[s:e] += raw.sum(axis=1)
-                    if raw.shape[1]:
-                        mx[s:e] = np.maximum(mx[s:e], raw.max(axis=1))
-                nf[~valid] = 0
-                cols = [rb.column(c) for c in in_names]
-                yield pa.RecordBatch.from_arrays(
-                    cols + [pa.array(nf), pa.array(sm), pa.array(mx)],
-                    names=[f.name for f in out_fields])
+                    np.maximum(mx[s:e], raw.max(axis=1), out=mx[s:e])
+            nf[~valid] = 0
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(c) for c in in_names] + [pa.array(nf), pa.array(sm), pa.array(mx)],
+                names=[f.name for f in out_fields])
 
-        # each later block continues on the same partitions (narrow chain)
-        result = (df if first else result).mapInArrow(run, T.StructType(out_fields))
-    return result
+    return df.mapInArrow(run, T.StructType(out_fields))
 
 
 # ---------------------------------------------------------------------------
@@ -287,64 +221,70 @@ def firing_counts(df: DataFrame, model: SaeModel, language_col: str = "language"
     """``(language, feature, n)``: rows of each language in which the feature
     fires before the top-k cut (|relu(x . enc)| > eps).
 
-    Each task emits one count vector per language it saw (languages x
-    features rows, independent of its row count); the shuffle then carries
-    only those partial counts.  Rows with a null or wrong-size vector count
-    for nothing.
+    One scan for any number of blocks, with the parallelism it has.  A task
+    counts in one vector per language (sent early when they reach
+    ``HELD_BYTES``) and sends them by feature range; ranges are folded in two
+    levels (``partials``).  Rows with a null or wrong-size vector count for
+    nothing.
     """
-    dim = model.input_dim
     lang_type = df.schema[language_col].dataType
     lang_arrow = to_arrow_type(lang_type)
-    out_schema = T.StructType([
-        T.StructField("language", lang_type),
-        T.StructField("feature", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-    ])
-    src = limit_tasks(df.select(F.col(language_col).alias("language"),
-                                F.col(vec_col).alias("_v")))
-    parts = []
-    for bc in model.blocks:
-        def run(batches, bc=bc):
-            lo, enc, _ = bc.value
-            d = enc.shape[0]
-            totals: dict = {}
-            for rb in batches:
-                x, valid = _matrix(rb.column("_v"), dim)
-                enc_lang = pc.dictionary_encode(rb.column("language"))
-                keys = enc_lang.dictionary.to_pylist()
-                codes = pc.fill_null(enc_lang.indices, len(keys)).to_numpy(zero_copy_only=False)
-                keys = keys + [None]
-                codes = np.where(valid, codes, -1)
-                present = [c for c in np.unique(codes) if c >= 0]
-                if not present:
-                    continue
-                onehot = (codes[None, :] == np.array(present)[:, None]).astype(np.float64)
-                acc = np.zeros((len(present), d))
-                for s, e in _sub_batches(rb.num_rows, d, work_bytes):
-                    fired = (np.abs(np.maximum(x[s:e] @ enc.T, 0.0)) > eps).astype(np.float64)
-                    acc += onehot[:, s:e] @ fired
-                for j, c in enumerate(present):
-                    key = keys[c]
-                    prev = totals.get(key)
-                    totals[key] = acc[j] if prev is None else prev + acc[j]
-            for key, vec in totals.items():
-                counts = np.rint(vec).astype(np.int64)
-                nz = np.nonzero(counts)[0]
-                if nz.size == 0:
-                    continue
+    src = df.select(F.col(language_col).alias("language"), F.col(vec_col).alias("_v"))
+    size = model.dict_size
+    spans = list(ranges(size))
+
+    def emit(totals: dict):
+        for key, counts in totals.items():
+            some = [(r, counts[lo:hi]) for r, lo, hi in spans if counts[lo:hi].any()]
+            if some:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * nz.size, lang_arrow),
-                     pa.array((nz + lo).astype(np.int32)), pa.array(counts[nz])],
-                    names=["language", "feature", "n"])
-        parts.append(src.mapInArrow(run, out_schema))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    return counts.groupBy("language", "feature").agg(F.sum("n").alias("n"))
+                    [pa.array([key] * len(some), lang_arrow), pa.array([r for r, _ in some], pa.int32()),
+                     pa.array([v.tobytes() for _, v in some], pa.binary())], names=["language", "range", "blob"])
+
+    def count(batches):
+        totals: dict = {}
+        for rb in batches:
+            x, valid = _matrix(rb.column("_v"), model.input_dim)
+            coded = pc.dictionary_encode(rb.column("language"))
+            keys = coded.dictionary.to_pylist() + [None]
+            codes = np.where(valid, pc.fill_null(coded.indices, len(keys) - 1).to_numpy(zero_copy_only=False), -1)
+            order = np.argsort(codes, kind="stable")[np.count_nonzero(codes < 0):]
+            x, codes = x[order], codes[order]
+            for s, e in _sub_batches(len(x), 2 * model.widest(), work_bytes):
+                there, first = np.unique(codes[s:e], return_index=True)
+                for c in there:
+                    totals.setdefault(keys[c], np.zeros(size, np.int64))
+                for b in model.blocks:
+                    fired = (x[s:e] @ model.enc(b).T > eps).view(np.uint8)
+                    sums = np.add.reduceat(fired, first, axis=0, dtype=np.int64)
+                    for c, n in zip(there, sums):
+                        totals[keys[c]][b.lo:b.hi] += n
+            if len(totals) * size * 8 > HELD_BYTES:
+                yield from emit(totals)
+                totals = {}
+        yield from emit(totals)
+
+    def add(key, a, b):
+        a += b
+        return a
+
+    def unpack(batches):
+        for (language, r), counts in fold_sorted(batches, ["language", "range"], add, "<i8"):
+            at = np.nonzero(counts)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(at), lang_arrow), pa.array((at + spans[r][1]).astype(np.int32)),
+                 pa.array(counts[at])], names=["language", "feature", "n"])
+
+    parts = src.mapInArrow(count, T.StructType([T.StructField("language", lang_type),
+                                                T.StructField("range", T.IntegerType()),
+                                                T.StructField("blob", T.BinaryType())]))
+    return gathered(parts, ["language", "range"], add, "<i8", wide=many_tasks(src)).mapInArrow(
+        unpack, T.StructType([T.StructField("language", lang_type), T.StructField("feature", T.IntegerType()),
+                              T.StructField("n", T.LongType())]))
 
 
 # ---------------------------------------------------------------------------
-# Top-k encode, mask, decode
+# Top-k encode, mask, decode
 # ---------------------------------------------------------------------------
 
 def _mask_vector(model: SaeModel, mask_features) -> np.ndarray | None:
@@ -360,125 +300,93 @@ def _mask_vector(model: SaeModel, mask_features) -> np.ndarray | None:
 
 
 def encode_topk(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
-                k: int | None = None, mask_features=None,
+                k: int | None = None, mask_features=None, ranks: bool = False,
                 work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
     """Add ``feat_idx ARRAY<INT>``, ``feat_val ARRAY<DOUBLE>`` (the positive
     top-k activations, sorted by value desc then id) and ``kth_value`` (the
     k-th largest ReLU value, 0 without a top-k cut or with fewer positives).
 
     ``mask_features`` (a bounded set of feature ids, at most the dictionary)
-    removes those features after the cut (P10: ``features * ~mask``).
+    removes those features after the cut (P10: ``features * ~mask``); with
+    ``ranks`` the column ``feat_rank ARRAY<INT>`` says which rank a feature
+    had before that.
     """
+    return _coded(df, model, vec_col, k, mask_features, work_bytes, ranks=ranks, features=True)
+
+
+def reconstruct(df: DataFrame, model: SaeModel, vec_col: str = "embedding", k: int | None = None,
+                mask_features=None, work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
+    """D5 in one pass: ``recon ARRAY<DOUBLE>`` of the top-k features and
+    ``recon_masked`` of those that the mask leaves."""
+    return _coded(df, model, vec_col, k, mask_features, work_bytes, recon=True, masked=True)
+
+
+def reconstruct_masked(df: DataFrame, model: SaeModel, vec_col: str = "embedding", k: int | None = None,
+                       mask_features=None, work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
+    """Only ``recon_masked``: language-agnostic vectors for retrieval."""
+    return _coded(df, model, vec_col, k, mask_features, work_bytes, masked=True)
+
+
+def _coded(df: DataFrame, model: SaeModel, vec_col: str, k: int | None, mask_features, work_bytes: int,
+           features: bool = False, ranks: bool = False, recon: bool = False, masked: bool = False) -> DataFrame:
+    """One node: encode, cut, mask, decode, whichever columns are asked for."""
     k = model.sparsity if k is None else int(k)
-    dim = model.input_dim
-    cut = 0 < k < model.dict_size
-    mask_bc = None
-    mvec = _mask_vector(model, mask_features)
-    if mvec is not None:
-        mask_bc = broadcast(df.sparkSession, mvec)
-    base_fields = [f for f in df.schema.fields if f.name not in (FEAT_IDX, FEAT_VAL, KTH)]
-    out_fields = base_fields + [
-        T.StructField(FEAT_IDX, T.ArrayType(T.IntegerType())),
-        T.StructField(FEAT_VAL, T.ArrayType(T.DoubleType())),
-        T.StructField(KTH, T.DoubleType()),
-    ]
-    out_schema = T.StructType(out_fields)
-    names = [f.name for f in out_fields]
-    n_blocks = len(model.blocks)
-    result = df
-    for b_i, bc in enumerate(model.blocks):
-        first, last = b_i == 0, b_i == n_blocks - 1
-
-        def run(batches, bc=bc, first=first, last=last):
-            lo, enc, _ = bc.value
-            d = enc.shape[0]
-            mask = mask_bc.value if (mask_bc is not None and last) else None
-            for rb in batches:
-                n = rb.num_rows
-                x, valid = _matrix(rb.column(vec_col), dim)
-                kk = k if cut else d
-                idx_parts, val_parts = [], []
-                for s, e in _sub_batches(n, d, work_bytes):
-                    raw = np.maximum(x[s:e] @ enc.T, 0.0)
-                    i_, v_, _ = _topk(raw, kk if cut else 0, lo)
-                    if cut and i_.shape[1] < kk:
-                        pad = kk - i_.shape[1]
-                        i_ = np.pad(i_, ((0, 0), (0, pad)), constant_values=np.iinfo(np.int64).max)
-                        v_ = np.pad(v_, ((0, 0), (0, pad)), constant_values=-np.inf)
-                    idx_parts.append(i_)
-                    val_parts.append(v_)
-                width = kk if cut else d
-                idx = np.concatenate(idx_parts) if idx_parts else np.zeros((0, width), np.int64)
-                val = np.concatenate(val_parts) if val_parts else np.zeros((0, width))
-                if not first:
-                    p_idx, _ = _ragged(rb.column(FEAT_IDX), np.iinfo(np.int64).max, np.int64)
-                    p_val, _ = _ragged(rb.column(FEAT_VAL), -np.inf, np.float64)
-                    idx = np.concatenate([p_idx, idx], axis=1)
-                    val = np.concatenate([p_val, val], axis=1)
-                    idx, val = _rowwise_sorted(idx, val)
-                if cut:
-                    idx, val = idx[:, :k], val[:, :k]
-                    if val.shape[1] == k:
-                        kth = np.maximum(val[:, k - 1], 0.0)
-                    else:
-                        kth = np.zeros(n)
-                else:
-                    kth = np.zeros(n)
-                keep = (val > 0) & valid[:, None]
-                kth = np.where(valid, kth, 0.0)
-                if mask is not None and idx.size:
-                    safe = np.where(keep, idx, 0)
-                    keep &= ~mask[safe]
-                cols = [rb.column(f.name) for f in base_fields]
-                yield pa.RecordBatch.from_arrays(
-                    cols + [_list(idx.astype(np.int32), keep, pa.int32()),
-                            _list(val, keep, pa.float64()), pa.array(kth)],
-                    names=names)
+    mask = _mask_vector(model, mask_features)
+    added = []
+    if features:
+        added += [T.StructField(FEAT_IDX, T.ArrayType(T.IntegerType())),
+                  T.StructField(FEAT_VAL, T.ArrayType(T.DoubleType())), T.StructField(KTH, T.DoubleType())]
+    if ranks:
+        added.append(T.StructField(FEAT_RANK, T.ArrayType(T.IntegerType())))
+    if recon:
+        added.append(T.StructField(RECON, T.ArrayType(T.DoubleType())))
+    if masked:
+        added.append(T.StructField(RECON_MASKED, T.ArrayType(T.DoubleType())))
+    base = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
+    names = [f.name for f in [*base, *added]]
 
-        result = result.mapInArrow(run, out_schema)
-    return result
+    def run(batches):
+        for rb in batches:
+            x, valid = _matrix(rb.column(vec_col), model.input_dim)
+            rows = []
+            # as many rows at a time as their features and vectors fit
+            width = (k if 0 < k < model.dict_size else model.dict_size) * 4 + model.input_dim * 3
+            for s, e in _sub_batches(rb.num_rows, width, work_bytes):
+                idx, val, kth = topk_rows(model, x[s:e], k, work_bytes)
+                keep = (val > 0) & valid[s:e, None]
+                left = keep if mask is None else keep & ~mask[idx]
+                cols = [rb.column(f.name).slice(s, e - s) for f in base]
+                if features:
+                    cols += [_list(idx.astype(np.int32), left, pa.int32()), _list(val, left, pa.float64()),
+                             pa.array(np.where(valid[s:e], kth, 0.0))]
+                if ranks:
+                    place = np.broadcast_to(np.arange(1, idx.shape[1] + 1, dtype=np.int32), idx.shape)
+                    cols.append(_list(place, left, pa.int32()))
+                if recon:
+                    cols.append(_vectors(decoded_rows(model, idx, np.where(keep, val, 0.0), work_bytes)))
+                if masked:
+                    cols.append(_vectors(decoded_rows(model, idx, np.where(left, val, 0.0), work_bytes)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return df.mapInArrow(run, T.StructType([*base, *added]))
 
 
 def decode(df: DataFrame, model: SaeModel, out_col: str = RECON,
            work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
     """Add ``recon ARRAY<DOUBLE>`` = sum of ``value_f * dec_f`` over the row's
-    sparse features (``feat_idx``/``feat_val``).  One narrow pass per block."""
-    dim = model.input_dim
-    base_fields = [f for f in df.schema.fields if f.name != out_col]
-    out_fields = base_fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))]
-    out_schema = T.StructType(out_fields)
-    names = [f.name for f in out_fields]
-    result = df
-    for b_i, bc in enumerate(model.blocks):
-        first = b_i == 0
-
-        def run(batches, bc=bc, first=first):
-            lo, _, dec_t = bc.value          # dec rows: (d_block, dim)
-            d = dec_t.shape[0]
-            for rb in batches:
-                n = rb.num_rows
-                idx, lens = _ragged(rb.column(FEAT_IDX), -1, np.int64)
-                val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
-                if first:
-                    rec = np.zeros((n, dim))
-                else:
-                    rec, _ = _matrix(rb.column(out_col), dim)
-                    rec = rec.copy()
-                inb = (idx >= lo) & (idx < lo + d)
-                for s, e in _sub_batches(n, d, work_bytes):
-                    dense = np.zeros((e - s, d))
-                    r, c = np.nonzero(inb[s:e])
-                    if r.size:
-                        dense[r, idx[s:e][r, c] - lo] = val[s:e][r, c]
-                        rec[s:e] += dense @ dec_t
-                offsets = np.arange(0, (n + 1) * dim, dim, dtype=np.int32)
-                arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                               pa.array(rec.reshape(-1), pa.float64()))
-                cols = [rb.column(f.name) for f in base_fields]
-                yield pa.RecordBatch.from_arrays(cols + [arr], names=names)
-
-        result = result.mapInArrow(run, out_schema)
-    return result
+    sparse features (``feat_idx``/``feat_val``), for features stored before;
+    ``reconstruct`` goes from vectors in one pass."""
+    base = [f for f in df.schema.fields if f.name != out_col]
+
+    def run(batches):
+        for rb in batches:
+            idx, _ = _ragged(rb.column(FEAT_IDX), 0, np.int64)
+            val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(f.name) for f in base] + [_vectors(decoded_rows(model, idx, val, work_bytes))],
+                names=[f.name for f in base] + [out_col])
+
+    return df.mapInArrow(run, T.StructType([*base, T.StructField(out_col, T.ArrayType(T.DoubleType()))]))
 
 
 # ---------------------------------------------------------------------------
@@ -486,204 +394,159 @@ def decode(df: DataFrame, model: SaeModel, out_col: str = RECON,
 # ---------------------------------------------------------------------------
 
 GROUP = "_grp"
-_PARTIAL_SCHEMA = T.StructType([
-    T.StructField(GROUP, T.LongType()),
-    T.StructField("stat", T.StringType()),
-    T.StructField("idx", T.IntegerType()),
-    T.StructField("value", T.DoubleType()),
-])
-
-
-def _group_codes(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    g = rb.column(GROUP)
-    codes = pc.fill_null(g, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return codes, np.unique(codes)
-
-
-def _feature_stats(df: DataFrame, model: SaeModel, vec_col: str,
-                   work_bytes: int) -> DataFrame:
-    """Per task, group and block: the sum over rows of
-    ``sigmoid((raw - kth) * T)`` per feature (usage) and the max |feature|
-    after top-k per feature (zero = dead).  Long form
-    ``(group, stat, idx, value)``: fixed size per task and group."""
-    dim = model.input_dim
-    src = df.select(GROUP, vec_col, FEAT_IDX, FEAT_VAL, KTH)
-    parts = []
-    for bc in model.blocks:
-        def run(batches, bc=bc):
-            lo, enc, _ = bc.value
-            d = enc.shape[0]
-            usage: dict = {}
-            alive: dict = {}
-            for rb in batches:
-                n = rb.num_rows
-                codes, groups = _group_codes(rb)
-                x, valid = _matrix(rb.column(vec_col), dim)
-                kth = rb.column(KTH).to_numpy(zero_copy_only=False)
-                idx, _ = _ragged(rb.column(FEAT_IDX), -1, np.int64)
-                val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
-                for g in groups:
-                    usage.setdefault(g, np.zeros(d))
-                    alive.setdefault(g, np.zeros(d))
-                    rows = codes == g
-                    inb = (idx >= lo) & (idx < lo + d) & (val != 0) & rows[:, None]
-                    if inb.any():
-                        np.maximum.at(alive[g], idx[inb] - lo, np.abs(val[inb]))
-                for s, e in _sub_batches(n, d, work_bytes):
-                    raw = np.maximum(x[s:e] @ enc.T, 0.0)
-                    z = (raw - kth[s:e, None]) * USAGE_TEMPERATURE
-                    ez = np.exp(-np.abs(z))          # overflow-safe logistic
-                    sig = np.where(z >= 0, 1.0 / (1.0 + ez), ez / (1.0 + ez))
-                    sig[~valid[s:e]] = 0.0
-                    cs = codes[s:e]
-                    for g in np.unique(cs):
-                        usage[g] += sig[cs == g].sum(axis=0)
-            ids = pa.array((np.arange(d) + lo).astype(np.int32))
-            for g in usage:
-                for name, vec in (("usage", usage[g]), ("alive", alive[g])):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(d, g, np.int64)), pa.array([name] * d), ids,
-                         pa.array(vec)], names=[f.name for f in _PARTIAL_SCHEMA.fields])
-        parts.append(src.mapInArrow(run, _PARTIAL_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+SEGMENT_ROWS = 1 << 16      # rows of a group that one task reduces
+ROW_SUMS = ("n", "sq", "res", "l1", "l0")
+_DONE, _ROWS = -2, -1       # in place of a feature range: finished sums, sums over rows
 
 
-def _row_stats(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
-    """Per task and group: n rows, sum of squared residuals, sum |features|,
-    L0 sum, sum x^2 and the per-dimension sums of x (long form)."""
-    src = df.select(GROUP, vec_col, FEAT_VAL, RECON)
-    scal = ["n", "sq", "res", "l1", "l0"]
+class GroupSums:
+    """Sums over the rows of one group: scalars, the vector sum, and per
+    feature the usage estimate and the largest value after the cut."""
 
-    def run(batches):
-        acc: dict = {}
-        for rb in batches:
-            codes, groups = _group_codes(rb)
-            x, valid = _matrix(rb.column(vec_col), dim)
-            r, _ = _matrix(rb.column(RECON), dim)
-            val, _ = _ragged(rb.column(FEAT_VAL), 0.0, np.float64)
-            for g in groups:
-                m = (codes == g) & valid
-                xs, rs, vs = x[m], r[m], val[m]
-                a = acc.setdefault(g, [np.zeros(5), np.zeros(dim)])
-                a[0] += [xs.shape[0], float((xs * xs).sum()), float(((rs - xs) ** 2).sum()),
-                         float(np.abs(vs).sum()), float((vs > 0).sum())]
-                a[1] += xs.sum(axis=0)
-        for g, (sc, xsum) in acc.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(scal) + dim, g, np.int64)),
-                 pa.array(scal + ["xsum"] * dim),
-                 pa.array([0] * len(scal) + list(range(dim)), pa.int32()),
-                 pa.array(np.concatenate([sc, xsum]))],
-                names=[f.name for f in _PARTIAL_SCHEMA.fields])
+    def __init__(self, model: SaeModel):
+        self.model = model
+        self.rows = np.zeros(len(ROW_SUMS) + model.input_dim)
+        self.usage, self.alive = np.zeros(model.dict_size), np.zeros(model.dict_size)
 
-    return src.mapInArrow(run, _PARTIAL_SCHEMA)
+    def add(self, x: np.ndarray, k: int, work_bytes: int) -> None:
+        model = self.model
+        for s, e in _sub_batches(len(x), 4 * model.widest(), work_bytes):
+            part = x[s:e]
+            idx, val, kth = topk_rows(model, part, k, work_bytes)
+            res = decoded_rows(model, idx, val, work_bytes) - part
+            self.rows[:5] += [len(part), (part * part).sum(), (res * res).sum(), val.sum(), (val > 0).sum()]
+            self.rows[5:] += part.sum(axis=0)
+            np.maximum.at(self.alive, idx[val > 0], val[val > 0])
+            for b in model.blocks:
+                self.usage[b.lo:b.hi] += usage_estimate(np.maximum(part @ model.enc(b).T, 0.0), kth).sum(axis=0)
 
+    def parts(self):
+        yield _ROWS, self.rows
+        for r, lo, hi in ranges(self.model.dict_size):
+            yield r, np.concatenate([self.usage[lo:hi], self.alive[lo:hi]])
 
-def _fused_stats(df: DataFrame, model: SaeModel, vec_col: str, k: int,
-                 work_bytes: int) -> DataFrame:
-    """Single-block dictionaries: every partial of ``evaluate`` in one pass
-    (encode, top-k, decode, residuals, usage, liveness) - nothing is
-    persisted and the rows are read once."""
-    dim = model.input_dim
-    bc = model.blocks[0]
-    scal = ["n", "sq", "res", "l1", "l0"]
-    names = [f.name for f in _PARTIAL_SCHEMA.fields]
+    @staticmethod
+    def merge(key, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if key[1] == _ROWS:
+            return a + b
+        h = len(a) // 2
+        return np.concatenate([a[:h] + b[:h], np.maximum(a[h:], b[h:])])
 
-    def run(batches):
-        _, enc, dec = bc.value
-        d = enc.shape[0]
-        cut = 0 < k < d
-        acc: dict = {}
-        for rb in batches:
-            codes, _ = _group_codes(rb)
-            x_all, valid = _matrix(rb.column(vec_col), dim)
-            for s, e in _sub_batches(rb.num_rows, d, work_bytes):
-                keep = valid[s:e]
-                x = x_all[s:e][keep]
-                cs = codes[s:e][keep]
-                if x.shape[0] == 0:
-                    continue
-                raw = np.maximum(x @ enc.T, 0.0)
-                idx, val, kth = _topk(raw, k if cut else 0, 0)
-                f = np.zeros_like(raw)
-                pos = val > 0
-                rows = np.nonzero(pos)[0]
-                f[rows, idx[pos]] = val[pos]
-                recon = f @ dec
-                z = (raw - kth[:, None]) * USAGE_TEMPERATURE
-                ez = np.exp(-np.abs(z))                     # overflow-safe logistic
-                sig = np.where(z >= 0, 1.0 / (1.0 + ez), ez / (1.0 + ez))
-                for g in np.unique(cs):
-                    m = cs == g
-                    xs, rs, fs = x[m], recon[m], f[m]
-                    a = acc.setdefault(g, [np.zeros(5), np.zeros(dim), np.zeros(d), np.zeros(d)])
-                    a[0] += [xs.shape[0], float((xs * xs).sum()), float(((rs - xs) ** 2).sum()),
-                             float(np.abs(fs).sum()), float((fs > 0).sum())]
-                    a[1] += xs.sum(axis=0)
-                    a[2] += sig[m].sum(axis=0)
-                    np.maximum(a[3], np.abs(fs).max(axis=0), out=a[3])
-        ids = np.arange(d, dtype=np.int32)
-        for g, (sc, xsum, usage, alive) in acc.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(scal) + dim, g, np.int64)),
-                 pa.array(scal + ["xsum"] * dim),
-                 pa.array([0] * len(scal) + list(range(dim)), pa.int32()),
-                 pa.array(np.concatenate([sc, xsum]))], names=names)
-            for name, vec in (("usage", usage), ("alive", alive)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(d, g, np.int64)), pa.array([name] * d), pa.array(ids),
-                     pa.array(vec)], names=names)
 
-    return df.select(GROUP, vec_col).mapInArrow(run, _PARTIAL_SCHEMA)
+def usage_estimate(raw: np.ndarray, kth: np.ndarray) -> np.ndarray:
+    """``sigmoid((raw - kth) * T)``, safe from overflow."""
+    z = (raw - kth[:, None]) * USAGE_TEMPERATURE
+    small = np.exp(-np.abs(z))
+    return np.where(z >= 0, 1.0, small) / (1.0 + small)
+
+
+class Finish:
+    """Sums of one group, range after range (sums over rows first)."""
+
+    def __init__(self, aux_target: float):
+        self.target = aux_target
+
+    def rows(self, v: np.ndarray) -> None:
+        self.sums = [*v[:5], float((v[5:] ** 2).sum())]
+        self.dead, self.aux = 0.0, 0.0
+
+    def features(self, v: np.ndarray) -> None:
+        h = len(v) // 2
+        self.dead += float((v[h:] == 0).sum())
+        self.aux += float((np.maximum(self.target - v[:h] / self.sums[0], 0.0) ** 2).sum())
+
+    def values(self) -> np.ndarray:
+        return np.array([*self.sums, self.dead, self.aux])
 
 
 def evaluate(df: DataFrame, model: SaeModel, vec_col: str = "embedding",
              group_col: str | None = None, l1_coeff: float = 0.0,
-             aux_coeff: float = 0.0, aux_target: float = 0.01,
+             aux_coeff: float = 0.0, aux_target: float = 0.01, segment_rows: int = SEGMENT_ROWS,
              work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
     """SAE metrics per group (one row per ``group_col`` value, or one row for
     the whole table): n_rows, mse_loss, fvu, l0, dead_features, l1_mean,
     l1_loss, aux_loss, loss.
 
-    Every task reduces its rows to fixed-size partial sums per group
-    (scalars, a vector of the input dimension, two of the dictionary size);
-    Spark sums the partials by key, so nothing after the map grows with the
-    row count.  A one-block dictionary is evaluated in a single fused pass;
-    a multi-block one first chains encode/decode over the blocks and feeds
-    two reductions from the persisted rows (recomputed from lineage if an
-    executor is lost).
+    The whole table is reduced in its own scan: a task sends its sums by
+    feature range, which are folded in two levels.  Groups are brought
+    together first (rows of a group of more than ``segment_rows`` in several
+    segments) and come sorted, so a task holds the sums of one group at a
+    time, however many there are; a group of one segment is finished there
+    and sends one row.
     """
-    grp = F.col(group_col).cast("long") if group_col else F.lit(0).cast("long")
-    base = limit_tasks(df.select(grp.alias(GROUP), F.col(vec_col)))
-    dim, dsz = model.input_dim, model.dict_size
-    if len(model.blocks) == 1:
-        raw_partials = _fused_stats(base, model, vec_col, model.sparsity, work_bytes)
+    dim, dsz, k = model.input_dim, model.dict_size, model.sparsity
+    if group_col:
+        src = df.select(F.col(group_col).cast("long").alias(GROUP), F.col(vec_col).alias("_v"))
+        sizes = src.groupBy(F.col(GROUP).alias("_g")).agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(segment_rows)).cast("int").alias("_segments"))
+        rows = src.join(sizes, F.col(GROUP).eqNullSafe(F.col("_g"))).select(
+            GROUP, "_segments", F.pmod(F.xxhash64("_v"), F.col("_segments")).cast("int").alias("_segment"), "_v")
+        rows = rows.repartition(GROUP, "_segment").sortWithinPartitions(GROUP, "_segment")
     else:
-        enc = decode(encode_topk(base, model, vec_col=vec_col, work_bytes=work_bytes),
-                     model, work_bytes=work_bytes).persist()
-        raw_partials = (_row_stats(enc, vec_col, dim)
-                        .unionByName(_feature_stats(enc, model, vec_col, work_bytes)))
-    partials = raw_partials.groupBy(GROUP, "stat", "idx").agg(F.sum("value").alias("value"))
-    stat = F.col("stat")
-    # the row count of each group sits on one partial row; a window over the
-    # group's partials (dictionary + dimension rows) brings it to the usage
-    # rows, so the aux deficit is summed in the same aggregation
-    n_grp = F.max(F.when(stat == "n", F.col("value"))).over(Window.partitionBy(GROUP))
-    deficit = F.greatest(F.lit(aux_target) - F.col("value") / F.col("_n"), F.lit(0.0))
-    m = partials.withColumn("_n", n_grp).groupBy(GROUP).agg(
-        *[F.max(F.when(stat == s, F.col("value"))).alias(s)
-          for s in ("n", "sq", "res", "l1", "l0")],
-        F.sum(F.when(stat == "xsum", F.col("value") * F.col("value"))).alias("xsum_sq"),
-        F.sum(F.when(stat == "alive", (F.col("value") == 0).cast("double"))).alias("n_dead"),
-        F.sum(F.when(stat == "usage", deficit * deficit)).alias("_aux_sum"),
-    )
+        src = df.select(F.lit(0).cast("long").alias(GROUP), F.col(vec_col).alias("_v"))
+        rows = src.select(GROUP, F.lit(0).alias("_segments"), F.lit(0).alias("_segment"), "_v")
+    finish = Finish(aux_target)
+
+    def send(group, segments, sums):
+        if segments == 1:
+            finish.rows(sums.rows)
+            for r, v in sums.parts():
+                if r != _ROWS:
+                    finish.features(v)
+            parts = [(_DONE, finish.values())]
+        else:
+            parts = list(sums.parts())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group] * len(parts), pa.int64()), pa.array([r for r, _ in parts], pa.int32()),
+             pa.array([v.tobytes() for _, v in parts], pa.binary())], names=[GROUP, "range", "blob"])
+
+    def reduce(batches):
+        now, sums = None, None
+        for rb in batches:
+            x, valid = _matrix(rb.column("_v"), dim)
+            keys = list(zip(*(rb.column(c).to_pylist() for c in (GROUP, "_segments", "_segment"))))
+            cuts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]] + [len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if keys[i] != now:
+                    if sums is not None and sums.rows[0]:
+                        yield send(now[0], now[1], sums)
+                    now, sums = keys[i], GroupSums(model)
+                sums.add(x[i:j][valid[i:j]], k, work_bytes)
+        if sums is not None and sums.rows[0]:
+            yield send(now[0], now[1], sums)
+
+    names = [*ROW_SUMS, "xsum_sq", "n_dead", "aux_sum"]
+
+    def close(batches):
+        done: list = []
+        group = None
+        for (g, r), v in fold_sorted(batches, [GROUP, "range"], GroupSums.merge):
+            if r == _DONE:
+                done.append((g, v))
+            elif r == _ROWS:
+                if group is not None:
+                    done.append((group[0], finish.values()))
+                group = (g,)
+                finish.rows(v)
+            else:
+                finish.features(v)
+        if group is not None:
+            done.append((group[0], finish.values()))
+        if done:
+            values = np.array([v for _, v in done])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in done], pa.int64()), *(pa.array(c) for c in values.T)], names=[GROUP, *names])
+
+    parts = rows.mapInArrow(reduce, T.StructType([T.StructField(GROUP, T.LongType()),
+                                                  T.StructField("range", T.IntegerType()),
+                                                  T.StructField("blob", T.BinaryType())]))
+    wide = not group_col and many_tasks(src)
+    m = gathered(parts, [GROUP, "range"], GroupSums.merge, wide=wide, by=[GROUP]).mapInArrow(
+        close, T.StructType([T.StructField(GROUP, T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names)]))
     mse = F.col("res") / (F.col("n") * dim)
     var = (F.col("sq") - F.col("xsum_sq") / F.col("n")) / (F.col("n") * dim)
     fvu = F.lit(1.0) - ((var - mse) / (var + FVU_EPS))
-    aux = F.coalesce(F.col("_aux_sum"), F.lit(0.0)) / dsz * aux_coeff
+    aux = F.col("aux_sum") / dsz * aux_coeff
     l1_mean = F.col("l1") / (F.col("n") * dsz)
     out = m.select(
         F.col(GROUP).alias(group_col or GROUP),

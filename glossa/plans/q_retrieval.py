@@ -154,8 +154,8 @@ def retrieve(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     mask = exclusive_features(spark, sf_dir, model)
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    agn = sae.decode(sae.encode_topk(emb, model, mask_features=mask), model)
-    vecs = agn.select("vec_id", F.col(sae.RECON).alias("embedding"))
+    agn = sae.reconstruct_masked(emb, model, mask_features=mask)
+    vecs = agn.select("vec_id", F.col(sae.RECON_MASKED).alias("embedding"))
     q = vecs.withColumnRenamed("vec_id", "qid")
     d = vecs.withColumnRenamed("vec_id", "doc_id")
     run = retrieval.exclude_self(retrieval.score_topk(q, d, TOP_K))

@@ -90,12 +90,11 @@ def agnostic_features(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     mask = exclusive_features(spark, sf_dir, model)
     vecs = f5_vectors(spark, sf_dir).select("vec_id", "embedding")
-    enc = sae.encode_topk(vecs, model, mask_features=mask)
     # rank stays the rank before masking (the cut happens first)
-    plain = sae.encode_topk(vecs, model)
-    ranks = _explode_feats(plain).select("vec_id", "feature", "rank")
-    kept = _explode_feats(enc).drop("rank")
-    return kept.join(ranks, ["vec_id", "feature"]).select("vec_id", "rank", "feature", "value")
+    enc = sae.encode_topk(vecs, model, mask_features=mask, ranks=True)
+    return enc.select("vec_id", F.explode(F.arrays_zip(sae.FEAT_RANK, sae.FEAT_IDX, sae.FEAT_VAL)).alias("f")).select(
+        "vec_id", F.col(f"f.{sae.FEAT_RANK}").cast("long").alias("rank"),
+        F.col(f"f.{sae.FEAT_IDX}").alias("feature"), r6(F.col(f"f.{sae.FEAT_VAL}")).alias("value"))
 
 
 @query("agnostic_recon", with_ctes(F4_SQL, F5_SQL, RECON_SQL, EXCL_SQL, body="""
@@ -106,10 +105,9 @@ def agnostic_recon(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     mask = exclusive_features(spark, sf_dir, model)
     vecs = f5_vectors(spark, sf_dir).select("vec_id", "embedding")
-    full = sae.decode(sae.encode_topk(vecs, model), model, out_col="recon_full")
-    both = sae.decode(sae.encode_topk(full, model, mask_features=mask), model)
+    both = sae.reconstruct(vecs, model, mask_features=mask)
     return both.select("vec_id", F.posexplode(
-        F.arrays_zip(F.col("recon_full").alias("a"), F.col(sae.RECON).alias("b")))
+        F.arrays_zip(F.col(sae.RECON).alias("a"), F.col(sae.RECON_MASKED).alias("b")))
         .alias("dim", "p")).select(
         "vec_id", F.col("dim").cast("long").alias("dim"),
         r6(F.col("p.a")).alias("recon"), r6(F.col("p.b")).alias("recon_agnostic"))

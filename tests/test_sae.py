@@ -143,17 +143,100 @@ def test_raw_stats_across_blocks(spark, data):
         assert one[i][2] == pytest.approx(raw[i].max()) and many[i][2] == pytest.approx(raw[i].max())
 
 
-def test_partial_emitters_are_capped(spark, data):
+def _nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_one_node_whatever_the_blocks(spark, data):
+    x, enc = data
+    df = _vecs(spark, x)
+    for block_bytes in (sae.DEFAULT_BLOCK_BYTES, 8 * 8 * 2 * 7):
+        model = sae.load_model(_atoms(spark, enc), 6, max_block_bytes=block_bytes)
+        for out in (sae.encode_topk(df, model), sae.raw_activation_stats(df, model),
+                    sae.reconstruct(df, model, mask_features=[1])):
+            assert _nodes(out) == 1
+
+
+def test_a_task_holds_less_than_two_blocks(tmp_path):
+    """Six blocks of 4 MB, mapped: what the kernel allocates stays below one."""
+    import tracemalloc
+    from glossa.operators.weights import Block, SaeModel
+    rng = np.random.default_rng(4)
+    dim, rows, blocks = 64, 4096, 6
+    enc = rng.normal(size=(rows * blocks, dim))
+    parts = []
+    for b in range(blocks):
+        path = str(tmp_path / f"{b}.enc")
+        enc[b * rows:(b + 1) * rows].astype("<f8").tofile(path)
+        parts.append(Block(b * rows, (b + 1) * rows, path, path))
+    model = SaeModel(dim, rows * blocks, 16, parts)
+    x = rng.normal(size=(1000, dim))
+    model.enc(parts[0])
+    tracemalloc.start()
+    idx, val, _ = sae.topk_rows(model, x, 16, work_bytes=1 << 18)
+    sae.decoded_rows(model, idx, val, work_bytes=1 << 18)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * rows * dim * 8
+    raw = np.maximum(x @ enc.T, 0)
+    assert np.array_equal(np.sort(idx, axis=1), np.sort(np.argsort(-raw, axis=1)[:, :16], axis=1))
+
+
+@pytest.mark.parametrize("block_bytes", [sae.DEFAULT_BLOCK_BYTES, 8 * 8 * 2 * 7])
+def test_both_reconstructions_in_one_pass(spark, data, block_bytes):
     x, enc = data
-    df = _vecs(spark, x).repartition(12)
-    assert sae.limit_tasks(df, 3).rdd.getNumPartitions() == 3
-    assert sae.limit_tasks(df, 50).rdd.getNumPartitions() == 12
-    spark.conf.set(sae.MAX_TASKS_CONF, "5")
-    try:
-        assert sae.limit_tasks(df).rdd.getNumPartitions() == 5
-        model = sae.load_model(_atoms(spark, enc), 5)
-        a = sae.firing_counts(df, model)
-    finally:
-        spark.conf.unset(sae.MAX_TASKS_CONF)
-    b = sae.firing_counts(_vecs(spark, x), model)
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    dec = np.random.default_rng(9).normal(size=enc.shape)
+    model = sae.load_model(_atoms(spark, enc, dec), 6, max_block_bytes=block_bytes)
+    mask = [0, 4, 7, 30]
+    got = sae.reconstruct(_vecs(spark, x, extra=[(100, None, "0")]), model, mask_features=mask).collect()
+    _, want = _brute_topk(x, enc, 6)
+    for r in got:
+        pairs = want[r["id"]] if r["id"] < 100 else []
+        assert np.allclose(r[sae.RECON], sum((v * dec[j] for j, v in pairs), np.zeros(8)))
+        assert np.allclose(r[sae.RECON_MASKED], sum((v * dec[j] for j, v in pairs if j not in mask), np.zeros(8)))
+    ranked = {r["id"]: list(zip(r[sae.FEAT_RANK], r[sae.FEAT_IDX])) for r in
+              sae.encode_topk(_vecs(spark, x), model, mask_features=mask, ranks=True).collect()}
+    for i, w in enumerate(want):
+        assert ranked[i] == [(n + 1, j) for n, (j, _) in enumerate(w) if j not in mask]
+
+
+def test_firing_counts_in_two_levels(spark, data, monkeypatch):
+    from glossa.operators import partials
+    x, enc = data
+    df = _vecs(spark, x, extra=[(200, [1.0] * 8, None)]).repartition(12)
+    model = sae.load_model(_atoms(spark, enc), 5)
+    one = sorted(map(tuple, sae.firing_counts(df, model).collect()), key=repr)
+    monkeypatch.setattr(sae, "many_tasks", lambda df: True)
+    monkeypatch.setattr(partials, "RANGE", 7)
+    monkeypatch.setattr(sae, "HELD_BYTES", 100)          # every batch is sent at once
+    two = sae.firing_counts(df, model)
+    assert sorted(map(tuple, two.collect()), key=repr) == one
+    assert any(r[0] is None for r in one)
+    metrics = [sae.evaluate(df, model, aux_coeff=1.0, aux_target=0.3).first().asDict()]
+    monkeypatch.undo()
+    metrics.append(sae.evaluate(df, model, aux_coeff=1.0, aux_target=0.3).first().asDict())
+    for key in metrics[0]:
+        assert metrics[0][key] == pytest.approx(metrics[1][key], rel=1e-12)
+
+
+def test_ten_thousand_batches_one_at_a_time(spark, data):
+    """A task keeps the sums of one batch; a batch of many rows is cut."""
+    x, enc = data
+    model = sae.load_model(_atoms(spark, enc), 6)
+    base = _vecs(spark, x).withColumn("batch", (F.col("id") / 7).cast("long"))
+    want = {r["batch"]: r.asDict() for r in sae.evaluate(base, model, group_col="batch", aux_coeff=1.0).collect()}
+    cut = {r["batch"]: r.asDict() for r in
+           sae.evaluate(base, model, group_col="batch", aux_coeff=1.0, segment_rows=2).collect()}
+    assert len(want) == 9 and sum(r["n_rows"] for r in want.values()) == 60
+    for b, r in want.items():
+        for key in r:
+            assert cut[b][key] == pytest.approx(r[key], rel=1e-9, abs=1e-12)
+        rows = x[b * 7:b * 7 + 7].astype(float)
+        assert r["mse_loss"] == pytest.approx(sae.evaluate(base.filter(F.col("batch") == b), model).first()["mse_loss"]) \
+            if b < 2 else r["n_rows"] == len(rows)
+    many = spark.range(0, 10_000, numPartitions=2).crossJoin(base.filter("id < 1").select("embedding")) \
+        .withColumnRenamed("id", "batch")
+    per = sae.evaluate(many, model, group_col="batch")
+    assert per.count() == 10_000
+    weighted = sae.batch_weighted(per).first()
+    assert weighted["n_rows"] == 10_000 and weighted["mse_loss"] == pytest.approx(per.first()["mse_loss"])
