@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossa.functions.numeric import r6
 from glossa.operators import masks, sae
 from glossa.plans.fixtures import (
-    AUX_COEFF, AUX_TARGET, F4_SQL, F5_SQL, MASK_THRESHOLD, f4_model, f5_vectors, with_ctes,
+    AUX_COEFF, AUX_TARGET, F4_SQL, F5_SQL, MASK_THRESHOLD, SPARSITY, f4_model, f5_vectors, with_ctes,
 )
 from glossa.plans.registry import query
 from glossa.sources.tables import table
@@ -220,13 +220,64 @@ def embedding_check(spark, sf_dir):
         *[F.col(c).cast("long").alias(c) for c in ("n_rows", "min_dim", "max_dim", "n_bad")])
 
 
-# Fit a 128-atom dictionary (k = 16) to the vectors for a few Adam
-# steps; one row per step.  Rows only (an optimisation, not a SQL result).
-@query("fit_sae_loss")
+# Fit a 128-atom dictionary (k = 16) to the vectors for a few Adam steps
+# from hash-made weights; one row per step with the loss before its update.
+FIT_ATOMS, FIT_STEPS, FIT_LR = 128, 6, 1e-2
+
+
+def _fit_sql(atoms: int, k: int, steps: int, lr: float, dim: int = 64) -> str:
+    """The same optimisation in long form, one step per turn of the
+    recursion: activations, cut, residuals, usage, gradients of both weights
+    and the Adam update; the losses before an update travel with its rows."""
+    return with_ctes(f"""
+x AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS xv, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+nn AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM embeddings),
+w AS MATERIALIZED (SELECT f.feature, j.dim, (('0x' || substr(md5('42:' || f.feature || ':' || j.dim), 1, 8))::BIGINT / 4294967296.0 * 2 - 1)
+      * (1.0 / sqrt({dim}::DOUBLE)) AS e
+      FROM (SELECT unnest(range({atoms})) AS feature) f, (SELECT unnest(range({dim})) AS dim) j),
+st AS (
+SELECT 1 AS step, feature, dim, e, e AS d, 0.0::DOUBLE AS me, 0.0::DOUBLE AS ve, 0.0::DOUBLE AS md, 0.0::DOUBLE AS vd,
+       0.0::DOUBLE AS mse, 0.0::DOUBLE AS aux FROM w
+UNION ALL
+SELECT * FROM (
+WITH s AS MATERIALIZED (SELECT * FROM st WHERE step <= {steps}),
+z AS MATERIALIZED (SELECT x.vec_id, s.feature, sum(x.xv * s.e) AS z FROM x JOIN s USING (dim) GROUP BY ALL),
+r AS MATERIALIZED (SELECT vec_id, feature, z, greatest(z, 0.0) AS v, row_number() OVER (
+       PARTITION BY vec_id ORDER BY round(greatest(z, 0.0), 12) DESC, feature) AS rnk FROM z),
+kth AS MATERIALIZED (SELECT vec_id, v AS kth FROM r WHERE rnk = {k}),
+f AS MATERIALIZED (SELECT vec_id, feature, v FROM r WHERE rnk <= {k} AND v > 0),
+c AS MATERIALIZED (SELECT f.vec_id, s.dim, sum(f.v * s.d) AS r FROM f JOIN s USING (feature) GROUP BY ALL),
+q AS MATERIALIZED (SELECT x.vec_id, x.dim, coalesce(c.r, 0.0) - x.xv AS res FROM x LEFT JOIN c USING (vec_id, dim)),
+g AS MATERIALIZED (SELECT r.vec_id, r.feature, r.z, CASE WHEN (r.v - kth.kth) * 10000.0 >= 0
+       THEN 1.0 / (1.0 + exp(-(r.v - kth.kth) * 10000.0))
+       ELSE exp((r.v - kth.kth) * 10000.0) / (1.0 + exp((r.v - kth.kth) * 10000.0)) END AS sig FROM r JOIN kth USING (vec_id)),
+u AS MATERIALIZED (SELECT feature, greatest({AUX_TARGET} - avg(sig), 0.0) AS deficit FROM g GROUP BY feature),
+l AS MATERIALIZED (SELECT (SELECT avg(res * res) FROM q) AS mse, (SELECT {AUX_COEFF} * avg(deficit * deficit) FROM u) AS aux),
+p AS MATERIALIZED (SELECT f.vec_id, f.feature, f.v, q.dim, q.res FROM f JOIN q USING (vec_id)),
+gf AS MATERIALIZED (SELECT p.vec_id, p.feature, sum(p.res * s.d) * 2.0 / {dim} AS gz FROM p JOIN s USING (feature, dim) GROUP BY ALL),
+gz AS MATERIALIZED (SELECT g.vec_id, g.feature, coalesce(gf.gz, 0.0)
+       - 2.0 * {AUX_COEFF} / {atoms} * u.deficit * g.sig * (1.0 - g.sig) * 10000.0 AS gz
+       FROM g JOIN u USING (feature) LEFT JOIN gf USING (vec_id, feature) WHERE g.z > 0),
+ge AS MATERIALIZED (SELECT gz.feature, x.dim, sum(gz.gz * x.xv) / (SELECT n FROM nn) AS ge FROM gz JOIN x USING (vec_id)
+       WHERE gz.gz <> 0 GROUP BY ALL),
+gd AS MATERIALIZED (SELECT feature, dim, sum(v * res) * 2.0 / {dim} / (SELECT n FROM nn) AS gd FROM p GROUP BY ALL),
+m AS MATERIALIZED (SELECT s.step, s.feature, s.dim, s.e, s.d,
+       0.9 * s.me + 0.1 * coalesce(ge, 0.0) AS me, 0.999 * s.ve + 0.001 * coalesce(ge, 0.0) ** 2 AS ve,
+       0.9 * s.md + 0.1 * coalesce(gd, 0.0) AS md, 0.999 * s.vd + 0.001 * coalesce(gd, 0.0) ** 2 AS vd
+       FROM s LEFT JOIN ge USING (feature, dim) LEFT JOIN gd USING (feature, dim))
+SELECT step + 1, feature, dim, e - {lr} * (me / (1 - 0.9 ** step)) / (sqrt(ve / (1 - 0.999 ** step)) + 1e-8),
+       d - {lr} * (md / (1 - 0.9 ** step)) / (sqrt(vd / (1 - 0.999 ** step)) + 1e-8), me, ve, md, vd, l.mse, l.aux FROM m, l))""",
+                     recursive=True, body="""
+SELECT CAST(step - 1 AS BIGINT) AS step, (SELECT CAST(n AS BIGINT) FROM nn) AS n_rows, round(max(mse), 6) + 0.0 AS mse_loss,
+       round(max(aux), 6) + 0.0 AS aux_loss, round(max(mse + aux), 6) + 0.0 AS loss
+FROM st WHERE step > 1 GROUP BY step""")
+
+
+@query("fit_sae_loss", _fit_sql(FIT_ATOMS, SPARSITY, FIT_STEPS, FIT_LR))
 def fit_sae_loss(spark, sf_dir):
     from glossa.operators.training import fit_sae
     vecs = table(spark, sf_dir, "embeddings").select("embedding")
-    res = fit_sae(vecs, dict_size=128, sparsity=16, steps=6, lr=1e-2, aux_coeff=AUX_COEFF,
+    res = fit_sae(vecs, dict_size=FIT_ATOMS, sparsity=SPARSITY, steps=FIT_STEPS, lr=FIT_LR, aux_coeff=AUX_COEFF,
                   aux_target=AUX_TARGET)
     return spark.createDataFrame(res.history).select(
         F.col("step").cast("long"), F.col("n_rows").cast("long"),

@@ -108,13 +108,26 @@ def materialize(df, name: str = "stage", partition_by=()):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(df) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing reads it."""
+    spark = df.sparkSession
+    roots = {p for _, p in _STAGED if any(f.startswith((p, f"file:{p}", f"file://{p}")) for f in df.inputFiles())}
+    for p in roots:
+        _delete(spark, p)
+    _STAGED[:] = [x for x in _STAGED if x[1] not in roots]
+
+
+def _delete(spark, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Remove this application's stage tables; returns how many."""
-    app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
+    app = spark.sparkContext.applicationId
     mine = [p for a, p in _STAGED if a == app]
     for p in mine:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     _STAGED[:] = [x for x in _STAGED if x[0] != app]
     return len(mine)
 
