@@ -85,20 +85,74 @@ def encode_texts(df: DataFrame, factory: Callable, text_col: str = "text",
     return src.mapInArrow(run, schema)
 
 
-def tokenize(df: DataFrame, tokenizer: Callable | None = None, text_col: str = "text",
-             out_col: str = "tokens") -> DataFrame:
-    """Tokens of a text.  Default: the Catalyst whitespace tokenizer; a
-    callable ``str -> list[str]`` runs as a pandas UDF (Arrow batches)."""
-    if tokenizer is None:
-        from glossa.functions.text import tokens
-        return df.withColumn(out_col, tokens(F.col(text_col)))
-    import pandas as pd
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tok(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: list(tokenizer(t or "")))
-
-    return df.withColumn(out_col, tok(F.col(text_col)))
+class WhiteSpaceSpans:
+    """Default span tokenizer: runs of non-white-space characters (the ASCII
+    white space of the Catalyst tokenizer)."""
+
+    special_tokens = 2
+
+    def __call__(self):
+        import re
+        word = re.compile(r"\S+", re.ASCII)
+
+        def spans(texts):
+            return [np.array([m.span() for m in word.finditer(t)], dtype=np.int64).reshape(-1, 2) for t in texts]
+        return spans
+
+
+class FileSpans:
+    """Spans by a tokenizer file of the ``tokenizers`` library (any subword
+    vocabulary); ``special_tokens``: how many the model adds to a text."""
+
+    def __init__(self, path: str, special_tokens: int = 2):
+        self.path, self.special_tokens = path, special_tokens
+
+    def __call__(self):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(self.path)
+        tok.no_truncation()
+        tok.no_padding()
+
+        def spans(texts):
+            return [np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+                    for e in tok.encode_batch(texts, add_special_tokens=False)]
+        return spans
+
+
+def token_spans(df: DataFrame, tokenizer: Callable | None = None, text_col: str = "text",
+                out_col: str = "spans") -> DataFrame:
+    """The tokens of a text as character spans of it,
+    ``ARRAY<STRUCT<first INT, after INT>>``, so that a token, or any run of
+    tokens, can be taken back as text (``span_text``).  ``tokenizer`` is a
+    picklable factory of ``spans(list[str])``; default: white space."""
+    tokenizer = tokenizer or WhiteSpaceSpans()
+    keep = [f for f in df.schema.fields if f.name != out_col]
+    pair = pa.struct([("first", pa.int32()), ("after", pa.int32())])
+    schema = T.StructType([*keep, T.StructField(out_col, T.ArrayType(T.StructType([
+        T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())])))])
+
+    def run(batches):
+        cut = _get(tokenizer)
+        for rb in batches:
+            found = cut([t or "" for t in rb.column(text_col).to_pylist()])
+            offsets = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
+            flat = np.concatenate(found).astype(np.int32) if found else np.zeros((0, 2), np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(pair))
+            yield pa.RecordBatch.from_arrays([*(rb.column(f.name) for f in keep),
+                                              pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def span_text(text, spans, first, count):
+    """The text of ``count`` tokens from token ``first`` (0-based) on, as it
+    stands in the text; '' where there are none."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    some = F.slice(c(spans), F.lit(first) + 1, F.lit(count))
+    begin, end = F.element_at(some, 1)["first"], F.element_at(some, -1)["after"]
+    return F.when(F.size(some) > 0, F.substring(c(text), begin + 1, end - begin)).otherwise(F.lit(""))
 
 
 def embed_pending(texts: DataFrame, done: DataFrame, factory: Callable, id_col: str = "doc_id",

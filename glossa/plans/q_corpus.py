@@ -37,10 +37,9 @@ tok AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'),
 def _pieces_sql(keys: str, name: str) -> str:
     """Pieces of every document with its merge batch inside ``keys``."""
     return f"""
-{name}_c AS (SELECT {keys}, greatest(1, (count(*) + 1999) // 2000) AS nb FROM tok GROUP BY {keys}),
-{name}_b AS (SELECT t.*, ('0x' || substr(md5(CAST(t.doc_id AS VARCHAR)), 1, 8))::BIGINT % c.nb AS batch,
-                    len(t.toks) AS n, (len(t.toks) + 509) // 510 AS ns
-             FROM tok t JOIN {name}_c c USING ({keys})),
+{name}_b AS (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY
+                        ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT) - 1) // 2000 AS batch,
+                    len(toks) AS n, (len(toks) + 509) // 510 AS ns FROM tok),
 {name}_p AS (SELECT doc_id, language, source, batch, toks, n,
                     CASE WHEN n > 510 THEN (n + ns - 1) // ns ELSE n END AS plen FROM {name}_b),
 {name}_s AS (SELECT doc_id, language, source, batch, toks, plen,
@@ -144,6 +143,45 @@ def split_long(spark, sf_dir):
                     F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("text").alias("text_md5"))
 
 
+# P6 + C1: pieces are tokenised again and end where the model would (400
+# tokens with the two special ones).
+@query("split_model_max", with_ctes(F1_SQL, _pieces_sql("language, source", "pc"), body="""
+SELECT doc_id, CAST(piece AS BIGINT) AS piece, CAST(least(n_tok, 398) AS BIGINT) AS n_tokens,
+       md5(array_to_string(list_slice(string_split(ptext, ' '), 1, 398), ' ')) AS text_md5
+FROM pc WHERE n_tok > 0"""))
+def split_model_max(spark, sf_dir):
+    p = chunking.split_long(f1(spark, sf_dir), model_max=400)
+    return p.filter("n_tokens > 0").select("doc_id", F.col("piece").cast("long").alias("piece"),
+                                           F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("text").alias("text_md5"))
+
+
+# U2 + C1 with the public byte-level subword vocabulary: pieces of at most
+# 510 tokens are slices of the text, joined they are the text again.
+@query("split_subwords", """
+SELECT doc_id, md5(coalesce(text, '')) AS text_md5, true AS within_limit FROM documents""")
+def split_subwords(spark, sf_dir):
+    import public_tokenizers
+    from glossa.operators.encoder import FileSpans
+    spans = FileSpans(public_tokenizers.path("byte_bpe_50k.json"))
+    p = chunking.split_spans(f1(spark, sf_dir).select("doc_id", "text"), spans)
+    return p.groupBy("doc_id").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), ""))
+        .alias("text_md5"), (F.max("n_tokens") <= chunking.TARGET_MAX).alias("within_limit"))
+
+
+# White-space tokens as spans of the text, taken back as text.
+@query("token_spans", with_ctes(F1_SQL, body="""
+SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5,
+       coalesce(toks[3], '') AS third FROM tok"""))
+def token_spans(spark, sf_dir):
+    from glossa.operators import encoder
+    t = encoder.token_spans(f1(spark, sf_dir).select("doc_id", "text"))
+    word = lambda s: F.substring("text", s["first"] + 1, s["after"] - s["first"])
+    return t.select("doc_id", F.size("spans").cast("long").alias("n_tokens"),
+                    F.md5(F.array_join(F.transform("spans", word), " ")).alias("tokens_md5"),
+                    encoder.span_text("text", "spans", 2, 1).alias("third"))
+
+
 def _chunk_out(df):
     return df.select("doc_id", F.col("piece").cast("long").alias("piece"), "language", "source",
                      F.col("n_tokens").cast("long").alias("n_tokens"),
@@ -159,8 +197,7 @@ CHUNK_OUT_SQL = """SELECT doc_id, CAST(piece AS BIGINT) AS piece, language, sour
 @query("merge_short", with_ctes(F1_SQL, CHUNKS_SQL, recursive=True, body=f"""
 {CHUNK_OUT_SQL} FROM ch_m"""))
 def merge_short(spark, sf_dir):
-    docs = chunking.assign_batches(f1(spark, sf_dir), ["language", "source"])
-    return _chunk_out(chunking.merge_short(chunking.split_long(docs), ["language", "source"]))
+    return _chunk_out(chunking.merge_short(chunking.pieces_of(f1(spark, sf_dir)), ["language", "source"]))
 
 
 @query("smart_chunk", with_ctes(F1_SQL, CHUNKS_SQL, recursive=True, body=f"""

@@ -207,6 +207,31 @@ def raw_text_rejects(spark, sf_dir):
     return readers.rejects(_raw_lines(spark, sf_dir))
 
 
+# Lines of the wrong shape are listed, the others are read.
+SHAPES_SQL = """
+SELECT doc_id AS line_key, CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '["' || lang || '"]'
+       WHEN 2 THEN 'null' WHEN 3 THEN '{"cut": ' ELSE '{"_id":"' || doc_id || '","text":"' || lang || '"}' END AS value
+FROM documents"""
+
+
+def _shape_lines(spark, sf_dir):
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(key.alias("line_key"), F.when(key % 5 == 0, key.cast("string"))
+                    .when(key % 5 == 1, F.concat(F.lit('["'), "lang", F.lit('"]'))).when(key % 5 == 2, F.lit("null"))
+                    .when(key % 5 == 3, F.lit('{"cut": '))
+                    .otherwise(F.to_json(F.struct(key.cast("string").alias("_id"), F.col("lang").alias("text")))).alias("value"))
+
+
+@query("object_rejects", f"SELECT line_key, value FROM ({SHAPES_SQL}) WHERE line_key % 5 <> 4")
+def object_rejects(spark, sf_dir):
+    return readers.rejects(_shape_lines(spark, sf_dir), objects=True)
+
+
+@query("queries_well_formed", "SELECT CAST(doc_id AS VARCHAR) AS qid, lang AS text FROM documents WHERE doc_id % 5 = 4")
+def queries_well_formed(spark, sf_dir):
+    return readers.parse_queries(_shape_lines(spark, sf_dir), malformed="skip")
+
+
 @query("labelled_text", """
 SELECT CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE lang END AS language,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars
@@ -278,21 +303,18 @@ def doc_text(spark, sf_dir):
     return f.select("page_id", F.md5(tx.doc_text("title", "text")).alias("text_md5"))
 
 
-QP_SQL = """CASE
-  WHEN contains(lower(m), 'e5') OR contains(lower(m), 'snowflake-arctic-embed') THEN 'query: '
-  WHEN contains(lower(m), 'qwen') OR contains(lower(m), 'gte-qwen') THEN 'Instruct: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || 'Query: '
-  WHEN contains(lower(m), 'jina') THEN 'Represent the query for retrieving evidence documents: '
-  WHEN contains(lower(m), 'embeddinggemma') THEN 'task: search result | query: '
-  WHEN m = 'nvidia/llama-nemotron-embed-1b-v2' THEN 'query: '
-  WHEN contains(lower(m), 'mxbai') THEN 'Represent this sentence for searching relevant passages: '
-  ELSE '' END"""
-
-PP_SQL = """CASE
-  WHEN contains(lower(m), 'e5') THEN 'passage: '
-  WHEN contains(lower(m), 'jina') THEN 'Represent the document for retrieval: '
-  WHEN contains(lower(m), 'embeddinggemma') THEN 'title: none | text: '
-  WHEN m = 'nvidia/llama-nemotron-embed-1b-v2' THEN 'passage: '
-  ELSE '' END"""
+def _prefix_sql(rules) -> str:
+    """The rules as a SQL CASE over the model name ``m``."""
+    def literal(text):
+        return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+    whens = []
+    for (kind, needles), prefix in rules:
+        test = [f"contains(lower(m), '{n}')" if kind == "contains" else f"m = '{n}'" for n in needles]
+        whens.append(f"WHEN {' OR '.join(test)} THEN {literal(prefix)}")
+    return f"CASE {' '.join(whens)} ELSE '' END"
+
+
+QP_SQL, PP_SQL = _prefix_sql(tx.QUERY_PREFIX_RULES), _prefix_sql(tx.PASSAGE_PREFIX_RULES)
 
 
 @query("query_prefix", f"""

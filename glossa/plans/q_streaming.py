@@ -8,9 +8,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from glossa.functions.numeric import r6
 from glossa.operators import encoder, sae
 from glossa.plans.fixtures import F4_SQL, F5_SQL, f4_model, f5_vectors, with_ctes
-from glossa.plans.q_sae import EXCL_SQL, _explode_feats, exclusive_features
+from glossa.plans.q_sae import EXCL_SQL, exclusive_features
 from glossa.plans.q_embed import DIM, _tvec_sql
 from glossa.plans.registry import query
 from glossa.session import ensure_checkpoint_dir
@@ -36,11 +37,9 @@ def stream_features(spark, sf_dir):
                              f"{base}/ckpt")
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
-    # the rank is the rank before masking, as in the batch query
-    plain = _explode_feats(sae.encode_topk(f5_vectors(spark, sf_dir).select("vec_id", "embedding"),
-                                           model)).select("vec_id", "feature", "rank")
-    return (_explode_feats(out).drop("rank").join(plain, ["vec_id", "feature"])
-            .select("vec_id", "rank", "feature", "value"))
+    return out.select("vec_id", F.explode(F.arrays_zip(sae.FEAT_RANK, sae.FEAT_IDX, sae.FEAT_VAL)).alias("f")).select(
+        "vec_id", F.col(f"f.{sae.FEAT_RANK}").cast("long").alias("rank"),
+        F.col(f"f.{sae.FEAT_IDX}").alias("feature"), r6(F.col(f"f.{sae.FEAT_VAL}")).alias("value"))
 
 
 @query("stream_firing", with_ctes(F4_SQL, F5_SQL, body="""

@@ -8,9 +8,9 @@ files and lines derived from other tables.  Where the input format says
 "the last one wins", the winner is ``max_by(..., line_key)``.
 
 JSON lines are read by the type of the parsed value, never by how a text
-begins.  A malformed line fails the job with the line in the message
-(``malformed="fail"``); with ``"skip"`` it is left out and ``rejects`` lists
-it.
+begins.  A malformed line, or one of another shape than the format has,
+fails the job with the line in the message (``malformed="fail"``); with
+``"skip"`` it is left out and ``rejects`` lists it.
 """
 
 from __future__ import annotations
@@ -52,21 +52,32 @@ def _printed(v: Column) -> Column:
             .when(_kind(v) == "BOOLEAN", F.initcap(v.cast("string"))).otherwise(_scalar(v)))
 
 
-def rejects(lines: DataFrame) -> DataFrame:
-    """The lines that are not blank and no JSON."""
-    return lines.filter(~_is_blank(F.col("value")) & F.try_parse_json(strip(F.col("value"))).isNull())
+def _well_formed(objects: bool) -> Column:
+    """Whether the parsed line ``v`` is JSON (an object where one is due)."""
+    v = F.col("v")
+    return v.isNotNull() & (F.coalesce(_kind(v) == "OBJECT", F.lit(False)) if objects else F.lit(True))
 
 
-def _parsed(lines: DataFrame, malformed: str) -> DataFrame:
+def _values(lines: DataFrame) -> DataFrame:
+    return lines.filter(~_is_blank(F.col("value"))).withColumn("v", F.try_parse_json(strip(F.col("value"))))
+
+
+def rejects(lines: DataFrame, objects: bool = False) -> DataFrame:
+    """The lines that are not blank and no JSON; with ``objects`` also those
+    that are JSON but no object, which the readers of labelled texts,
+    queries, corpora and judgments cannot use (S2, S7-S9)."""
+    return _values(lines).filter(~_well_formed(objects)).drop("v")
+
+
+def _parsed(lines: DataFrame, malformed: str, objects: bool = False) -> DataFrame:
     """``line_key, v``: the parsed lines (blank ones are skipped)."""
     if malformed not in ("fail", "skip"):
         raise ValueError(f"malformed: {malformed}")
-    body = lines.filter(~_is_blank(F.col("value"))).select(
-        "line_key", "value", F.try_parse_json(strip(F.col("value"))).alias("v"))
+    body = _values(lines)
     if malformed == "skip":
-        return body.filter(F.col("v").isNotNull()).select("line_key", "v")
+        return body.filter(_well_formed(objects)).select("line_key", "v")
     bad = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200)))
-    return body.select("line_key", F.coalesce("v", bad.cast("variant")).alias("v"))
+    return body.select("line_key", F.when(_well_formed(objects), F.col("v")).otherwise(bad.cast("variant")).alias("v"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +139,7 @@ def parse_labelled(lines: DataFrame, text_column: str = "text", language_column:
     """``(line_key, text, language)``; missing language -> 'unknown',
     missing text -> ''; empty texts dropped unless ``drop_empty`` is False."""
     m = _object(F.col("v"))
-    out = _parsed(lines, malformed).select(
+    out = _parsed(lines, malformed, objects=True).select(
         "line_key",
         F.coalesce(_scalar(m[text_column]), F.lit("")).alias("text"),
         F.coalesce(_scalar(m[language_column]), F.lit("unknown")).alias("language"))
@@ -185,7 +196,7 @@ def read_passages(spark: SparkSession, path_glob: str, num_partitions: int | Non
 def parse_queries(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     """``{_id, text}`` or ``{qid: text}`` or ``{qid: {text}}`` ->
     ``(qid, text)``; a repeated id keeps its last line."""
-    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
     is_flat = F.col("m")["_id"].isNotNull() & F.col("m")["text"].isNotNull()
     flat = m.filter(is_flat).select("line_key", _scalar(F.col("m")["_id"]).alias("qid"),
                                     _scalar(F.col("m")["text"]).alias("text"))
@@ -203,7 +214,7 @@ def parse_corpus(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     per line allowed) -> ``(doc_id, title, body, text)`` with text =
     P5(title, body); a repeated id keeps its last line, values that are no
     objects are skipped."""
-    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
 
     def parts(d: Column):
         return [F.coalesce(_scalar(d["title"]), F.lit("")).alias("title"),
@@ -223,7 +234,7 @@ def parse_qrels(lines: DataFrame, malformed: str = "fail") -> DataFrame:
     """Flat ``{query-id, corpus-id, score}`` or nested
     ``{qid: {doc_id: rel}}`` -> ``(qid, doc_id, rel INT)``; entries merge per
     qid and a repeated (qid, doc_id) keeps its last line."""
-    m = _parsed(lines, malformed).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
     is_flat = F.col("m")["query-id"].isNotNull() & F.col("m")["corpus-id"].isNotNull()
     whole = lambda v: _scalar(v).cast("double").cast("int")
     flat = m.filter(is_flat).select(

@@ -66,3 +66,62 @@ def test_pieces_are_cut_again_for_the_model(spark):
     docs = spark.createDataFrame([(1, "-".join(["t"] * 30))], "doc_id long, text string")
     out = chunking.split_long(docs, max_len=10, tokenizer=grows, model_max=14).collect()
     assert [r["n_tokens"] for r in out] == [12, 12, 12]
+
+
+def test_batches_split_equal_ids(spark):
+    """20,000 rows of one id (the same row) fill ten batches, others around
+    them keep theirs near 2,000."""
+    same = spark.range(20_000).selectExpr("'hot' as doc_id", "'a b c' as text", "'xx' as language", "'s' as source")
+    rest = spark.range(5_000).selectExpr("concat('d', id) as doc_id", "'a b' as text", "'xx' as language",
+                                         "cast(null as string) as source")
+    pieces = chunking.pieces_of(same.unionByName(rest))
+    rows = chunking.with_batches(pieces, pieces.filter("piece = 0"), ["language", "source"])
+    sizes = {(r["source"], r["batch"]): r["count"] for r in rows.groupBy("source", "batch").count().collect()}
+    assert sorted(b for s, b in sizes if s == "s") == list(range(10))
+    assert all(1700 < n < 2300 for (s, _), n in sizes.items() if s == "s")
+    assert {(s, b): n for (s, b), n in sizes.items() if s is None} == {(None, 0): 2000, (None, 1): 2000, (None, 2): 1000}
+    out = chunking.smart_chunk(same.unionByName(rest))
+    assert out.agg(F.sum("n_tokens")).first()[0] == 20_000 * 3 + 5_000 * 2
+    assert out.agg(F.max("n_fragments")).first()[0] <= 255
+
+
+def test_texts_are_tokenised_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        special_tokens = 2
+
+        def __call__(self):
+            from glossa.operators.encoder import WhiteSpaceSpans
+            plain = WhiteSpaceSpans()()
+
+            def spans(texts):
+                calls.add(len(texts))
+                return plain(texts)
+            return spans
+    docs = _docs(spark)
+    out = chunking.smart_chunk(docs, spans=Counting())
+    assert out.count() > 0 and out.count() > 0
+    assert calls.value == docs.count()
+
+
+def test_subword_pieces_are_slices(spark):
+    import public_tokenizers
+    from glossa.operators.encoder import FileSpans
+    spans = FileSpans(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = "  lead \U0001f600\U0001f469\u200d\U0001f680 caf\u00e9 \u4f60\u597d\n\n tail  "
+    rows = [(1, odd * 9, "xx", "a"), (2, "", "xx", "a"), (3, None, "xx", "b"), (4, "short one", "xx", "b"),
+            (5, " another short", "xx", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, language string, source string")
+    got = {}
+    for r in chunking.split_spans(docs, spans, max_len=7).orderBy("piece").collect():
+        assert r["n_tokens"] <= 7
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert {k: "".join(v) for k, v in got.items()} == {k: t or "" for k, t, _, _ in rows}
+    assert len(got[1]) > 10
+    merged = chunking.smart_chunk(docs.filter("doc_id > 3"), ["language"], min_len=8, max_len=12, spans=spans).collect()
+    assert [(r["text"], r["source"], r["n_fragments"]) for r in merged] == [("short one another short", "a,b", 2)]
+    # a model that takes 5 tokens with its 2 special ones
+    cut = chunking.smart_chunk(docs.filter("doc_id = 1"), min_len=4, max_len=7, spans=spans, model_max=5).collect()
+    count = spans()
+    assert cut and all(len(count([r["text"]])[0]) <= 3 and r["n_tokens"] <= 3 for r in cut)

@@ -28,7 +28,7 @@ def test_jsonl_shapes_and_first_n(spark, tmp):
     recs = readers.parse_text_records(readers.read_lines(spark, p))
     assert [r["text"] for r in recs.orderBy("line_key", "item").collect()] == ["a", "b", "c", "", "d"]
     assert [r["text"] for r in readers.first_n(recs, 2).collect()] == ["a", "b"]
-    lab = readers.parse_labelled(readers.read_lines(spark, p))
+    lab = readers.parse_labelled(readers.read_lines(spark, p), malformed="skip")     # the array line is a reject
     assert {(r["text"], r["language"]) for r in lab.collect()} == {("a", "en"), ("d", "unknown")}
 
 
@@ -158,3 +158,17 @@ def test_scalar_array_file_and_texts_like_objects(spark, tmp):
     assert {(r["qid"], r["text"]) for r in readers.parse_queries(q).collect()} == {("q1", "{x} what"), ("q2", "t")}
     c = spark.createDataFrame([(0, '{"d1": {"title": "T", "text": "x"}, "d2": "{x} str"}')], "line_key long, value string")
     assert [(r["doc_id"], r["title"], r["text"]) for r in readers.parse_corpus(c).collect()] == [("d1", "T", "T x")]
+
+
+def test_lines_that_are_no_object(spark):
+    rows = [(1, '{"_id": "a", "text": "t", "title": ""}'), (2, "5"), (3, '["a"]'), (4, "null"), (5, '"x"'), (6, " "), (7, "{")]
+    lines = spark.createDataFrame(rows, "line_key long, value string")
+    for parse in (readers.parse_labelled, readers.parse_queries, readers.parse_corpus, readers.parse_qrels):
+        with pytest.raises(Exception, match="malformed JSON line"):
+            parse(lines.filter("line_key in (1, 2)")).collect()
+        with pytest.raises(Exception, match="malformed JSON line"):
+            parse(lines.filter("line_key in (1, 3)")).collect()
+    assert [r["qid"] for r in readers.parse_queries(lines, malformed="skip").collect()] == ["a"]
+    assert [r["text"] for r in readers.parse_labelled(lines, malformed="skip").collect()] == ["t"]
+    assert [r["line_key"] for r in readers.rejects(lines, objects=True).orderBy("line_key").collect()] == [2, 3, 4, 5, 7]
+    assert [r["line_key"] for r in readers.rejects(lines).orderBy("line_key").collect()] == [7]
