@@ -1,13 +1,14 @@
 """Retrieval: cosine scoring, top-k per query, judgments and metrics.
 
 Scoring every query against every document is a dense product: both sides
-are cut into blocks, every pair of blocks meets in one task by a shuffle,
-and a task keeps only the best ``k`` per query (see ``score_topk``).
+are cut into blocks of bounded bytes, pairs of blocks meet in one task by a
+shuffle, pairs that cannot matter are skipped exactly (``blocks``), and a
+task keeps only the best ``k`` per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
+from glossa.operators.blocks import NORM_EPS, best_pairs
 from glossa.operators.sae import _matrix
 
-NORM_EPS = 1e-12                       # torch-style norm clamp
 # Scores are rounded to 12 decimals before ranking: the same cosine computed
 # for two identical documents at different positions of a matrix product
 # can differ in the last bits, and such ties must go to the lower doc id.
 SCORE_DECIMALS = 12
 DEFAULT_STATE_BYTES = 64 * 1024 * 1024      # query vectors and running best k of a task
+DEFAULT_BLOCK_BYTES = 32 * 1024 * 1024      # vectors of a document block
 DEFAULT_WORK_BYTES = 64 * 1024 * 1024
 # Fixed cut-offs of the evaluation.
 K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
@@ -58,13 +61,17 @@ def _exact_topk_cols(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(part, order, 1), np.take_along_axis(val, order, 1)
 
 
-def _block_kernel(dim: int, k: int, work_bytes: int, names: list[str]):
-    """Per (query block, document block): the best ``k`` documents of every
-    query.  Rows come sorted by block, queries first, then documents in id
-    order, which are streamed; null vectors and vectors of another length
-    are skipped.  The running state is queries x k."""
+def _block_kernel(dim: int, k: int, work_bytes: int, schema: T.StructType):
+    """Per block pair: the best ``k`` documents of every query.  Rows come
+    sorted by pair, queries first, then documents in id order, which are
+    streamed.  The running state is queries x k."""
+    names, by = schema.names, schema.names[:-3]
+    q_type, d_type = (to_arrow_type(schema[c].dataType) for c in ("qid", "doc_id"))
+    by_types = [to_arrow_type(schema[c].dataType) for c in by]
+
     class Run:
-        def __init__(self):
+        def __init__(self, keys):
+            self.keys = keys
             self.q_ids, self.q_mats, self.q = [], [], None
             self.seen = 0
 
@@ -91,82 +98,71 @@ def _block_kernel(dim: int, k: int, work_bytes: int, names: list[str]):
                 self.at, self.val, self.ids = (np.take_along_axis(x, o, 1) for x in (at, val, doc))
             self.seen += len(ids)
 
-        def best(self, types):
+        def best(self):
             if self.q is None or not len(self.q) or not self.ids.shape[1]:
                 return None
-            q = np.concatenate(self.q_ids)
+            q, m = np.concatenate(self.q_ids), self.ids.shape[1]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q, self.ids.shape[1]), types[0]), pa.array(self.ids.ravel(), types[1]),
-                 pa.array(self.val.ravel())], names=names)
+                [*(pa.array([v] * (len(q) * m), t) for v, t in zip(self.keys, by_types)),
+                 pa.array(np.repeat(q, m), q_type), pa.array(self.ids.ravel(), d_type), pa.array(self.val.ravel())],
+                names=names)
 
     def run(batches):
-        now, state, types = None, Run(), None
+        now, state = None, None
         for rb in batches:
-            types = types or (rb.schema.field(3).type, rb.schema.field(4).type)
-            block = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 32 \
-                | rb.column(1).to_numpy(zero_copy_only=False)
-            kind = rb.column(2).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])))
-            for i, j in zip(cut, np.append(cut[1:], len(block))):
-                if block[i] != now:
-                    out = state.best(types)
+            pair = rb.column(0).to_numpy(zero_copy_only=False)
+            kind = rb.column(1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (kind[1:] != kind[:-1]))) if len(pair) else []
+            for i, j in zip(cut, np.append(cut[1:], len(pair))):
+                part = rb.slice(i, j - i)
+                if pair[i] != now:
+                    out = state.best() if state else None
                     if out is not None:
                         yield out
-                    now, state = block[i], Run()
-                part = rb.slice(i, j - i)
-                mat, valid = _matrix(part.column(5), dim)
-                ids = part.column(4 if kind[i] else 3).to_numpy(zero_copy_only=False)[valid]
+                    now, state = pair[i], Run([part.column(c)[0].as_py() for c in by])
+                mat, valid = _matrix(part.column(4), dim)
+                ids = part.column(3 if kind[i] else 2).to_numpy(zero_copy_only=False)[valid]
                 (state.docs if kind[i] else state.queries)(ids, mat[valid])
-        out = state.best(types)
+        out = state.best() if state else None
         if out is not None:
             yield out
     return run
 
 
-def _global_cut(cand: DataFrame, k: int) -> DataFrame:
-    wq = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id"))
+def _global_cut(cand: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    wq = Window.partitionBy(*by, "qid").orderBy(F.col("score").desc(), F.col("doc_id"))
     return cand.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
 
 
 def score_topk(queries: DataFrame, docs: DataFrame, k: int,
-               qid_col: str = "qid", doc_col: str = "doc_id", vec_col: str = "embedding",
-               state_bytes: int = DEFAULT_STATE_BYTES, work_bytes: int = DEFAULT_WORK_BYTES) -> DataFrame:
-    """J4 + L4: ``(qid, doc_id, score, rank)``: the ``min(k, n_docs)``
+               qid_col: str = "qid", doc_col: str = "doc_id", vec_col: str = "embedding", by: Sequence[str] = (),
+               state_bytes: int = DEFAULT_STATE_BYTES, block_bytes: int = DEFAULT_BLOCK_BYTES,
+               work_bytes: int = DEFAULT_WORK_BYTES, report: dict | None = None) -> DataFrame:
+    """J4 + L4: ``(*by, qid, doc_id, score, rank)``: the ``min(k, n_docs)``
     documents of highest cosine per query; ties go to the lower doc id.
-    Ids keep their types.
-
-    Both sides are cut into blocks by a hash of the id and every pair of
-    blocks meets in one task by a shuffle: a query block has so few queries
-    that its vectors and running best ``k`` fit ``state_bytes``, and the
-    documents of the other block stream past it.  Each task sends ``k`` rows
-    per query; the global cut is a ``row_number`` that Spark runs as a
-    window group limit.  Nothing passes through the driver but one count.
-    Vectors are L2-normalised in the tasks (zero vectors score 0); null
-    vectors and vectors of another length are neither queries nor documents.
+    Ids keep their types.  With ``by`` (columns of both sides, not null)
+    queries meet the documents of equal values only.
+
+    Both sides are written once and cut into blocks of bounded bytes
+    (``state_bytes``: query vectors and running best ``k``; ``block_bytes``:
+    document vectors); pairs of blocks that cannot hold one of the best are
+    skipped (``blocks``).  A task keeps ``k`` rows per query; the global cut
+    is a ``row_number`` that Spark runs as a window group limit.  Zero
+    vectors score 0; null vectors and vectors of another length than the
+    queries' are neither queries nor documents.
     """
-    spark = queries.sparkSession
+    by = list(by)
     q_type, d_type = queries.schema[qid_col].dataType, docs.schema[doc_col].dataType
-    qv = queries.select(F.col(qid_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("v"))
-    dv = docs.select(F.col(doc_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n_q, dim = qv.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    names = ["qid", "doc_id", "score"]
-    schema = T.StructType([T.StructField("qid", q_type), T.StructField("doc_id", d_type),
+    schema = T.StructType([*(docs.schema[c] for c in by), T.StructField("qid", q_type), T.StructField("doc_id", d_type),
                            T.StructField("score", T.DoubleType())])
-    if not n_q or dim <= 0:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    q_blocks = max(1, -(-n_q * (dim + 4 * k) * 8 // state_bytes))
-    d_blocks = max(1, -(-parts // q_blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    rows = (qv.select(block("qid", q_blocks).alias("qb"), every(d_blocks).alias("db"), F.lit(0).alias("kind"),
-                      "qid", F.lit(None).cast(d_type).alias("doc_id"), "v")
-            .unionByName(dv.select(every(q_blocks).alias("qb"), block("doc_id", d_blocks).alias("db"),
-                                   F.lit(1).alias("kind"), F.lit(None).cast(q_type).alias("qid"), "doc_id", "v")))
-    cand = (rows.repartitionById(q_blocks * d_blocks, F.col("qb") * d_blocks + F.col("db"))
-            .sortWithinPartitions("qb", "db", "kind", "doc_id")
-            .mapInArrow(_block_kernel(dim, k, work_bytes, names), schema))
-    return _global_cut(cand, k)
+    vec = F.col(vec_col).cast("array<double>").alias("v")
+    found = best_pairs(queries.select(*by, F.col(qid_col).alias("qid"), vec), docs.select(*by, F.col(doc_col).alias("doc_id"), vec),
+                       k, by, lambda dim: _block_kernel(dim, k, work_bytes, schema), lambda c: _global_cut(c, k, by),
+                       state_bytes, block_bytes, report)
+    if found is None:
+        return queries.sparkSession.createDataFrame(
+            [], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    return _global_cut(found, k, by)
 
 
 def exclude_self(run: DataFrame, before_cut: bool = False, k: int | None = None) -> DataFrame:
@@ -266,29 +262,41 @@ def pending(requested: DataFrame, existing: DataFrame, keys: Iterable[str]) -> D
 
 
 def evaluate_datasets(spark, datasets: dict, factory, model: str, ks: Iterable[int] = K_VALUES,
-                      existing: DataFrame | None = None, drop_title_when_prefixed: bool = True) -> DataFrame | None:
+                      existing: DataFrame | None = None, drop_title_when_prefixed: bool = True,
+                      path: str | None = None) -> DataFrame | None:
     """D9 end to end: ``(dataset, metric, k, value)``.  ``datasets`` maps a
-    name to its line tables ``(queries, corpus, judgments)``; texts get the
-    prefixes of ``model`` (P3, P4), are encoded by ``factory`` (U1), ranked
-    (D8) and scored against the judgments (A28).  Datasets that ``existing``
-    has results for are skipped before anything is read (K4); None when
-    nothing is left to score."""
+    name to its line tables ``(queries, corpus, judgments)`` (line keys of one
+    type); texts get the prefixes of ``model`` (P3, P4), are encoded by
+    ``factory`` (U1), ranked (D8) and scored against the judgments (A28).
+
+    All datasets go through one plan with the dataset as a key, so the number
+    of jobs does not depend on how many there are.  With ``path`` the results
+    are kept there (K4); datasets that ``existing`` or ``path`` has results
+    for are skipped before anything is read.  None when nothing is left to
+    score."""
+    from functools import reduce
+
     from glossa.functions import text as tx
     from glossa.operators import encoder
-    from glossa.sources import readers
+    from glossa.sources import readers, sinks
     done = {r[0] for r in existing.select("dataset").distinct().collect()} if existing is not None else set()
-    ks, parts = [int(k) for k in ks], []
-    for name, (queries, corpus, judgments) in datasets.items():      # a configured list
-        if name in done:
-            continue
-        q = readers.parse_queries(queries).select("qid", tx.with_query_prefix("text", F.lit(model)).alias("text"))
-        d = readers.parse_corpus(corpus).select("doc_id", tx.with_passage_prefix(
-            "title", "body", F.lit(model), drop_title_when_prefixed).alias("text"))
-        run = score_topk(encoder.encode_texts(q, factory, keep=("qid",)),
-                         encoder.encode_texts(d, factory, keep=("doc_id",)), max(ks))
-        found = retrieval_metrics(run, readers.parse_qrels(judgments), ks)
-        parts.append(found.select(F.lit(name).alias("dataset"), "metric", "k", "value"))
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
+    if path is not None:
+        kept = sinks.existing_results(spark, path, ["dataset"])
+        done |= {r[0] for r in kept.collect()} if kept is not None else set()
+    todo = {name: tables for name, tables in datasets.items() if name not in done}     # a configured list
+    if not todo:
+        return None
+    ks, by = [int(k) for k in ks], ["dataset"]
+    queries, corpus, judgments = (
+        reduce(DataFrame.unionByName, (t[i].select(F.lit(name).alias("dataset"), "line_key", "value")
+                                       for name, t in todo.items())) for i in range(3))
+    q = readers.parse_queries(queries, by=by).select("dataset", "qid", tx.with_query_prefix("text", F.lit(model)).alias("text"))
+    d = readers.parse_corpus(corpus, by=by).select("dataset", "doc_id", tx.with_passage_prefix(
+        "title", "body", F.lit(model), drop_title_when_prefixed).alias("text"))
+    run = score_topk(encoder.encode_texts(q, factory, keep=("dataset", "qid")),
+                     encoder.encode_texts(d, factory, keep=("dataset", "doc_id")), max(ks), by=by)
+    found = retrieval_metrics(run, readers.parse_qrels(judgments, by=by), ks, by=by).select("dataset", "metric", "k", "value")
+    if path is None:
+        return found
+    sinks.write_results(spark, found, path, by)
+    return spark.read.parquet(path).filter(F.col("dataset").isin(list(todo))).select("dataset", "metric", "k", "value")

@@ -15,6 +15,8 @@ fails the job with the line in the message (``malformed="fail"``); with
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,15 +71,15 @@ def rejects(lines: DataFrame, objects: bool = False) -> DataFrame:
     return _values(lines).filter(~_well_formed(objects)).drop("v")
 
 
-def _parsed(lines: DataFrame, malformed: str, objects: bool = False) -> DataFrame:
-    """``line_key, v``: the parsed lines (blank ones are skipped)."""
+def _parsed(lines: DataFrame, malformed: str, objects: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, line_key, v``: the parsed lines (blank ones are skipped)."""
     if malformed not in ("fail", "skip"):
         raise ValueError(f"malformed: {malformed}")
     body = _values(lines)
     if malformed == "skip":
-        return body.filter(_well_formed(objects)).select("line_key", "v")
+        return body.filter(_well_formed(objects)).select(*by, "line_key", "v")
     bad = F.raise_error(F.concat(F.lit("malformed JSON line: "), F.substring("value", 1, 200)))
-    return body.select("line_key", F.when(_well_formed(objects), F.col("v")).otherwise(bad.cast("variant")).alias("v"))
+    return body.select(*by, "line_key", F.when(_well_formed(objects), F.col("v")).otherwise(bad.cast("variant")).alias("v"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -191,60 +193,61 @@ def read_passages(spark: SparkSession, path_glob: str, num_partitions: int | Non
     return df.repartition(num_partitions) if num_partitions else df
 
 
-# S7 / S8 / S9 ----------------------------------------------------------------
+# ``by`` names further columns of the lines (a dataset) that ids
+# are told apart by ----------------------------------------------------------------
 
-def parse_queries(lines: DataFrame, malformed: str = "fail") -> DataFrame:
+def parse_queries(lines: DataFrame, malformed: str = "fail", by: Sequence[str] = ()) -> DataFrame:
     """``{_id, text}`` or ``{qid: text}`` or ``{qid: {text}}`` ->
     ``(qid, text)``; a repeated id keeps its last line."""
-    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True, by=by).select(*by, "line_key", _object(F.col("v")).alias("m"))
     is_flat = F.col("m")["_id"].isNotNull() & F.col("m")["text"].isNotNull()
-    flat = m.filter(is_flat).select("line_key", _scalar(F.col("m")["_id"]).alias("qid"),
+    flat = m.filter(is_flat).select(*by, "line_key", _scalar(F.col("m")["_id"]).alias("qid"),
                                     _scalar(F.col("m")["text"]).alias("text"))
     raw = F.col("raw")
-    other = (m.filter(~is_flat).select("line_key", F.explode("m").alias("qid", "raw"))
-             .select("line_key", "qid", F.when(_kind(raw) == "OBJECT", _scalar(_object(raw)["text"]))
+    other = (m.filter(~is_flat).select(*by, "line_key", F.explode("m").alias("qid", "raw"))
+             .select(*by, "line_key", "qid", F.when(_kind(raw) == "OBJECT", _scalar(_object(raw)["text"]))
                      .when(_kind(raw) == "STRING", _scalar(raw)).alias("text"))
              .filter(F.col("text").isNotNull()))
-    return (flat.unionByName(other).groupBy("qid")
+    return (flat.unionByName(other).groupBy(*by, "qid")
             .agg(F.max_by("text", "line_key").alias("text")))
 
 
-def parse_corpus(lines: DataFrame, malformed: str = "fail") -> DataFrame:
+def parse_corpus(lines: DataFrame, malformed: str = "fail", by: Sequence[str] = ()) -> DataFrame:
     """``{_id, title, text}`` or ``{doc_id: {title, text}}`` (several ids
     per line allowed) -> ``(doc_id, title, body, text)`` with text =
     P5(title, body); a repeated id keeps its last line, values that are no
     objects are skipped."""
-    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True, by=by).select(*by, "line_key", _object(F.col("v")).alias("m"))
 
     def parts(d: Column):
         return [F.coalesce(_scalar(d["title"]), F.lit("")).alias("title"),
                 F.coalesce(_scalar(d["text"]), F.lit("")).alias("body")]
     flat = m.filter(F.col("m")["_id"].isNotNull()).select(
-        "line_key", _scalar(F.col("m")["_id"]).alias("doc_id"), *parts(F.col("m")))
+        *by, "line_key", _scalar(F.col("m")["_id"]).alias("doc_id"), *parts(F.col("m")))
     nested = (m.filter(F.col("m")["_id"].isNull())
-              .select("line_key", F.explode("m").alias("doc_id", "raw"))
-              .select("line_key", "doc_id", _object(F.col("raw")).alias("d")).filter(F.col("d").isNotNull())
-              .select("line_key", "doc_id", *parts(F.col("d"))))
-    return (flat.unionByName(nested).groupBy("doc_id")
+              .select(*by, "line_key", F.explode("m").alias("doc_id", "raw"))
+              .select(*by, "line_key", "doc_id", _object(F.col("raw")).alias("d")).filter(F.col("d").isNotNull())
+              .select(*by, "line_key", "doc_id", *parts(F.col("d"))))
+    return (flat.unionByName(nested).groupBy(*by, "doc_id")
             .agg(F.max_by(F.struct("title", "body"), "line_key").alias("d"))
-            .select("doc_id", "d.title", "d.body", doc_text(F.col("d.title"), F.col("d.body")).alias("text")))
+            .select(*by, "doc_id", "d.title", "d.body", doc_text(F.col("d.title"), F.col("d.body")).alias("text")))
 
 
-def parse_qrels(lines: DataFrame, malformed: str = "fail") -> DataFrame:
+def parse_qrels(lines: DataFrame, malformed: str = "fail", by: Sequence[str] = ()) -> DataFrame:
     """Flat ``{query-id, corpus-id, score}`` or nested
     ``{qid: {doc_id: rel}}`` -> ``(qid, doc_id, rel INT)``; entries merge per
     qid and a repeated (qid, doc_id) keeps its last line."""
-    m = _parsed(lines, malformed, objects=True).select("line_key", _object(F.col("v")).alias("m"))
+    m = _parsed(lines, malformed, objects=True, by=by).select(*by, "line_key", _object(F.col("v")).alias("m"))
     is_flat = F.col("m")["query-id"].isNotNull() & F.col("m")["corpus-id"].isNotNull()
     whole = lambda v: _scalar(v).cast("double").cast("int")
     flat = m.filter(is_flat).select(
-        "line_key", _scalar(F.col("m")["query-id"]).alias("qid"), _scalar(F.col("m")["corpus-id"]).alias("doc_id"),
+        *by, "line_key", _scalar(F.col("m")["query-id"]).alias("qid"), _scalar(F.col("m")["corpus-id"]).alias("doc_id"),
         whole(F.col("m")["score"]).alias("rel"))
     nested = (m.filter(~is_flat)
-              .select("line_key", F.explode("m").alias("qid", "raw"))
-              .select("line_key", "qid", F.explode(_object(F.col("raw"))).alias("doc_id", "s"))
-              .select("line_key", "qid", "doc_id", whole(F.col("s")).alias("rel")))
-    return (flat.unionByName(nested).groupBy("qid", "doc_id")
+              .select(*by, "line_key", F.explode("m").alias("qid", "raw"))
+              .select(*by, "line_key", "qid", F.explode(_object(F.col("raw"))).alias("doc_id", "s"))
+              .select(*by, "line_key", "qid", "doc_id", whole(F.col("s")).alias("rel")))
+    return (flat.unionByName(nested).groupBy(*by, "qid", "doc_id")
             .agg(F.max_by("rel", "line_key").alias("rel")))
 
 

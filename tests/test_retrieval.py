@@ -28,6 +28,69 @@ def test_topk_matches_brute_force(spark, k, state_bytes):
         assert [doc for _, doc in sorted(got[i])] == want
 
 
+def test_block_pairs_are_skipped_exactly(spark):
+    """Clustered vectors in small blocks: far pairs are never opened, results
+    equal brute force; a repeated id and zero vectors among them."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 6)) * 4
+    d = (centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6)) * 0.1).astype(np.float32)
+    d[[7, 300]] = 0.0
+    q = (centres[rng.integers(0, 12, 40)] + rng.normal(size=(40, 6)) * 0.1).astype(np.float32)
+    q[3] = 0.0
+    report = {}
+    docs = _vec_df(spark, range(600), d, "doc_id").repartition(5)
+    run = retrieval.score_topk(_vec_df(spark, range(40), q, "qid"), docs, 5, state_bytes=(6 + 20) * 8 * 4,
+                               block_bytes=6 * 8 * 30, report=report)
+    got = {}
+    for r in run.collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
+    unit = lambda m: m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-12)
+    s = np.round(unit(q) @ unit(d).T, 12)
+    for i in range(40):
+        assert [doc for _, doc in sorted(got[i])] == sorted(range(600), key=lambda j: (-s[i, j], j))[:5]
+    assert report["pairs"] == report["first"] + report["second"] + report["skipped"]
+    assert report["skipped"] > 0.4 * report["pairs"]
+    # equal vectors everywhere: every bound is reached, nothing may be skipped
+    same = _vec_df(spark, range(200), np.ones((200, 6)), "doc_id")
+    again = retrieval.score_topk(_vec_df(spark, range(3), np.ones((3, 6)), "qid"), same, 4, block_bytes=6 * 8 * 20, report=report)
+    assert sorted((r["qid"], r["doc_id"]) for r in again.collect()) == [(i, j) for i in range(3) for j in range(4)]
+    assert report["skipped"] == 0
+
+
+def test_blocks_are_bounded_on_both_sides(spark):
+    from glossa.operators import blocks
+    hot = spark.range(4000).selectExpr("7L as doc_id", "array(1D, 0D) as v", "id as _row")
+    rows = blocks.blocked(blocks.placed(hot, np.array([[1.0, 0.0], [0.0, 1.0]]), 2), [], 100, "test")
+    sizes = [r["dn"] for r in blocks.block_list(rows, [], "d").collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 160
+
+
+def test_the_encoder_runs_once_per_text(spark, tmp_path):
+    class Counting:
+        """The default encoder, noting in a file how many texts it was given."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def __call__(self):
+            from glossa.operators import encoder
+            plain, path = encoder.HashedBagOfWords(8)(), self.path
+
+            def encode(texts):
+                with open(path, "a") as f:
+                    f.write(f"{len(texts)}\n")
+                return plain(texts)
+            return encode
+
+    from glossa.operators import encoder
+    path = str(tmp_path / "calls")
+    texts = spark.range(60).selectExpr("id as doc_id", "concat('t', id % 7, ' u', id) as text")
+    vecs = encoder.encode_texts(texts, Counting(path), keep=("doc_id",))
+    run = retrieval.score_topk(vecs.withColumnRenamed("doc_id", "qid"), vecs, 3, block_bytes=8 * 8 * 10)
+    assert run.count() == 180
+    assert sum(map(int, open(path))) == 120                        # each side once
+
+
 def test_topk_string_ids_null_and_odd_vectors(spark):
     q = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", None)], "qid string, embedding array<double>")
     d = spark.createDataFrame([("12#3", [-1.0, 0.0]), ("a", [0.0, 1.0]), ("b", None), ("c", [1.0]), ("A", [0.0, 2.0])],
@@ -116,3 +179,29 @@ def test_scored_datasets_are_skipped(spark):
     assert got == {("new", m): 1.0 for m in ("NDCG", "MAP", "Recall", "P")}
     all_done = spark.createDataFrame([("done",), ("new",)], "dataset string")
     assert retrieval.evaluate_datasets(spark, datasets, HashedBagOfWords(16), "none", [1], existing=all_done) is None
+
+
+def test_datasets_go_through_one_plan(spark, tmp_path):
+    from glossa.operators.encoder import HashedBagOfWords
+    from glossa.sources import sinks
+
+    def lines(rows):
+        return spark.createDataFrame(list(enumerate(rows)), "line_key long, value string")
+
+    def dataset(i):
+        return (lines(['{"_id": "q", "text": "w%d"}' % i]), lines(['{"_id": "d", "text": "w%d"}' % i, '{"_id": "e", "text": "other"}']),
+                lines(['{"query-id": "q", "corpus-id": "d", "score": 1}']))
+
+    def jobs(n):
+        group = f"datasets-{n}"
+        spark.sparkContext.setJobGroup(group, "")
+        path = str(tmp_path / group)
+        out = retrieval.evaluate_datasets(spark, {f"s{i}": dataset(i) for i in range(n)}, HashedBagOfWords(64), "none", [1, 2],
+                                          path=path)
+        rows = {(r["dataset"], r["metric"], r["k"]): r["value"] for r in out.collect()}
+        spark.sparkContext.setJobGroup("rest", "")
+        assert len(rows) == n * 8 and all(rows[(f"s{i}", "NDCG", 1)] == 1.0 for i in range(n))
+        assert sinks.existing_results(spark, path, ["dataset"]).count() == n
+        assert retrieval.evaluate_datasets(spark, {"s0": (None, None, None)}, HashedBagOfWords(64), "none", [1], path=path) is None
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert abs(jobs(2) - jobs(6)) <= 2               # the planner may broadcast a table in one of them
