@@ -479,19 +479,20 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = (sets.filter("f0 is not null").select(*key, "f0", "f1").join(_classes_of(sets), ["f0", "f1"])
             .groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.first("smallest").alias("smallest")))
     stays = F.struct(*key) == F.col("smallest")
-    marks = staged(rows.filter(~stays | (F.col("rows") > 1)).select(*[F.col(c).alias(f"_{c}") for c in key], stays.alias("_stays")),
+    marks = staged(rows.filter(~stays | (F.col("rows") > 1)).select(*[F.col(c).alias(f"m_{c}") for c in key], stays.alias("stays")),
                    "marks")
-    repeated = staged(marks.filter("_stays"), "repeated")          # small or empty as a rule: no shuffle of texts then
-
-    def on(of):
-        t0, t1 = _text_key(docs[text_col])
-        return (docs[id_col].cast("long") == of["_doc_id"]) & (t0 == of["_t0"]) & (t1 == of["_t1"])
-
+    repeated = staged(marks.filter("stays"), "repeated")          # small or empty as a rule: no shuffle of texts then
+    same = (F.col("doc_id") == F.col("m_doc_id")) & (F.col("t0") == F.col("m_t0")) & (F.col("t1") == F.col("m_t1"))
+    # whole rows travel as one column, so that none of their names can clash
     named = [F.col(f"`{c}`") for c in docs.columns]
     plain = [c for (_, kind), c in zip(docs.dtypes, named) if "map<" not in kind]
-    one = (docs.join(repeated, on(repeated)).groupBy("_doc_id", "_t0", "_t1")
-           .agg(F.min_by(F.struct(*named), F.xxhash64(*plain)).alias("_one")).select("_one.*"))
-    return docs.join(marks, on(marks), "left_anti").unionByName(one)
+    t0, t1 = _text_key(F.col(f"`{text_col}`"))
+    packed = docs.select(F.struct(*named).alias("row"), F.xxhash64(*plain).alias("h"),
+                         F.col(f"`{id_col}`").cast("long").alias("doc_id"), t0.alias("t0"), t1.alias("t1"))
+    one = packed.join(repeated, same).groupBy("m_doc_id", "m_t0", "m_t1").agg(F.min_by("row", "h").alias("row"))
+    # marks grow with the documents: the same shuffle at every size
+    rest = packed.join(marks.hint("merge"), same, "left_anti")
+    return rest.select("row").unionByName(one.select("row")).select("row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ document.
 Defined cases: null or empty text has zero counts and fails the base rules;
 null stratum is a stratum; labels that are null, or of absent documents, are
 ignored, and of several labels of one id the lowest counts; repeated rows
-are judged each; without labels only the base rules reject; other columns
+are judged each, but as labelled trials the rows of one id count once, and
+so do ids of one text; without labels only the base rules reject; other columns
 are ignored.
 """
 
@@ -95,7 +96,7 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
          .withColumn("n_symbols", _matches(F.col("_t"), SYMBOLS))
          .withColumn("n_marks", _matches(F.col("_t"), "!")).withColumn("n_capitals", _matches(F.col("_t"), "[A-Z]")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", base).drop("_t", "_words", "_h", "_win", "_n", "_rep", "_s", "_at", "_lines")
+    return d.withColumn("base_failed", base).withColumn("text_hash", F.xxhash64("_t")).drop("_t", "_words", "_h", "_win", "_n", "_rep", "_s", "_at", "_lines")
 
 
 def _ratio(rule: str) -> Column:
@@ -119,14 +120,20 @@ def _log_tail(k: Column, n: Column, p: float) -> Column:
 def certified_cutoffs(metrics: DataFrame, labels: DataFrame, risk: float = RISK, doubt: float = DOUBT) -> DataFrame:
     """One row per stratum that has a useful certified cutoff, with one
     column ``cut_<rule>`` (null: none).  ``metrics``: ``doc_id``,
-    ``stratum`` and the counts; ``labels``: ``doc_id``, ``quality``."""
+    ``stratum``, ``text_hash`` and the counts; ``labels``: ``doc_id``, ``quality``."""
     good = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(F.array_compact(F.array(*[
         F.when(_ratio(r) > c, F.lit(1)) for c in RULES[r][2]]))).alias("hit")) for r in RULES])
+    # a document is one trial however many rows repeat it, and so are
+    # documents of the same text: one row per id, then one per text, the
+    # lowest label counting (only labelled rows, partly combined before they
+    # are shuffled)
+    one = F.min(F.struct("text_hash", "q", steps.alias("s"))).alias("r")
+    trials = (metrics.filter("not base_failed").join(good, "doc_id").groupBy("stratum", "doc_id").agg(one)
+              .groupBy("stratum", F.col("r.text_hash").alias("text_hash")).agg(F.min(F.struct("r.q", "r.s")).alias("r")))
     # the cutoffs fall, so a value above `hit` of them is above the last ones:
     # it is rejected by every cutoff from number `len - hit` on
-    seen = (metrics.filter("not base_failed").join(good, "doc_id")
-            .select("stratum", "q", F.explode(steps).alias("s"))
+    seen = (trials.select("stratum", "r.q", F.explode("r.s").alias("s"))
             .groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.hit").alias("hit"))
             .agg(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)).alias("good"),
                  F.sum(F.when(F.col("q") == 0, 1).otherwise(0)).alias("bad")))

@@ -15,9 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from glossa.session import ensure_checkpoint_dir
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted_paths():
+    """The stage paths made inside, as a list: whoever has stored a result
+    that was read from them can remove them."""
+    made: list[str] = []
+    _NOTED.append(made)
+    try:
+        yield made
+    finally:
+        _NOTED.remove(made)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for ``name`` in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    for made in _NOTED:
+        made.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
