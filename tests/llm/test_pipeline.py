@@ -6,24 +6,32 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from glossa.llm.tokens import tokenizer_path
-from llm_corpus import SF
+from llm_corpus import SF, corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_stages_in_order(spark, tmp_path):
+@pytest.fixture(scope="module")
+def results(spark, tmp_path_factory):
+    """Each stage's stored result on the given documents."""
+    folder, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(folder / name))
+        docs = out[name] = spark.read.parquet(str(folder / name))
+    return out
+
+
+def test_stages_in_order(spark, results):
     docs = first = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "mixing", "packing"]
     seen = {}
-    for name, stage in corpus_pipeline.STAGES:
-        path = str(tmp_path / name)
-        stage(spark, docs, SF).write.parquet(path)
-        out = spark.read.parquet(path)
+    for name, out in results.items():
         if name != "packing":
             assert out.dtypes == first.dtypes
             assert out.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0 or name == "mixing"
@@ -50,31 +58,22 @@ def test_stages_in_order(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
-def test_run_equals_the_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    a, b = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+def test_run_equals_the_stages(spark, results):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = lambda df: sorted(map(tuple, df.select(columns).collect()))
-    assert rows(docs) == rows(a) == rows(b)
+    assert rows(corpus_pipeline.run(spark, SF)) == rows(results["packing"])
     assert corpus_pipeline.ORACLE_SQL is None
 
 
 def test_awkward_rows_and_clashing_names(spark, tmp_path):
-    """Null and repeated rows, empty texts, an empty table, and columns named
-    like those the operators use."""
-    from llm_corpus import corpus
-    rows = corpus(spark)
+    """Null and repeated rows, empty texts, and columns named like those the
+    operators use, through all stages; then an empty table."""
+    docs = corpus(spark)
     for c in ("_doc_id", "_t0", "m_doc_id", "t0", "h", "stays", "_row", "rows", "smallest"):
-        rows = rows.withColumn(c, F.lit(1))
-    for name, start in (("full", rows), ("none", rows.filter("doc_id = -999999"))):
-        docs = start
-        for stage_name, stage in corpus_pipeline.STAGES:
-            path = str(tmp_path / f"{name}-{stage_name}")
-            stage(spark, docs, SF).write.parquet(path)
-            docs = spark.read.parquet(path)
-            if stage_name != "packing":
-                assert docs.columns == start.columns
-        assert (docs.count() > 0) == (name == "full")
+        docs = docs.withColumn(c, F.lit(1))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() > 0 and (name == "packing" or docs.columns == names)
+    assert corpus_pipeline.near_copies(spark, corpus(spark).filter("doc_id = -999999"), SF).count() == 0
