@@ -10,10 +10,13 @@ letters, which goes to the tokenizer's model directly.  Cuts:
 
 * ``space``: before a single space between two non-space characters; the
   byte-level pattern always starts a new token there, and the space belongs
-  to the token that follows;
+  to the token that follows.  A piece of words joined by single line ends is
+  cut at these: a line end between a word and a letter is a token by itself;
 * ``word``: at ASCII white space, which the word tokenizer drops; it folds
   case, so A-Z is folded before the cache is asked (not in texts that hold
-  ``<|``, where a special token's own spelling counts).
+  ``<|``, where a special token's own spelling counts), and Latin letters
+  before the model is.  Letters of other scripts, which its normaliser might
+  compose or fold in ways of its own, go to the whole tokenizer.
 
 ``tests/llm/test_tokens.py`` holds both against whole-text encoding.
 """
@@ -28,6 +31,8 @@ CACHE_PIECES = 400_000
 REST_PIECES = 150_000       # kept by a worker between tasks
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _CLOSING = ".,;:!?"
+_LATIN_END = "\u0250"        # letters below are composed already; one folds to two:
+_DOTTED_I = "\u0130"
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,6 +82,7 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.young, self.old = _Pieces(self), {}    # keys: str for "space", bytes for "word"
         self.closing: dict = {}
+        self.line_end = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -88,23 +94,50 @@ class PieceEncoder:
             self.closing[tail] = self._encode(tail)
         return self.closing[tail]
 
+    def _letters_of(self, core: str) -> str:
+        return core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _lines(self, piece: str) -> bytes | None:
+        """Ids of words that single line ends join, word by word; None for
+        any other piece."""
+        first, *more = piece.split("\n")
+        if not more or not all(p.rstrip(_CLOSING).isalpha() for p in (first, *more)):
+            return None
+        known = self.young.__getitem__
+        return self.line_end.join([known(first), *[known(" " + p) for p in more]])
+
+    def _folded(self, core: str) -> str | None:
+        """A run of Latin letters as the word tokenizer's model gets it."""
+        if core.isascii():
+            return core if core.isalpha() and core.islower() else None
+        if not core.isalpha() or max(core) >= _LATIN_END or _DOTTED_I in core:
+            return None
+        return self._letters_of(core.lower())
+
     def learn(self, piece) -> bytes:
+        """Ids of a piece.  With ``space`` cuts a piece follows a space; a
+        word that follows none has the key of a space and the word, which no
+        piece is."""
         ids = self.old.get(piece)
         if ids is not None:
             return ids
         if self.cut == "space":
+            bare = piece[:1] == " "
+            if bare:
+                piece = piece[1:]
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 raise _Unclean
             core = piece.rstrip(_CLOSING)
             if not core.isalpha():
-                return self._encode(" " + piece)
-            word = "Ġ" + (core if core.isascii() else core.encode("utf-8").decode("latin-1").translate(self.letters))
+                ids = self._lines(piece) if not bare else None
+                return self._encode(piece if bare else " " + piece) if ids is None else ids
+            word = self._letters_of(core) if bare else "Ġ" + self._letters_of(core)
         else:
             piece = piece.decode("utf-8")
             core = piece.rstrip(_CLOSING)
-            if not (core.isascii() and core.isalpha() and core.islower()):
+            word = self._folded(core)
+            if word is None:
                 return self._encode(piece)
-            word = core
         ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return ids + self._close(piece[len(core):]) if len(core) < len(piece) else ids
 
@@ -133,7 +166,8 @@ class PieceEncoder:
                 except _Unclean:
                     head, *parts = _SINGLE.split(text)
                     rest = b"".join([self._encode(" " + p) if p[-1].isspace() else known(p) for p in parts])
-                out.append(self._encode(head) + rest)
+                first = known(" " + head) if head.rstrip(_CLOSING).isalpha() else self._encode(head)
+                out.append(first + rest)
         return out
 
 
