@@ -10,14 +10,15 @@ File format (one file per range of document ids, little-endian):
     n u64 | offset of this index u64 | "GLTOKEND"
 
 The shared dictionary is trained on the id arrays of a bounded sample: the
-``SAMPLE_DOCS`` documents of smallest ``xxhash64(id)``, the first
-``SAMPLE_CHARS`` characters of each.  Every file names the dictionary by its
+``SAMPLE_DOCS`` documents of smallest ``xxhash64(id)``, ``SAMPLE_CHARS``
+characters of each, from a place given by the hash.  Every file names the dictionary by its
 hash; the dictionary itself lies beside the files.  A short document is read
 by seeking to its frame: nothing before it is decompressed.
 
 Writing is one range shuffle by document id and one pass that streams each
 partition into its file; a task holds one Arrow batch, the frame being
-written and the index of its file.  File names are unique per attempt and
+written and the index of its file.  There are at least as many files as
+``FILE_BYTES`` of text, so files and their indexes do not grow.  File names are unique per attempt and
 the manifest (one row per file) names only files of tasks that finished, so
 a lost executor or a repeated task never leaves a file half used.
 
@@ -48,6 +49,7 @@ SAMPLE_CHARS = 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 ENCODE_ROWS = 256
+FILE_BYTES = 256 << 20      # of texts
 
 MANIFEST = ("shard long, path string, n_docs long, n_tokens long, "
             "first_id long, last_id long, n_bytes long")
@@ -76,13 +78,23 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 def sample_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int,
                       id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """Train on the bounded sample named in the module text."""
-    picked = (docs.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"),
-                          F.xxhash64(F.col(id_col)).alias("h"))
+    text, h = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(F.col(id_col))
+    spare = F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0))
+    picked = (docs.select(F.substr(text, (F.pmod(h, spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), h.alias("h"))
               .orderBy("h", "t").limit(SAMPLE_DOCS).toArrow().column("t").to_pylist())
     enc = encoder(tokenizer, "space")
     return train_dictionary([_narrow(i + _end(end_id), width) for i in enc.encode(picked)])
 
 
+def id_width(tokenizer: str, end_id: int, width: int | None = None) -> int:
+    """Bytes of an id in the files: 2 where the vocabulary and the end id
+    allow it, else 4; a ``width`` that is too small is an error."""
+    largest = max(encoder(tokenizer, "space").largest_id(), end_id)
+    if width not in (None, 2, 4) or width == 2 and largest >= 1 << 16:
+        raise ValueError(f"ids up to {largest} do not fit {width} bytes")
+    return width or (2 if largest < 1 << 16 else 4)
+
+
 def _end(end_id: int) -> bytes:
     return struct.pack("<I", end_id)
 
@@ -101,11 +113,12 @@ def _zdict(data: bytes):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
-                      width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` into files under ``folder``; returns the manifest (one
     row per file with its documents, tokens and place), read back from the
     folder."""
     spark = docs.sparkSession
+    width = id_width(tokenizer, end_id, width)
     dictionary = sample_dictionary(docs, tokenizer, end_id, width, id_col, text_col)
     digest = hashlib.sha256(dictionary).digest()
     fs, base = _filesystem(folder)
@@ -157,7 +170,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             "n_bytes": pa.array([place + len(index) + 24], pa.int64())})
 
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    ordered = (keyed.repartitionByRange("_id", F.xxhash64("_text"))
+    size = keyed.agg(F.sum(F.octet_length(F.col("_text").cast("string")))).first()[0] or 0
+    files = size // FILE_BYTES
+    few = files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (keyed.repartitionByRange(*([] if few else [files]), "_id", F.xxhash64("_text"))
                .sortWithinPartitions("_id", F.xxhash64("_text")))
     path = f"{folder}/manifest"
     ordered.mapInArrow(write, MANIFEST).write.parquet(path)

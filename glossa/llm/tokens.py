@@ -84,6 +84,9 @@ class PieceEncoder:
         self.closing: dict = {}
         self.line_end = self._encode("\n")
 
+    def largest_id(self) -> int:
+        return max(self.tok.get_vocab(with_added_tokens=True).values())
+
     def _encode(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -66,6 +66,31 @@ def test_a_file_with_another_dictionary_is_refused(spark, tmp_path):
         assert "another hash" in str(e)
 
 
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    assert op2_tokens.id_width(BYTES, 0) == 2 and op2_tokens.id_width(BYTES, 1 << 16) == 4
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    for end, width in ((1 << 16, 2), (0, 3)):
+        try:
+            op2_tokens.write_token_files(df, str(tmp_path / "g"), BYTES, end, width)
+            raise AssertionError("accepted")
+        except ValueError as e:
+            assert "do not fit" in str(e)
+    folder = str(tmp_path / "h")
+    m = op2_tokens.write_token_files(df, folder, BYTES, 1 << 16)
+    f = op2_tokens.TokenFile(m.first()["path"], folder)
+    assert f.width == 4 and f.document(0).tolist()[-1] == 1 << 16
+    f.close()
+
+
+def test_files_grow_in_number_with_the_texts(spark, stored, tmp_path, monkeypatch):
+    monkeypatch.setattr(op2_tokens, "FILE_BYTES", 1 << 10)
+    folder = str(tmp_path / "f")
+    m = op2_tokens.write_token_files(stored, folder, BYTES)
+    assert m.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = [r["n_tokens"] for r in op2_tokens.read_token_files(m, folder).collect()]
+    assert sorted(got) == sorted(len(x) for x in _whole(BYTES, [t for _, t in texts()], [0]))
+
+
 def test_packing(spark, stored):
     got = [tuple(r) for r in op6_packing.pack_documents(stored, WORDS).collect()]
     want = []
