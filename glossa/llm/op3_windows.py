@@ -4,11 +4,12 @@ A window of 35 words is repeated if its word sequence starts anywhere else,
 in the same document or another.  Three passes over the texts, none of which
 shuffles a window that occurs once:
 
-1. *Count-min sketch* of all windows, merged from partition sketches (see
-   ``sketches``): a bit per cell, estimated twice or more.  Merged cells only
-   ever overestimate, so no repeated window is lost.
+1. *Count-min sketch* of all windows, merged from partition sketches by range
+   of cells (see ``ranged``): the task of a range answers every chunk of
+   documents with a bit per cell it sent, estimated twice or more.  Merged
+   cells only ever overestimate, so no repeated window is lost.
 2. *Exact grouping of the estimated ones.*  A task keeps its windows whose
-   cells are set in both rows and sends each distinct one once per batch of
+   bits are set in both rows and sends each distinct one once per batch of
    documents, as a 96-bit hash and whether the batch itself has it twice.
    Slices of the hash range are grouped apart; each batch gets back one bit
    per window sent: repeated or not.  A window of a third of all documents
@@ -16,11 +17,10 @@ shuffles a window that occurs once:
 3. *Removal.*  The answer bits meet the batch's texts and the covered words
    go.
 
-The sketch has about ``CELLS_PER_WINDOW`` cells a window and row, at most
-``MAX_CELLS`` (a bit each when merged: 256 MB a row).  Beyond that it passes
-more windows to the exact step, whose slices grow in number, not in size;
-results stay exact.  Tasks read the merged sketch from the shared folder; it
-never passes through the driver.
+The sketch has about ``CELLS_PER_WINDOW`` cells a window and row at every size:
+ranges and slices grow in number, not in size.  No worker holds more of it
+than the counts of one range or the answers for its own partition, a bit a
+window and row, read from the shared folder.
 
 Defined cases: null text has no words; texts under 35 words keep all; null
 and repeated ids are kept, one row each; an empty table gives no rows; other
@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels
-from glossa.llm.sketches import build_sketch, estimated_repeated, load_sketch, power_above
+from glossa.llm.ranged import RANGE_BITS, Estimates, Sketch, merge_sketch, sketch_for
 from glossa.llm.stages import small_batches, staged
 
 WINDOW = 35
-CELLS_PER_WINDOW = 3
-MAX_CELLS = 1 << 31
+CELLS_PER_WINDOW = 4
+CHUNK_WINDOWS = 1 << 19
 BATCH_BYTES = 16 << 20
 BATCH_WINDOWS = 1 << 20
 SLICE_WINDOWS = 1 << 20
@@ -52,12 +52,32 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _text_windows(column, window: int):
-    """Per pack of texts: (first row, words, hash lanes, valid starts)."""
+    """Per pack of texts: (first row, words, word hashes, window hashes,
+    valid starts)."""
     for pack in kernels.packs(column):
         w = kernels.words(pack)
         h = kernels.word_hashes(pack, w)
-        lanes = [kernels.window_hashes(h, window, lane) for lane in (0, 1)]
-        yield pack.first, w, lanes, np.flatnonzero(kernels.window_mask(w, window, len(h)))
+        yield pack.first, w, h, kernels.window_hashes(h, window), np.flatnonzero(kernels.window_mask(w, window, len(h)))
+
+
+def _chunks(batches, window: int, size: int):
+    """Cut a partition's rows (text, id, partition) into numbered chunks of
+    about ``size`` windows: (partition, number, pieces of 250 rows with
+    their ``_text_windows``)."""
+    part, seq, held, n = 0, 0, [], 0
+    for b in kernels.fixed_rows(batches, 250):
+        part = b.column(2)[0].as_py()
+        held.append((b, list(_text_windows(b.column(0), window))))
+        n += sum(len(starts) for *_, starts in held[-1][1])
+        if n >= size:
+            yield part, seq, held
+            seq, held, n = seq + 1, [], 0
+    if held:
+        yield part, seq, held
+
+
+def _windows_of(pieces) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(low[starts] for _, packs in pieces for *_, low, starts in packs)])
 
 
 class _Batch:
@@ -67,20 +87,23 @@ class _Batch:
         self.docs, self.rows, self.bytes, self.n = [], 0, 0, 0
         self.h0, self.h1, self.doc, self.at = [], [], [], []
 
-    def add(self, column, ids, rows, cells, window) -> None:
-        base = self.rows
-        for first, w, lanes, starts in _text_windows(column, window):
-            hit = starts[estimated_repeated(lanes[0][starts], rows, cells)]
-            if len(hit):
-                d = np.searchsorted(w.first, hit, side="right") - 1
-                self.h0.append(lanes[0][hit])
-                self.h1.append((lanes[1][hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                self.doc.append(base + first + d)
-                self.at.append(hit - w.first[d])
-                self.n += len(hit)
-        self.docs.append((column, ids))
-        self.rows += len(column)
-        self.bytes += column.nbytes
+    def add(self, pieces, repeated, window) -> None:
+        """Take the rows of a chunk; ``repeated`` has a value per window."""
+        done = 0
+        for b, packs in pieces:
+            for first, w, h, low, starts in packs:
+                hit = starts[repeated[done:done + len(starts)]]
+                done += len(starts)
+                if len(hit):
+                    d = np.searchsorted(w.first, hit, side="right") - 1
+                    self.h0.append(low[hit])
+                    self.h1.append((kernels.window_hashes(h, window, 1)[hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                    self.doc.append(self.rows + first + d)
+                    self.at.append(hit - w.first[d])
+                    self.n += len(hit)
+            self.docs.append((b.column(0), b.column(1)))
+            self.rows += b.num_rows
+            self.bytes += b.column(0).nbytes
 
     def full(self) -> bool:
         return self.bytes >= BATCH_BYTES or self.n >= BATCH_WINDOWS
@@ -104,27 +127,25 @@ class _Batch:
         return h0[new], h1[new], many, doc, at, rank
 
 
-def _batches(batches, path, cells, window):
-    """Cut a partition's rows (text, id, partition) into numbered batches;
+def _batches(batches, sketch, window, size):
+    """Join a partition's chunks into numbered batches of estimated windows;
     the cut depends on the rows alone, so every pass makes the same ones."""
-    seq, held = 0, _Batch()
-    rows = load_sketch(path, cells)
-    part = 0
-    for b in kernels.fixed_rows(batches, 250):
-        part = b.column(2)[0].as_py()
-        held.add(b.column(0), b.column(1), rows, cells, window)
+    told, number, held = None, 0, _Batch()
+    for part, seq, pieces in _chunks(batches, window, size):
+        told = told or Estimates(sketch, part)
+        held.add(pieces, told.repeated(seq, _windows_of(pieces)), window)
         if held.full():
-            yield (part << 24) | seq, held
-            seq, held = seq + 1, _Batch()
+            yield (part << 24) | number, held
+            number, held = number + 1, _Batch()
     if held.docs:
-        yield (part << 24) | seq, held
+        yield (part << 24) | number, held
 
 
 def _slice_bounds(slices: int) -> np.ndarray:
     return (np.arange(slices, dtype=object) * (1 << 64) // slices).astype(np.uint64)
 
 
-def repeated_windows(docs: DataFrame, path: str, cells: int, window: int, slices: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, sketch: Sketch, window: int, size: int, slices: int) -> DataFrame:
     """One row per (batch, slice): a bit per distinct estimated window of the
     batch in hash order, set if it is repeated; ``n`` windows, ``sum`` of
     their hashes (checked when the bits are used)."""
@@ -133,7 +154,7 @@ def repeated_windows(docs: DataFrame, path: str, cells: int, window: int, slices
     bounds = _slice_bounds(slices)
 
     def send(batches):
-        for b, held in _batches(batches, path, cells, window):
+        for b, held in _batches(batches, sketch, window, size):
             h0, h1, many, *_ = held.keys()
             cut = np.append(np.searchsorted(h0, bounds), len(h0))
             out = [(b, s, h0[i:j].tobytes(), h1[i:j].tobytes(), many[i:j].tobytes())
@@ -190,20 +211,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                         F.spark_partition_id().cast("long").alias("_part"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     guess = size // 6 + 1                      # windows, roughly
-    cells = min(MAX_CELLS, power_above(CELLS_PER_WINDOW * guess))
+    chunk = CHUNK_WINDOWS
 
-    def windows(batch):
-        for _, _, lanes, starts in _text_windows(batch.column(0), window):
-            yield lanes[0][starts]
+    def chunks(batches):
+        for part, seq, pieces in _chunks(batches, window, chunk):
+            yield part, seq, _windows_of(pieces)
 
-    path = build_sketch(texts.select("_text"), windows, cells)
+    sketch = merge_sketch(texts, chunks, sketch_for(guess, CELLS_PER_WINDOW, bits=RANGE_BITS))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slices = max(parts, guess // SLICE_WINDOWS)
     with small_batches(spark):
-        answers = staged(repeated_windows(texts, path, cells, window, slices), "answers")
+        answers = staged(repeated_windows(texts, sketch, window, chunk, slices), "answers")
 
     def again(batches):
-        for b, held in _batches(batches, path, cells, window):
+        for b, held in _batches(batches, sketch, window, chunk):
             h0, _, _, doc, at, rank = held.keys()
             order = np.argsort(doc, kind="stable")
             doc, at, rank = doc[order], at[order].astype("<i4"), rank[order].astype("<i4")

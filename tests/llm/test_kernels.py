@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from glossa.llm import kernels as k
-from glossa.llm import sketches
+from glossa.llm import ranged, sketches
 from glossa.llm.suffixes import first_owner, suffix_array
 
 
@@ -59,6 +59,38 @@ def test_sketch_never_underestimates(spark):
     assert (sketches.estimated_count(u, counts, cells) >= n).all()
 
 
+def test_ranges_pass_the_same_share_at_every_size(spark):
+    """64 times the items mean 64 times the ranges of one size, the same
+    share of single items that pass, and no repeated item lost."""
+    rng = np.random.default_rng(2)
+    passed = []
+    for n in (2000, 128_000):
+        values = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        values = np.concatenate([values, values[:n // 20]])
+        rng.shuffle(values)
+        packs = [(i, v.tobytes()) for i, v in enumerate(np.array_split(values, 20))]
+        df = spark.createDataFrame(packs, "part long, raw binary").repartition(5)
+
+        def chunks(batches):
+            for b in batches:
+                for part, raw in zip(*(c.to_pylist() for c in b.columns)):
+                    yield part, 7, np.frombuffer(raw, np.uint64)
+
+        sketch = ranged.sketch_for(n, 4, bits=10)
+        assert sketch.ranges == -(-4 * n // 1024)
+        sketch = ranged.merge_sketch(df, chunks, sketch)
+        u, k = np.unique(values, return_counts=True)
+        single, hits = dict(zip(u.tolist(), k.tolist())), []
+        for part, raw in packs:
+            h = np.frombuffer(raw, np.uint64)
+            hit = ranged.Estimates(sketch, part).repeated(7, h)
+            many = np.array([single[x] > 1 for x in h.tolist()])
+            assert hit[many].all()
+            hits.append(hit[~many])
+        passed.append(np.concatenate(hits).mean())
+    assert max(passed) < 0.09 and abs(passed[0] - passed[1]) < 0.03
+
+
 def test_suffix_array_and_owners():
     random.seed(5)
     for _ in range(300):

@@ -1,7 +1,7 @@
 import hashlib
 from collections import Counter
 
-from glossa.llm import op3_windows, op4_substrings
+from glossa.llm import op3_windows, op4_substrings, ranged
 from llm_corpus import corpus, empty, sorted_rows, texts
 
 COLUMNS3 = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -50,8 +50,14 @@ def test_repeated_windows(spark, stored):
 
 
 def test_repeated_windows_with_a_crowded_sketch(spark, stored, monkeypatch):
-    monkeypatch.setattr(op3_windows, "MAX_CELLS", 1 << 10)
-    monkeypatch.setattr(op3_windows, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(op3_windows, "sketch_for", lambda *_, **__: ranged.Sketch(1, 10))
+    monkeypatch.setattr(op3_windows, "CHUNK_WINDOWS", 3000)
+    assert sorted_rows(op3_windows.remove_repeats(stored), COLUMNS3) == _windows(texts())
+
+
+def test_repeated_windows_over_many_ranges(spark, stored, monkeypatch):
+    monkeypatch.setattr(op3_windows, "RANGE_BITS", 10)
+    monkeypatch.setattr(op3_windows, "CHUNK_WINDOWS", 3000)
     assert sorted_rows(op3_windows.remove_repeats(stored), COLUMNS3) == _windows(texts())
 
 
