@@ -4,12 +4,12 @@ Words are lower-cased (A-Z); a document's set is its distinct 5-word
 shingles.  Sets link at Jaccard >= 75 / 100.
 
 1. *Survivors.*  A link needs three quarters of a set's shingles elsewhere,
-   so a Count-min sketch over all sets (see ``sketches``; it overestimates
-   only) drops the documents that cannot link, and of the others keeps just
+   so a Count-min sketch over all sets (see ``ranged``: merged and answered
+   by range of cells, it overestimates only) drops the documents that cannot link, and of the others keeps just
    the shingles that may be shared.  Equal sets become one class.
-2. *Index.*  A global order puts shingles from rare (a byte sketch over the
-   classes) to frequent; each class enters its prefix into the lists of its
-   shingles, (1 - 0.75) of the set.  Lists are packed and sliced by hash, so
+2. *Index.*  A global order puts shingles from rare to frequent (counts of a
+   sketch over the classes); each class stores its prefix in that order, (1 -
+   0.75) of the set, and enters it into the lists of its shingles.  Lists are packed and sliced by hash, so
    a task holds a slice, never a corpus.
 3. *Leaders.*  In every list, members are verified against the list's
    smallest class only: a star, linear in the list.  A class that links to a
@@ -52,13 +52,13 @@ from pyspark.sql import functions as F
 
 from glossa.llm import kernels
 from glossa.llm.components import components
-from glossa.llm.sketches import (
-    build_sketch, estimated_count, estimated_repeated, load_sketch, power_above)
+from glossa.llm.ranged import Estimates, merge_sketch, sketch_for
 from glossa.llm.stages import small_batches, staged
 
 SHINGLE = 5
 PERCENT = 75
-MAX_CELLS = 1 << 32
+CELLS_PER_SHINGLE = 4
+CHUNK_SHINGLES = 1 << 19
 UNIT = 2048
 GROUP_CLASSES = 2000
 SLICE_ENTRIES = 1 << 19
@@ -92,6 +92,37 @@ def _sets(column, k: int):
                 yield np.zeros(0, dtype=np.uint64)
 
 
+def _chunks(batches, part_column: int, sets, size: int):
+    """Cut a partition's rows into numbered chunks of about ``size`` shingles:
+    (partition, number, pieces of 250 rows with their ``sets(piece)``)."""
+    part, seq, held, n = 0, 0, [], 0
+    for b in kernels.fixed_rows(batches, 250):
+        part = b.column(part_column)[0].as_py()
+        held.append((b, list(sets(b))))
+        n += sum(map(len, held[-1][1]))
+        if n >= size:
+            yield part, seq, held
+            seq, held, n = seq + 1, [], 0
+    if held:
+        yield part, seq, held
+
+
+def _shingles(pieces) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(s for _, sets in pieces for s in sets)])
+
+
+def _with_counts(batches, part_column: int, sets, size: int, sketch):
+    """Pieces of ``_chunks`` with the estimated counts of each set."""
+    told = None
+    for part, seq, pieces in _chunks(batches, part_column, sets, size):
+        told = told or Estimates(sketch, part)
+        counts, at = told.counts(seq, _shingles(pieces)), 0
+        for b, own in pieces:
+            ends = at + np.cumsum([len(s) for s in own])
+            yield b, own, np.split(counts[at:ends[-1]], ends[:-1] - at)
+            at = ends[-1]
+
+
 def _signed(x) -> int:
     x = int(x) & 0xFFFFFFFFFFFFFFFF
     return x - (1 << 64) if x >> 63 else x
@@ -113,24 +144,24 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
     once per task and set, the shared shingles ``tokens``."""
     t0, t1 = _text_key(F.col(text_col))
     texts = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"),
-                        t0.alias("_t0"), t1.alias("_t1"))
+                        t0.alias("_t0"), t1.alias("_t1"), F.spark_partition_id().cast("long").alias("_part"))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    cells = min(MAX_CELLS, power_above(3 * (size // 6 + 1)))
+    chunk = CHUNK_SHINGLES
+    sets = lambda b: _sets(b.column(0), k)
 
-    def items(batch):
-        for s in _sets(batch.column(0), k):
-            yield s
+    def chunks(batches):
+        for part, seq, pieces in _chunks(batches, 4, sets, chunk):
+            yield part, seq, _shingles(pieces)
 
-    path = build_sketch(texts.select("_text"), items, cells, rows=1)
+    sketch = merge_sketch(texts, chunks, sketch_for(size // 6 + 1, CELLS_PER_SHINGLE, rows=1))
 
     def measure(batches):
-        sketch = load_sketch(path, cells, rows=1)
         seen = set()
-        for batch in batches:
+        for batch, own, counts in _with_counts(batches, 4, sets, chunk, sketch):
             out = []
-            for key, t0, t1, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), _sets(batch.column(0), k)):
+            for key, t0, t1, s, times in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), own, counts):
                 n = len(s)
-                shared = s[estimated_repeated(s, sketch, cells)] if n else s
+                shared = s[times >= 2]
                 if key is None or not n or len(shared) < _least_part(n):
                     out.append((key, t0, t1, n, None, None, None))
                     continue
@@ -152,15 +183,44 @@ def _slices(spark: SparkSession, entries: int) -> tuple[int, int]:
     return parts, max(parts, entries // SLICE_ENTRIES)
 
 
-def _index(classes: DataFrame, freq: str, cells: int, slices: int, read) -> DataFrame:
-    """Prefix entries of ``classes`` (``c, r, n, tokens``), a row per slice and
+def rare_prefixes(classes: DataFrame, total: int) -> DataFrame:
+    """Stage table ``c, alone, prefix``: of each class (``c, n, tokens``; a
+    stored table of ``total`` shingles) the shingles that it enters into the
+    index, from rare to frequent, and how many of its own precede them."""
+    placed = classes.select("c", "n", "tokens", F.spark_partition_id().cast("long").alias("part"))
+    chunk = CHUNK_SHINGLES
+    sets = lambda b: (np.frombuffer(t, np.uint64) for t in b.column(2).to_pylist())
+
+    def chunks(batches):
+        for part, seq, pieces in _chunks(batches, 3, sets, chunk):
+            yield part, seq, _shingles(pieces)
+
+    sketch = merge_sketch(placed, chunks, sketch_for(total + 1, CELLS_PER_SHINGLE, rows=1, most=255))
+
+    def cut(batches):
+        for batch, own, counts in _with_counts(batches, 3, sets, chunk, sketch):
+            out = []
+            for c, n, t, times in zip(*(batch.column(i).to_pylist() for i in range(2)), own, counts):
+                alone = n - len(t)                       # shingles that no other set has: the rarest
+                room = n - _least_part(n) + 1 - alone
+                if room > 0:
+                    out.append((c, alone, t[np.lexsort((t, times))[:room]].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))],
+                    names=["c", "alone", "prefix"])
+
+    return staged(placed.mapInArrow(cut, "c long, alone int, prefix binary"), "prefixes")
+
+
+def _index(classes: DataFrame, slices: int, read) -> DataFrame:
+    """Prefix entries of ``classes`` (``c, r, n, alone, prefix``), a row per slice and
     task, brought to the task of the slice, where ``read`` turns the sorted
     entries of a slice into record batches."""
     spark = classes.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def enter(batches):
-        counts = load_sketch(freq, cells, rows=1, most=255)
         held, size = [], 0
 
         def flush():
@@ -174,15 +234,10 @@ def _index(classes: DataFrame, freq: str, cells: int, slices: int, read) -> Data
                 names=["slice", "entries"])
 
         for batch in batches:
-            for c, r, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for c, r, n, alone, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 t = np.frombuffer(raw, np.uint64)
-                alone = n - len(t)                       # shingles that no other set has: the rarest
-                room = n - _least_part(n) + 1 - alone
-                if room <= 0:
-                    continue
-                order = np.lexsort((t, estimated_count(t, counts, cells)))[:room]
-                e = np.empty(len(order), dtype=ENTRY)
-                e["h"], e["c"], e["r"], e["n"], e["at"] = t[order], c, r, n, alone + np.arange(len(order))
+                e = np.empty(len(t), dtype=ENTRY)
+                e["h"], e["c"], e["r"], e["n"], e["at"] = t, c, r, n, alone + np.arange(len(t))
                 held.append(e)
                 size += len(e)
             if size >= SLICE_ENTRIES:
@@ -433,21 +488,19 @@ def _classes_of(sets: DataFrame) -> DataFrame:
     plain = classes.select("c", "r", "n", "tokens")
     many, total = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
     total //= 8
-    cells = min(MAX_CELLS >> 3, power_above(2 * total + 1))
-    tokens = lambda batch: (np.frombuffer(t, np.uint64) for t in batch.column(0).to_pylist())
-    freq = build_sketch(plain.select("tokens"), tokens, cells, rows=1, most=255)
+    entered = plain.select("c", "r", "n").join(rare_prefixes(plain, total), "c").select("c", "r", "n", "alone", "prefix")
     parts, slices = _slices(spark, total // 4)
     groups = max(parts, many // GROUP_CLASSES)
-    stars = staged(_index(plain, freq, cells, slices, leader_pairs).distinct(), "stars")
+    stars = staged(_index(entered, slices, leader_pairs).distinct(), "stars")
     verified = staged(attached(plain, stars, groups), "verified")
     # a class is attached to its first leader that is no member itself
     roots = (verified.join(verified.select(F.col("x").alias("y")).distinct(), "y", "left_anti")
              .join(plain.select(F.col("c").alias("y"), "r"), "y"))
     members = staged(roots.groupBy("x").agg(F.min_by(F.struct("y", "n", "plus", "minus"), F.struct("r", "y")).alias("m"))
                      .select("x", "m.*"), "members")
-    clustered = (plain.join(members.select(F.col("x").alias("c"), F.col("y").alias("lead")), "c", "left")
-                 .select(F.coalesce("lead", "c").alias("c"), "r", "n", "tokens"))
-    candidates = staged(_index(clustered, freq, cells, slices, cluster_pairs).distinct(), "candidates")
+    clustered = (entered.join(members.select(F.col("x").alias("c"), F.col("y").alias("lead")), "c", "left")
+                 .select(F.coalesce("lead", "c").alias("c"), "r", "n", "alone", "prefix"))
+    candidates = staged(_index(clustered, slices, cluster_pairs).distinct(), "candidates")
     side = max(4, math.isqrt(2 * groups))
     found = cluster_links(plain, members, candidates, side)
     joined = components(verified.select("x", "y").unionByName(found))

@@ -6,15 +6,15 @@ every size.  Three steps:
 
 1. A task cuts its rows into numbered chunks and sends, per chunk, row and
    range, the distinct cells of the chunk's items as packed differences (about
-   a byte and a half a cell) and a bit for cells met twice in the chunk.
+   a byte and a half a cell) and how often each was met in the chunk.
 2. The task of a range merges these partition sketches into its counts, one
-   range after the other, and answers each chunk with a bit per cell it sent:
-   counted twice or more.
+   range after the other, and answers each chunk for every cell it sent: a bit,
+   counted twice or more (``most`` 2), or a byte (counts up to 255).
 3. Answers lie in the shared folder by input partition.  The pass that needs
    the estimates cuts the same chunks and reads the bits of its partition.
 
 Merged cells only overestimate, so no repeated item is lost.  Memory of a
-worker: one chunk and a bit per item, row and input partition, or the counts of
+worker: one chunk and the answers for one input partition, or the counts of
 a range (a byte a cell, 4 MB) and the packed cells sent to it, which are its
 share of all items and at least some 100 bytes per chunk.  An item of every
 document reaches its range once per chunk.
@@ -38,8 +38,8 @@ RANGES_PER_TASK = 32        # streamed one after the other
 PARTS_PER_FOLDER = 8
 _SALT = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
 
-_SENT = "row int, rng int, part long, seq int, cells binary, twice binary"
-_TOLD = "part long, seq int, row int, rng int, n int, bits binary"
+_SENT = "row int, rng int, part long, seq int, cells binary, times binary"
+_TOLD = "part long, seq int, row int, rng int, n int, answer binary"
 
 
 class Sketch(NamedTuple):
@@ -48,6 +48,7 @@ class Sketch(NamedTuple):
     ranges: int
     bits: int = RANGE_BITS
     rows: int = 2
+    most: int = 2
     path: str = ""
 
     def keys(self, h: np.ndarray, row: int) -> np.ndarray:
@@ -57,10 +58,23 @@ class Sketch(NamedTuple):
         rng = (h >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)
         return (rng << np.uint64(self.bits)) | (h & np.uint64((1 << self.bits) - 1))
 
+    def pack(self, counts: np.ndarray) -> bytes:
+        """Counts from 1 to ``most``."""
+        import zstandard
+        if self.most == 2:
+            return np.packbits(counts > 1).tobytes()
+        return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes())
 
-def sketch_for(items: int, cells_per_item: int, rows: int = 2, bits: int = RANGE_BITS) -> Sketch:
+    def unpack(self, raw: bytes, n: int) -> np.ndarray:
+        import zstandard
+        if self.most == 2:
+            return np.unpackbits(np.frombuffer(raw, np.uint8), count=n) + np.uint8(1)
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+
+
+def sketch_for(items: int, cells_per_item: int, rows: int = 2, most: int = 2, bits: int = RANGE_BITS) -> Sketch:
     """Sketch of that many cells an item in each row."""
-    return Sketch(max(1, (items * cells_per_item - 1 >> bits) + 1), bits, rows)
+    return Sketch(max(1, (items * cells_per_item - 1 >> bits) + 1), bits, rows, most)
 
 
 def _record_batch(rows: list, schema: str) -> pa.RecordBatch:
@@ -85,7 +99,7 @@ def merge_sketch(df: DataFrame, chunks, sketch: Sketch) -> Sketch:
                 rng = (key >> np.uint64(sketch.bits)).astype(np.int64)
                 cell = (key & np.uint64(cells_of - 1)).astype(np.int64)
                 at = np.append(np.flatnonzero(np.diff(rng, prepend=-1)), len(rng)).tolist()
-                out += [(row, int(rng[i]), part, seq, pack_sorted(cell[i:j]), np.packbits(n[i:j] > 1).tobytes())
+                out += [(row, int(rng[i]), part, seq, pack_sorted(cell[i:j]), sketch.pack(np.minimum(sketch.most, n[i:j])))
                         for i, j in zip(at, at[1:])]
             if out:
                 yield _record_batch(out, _SENT)
@@ -93,13 +107,13 @@ def merge_sketch(df: DataFrame, chunks, sketch: Sketch) -> Sketch:
     def merge(batches):
         def close(row, rng, held):
             counts = np.zeros(cells_of, dtype=np.uint8)
-            for _, _, cells, twice in held:
+            for _, _, cells, times in held:
                 u = unpack_sorted(cells)
-                counts[u] = np.minimum(2, counts[u] + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(u)) + 1)
+                counts[u] = np.minimum(sketch.most, counts[u].astype(np.int16) + sketch.unpack(times, len(u)))
             out, size = [], 0
             for part, seq, cells, _ in held:
-                bits = counts[unpack_sorted(cells)] >= 2
-                out.append((part, seq, row, rng, len(bits), np.packbits(bits).tobytes()))
+                told = counts[unpack_sorted(cells)]
+                out.append((part, seq, row, rng, len(told), sketch.pack(told)))
                 size += len(out[-1][-1])
                 if size >= 1 << 20:
                     yield _record_batch(out, _TOLD)
@@ -136,27 +150,31 @@ class Estimates:
     def __init__(self, sketch: Sketch, part: int):
         import pyarrow.dataset as ds
         from pyarrow.fs import FileType
-        self.sketch, self.bits = sketch, {}
+        self.sketch, self.answers = sketch, {}
         fs, base = filesystem(sketch.path)
         folder = f"{base}/folder={part // PARTS_PER_FOLDER}"
         if fs.get_file_info(folder).type == FileType.NotFound:      # no item in these partitions
             return
         told = ds.dataset(folder, filesystem=fs, format="parquet")
-        columns = ["seq", "row", "rng", "n", "bits"]
+        columns = ["seq", "row", "rng", "n", "answer"]
         for batch in told.to_batches(columns=columns, filter=ds.field("part") == part, batch_size=1024):
             for seq, row, *answer in zip(*(c.to_pylist() for c in batch.columns)):
-                self.bits.setdefault((seq, row), []).append(answer)
+                self.answers.setdefault((seq, row), []).append(answer)
 
-    def repeated(self, seq: int, h: np.ndarray) -> np.ndarray:
-        """True where every row says that the item of chunk ``seq`` occurs
-        twice or more."""
-        ok = np.ones(len(h), dtype=bool)
+    def counts(self, seq: int, h: np.ndarray) -> np.ndarray:
+        """Least count, up to ``most``, that a row has for each item of chunk
+        ``seq``."""
+        out = np.full(len(h), self.sketch.most, dtype=np.uint8)
         for row in range(self.sketch.rows):
             u, place = np.unique(self.sketch.keys(h, row), return_inverse=True)
-            told = sorted(self.bits.get((seq, row), []))
+            told = sorted(self.answers.get((seq, row), []))
             if sum(n for _, n, _ in told) != len(u):
                 raise RuntimeError("the input was not read in the same chunks twice; store it first")
             if told:
-                known = np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=n) for _, n, raw in told])
-                ok &= known[place].astype(bool)
-        return ok
+                np.minimum(out, np.concatenate([self.sketch.unpack(raw, n) for _, n, raw in told])[place], out=out)
+        return out
+
+    def repeated(self, seq: int, h: np.ndarray) -> np.ndarray:
+        """True where every row counted the item of chunk ``seq`` twice or
+        more."""
+        return self.counts(seq, h) >= 2
