@@ -92,21 +92,23 @@ def mask_summary(masks: DataFrame, thresholds: Iterable[float]) -> DataFrame:
     return _thresholds(masks, thresholds).join(found, "threshold", "left").fillna(0)
 
 
-def unknown_languages(masks: DataFrame, languages: Iterable[str]) -> DataFrame:
-    """Requested languages that have no mask (must be empty)."""
-    spark = masks.sparkSession
+def unknown_languages(known: DataFrame, languages: Iterable[str]) -> DataFrame:
+    """Requested languages that are not in ``known`` (must be empty)."""
+    spark = known.sparkSession
     req = spark.createDataFrame([(str(x),) for x in languages], "language string")
-    have = masks.select("language").distinct()
+    have = known.select("language").distinct()
     return req.join(have, "language", "left_anti")
 
 
 def mask_for_languages(masks: DataFrame, languages: Iterable[str],
-                       check: bool = True) -> DataFrame:
+                       check: bool = True, known: DataFrame | None = None) -> DataFrame:
     """A10: OR of the masks of the requested languages; an unknown language is
-    an error (J7)."""
+    an error (J7).  ``known`` (a table with ``language``, such as the totals)
+    names all analysed languages: one of them without a feature at any
+    threshold has an empty mask.  Default: the languages in ``masks``."""
     langs = [str(x) for x in languages]
     if check:
-        missing = [r["language"] for r in unknown_languages(masks, langs).collect()]
+        missing = [r["language"] for r in unknown_languages(masks if known is None else known, langs).collect()]
         if missing:
             raise ValueError(f"no mask for languages: {sorted(missing)}")
     return (masks.filter(F.col("language").isin(langs))

@@ -124,12 +124,14 @@ def mask_summary(spark, sf_dir):
                        for c in ("num_features", "unique_count", "overlapping_count")])
 
 
-# J7 + A10: languages "0", "3" and "7" are requested; all have masks.
+# J7 + A10: languages "0", "3" and "7" are requested; one whose features all
+# stay below the thresholds has an empty mask, one without rows is an error.
 @query("mask_selected", with_ctes(F4_SQL, F5_SQL, body="""
 SELECT DISTINCT threshold, feature FROM masks WHERE language IN ('0', '3', '7')"""))
 def mask_selected(spark, sf_dir):
-    _, m = _masks(spark, sf_dir)
-    return masks.mask_for_languages(m, ["0", "3", "7"])
+    _, counts, totals = _counts(spark, sf_dir)
+    m = masks.language_masks(masks.firing_rates(counts, totals), THRESHOLDS)
+    return masks.mask_for_languages(m, ["0", "3", "7"], known=totals)
 
 
 @query("mask_coverage", with_ctes(F4_SQL, F5_SQL, body="""
