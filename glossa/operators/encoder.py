@@ -12,11 +12,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORKER_CACHE: dict = {}
+PIECE_CHARS = 1 << 22         # characters that are cut into white-space tokens at once
+
+
+def _pieces(texts):
+    """Ranges of texts that hold about ``PIECE_CHARS`` characters together."""
+    i = size = 0
+    for j, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= PIECE_CHARS or j == len(texts):
+            yield i, j
+            i, size = j, 0
 
 
 class HashedBagOfWords:
@@ -92,11 +104,20 @@ class WhiteSpaceSpans:
     special_tokens = 2
 
     def __call__(self):
-        import re
-        word = re.compile(r"\S+", re.ASCII)
+        def piece(texts):
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            begin = np.cumsum(lengths + 1) - lengths - 1            # of each text among all characters
+            chars = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
+            white = (chars == 32) | ((chars >= 9) & (chars <= 13))
+            edge = np.flatnonzero(white[1:] != white[:-1])
+            first, after = edge[::2], edge[1::2]
+            at = np.searchsorted(first, np.append(begin, len(chars)))
+            shift = np.repeat(begin, np.diff(at))
+            pairs = np.stack([first - shift, after - shift], axis=1)
+            return [pairs[i:j] for i, j in zip(at[:-1], at[1:])]
 
         def spans(texts):
-            return [np.array([m.span() for m in word.finditer(t)], dtype=np.int64).reshape(-1, 2) for t in texts]
+            return [x for i, j in _pieces(texts) for x in piece(texts[i:j])]
         return spans
 
 
@@ -121,31 +142,63 @@ class FileSpans:
         return spans
 
 
+def _slices(text: str, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans of a text, end to end, and their lengths."""
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    first, after = spans[:, 0], spans[:, 1]
+    if len(data) != len(text):                      # places of characters among the bytes
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        first, after = place[first], place[after]
+    size = after - first
+    shift = first - (np.cumsum(size) - size)
+    return data[np.arange(int(size.sum())) + np.repeat(shift, size)], size
+
+
 def token_spans(df: DataFrame, tokenizer: Callable | None = None, text_col: str = "text",
-                out_col: str = "spans") -> DataFrame:
+                out_col: str = "spans", words_col: str | None = None) -> DataFrame:
     """The tokens of a text as character spans of it,
     ``ARRAY<STRUCT<first INT, after INT>>``, so that a token, or any run of
     tokens, can be taken back as text (``span_text``).  ``tokenizer`` is a
-    picklable factory of ``spans(list[str])``; default: white space."""
+    picklable factory of ``spans(list[str])``; default: white space.
+    ``words_col`` adds all tokens taken back as text, ``ARRAY<STRING>``, in
+    one walk of the text (one ``substring`` a token walks it each time)."""
     tokenizer = tokenizer or WhiteSpaceSpans()
-    keep = [f for f in df.schema.fields if f.name != out_col]
+    keep = [f for f in df.schema.fields if f.name not in (out_col, words_col)]
     pair = pa.struct([("first", pa.int32()), ("after", pa.int32())])
     schema = T.StructType([*keep, T.StructField(out_col, T.ArrayType(T.StructType([
-        T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())])))])
+        T.StructField("first", T.IntegerType()), T.StructField("after", T.IntegerType())]))),
+        *([T.StructField(words_col, T.ArrayType(T.StringType()))] if words_col else [])])
 
     def run(batches):
         cut = _get(tokenizer)
-        for rb in batches:
-            found = cut([t or "" for t in rb.column(text_col).to_pylist()])
-            offsets = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
-            flat = np.concatenate(found).astype(np.int32) if found else np.zeros((0, 2), np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(pair))
-            yield pa.RecordBatch.from_arrays([*(rb.column(f.name) for f in keep),
-                                              pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=schema.names)
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:              # parts of bounded text
+                rb = whole.slice(at, _rows_of(whole.column(text_col), at))
+                at += rb.num_rows
+                texts = [t or "" for t in rb.column(text_col).to_pylist()]
+                found = cut(texts)
+                offsets = pa.array(np.cumsum([0] + [len(f) for f in found]).astype(np.int32))
+                flat = np.concatenate(found).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(pair))
+                out = [*(rb.column(f.name) for f in keep), pa.ListArray.from_arrays(offsets, pairs)]
+                if words_col:
+                    parts = [_slices(t, f) for t, f in zip(texts, found)]
+                    ends = np.append(0, np.cumsum(np.concatenate([n for _, n in parts]))).astype(np.int32)
+                    words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends),
+                                                        pa.py_buffer(np.concatenate([raw for raw, _ in parts])))
+                    out.append(pa.ListArray.from_arrays(offsets, words))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _rows_of(texts: pa.Array, at: int, most: int = 8 << 20) -> int:
+    """Rows from ``at`` on that hold about ``most`` bytes of text, one at least."""
+    size = pc.fill_null(pc.binary_length(texts.slice(at)), 0).to_numpy(zero_copy_only=False)
+    return max(1, int(np.searchsorted(np.cumsum(size, dtype=np.int64), most, side="right")))
+
+
 def span_text(text, spans, first, count):
     """The text of ``count`` tokens from token ``first`` (0-based) on, as it
     stands in the text; '' where there are none."""

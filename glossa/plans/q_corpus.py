@@ -175,10 +175,9 @@ SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens, md5(array_to_string(toks,
        coalesce(toks[3], '') AS third FROM tok"""))
 def token_spans(spark, sf_dir):
     from glossa.operators import encoder
-    t = encoder.token_spans(f1(spark, sf_dir).select("doc_id", "text"))
-    word = lambda s: F.substring("text", s["first"] + 1, s["after"] - s["first"])
+    t = encoder.token_spans(f1(spark, sf_dir).select("doc_id", "text"), words_col="words")
     return t.select("doc_id", F.size("spans").cast("long").alias("n_tokens"),
-                    F.md5(F.array_join(F.transform("spans", word), " ")).alias("tokens_md5"),
+                    F.md5(F.array_join("words", " ")).alias("tokens_md5"),
                     encoder.span_text("text", "spans", 2, 1).alias("third"))
 
 
