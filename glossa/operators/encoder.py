@@ -41,21 +41,27 @@ class HashedBagOfWords:
         self.dim = int(dim)
 
     def __call__(self):
-        import hashlib
-        import re
+        from hashlib import md5
         dim = self.dim
-        ws = re.compile(r"\s+", re.ASCII)
 
-        def bucket(tok: str) -> int:
-            return int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+        def counts(texts):
+            raw = [t.encode("utf-8") for t in texts]
+            lengths = np.array([len(t) for t in raw], dtype=np.int64)
+            begin = np.cumsum(lengths + 1) - lengths                # of each text among all bytes
+            data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+            white = (data == 32) | ((data >= 9) & (data <= 13))     # as the Catalyst tokenizer has it
+            edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+            ends = np.append(0, np.cumsum(edge[1::2] - edge[::2])).astype(np.int32)
+            words = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1,
+                                                [None, pa.py_buffer(ends), pa.py_buffer(data[~white])]).dictionary_encode()
+            of = np.frombuffer(b"".join([md5(w).digest()[:4] for w in words.dictionary.to_pylist()]), ">u4") % dim
+            text = np.repeat(np.arange(len(raw)), np.diff(np.searchsorted(edge[::2], np.append(begin, len(data)))))
+            return np.bincount(text * dim + of[words.indices.to_numpy()], minlength=len(raw) * dim).reshape(len(raw), dim)
 
         def encode(texts):
             out = np.zeros((len(texts), dim))
-            for i, t in enumerate(texts):
-                t = (t or "").strip()
-                if not t:
-                    continue
-                out[i] = np.bincount([bucket(tok) for tok in ws.split(t)], minlength=dim)
+            for i, j in _pieces(texts):
+                out[i:j] = counts([(t or "").strip() for t in texts[i:j]])
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return out / np.maximum(norm, 1e-12)
         return encode

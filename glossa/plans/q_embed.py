@@ -93,7 +93,7 @@ GROUP BY d.doc_id"""))
 def text_to_agnostic(spark, sf_dir):
     model = f4_model(spark, sf_dir)
     mask = exclusive_features(spark, sf_dir, model)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     vecs = encoder.encode_texts(d, encoder.HashedBagOfWords(DIM), keep=("doc_id",))
     feats = sae.encode_topk(vecs, model, mask_features=mask)
     return feats.select("doc_id", F.size(sae.FEAT_IDX).cast("long").alias("n_features"),

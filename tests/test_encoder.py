@@ -26,3 +26,18 @@ def test_words_of_any_spans(spark):
     df = spark.createDataFrame([(1, "größe"), (2, "abcde")], "id int, text string")
     got = {r["id"]: r["words"] for r in encoder.token_spans(df, Odd(), words_col="words").collect()}
     assert got == {1: ["gr", "rö", "", "ße"], 2: ["ab", "bc", "", "de"]}
+
+
+def test_hashed_words_are_hashed_once_a_piece(monkeypatch):
+    import hashlib
+    plain, calls = hashlib.md5, []
+    monkeypatch.setattr(hashlib, "md5", lambda w: calls.append(w) or plain(w))
+    texts = [*ODD, "der die der das " * 500]
+    got = encoder.HashedBagOfWords(16)()(texts)
+    words = [[w for w in re.split(r"\s+", t.strip(), flags=re.ASCII) if w] for t in texts]
+    assert len(calls) == len({w for ws in words for w in ws})
+    for row, ws in zip(got, words):
+        want = np.zeros(16)
+        for w in ws:
+            want[int(plain(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert np.array_equal(row, want / max(np.sqrt((want * want).sum()), 1e-12))
