@@ -8,11 +8,12 @@ of their id), a pivot's vectors are cut into as many blocks as they need,
 and a block knows the widest angle to its pivot.  Two blocks can hold no
 cosine above ``cos(angle of the pivots - both widest angles)``.
 
-Pairs of blocks meet in one task by a shuffle, in two rounds.  First every
-query block meets the blocks of highest bound that together hold ``2 k``
-documents or more; the lowest k-th best score of its queries is then its
-floor, and in the second round it meets only blocks whose bound reaches the
-floor.  Nothing that could be among the best k is skipped.
+A query block meets document blocks in one task by a shuffle, in two rounds.
+First the blocks of highest bound that together hold ``2 k`` documents or
+more; the lowest k-th best score of its queries is then its floor, the only
+thing kept of this round.  In the second round it meets all blocks whose
+bound reaches the floor, and its ranked documents are the result: they need
+no other shuffle.  Nothing that could be among the best k is skipped.
 
 The driver handles block counts and at most ``MAX_PIVOTS`` vectors; the list
 of pairs is a table.
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.operators.sae import _matrix
-from glossa.session import materialize, remove_table
+from glossa.session import cores, materialize, remove_table
 
 NORM_EPS = 1e-12                       # torch-style norm clamp
 MAX_PIVOTS = 256
 BOUND_SLACK = 1e-7                     # of a bound, for rounding in angles
 MAX_TASKS = 20_000                     # that a round is cut into
+LEAST_ROWS = 1024                      # of a query block that is cut for parallelism only
 ZERO = -1                              # cell of zero vectors: their cosine is 0 with everything
 
 
@@ -82,10 +84,11 @@ def block_list(rows: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
 
 
 def block_pairs(queries: DataFrame, docs: DataFrame, by: Sequence[str], pivots: np.ndarray | None, k: int) -> DataFrame:
-    """Stage table of all block pairs: ``bound`` of any cosine in the pair and
-    ``first``, whether it belongs to the first round."""
+    """Stage table of all block pairs: ``pair``, the query block; ``bound`` of
+    any cosine in the pair and ``first``, whether it is in the first round."""
     spark = queries.sparkSession
-    q, d = block_list(queries, by, "q"), block_list(docs, by, "d")
+    q = materialize(block_list(queries, by, "q").withColumn("pair", F.monotonically_increasing_id()), "query-block-list")
+    d = block_list(docs, by, "d")
     pairs = q.join(d, list(by)) if by else q.crossJoin(d)       # lists of blocks, not rows
     if pivots is None:
         pairs = pairs.withColumn("bound", F.lit(1.0))
@@ -96,41 +99,50 @@ def block_pairs(queries: DataFrame, docs: DataFrame, by: Sequence[str], pivots:
         gap = F.greatest(F.lit(0.0), F.col("between") - F.col("qr") - F.col("dr"))
         pairs = pairs.join(F.broadcast(table), ["qc", "dc"], "left").withColumn(
             "bound", F.when(F.col("between").isNull(), F.lit(0.0)).otherwise(F.cos(gap)) + F.lit(BOUND_SLACK))
-    order = Window.partitionBy(*by, "qc", "qs").orderBy(F.desc("bound"), "dc", "ds")
+    order = Window.partitionBy("pair").orderBy(F.desc("bound"), "dc", "ds")
     before = F.coalesce(F.sum("dn").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return materialize(pairs.withColumn("first", before < F.lit(2 * k))
-                       .select(F.monotonically_increasing_id().alias("pair"), *by, "qc", "qs", "dc", "ds", "bound", "first"),
-                       "block-pairs")
+                       .select("pair", *by, "qc", "qs", "dc", "ds", "bound", "first"), "block-pairs")
 
 
-def scored(pairs: DataFrame, n_pairs: int, queries: DataFrame, docs: DataFrame, by: Sequence[str], kernel,
-           schema: T.StructType) -> DataFrame:
-    """The candidates ``(*by, qid, doc_id, score)`` of some block pairs."""
-    at = lambda rows, c: pairs.select("pair", *by, F.col(f"{c}c").alias("cell"), F.col(f"{c}s").alias("sub")) \
+def scored(pairs: DataFrame, n_blocks: int, queries: DataFrame, docs: DataFrame, by: Sequence[str], carry: Sequence[str],
+           kernel, schema) -> DataFrame:
+    """What the kernel makes of every query block (``pair``) and the document
+    blocks that ``pairs`` has for it."""
+    q_type, d_type = queries.schema["qid"].dataType, docs.schema["doc_id"].dataType
+    at = lambda rows, ids, c: ids.select("pair", *by, F.col(f"{c}c").alias("cell"), F.col(f"{c}s").alias("sub")) \
         .join(rows, [*by, "cell", "sub"])
-    q_type, d_type = schema["qid"].dataType, schema["doc_id"].dataType
-    rows = (at(queries, "q").select("pair", F.lit(0).alias("kind"), "qid", F.lit(None).cast(d_type).alias("doc_id"), "v", *by)
-            .unionByName(at(docs, "d").select("pair", F.lit(1).alias("kind"), F.lit(None).cast(q_type).alias("qid"),
-                                              "doc_id", "v", *by)))
-    return (rows.repartition(max(1, min(n_pairs, MAX_TASKS)), "pair").sortWithinPartitions("pair", "kind", "doc_id")
-            .mapInArrow(kernel, schema))
-
-
-def best_pairs(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str], kernel_of, cut, state_bytes: int,
-               block_bytes: int, report: dict | None = None) -> DataFrame | None:
-    """Candidates that hold the best ``k`` documents of every query, from
-    ``(*by, qid, v)`` and ``(*by, doc_id, v)``; None without queries or
-    documents.  ``kernel_of(dim)`` gives the task, ``cut`` the best ``k`` of
-    candidates.  ``report`` is filled with the numbers of pairs."""
+    null = lambda t: F.lit(None).cast(t)
+    q_rows = at(queries, pairs.select("pair", *by, "qc", "qs").distinct(), "q").select(
+        "pair", F.lit(0).alias("kind"), "qid", null(d_type).alias("doc_id"), "v", *by,
+        *(null(docs.schema[c].dataType).alias(c) for c in carry))
+    d_rows = at(docs, pairs, "d").select("pair", F.lit(1).alias("kind"), null(q_type).alias("qid"), "doc_id", "v", *by, *carry)
+    return (q_rows.unionByName(d_rows).repartition(max(1, min(n_blocks, MAX_TASKS)), "pair")
+            .sortWithinPartitions("pair", "kind", "doc_id").mapInArrow(kernel, schema))
+
+
+def best_pairs(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str], carry: Sequence[str], kernel_of,
+               schema: T.StructType, state_bytes: int, block_bytes: int,
+               report: dict | None = None) -> tuple[DataFrame, DataFrame | None] | None:
+    """The ranked best ``k`` documents of every query row, from ``(*by, qid,
+    v)`` and ``(*by, doc_id, v, *carry)``, and the table ``(*_by, _qid)`` of
+    ids that several query rows have (None: no such id); None without queries
+    or documents.  ``kernel_of(dim, ranked)`` gives the task of a round.
+    ``report`` is filled with the numbers of pairs."""
+    spark = queries.sparkSession
     row = F.monotonically_increasing_id().alias("_row")
     q0, d0 = materialize(queries.select("*", row), "queries"), materialize(docs.select("*", row), "documents")
     n_q, dim = q0.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     n_d = d0.filter(F.size("v") == dim).count()
     if not n_q or dim <= 0 or not n_d:
         return None
-    schema = T.StructType([*(docs.schema[c] for c in by), queries.schema["qid"], docs.schema["doc_id"],
-                           T.StructField("score", T.DoubleType())])
-    q_rows, d_rows = max(1, state_bytes // ((dim + 4 * k) * 8)), max(1, block_bytes // (dim * 8))
+    repeated = materialize(q0.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("qid").alias("_qid"))
+                           .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "repeated-queries")
+    repeated = None if repeated.isEmpty() else repeated
+    # a query: its vector in both precisions, and k scores and places, half as many waiting
+    q_rows = max(1, state_bytes // (dim * 12 + k * 24))
+    q_rows = min(q_rows, max(LEAST_ROWS, -(-n_q // (3 * cores(spark)))))
+    d_rows = max(1, block_bytes // (dim * 8))
     pivots = None
     if n_d > d_rows:
         picked = d0.filter(F.size("v") == dim).orderBy(F.xxhash64("doc_id"), "_row") \
@@ -144,21 +156,14 @@ def best_pairs(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str], k
     remove_table(d0)
     pairs = block_pairs(q, d, by, pivots, k)
     counts = {r["first"]: r["count"] for r in pairs.groupBy("first").count().collect()}
-    kernel = kernel_of(dim)
-    found = scored(pairs.filter("first"), counts.get(True, 0), q, d, by, kernel, schema)
-    left = counts.get(False, 0)
-    n_rest = 0
+    n_blocks = pairs.select("pair").distinct().count()
+    left, n_rest, some = counts.get(False, 0), 0, pairs
     if left:
-        found = materialize(cut(found).drop("rank"), "candidates")
-        kth = found.groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
-        floors = (q.select(*by, "qid", "cell", "sub").join(kth, [*by, "qid"], "left")
-                  .groupBy(*by, F.col("cell").alias("qc"), F.col("sub").alias("qs"))
-                  .agg(F.min(F.when(F.col("_n") >= k, F.col("_kth")).otherwise(F.lit(-2.0))).alias("floor")))
-        rest = materialize(pairs.filter(~F.col("first")).join(floors, [*by, "qc", "qs"])
-                           .filter(F.col("bound") >= F.col("floor")).drop("floor"), "block-pairs")
-        n_rest = rest.count()
-        if n_rest:
-            found = found.unionByName(scored(rest, n_rest, q, d, by, kernel, schema))
+        floors = scored(pairs.filter("first"), n_blocks, q, d, by, carry, kernel_of(dim, False),
+                        T.StructType([T.StructField("pair", T.LongType()), T.StructField("floor", T.DoubleType())]))
+        some = materialize(pairs.join(floors, "pair").filter(F.col("first") | (F.col("bound") >= F.col("floor"))).drop("floor"),
+                           "block-pairs")
+        n_rest = some.filter(~F.col("first")).count()
     if report is not None:
         report.update(pairs=sum(counts.values()), first=counts.get(True, 0), second=n_rest, skipped=left - n_rest)
-    return found
+    return scored(some, n_blocks, q, d, by, carry, kernel_of(dim, True), schema), repeated

@@ -1,9 +1,9 @@
 """Retrieval: cosine scoring, top-k per query, judgments and metrics.
 
 Scoring every query against every document is a dense product: both sides
-are cut into blocks of bounded bytes, pairs of blocks meet in one task by a
-shuffle, pairs that cannot matter are skipped exactly (``blocks``), and a
-task keeps only the best ``k`` per query.
+are cut into blocks of bounded bytes, a block of queries meets its documents
+in one task by a shuffle, pairs of blocks that cannot matter are skipped
+exactly (``blocks``), and the task keeps only the best ``k`` per query.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from glossa.operators.sae import _matrix
 # for two identical documents at different positions of a matrix product
 # can differ in the last bits, and such ties must go to the lower doc id.
 SCORE_DECIMALS = 12
-DEFAULT_STATE_BYTES = 64 * 1024 * 1024      # query vectors and running best k of a task
+DEFAULT_STATE_BYTES = 192 * 1024 * 1024     # query vectors and running best k of a task
 DEFAULT_BLOCK_BYTES = 32 * 1024 * 1024      # vectors of a document block
 DEFAULT_WORK_BYTES = 64 * 1024 * 1024
+TILE_ROWS = 2048                            # documents scored at once
+PAIRS = 1 << 14                             # pairs scored by themselves at once
+OUT_ROWS = 1 << 16                          # ranked rows of a record batch
 # Fixed cut-offs of the evaluation.
 K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
 
@@ -61,54 +64,134 @@ def _exact_topk_cols(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.take_along_axis(part, order, 1), np.take_along_axis(val, order, 1)
 
 
-def _block_kernel(dim: int, k: int, work_bytes: int, schema: T.StructType):
-    """Per block pair: the best ``k`` documents of every query.  Rows come
-    sorted by pair, queries first, then documents in id order, which are
-    streamed.  The running state is queries x k."""
-    names, by = schema.names, schema.names[:-3]
-    q_type, d_type = (to_arrow_type(schema[c].dataType) for c in ("qid", "doc_id"))
-    by_types = [to_arrow_type(schema[c].dataType) for c in by]
-
-    class Run:
-        def __init__(self, keys):
-            self.keys = keys
-            self.q_ids, self.q_mats, self.q = [], [], None
-            self.seen = 0
-
-        def queries(self, ids, mat):
-            self.q_ids.append(ids)
-            self.q_mats.append(mat)
-
-        def docs(self, ids, mat):
-            if self.q is None:
-                self.q = np.concatenate(self.q_mats) if self.q_mats else np.zeros((0, dim))
-                self.q = self.q / np.maximum(np.linalg.norm(self.q, axis=1, keepdims=True), NORM_EPS)
-                self.ids = np.zeros((len(self.q), 0), dtype=ids.dtype)
-                self.at = np.zeros((len(self.q), 0), dtype=np.int64)
-                self.val = np.zeros((len(self.q), 0))
-            mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_EPS)
-            step = max(1, int(work_bytes // max(1, len(self.q) * 8)))
-            for s in range(0, len(ids) if len(self.q) else 0, step):
-                score = np.round(self.q @ mat[s:s + step].T, SCORE_DECIMALS)
-                pos, val = _exact_topk_cols(score, k)
-                at = np.concatenate([self.at, self.seen + s + pos], axis=1)
-                val = np.concatenate([self.val, val], axis=1)
-                doc = np.concatenate([self.ids, ids[s:s + step][pos]], axis=1)
-                o = np.lexsort((at, -val), axis=-1)[:, :k]
-                self.at, self.val, self.ids = (np.take_along_axis(x, o, 1) for x in (at, val, doc))
-            self.seen += len(ids)
-
-        def best(self):
-            if self.q is None or not len(self.q) or not self.ids.shape[1]:
-                return None
-            q, m = np.concatenate(self.q_ids), self.ids.shape[1]
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array([v] * (len(q) * m), t) for v, t in zip(self.keys, by_types)),
-                 pa.array(np.repeat(q, m), q_type), pa.array(self.ids.ravel(), d_type), pa.array(self.val.ravel())],
-                names=names)
+class _Best:
+    """The best ``k`` documents of a block of queries, from documents streamed
+    in id order.
+
+    Once every query has ``k``, a product in single precision tells which
+    pairs can still reach a query's k-th score; only these are scored in
+    double precision and wait, as pairs, until there are enough to sort."""
+
+    def __init__(self, keys, q_ids, mat, k, dim, work_bytes):
+        self.keys, self.q_ids, self.k = keys, q_ids, k
+        self.q = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_EPS)
+        self.q32 = self.q.astype(np.float32)
+        self.slack = (dim + 8) * 2.0 ** -22            # more than single precision can be off
+        self.tile = max(1, min(TILE_ROWS, work_bytes // 8))
+        self.rows = max(1, work_bytes // (64 * max(self.tile, k)))
+        self.val = np.full((len(mat), k), -np.inf)
+        self.at = np.zeros((len(mat), k), dtype=np.int32)
+        self.columns, self.seen = [], 0                # ids and more of the documents
+        self.waiting, self.waits = [], 0
+
+    def docs(self, columns, mat):
+        self.columns.append(columns)
+        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_EPS)
+        for s in range(0, len(mat), self.tile):
+            part = mat[s:s + self.tile]
+            part32 = part.astype(np.float32)
+            for r in range(0, len(self.q), self.rows):
+                if self.seen < self.k:
+                    self._first(r, part)
+                else:
+                    self._later(r, part, part32)
+            self.seen += len(part)
+            if self.waits > len(self.q) * max(self.k // 2, 8):
+                self.settle()
+
+    def _first(self, r, part):
+        pos, val = _exact_topk_cols(np.round(self.q[r:r + self.rows] @ part.T, SCORE_DECIMALS), self.k)
+        self._merge(r, val, (pos + self.seen).astype(np.int32))
+
+    def _later(self, r, part, part32):
+        kth = self.val[r:r + self.rows, -1]
+        near = self.q32[r:r + self.rows] @ part32.T >= (kth - self.slack)[:, None].astype(np.float32)
+        many = np.count_nonzero(near)
+        if not many:
+            return
+        if many * 8 > near.size:                       # as with equal vectors
+            score = np.round(self.q[r:r + self.rows] @ part.T, SCORE_DECIMALS)
+            row, col = np.nonzero(score > kth[:, None])
+            score = score[row, col]
+        else:
+            row, col = np.nonzero(near)
+            score = np.concatenate([np.einsum("ij,ij->i", self.q[r + row[i:i + PAIRS]], part[col[i:i + PAIRS]])
+                                    for i in range(0, many, PAIRS)])
+            score = np.round(score, SCORE_DECIMALS)
+            above = score > kth[row]                   # an equal one has the higher id
+            row, col, score = row[above], col[above], score[above]
+        if len(row):
+            self.waiting.append(((r + row).astype(np.int32), (self.seen + col).astype(np.int32), score))
+            self.waits += len(row)
+
+    def settle(self):
+        if not self.waits:
+            return
+        row, at, val = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.waits = [], 0
+        order = np.argsort(row, kind="stable")
+        row, at, val = row[order], at[order], val[order]
+        cut = np.searchsorted(row, np.arange(len(self.q) + 1))
+        for r in range(0, len(self.q), self.rows):
+            end = min(r + self.rows, len(self.q))
+            i, j = cut[r], cut[end]
+            if i == j:
+                continue
+            place = np.arange(i, j) - cut[row[i:j]]
+            more = np.full((end - r, int(place.max()) + 1), -np.inf)
+            more_at = np.zeros(more.shape, dtype=np.int32)
+            more[row[i:j] - r, place] = val[i:j]
+            more_at[row[i:j] - r, place] = at[i:j]
+            self._merge(r, more, more_at)
+
+    def _merge(self, r, val, at):
+        """Documents held come before new ones, so a stable sort by score
+        leaves equal scores in id order."""
+        end = r + len(val)
+        val = np.concatenate([self.val[r:end], val], axis=1)
+        at = np.concatenate([self.at[r:end], at], axis=1)
+        o = np.argsort(-val, axis=1, kind="stable")[:, :self.k]
+        self.val[r:end], self.at[r:end] = np.take_along_axis(val, o, 1), np.take_along_axis(at, o, 1)
+
+    def floor(self) -> float:
+        self.settle()
+        return float(self.val[:, -1].min()) if self.seen >= self.k else -2.0
+
+    def best(self, schema: pa.Schema):
+        """Record batches of the ranked documents of all queries."""
+        self.settle()
+        m = min(self.seen, self.k)
+        if not m:
+            return
+        columns = [pa.concat_arrays(c) for c in zip(*self.columns)]
+        step = max(1, OUT_ROWS // m)
+        for r in range(0, len(self.q), step):
+            at = self.at[r:r + step, :m]
+            n = len(at)
+            doc, *more = (c.take(pa.array(at.ravel())) for c in columns)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.repeat(v, n * m) for v in self.keys), self.q_ids.take(pa.array(np.repeat(np.arange(r, r + n), m))), doc,
+                 pa.array(self.val[r:r + step, :m].ravel()), pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), n)), *more],
+                schema=schema)
+
+
+def _block_kernel(dim: int, k: int, work_bytes: int, n_by: int, schema: T.StructType | None):
+    """Per block of queries: the best ``k`` documents of every query or,
+    without ``schema``, ``(pair, floor)``: the lowest k-th score.  Rows
+    ``(pair, kind, qid, doc_id, v, *by, *carry)`` come sorted by block, queries
+    first, then documents in id order, which are streamed."""
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields]) if schema else None
+
+    def close(pair, state):
+        if state is None:
+            return
+        if out is None:
+            yield pa.RecordBatch.from_pydict({"pair": pa.array([pair], pa.int64()), "floor": pa.array([state.floor()])})
+        else:
+            yield from state.best(out)
 
     def run(batches):
-        now, state = None, None
+        now, held, state = None, [], None
         for rb in batches:
             pair = rb.column(0).to_numpy(zero_copy_only=False)
             kind = rb.column(1).to_numpy(zero_copy_only=False)
@@ -116,16 +199,22 @@ def _block_kernel(dim: int, k: int, work_bytes: int, schema: T.StructType):
             for i, j in zip(cut, np.append(cut[1:], len(pair))):
                 part = rb.slice(i, j - i)
                 if pair[i] != now:
-                    out = state.best() if state else None
-                    if out is not None:
-                        yield out
-                    now, state = pair[i], Run([part.column(c)[0].as_py() for c in by])
+                    yield from close(now, state)
+                    now, held, state = pair[i], [], None
                 mat, valid = _matrix(part.column(4), dim)
-                ids = part.column(3 if kind[i] else 2).to_numpy(zero_copy_only=False)[valid]
-                (state.docs if kind[i] else state.queries)(ids, mat[valid])
-        out = state.best() if state else None
-        if out is not None:
-            yield out
+                mat, part = mat[valid], part.filter(pa.array(valid))
+                if not part.num_rows:
+                    continue
+                if not kind[i]:
+                    held.append((part.column(2), mat, part))
+                    continue
+                if state is None and held:
+                    state = _Best([held[0][2].column(5 + c)[0] for c in range(n_by)], pa.concat_arrays([h[0] for h in held]),
+                                  np.concatenate([h[1] for h in held]), k, dim, work_bytes)
+                    held = []
+                if state is not None:
+                    state.docs([part.column(c) for c in (3, *range(5 + n_by, part.num_columns))], mat)
+        yield from close(now, state)
     return run
 
 
@@ -137,32 +226,46 @@ def _global_cut(cand: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
 def score_topk(queries: DataFrame, docs: DataFrame, k: int,
                qid_col: str = "qid", doc_col: str = "doc_id", vec_col: str = "embedding", by: Sequence[str] = (),
                state_bytes: int = DEFAULT_STATE_BYTES, block_bytes: int = DEFAULT_BLOCK_BYTES,
-               work_bytes: int = DEFAULT_WORK_BYTES, report: dict | None = None) -> DataFrame:
-    """J4 + L4: ``(*by, qid, doc_id, score, rank)``: the ``min(k, n_docs)``
-    documents of highest cosine per query; ties go to the lower doc id.
-    Ids keep their types.  With ``by`` (columns of both sides, not null)
-    queries meet the documents of equal values only.
+               work_bytes: int = DEFAULT_WORK_BYTES, report: dict | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """J4 + L4: ``(*by, qid, doc_id, score, rank, *carry)``: the ``min(k,
+    n_docs)`` documents of highest cosine per query; ties go to the lower doc
+    id.  Ids keep their types.  With ``by`` (columns of both sides, not null)
+    queries meet the documents of equal values only.  ``carry``: columns of
+    the documents that come along.
 
     Both sides are written once and cut into blocks of bounded bytes
     (``state_bytes``: query vectors and running best ``k``; ``block_bytes``:
     document vectors); pairs of blocks that cannot hold one of the best are
-    skipped (``blocks``).  A task keeps ``k`` rows per query; the global cut
-    is a ``row_number`` that Spark runs as a window group limit.  Zero
-    vectors score 0; null vectors and vectors of another length than the
-    queries' are neither queries nor documents.
+    skipped (``blocks``).  A block of queries meets all its documents in one
+    task, so its best ``k`` are final and no candidates travel.  Rows of an id
+    that several queries have are cut to ``k`` together.  Zero vectors score
+    0; null vectors and vectors of another length than the queries' are
+    neither queries nor documents.
     """
     by = list(by)
-    q_type, d_type = queries.schema[qid_col].dataType, docs.schema[doc_col].dataType
-    schema = T.StructType([*(docs.schema[c] for c in by), T.StructField("qid", q_type), T.StructField("doc_id", d_type),
-                           T.StructField("score", T.DoubleType())])
-    vec = F.col(vec_col).cast("array<double>").alias("v")
-    found = best_pairs(queries.select(*by, F.col(qid_col).alias("qid"), vec), docs.select(*by, F.col(doc_col).alias("doc_id"), vec),
-                       k, by, lambda dim: _block_kernel(dim, k, work_bytes, schema), lambda c: _global_cut(c, k, by),
-                       state_bytes, block_bytes, report)
+    schema = T.StructType([*(docs.schema[c] for c in by), T.StructField("qid", queries.schema[qid_col].dataType),
+                           T.StructField("doc_id", docs.schema[doc_col].dataType), T.StructField("score", T.DoubleType()),
+                           T.StructField("rank", T.IntegerType()), *(docs.schema[c] for c in carry)])
+
+    def vec(df):
+        kind = df.schema[vec_col].dataType
+        narrow = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+        return F.col(vec_col).cast("array<float>" if narrow else "array<double>").alias("v")
+
+    kernel_of = lambda dim, ranked: _block_kernel(dim, k, work_bytes, len(by), schema if ranked else None)
+    found = best_pairs(queries.select(*by, F.col(qid_col).alias("qid"), vec(queries)),
+                       docs.select(*by, F.col(doc_col).alias("doc_id"), vec(docs), *carry),
+                       k, by, list(carry), kernel_of, schema, state_bytes, block_bytes, report)
     if found is None:
-        return queries.sparkSession.createDataFrame(
-            [], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-    return _global_cut(found, k, by)
+        return queries.sparkSession.createDataFrame([], schema)
+    run, repeated = found
+    if repeated is None:
+        return run
+    same = run["qid"].eqNullSafe(repeated["_qid"])
+    for c in by:
+        same = same & run[c].eqNullSafe(repeated[f"_{c}"])
+    return run.join(repeated, same, "left_anti").unionByName(
+        _global_cut(run.join(repeated, same, "left_semi"), k, by).select(*run.columns))
 
 
 def exclude_self(run: DataFrame, before_cut: bool = False, k: int | None = None) -> DataFrame:

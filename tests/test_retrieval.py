@@ -205,3 +205,29 @@ def test_datasets_go_through_one_plan(spark, tmp_path):
         assert retrieval.evaluate_datasets(spark, {"s0": (None, None, None)}, HashedBagOfWords(64), "none", [1], path=path) is None
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     assert abs(jobs(2) - jobs(6)) <= 2               # the planner may broadcast a table in one of them
+
+
+def test_a_block_of_queries_sends_final_ranks_only(spark):
+    """No candidates travel: the ranked rows come straight from the tasks, also
+    where several document blocks and both rounds are needed; documents bring
+    columns along; ids that several queries have are cut together."""
+    rng = np.random.default_rng(11)
+    d = rng.normal(size=(3000, 5)).astype(np.float32)
+    d[200:260] = d[100]                                     # equal scores go to the lower id
+    q = d[90:110]
+    docs = _vec_df(spark, range(3000), d, "doc_id").withColumn("tag", F.col("doc_id") % 7).repartition(3)
+    run = retrieval.score_topk(_vec_df(spark, range(20), q, "qid"), docs, 40, state_bytes=(5 * 12 + 40 * 24) * 4,
+                               block_bytes=5 * 8 * 300, work_bytes=1 << 14, carry=["tag"])
+    plan = run._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join LeftAnti" not in plan
+    unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(d).T, 12)
+    got = {}
+    for r in run.collect():
+        assert r["tag"] == r["doc_id"] % 7
+        got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
+    for i in range(20):
+        want = sorted(range(3000), key=lambda j: (-s[i, j], j))[:40]
+        assert sorted(got[i]) == list(enumerate(want, 1))
+    twice = retrieval.score_topk(_vec_df(spark, [1, 1, 2], q[:3], "qid"), docs, 40)
+    assert {r["qid"]: r["count"] for r in twice.groupBy("qid").count().collect()} == {1: 40, 2: 40}
