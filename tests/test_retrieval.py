@@ -231,3 +231,15 @@ def test_a_block_of_queries_sends_final_ranks_only(spark):
         assert sorted(got[i]) == list(enumerate(want, 1))
     twice = retrieval.score_topk(_vec_df(spark, [1, 1, 2], q[:3], "qid"), docs, 40)
     assert {r["qid"]: r["count"] for r in twice.groupBy("qid").count().collect()} == {1: 40, 2: 40}
+
+
+def test_ranked_rows_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    best = retrieval._Best([], pa.array(range(3000)), rng.normal(size=(3000, 4)), 50, 4, 1 << 20)
+    for s in range(0, 400, 100):
+        best.docs([pa.array(range(s, s + 100))], rng.normal(size=(100, 4)))
+    out = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())])
+    sizes = [b.num_rows for b in best.best(out)]
+    assert sum(sizes) == 3000 * 50 and max(sizes) <= retrieval.OUT_ROWS
+    assert best.at.dtype == np.int32 and not best.waiting
