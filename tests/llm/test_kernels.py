@@ -111,3 +111,30 @@ def test_rows_are_cut_alike_however_they_come():
     cuts = [[b.column(0).to_pylist() for b in k.fixed_rows(rows.to_batches(max_chunksize=n), 250)] for n in (7, 250, 1000, 5000)]
     assert cuts[0] == cuts[1] == cuts[2] == cuts[3] and [len(c) for c in cuts[0]] == [250, 250, 250, 250, 3]
     assert list(k.fixed_rows([], 250)) == []
+
+
+def test_suffix_step_holds_numbers_only():
+    """Large texts: 4-byte numbers a symbol instead of lists of objects, the
+    same order and owners."""
+    import random
+    import tracemalloc
+    from glossa.llm import suffixes
+    rnd = random.Random(3)
+    words = [bytes(rnd.randrange(97, 123) for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    strings = [b" ".join(rnd.choice(words) for _ in range(16))[:rnd.randrange(50, 80)] for _ in range(600)]
+    strings += [strings[i][3:60] for i in range(0, 600, 7)]
+    owners = [rnd.randrange(1000) for _ in strings]
+    first = {}
+    for s, of in zip(strings, owners):
+        for i in range(len(s) - 19):
+            first[s[i:i + 20]] = min(first.get(s[i:i + 20], of), of)
+    tracemalloc.start()
+    got = first_owner(strings, owners, 20)
+    peak = tracemalloc.get_traced_memory()[1] / sum(len(s) + 1 for s in strings)
+    tracemalloc.stop()
+    assert [list(x) for x in got] == [[first[s[i:i + 20]] for i in range(len(s) - 19)] for s in strings]
+    assert peak < 100
+    text = [b + 2 for s in strings[:400] for b in s] + [0]
+    assert len(text) > suffixes.LARGE
+    raw = bytes(b - 1 if b else 0 for b in text)
+    assert suffix_array(text) == sorted(range(len(text)), key=lambda i: raw[i:])

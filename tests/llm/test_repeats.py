@@ -1,7 +1,9 @@
 import hashlib
 from collections import Counter
 
-from glossa.llm import op3_windows, op4_substrings, ranged
+import numpy as np
+
+from glossa.llm import kernels, op3_windows, op4_substrings, ranged
 from llm_corpus import corpus, empty, sorted_rows, texts
 
 COLUMNS3 = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -112,3 +114,20 @@ def test_every_anchor_hot(spark, stored, monkeypatch):
     monkeypatch.setattr(op4_substrings, "HOT_STRINGS", 1, raising=False)
     monkeypatch.setattr(op4_substrings, "HOT_EVERY", 1, raising=False)
     assert sorted_rows(op4_substrings.remove_earlier(stored), COLUMNS4) == _earlier(texts())
+
+
+def test_anchors_fill_all_slices():
+    """The smallest hash of a window lies near zero; slices are equal parts of
+    the whole range."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 200_000).astype(np.uint8)
+    pack = kernels.Pack(0, data, np.array([0, len(data)]))
+    at, low, _ = op4_substrings._anchors(pack, kernels.byte_prefix(data), 50)
+    first, _ = op4_substrings._runs(at, low, np.zeros(len(at), np.int64), op4_substrings.RUN)
+    per = np.bincount((low[first] >> np.uint64(58)).astype(int), minlength=64)
+    assert per.max() < 2 * per.mean() and per.min() > per.mean() / 2
+    by_text = {}
+    for i, h in zip(at.tolist(), low.tolist()):
+        grams = [data[j:j + 16].tobytes() for j in range(i, i + 35)]
+        by_text.setdefault(h, set(grams)).intersection_update(grams)
+    assert all(by_text.values())                # windows of one anchor share its string
