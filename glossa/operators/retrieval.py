@@ -31,6 +31,8 @@ DEFAULT_WORK_BYTES = 64 * 1024 * 1024
 TILE_ROWS = 2048                            # documents scored at once
 PAIRS = 1 << 14                             # pairs scored by themselves at once
 OUT_ROWS = 1 << 16                          # ranked rows of a record batch
+PARTS = 64                                  # arrays of pairs that wait in a group of queries
+HELD_ROWS = 1 << 16                         # documents whose columns are held before they are thinned out
 # Fixed cut-offs of the evaluation.
 K_VALUES = (1, 3, 5, 10, 20, 100, 1000)
 
@@ -70,19 +72,27 @@ class _Best:
 
     Once every query has ``k``, a product in single precision tells which
     pairs can still reach a query's k-th score; only these are scored in
-    double precision and wait, as pairs, until there are enough to sort."""
+    double precision and wait, as pairs, by group of ``rows`` queries.  A
+    group is merged when half of ``k`` a query wait in it, so what waits is
+    bounded in whatever order the documents come.  Of the documents that came
+    by, only the columns of those that are among the best, or new, are held."""
 
     def __init__(self, keys, q_ids, mat, k, dim, work_bytes):
+        """``mat`` is normalised in place."""
         self.keys, self.q_ids, self.k = keys, q_ids, k
-        self.q = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_EPS)
+        for s in range(0, len(mat), TILE_ROWS):
+            part = mat[s:s + TILE_ROWS]
+            part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), NORM_EPS)
+        self.q = mat
         self.q32 = self.q.astype(np.float32)
         self.slack = (dim + 8) * 2.0 ** -22            # more than single precision can be off
         self.tile = max(1, min(TILE_ROWS, work_bytes // 8))
         self.rows = max(1, work_bytes // (64 * max(self.tile, k)))
         self.val = np.full((len(mat), k), -np.inf)
         self.at = np.zeros((len(mat), k), dtype=np.int32)
-        self.columns, self.seen = [], 0                # ids and more of the documents
-        self.waiting, self.waits = [], 0
+        self.columns, self.seen = [], 0                # ids and more of documents; how many came by
+        self.held, self.least = 0, HELD_ROWS           # documents in ``columns``; more than this are thinned out
+        self.waiting, self.waits = {}, {}              # by group: pairs in arrays, how many
 
     def docs(self, columns, mat):
         self.columns.append(columns)
@@ -96,12 +106,13 @@ class _Best:
                 else:
                     self._later(r, part, part32)
             self.seen += len(part)
-            if self.waits > len(self.q) * max(self.k // 2, 8):
-                self.settle()
+            self.held += len(part)
+        if self.held > self.least:
+            self._thin()
 
     def _first(self, r, part):
         pos, val = _exact_topk_cols(np.round(self.q[r:r + self.rows] @ part.T, SCORE_DECIMALS), self.k)
-        self._merge(r, val, (pos + self.seen).astype(np.int32))
+        self._merge(r, val, (pos + self.held).astype(np.int32))
 
     def _later(self, r, part, part32):
         kth = self.val[r:r + self.rows, -1]
@@ -121,28 +132,29 @@ class _Best:
             above = score > kth[row]                   # an equal one has the higher id
             row, col, score = row[above], col[above], score[above]
         if len(row):
-            self.waiting.append(((r + row).astype(np.int32), (self.seen + col).astype(np.int32), score))
-            self.waits += len(row)
+            g = r // self.rows
+            self.waiting.setdefault(g, []).append((row.astype(np.int32), (self.held + col).astype(np.int32), score))
+            self.waits[g] = self.waits.get(g, 0) + len(row)
+            if self.waits[g] > len(kth) * max(self.k // 2, 8) or len(self.waiting[g]) >= PARTS:
+                self._settle(g)
 
     def settle(self):
-        if not self.waits:
-            return
-        row, at, val = (np.concatenate(x) for x in zip(*self.waiting))
-        self.waiting, self.waits = [], 0
+        for g in list(self.waiting):
+            self._settle(g)
+
+    def _settle(self, g):
+        row, at, val = (np.concatenate(x) for x in zip(*self.waiting.pop(g)))
+        del self.waits[g]
         order = np.argsort(row, kind="stable")
         row, at, val = row[order], at[order], val[order]
-        cut = np.searchsorted(row, np.arange(len(self.q) + 1))
-        for r in range(0, len(self.q), self.rows):
-            end = min(r + self.rows, len(self.q))
-            i, j = cut[r], cut[end]
-            if i == j:
-                continue
-            place = np.arange(i, j) - cut[row[i:j]]
-            more = np.full((end - r, int(place.max()) + 1), -np.inf)
-            more_at = np.zeros(more.shape, dtype=np.int32)
-            more[row[i:j] - r, place] = val[i:j]
-            more_at[row[i:j] - r, place] = at[i:j]
-            self._merge(r, more, more_at)
+        r = g * self.rows
+        n = min(self.rows, len(self.q) - r)
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+        more = np.full((n, int(place.max()) + 1), -np.inf)
+        more_at = np.zeros(more.shape, dtype=np.int32)
+        more[row, place] = val
+        more_at[row, place] = at
+        self._merge(r, more, more_at)
 
     def _merge(self, r, val, at):
         """Documents held come before new ones, so a stable sort by score
@@ -153,6 +165,20 @@ class _Best:
         o = np.argsort(-val, axis=1, kind="stable")[:, :self.k]
         self.val[r:end], self.at[r:end] = np.take_along_axis(val, o, 1), np.take_along_axis(at, o, 1)
 
+    def _thin(self):
+        """Only documents that are among the best of a query stay in
+        ``columns``, in the same order."""
+        self.settle()
+        some = np.zeros(self.held, dtype=bool)
+        some[self.at[:, :min(self.seen, self.k)]] = True
+        place = np.cumsum(some, dtype=np.int32) - 1
+        for r in range(0, len(self.q), self.rows):
+            self.at[r:r + self.rows] = place[self.at[r:r + self.rows]]
+        keep = pa.array(np.flatnonzero(some))
+        self.columns = [[pa.concat_arrays(c).take(keep) for c in zip(*self.columns)]]
+        self.held = len(keep)
+        self.least = 2 * self.held + HELD_ROWS
+
     def floor(self) -> float:
         self.settle()
         return float(self.val[:, -1].min()) if self.seen >= self.k else -2.0
@@ -190,8 +216,13 @@ def _block_kernel(dim: int, k: int, work_bytes: int, n_by: int, schema: T.Struct
         else:
             yield from state.best(out)
 
+    def joined(held):
+        ids, mat = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        held.clear()
+        return ids, mat
+
     def run(batches):
-        now, held, state = None, [], None
+        now, held, keys, state = None, [], None, None
         for rb in batches:
             pair = rb.column(0).to_numpy(zero_copy_only=False)
             kind = rb.column(1).to_numpy(zero_copy_only=False)
@@ -200,18 +231,17 @@ def _block_kernel(dim: int, k: int, work_bytes: int, n_by: int, schema: T.Struct
                 part = rb.slice(i, j - i)
                 if pair[i] != now:
                     yield from close(now, state)
-                    now, held, state = pair[i], [], None
+                    now, held, keys, state = pair[i], [], None, None
                 mat, valid = _matrix(part.column(4), dim)
                 mat, part = mat[valid], part.filter(pa.array(valid))
                 if not part.num_rows:
                     continue
                 if not kind[i]:
-                    held.append((part.column(2), mat, part))
+                    keys = keys or [part.column(5 + c)[0] for c in range(n_by)]
+                    held.append((part.column(2), mat))
                     continue
                 if state is None and held:
-                    state = _Best([held[0][2].column(5 + c)[0] for c in range(n_by)], pa.concat_arrays([h[0] for h in held]),
-                                  np.concatenate([h[1] for h in held]), k, dim, work_bytes)
-                    held = []
+                    state = _Best(keys, *joined(held), k, dim, work_bytes)
                 if state is not None:
                     state.docs([part.column(c) for c in (3, *range(5 + n_by, part.num_columns))], mat)
         yield from close(now, state)

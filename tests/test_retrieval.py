@@ -243,3 +243,33 @@ def test_ranked_rows_leave_a_task_in_bounded_batches():
     sizes = [b.num_rows for b in best.best(out)]
     assert sum(sizes) == 3000 * 50 and max(sizes) <= retrieval.OUT_ROWS
     assert best.at.dtype == np.int32 and not best.waiting
+
+
+def test_what_waits_and_is_held_is_bounded_in_any_order_of_documents(monkeypatch):
+    """Every document is nearer to all queries than those before it, the worst
+    order: memory stays near the best k of the queries, and columns are held
+    of documents that are among the best, or new, only."""
+    import tracemalloc
+
+    import pyarrow as pa
+    monkeypatch.setattr(retrieval, "HELD_ROWS", 2000, raising=False)
+    k, n_q, n_d = 20, 1500, 12_000
+    q = np.tile([1.0, 0.0], (n_q, 1)) + np.random.default_rng(5).normal(size=(n_q, 2)) * 1e-3
+    angle = np.linspace(1.5, 0.1, n_d)
+    d = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    best, held = retrieval._Best([], pa.array(range(n_q)), q.copy(), k, 2, 1 << 22), []
+    tracemalloc.start()
+    for s in range(0, n_d, 1000):
+        best.docs([pa.array(range(s, s + 1000)), pa.array([f"t{i}" for i in range(s, s + 1000)])], d[s:s + 1000])
+        held.append(sum(len(c[0]) for c in best.columns))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20                                  # all pairs of 1000 documents: 24 MB and their order
+    assert max(held) <= 4000
+    out = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("rank", pa.int32()), ("tag", pa.string())])
+    rows = pa.Table.from_batches(best.best(out)).to_pylist()
+    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    score = np.round(unit @ (d / np.linalg.norm(d, axis=1, keepdims=True)).T, 12)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    assert [(r["qid"], r["doc_id"], r["rank"], r["tag"]) for r in rows] == [
+        (i, int(j), n + 1, f"t{j}") for i in range(n_q) for n, j in enumerate(want[i])]
