@@ -67,6 +67,52 @@ def test_pruning_skips_blocks_and_keeps_the_best():
     assert ids.tolist() == best and np.allclose(scores, full[best])
 
 
+def test_a_block_of_queries_in_a_shard(monkeypatch):
+    """Tiles, runs of blocks, dense columns and floors leave what all sums
+    give, equal documents by id included."""
+    rng = np.random.default_rng(1)
+    n, names = 1500, np.unique(rng.integers(0, 1 << 63, 600).astype(np.uint64))
+    rows = [np.clip(rng.zipf(1.25, rng.integers(0, 40)), 1, len(names)) - 1 for _ in range(n)]
+    rows[300:700] = [rows[299]] * 400
+    doc, size = np.repeat(np.arange(n), [len(r) for r in rows]), np.array([len(r) for r in rows])
+    row = op7_search._shard(rng.permutation(n), doc, names[np.concatenate(rows)], size)
+    shard = op7_search.Shard(row, size.mean())
+    queries = [np.unique(r) for r in rows[280:340]] + [np.zeros(0, np.int64)]
+    first, idf = np.append(0, np.cumsum([len(q) for q in queries])), rng.random(len(names)) + 0.01
+    full = np.zeros((len(queries), n))
+    for i, q in enumerate(queries):
+        for w in q:
+            at = np.searchsorted(shard.terms, names[w])
+            a, b = shard.first[at], shard.first[at + 1]
+            full[i, shard.docs[a:b]] += idf[w] * shard.worth[a:b]
+    full = full.round(9)
+    for patch in ({}, {"COMMON": 20, "TILE": 7, "GROUP": 2, "RUN": 3, "FEW": 5, "PAIRS": 50}, {"COMMON": 0, "FIRST_BLOCKS": 1}):
+        for name, value in patch.items():
+            monkeypatch.setattr(op7_search, name, value)
+        for floor in (np.zeros(len(queries)), np.sort(full, axis=1)[:, -4]):
+            found = op7_search.Asked(shard, names, idf).search(first, np.concatenate(queries).astype(np.int32), floor, 10)
+            want = [(i, shard.ids[d], full[i, d]) for i in range(len(queries))
+                    for d in np.lexsort((shard.ids, -full[i]))[:10] if full[i, d] > 0 and full[i, d] >= floor[i]]
+            assert list(zip(*found)) == want
+
+
+def test_a_small_rest_is_no_shard_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(op7_search, "SHARD_BYTES", 10_000)
+    for rows, shards in ((280, [280]), (356, [100, 256]), (536, [256, 280])):
+        docs = spark.range(rows).coalesce(1).selectExpr("id as doc_id", "lpad(id, 40, 'x') as text")
+        built = op7_search.build_shards(docs)
+        assert sorted(r[0] for r in built.select("n_docs").collect()) == shards
+        assert len(built.inputFiles()) == len(shards)          # any number of tasks can read them
+
+
+def test_order_when_upper_bits_do_not_tell_values_apart():
+    rng = np.random.default_rng(2)
+    for values in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000), np.zeros(0)):
+        values = values.astype(np.uint64)
+        order = op7_search._order(values)
+        assert np.array_equal(np.sort(order), np.arange(len(values))) and np.array_equal(values[order], np.sort(values))
+
+
 def test_search_of_nothing(spark, stored):
     assert op7_search.bm25_search(empty(spark), empty(spark)).count() == 0
     assert op7_search.bm25_search(stored, empty(spark)).count() == 0
