@@ -52,7 +52,7 @@ K1, B = 1.2, 0.75
 SHARD_BYTES = 32 << 20
 REST = 4              # a rest of less than a fourth goes to the shard before
 BLOCK = 32
-QUERY_BLOCK = 16384
+QUERY_BLOCK = 8192
 QUERY_BYTES = 64 << 20
 FIRST_BLOCKS = 16
 COMMON, COMMON_SHARE = 768, 40   # columns of common words at most, and in which share of the documents
